@@ -1,0 +1,41 @@
+"""Connected components by alternating large-star and small-star steps over plain joins."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quern.state import cut, forget
+
+
+def _starred(edges: DataFrame, centre: str, leaf: str) -> DataFrame:
+    """Edges (u, v) with the least neighbour m of u, itself included.
+
+    The minima are written before the join, so that both sides are plain and a node with very many
+    neighbours can be split over tasks.
+    """
+    pairs = edges.select(F.col(centre).alias("u"), F.col(leaf).alias("v"))
+    least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+    return pairs.join(least, "u")
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, component``: for every node of ``edges (u, v)`` the least node it is connected with.
+
+    Nodes are longs. Loops and repeated edges are allowed, edges with a null end are left out; no edges give no rows.
+    """
+    e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
+    state = None
+    while True:
+        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        if now == state or now[0] == 0:
+            break
+        state = now
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = cut(_starred(both, "a", "b").filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        near = _starred(large, "a", "b")
+        small = near.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(near.select(F.col("u").alias("a"), F.col("m").alias("b")))
+        was, e = e, cut(small.distinct(), "small")
+        forget(was)
+        forget(large)
+    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
