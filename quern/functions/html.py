@@ -6,7 +6,6 @@ import html as _html
 import re
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,9 +97,13 @@ def to_markdown(html: str | None) -> str | None:
     return _html.unescape(text) or None
 
 
-@F.pandas_udf("string")
-def markdown(html: pd.Series) -> pd.Series:
-    return html.map(to_markdown, na_action="ignore").astype(object)
+def _mapped(f, c: Column | str) -> Column:
+    """A function of single texts in Arrow batches; made at call time, since executors import this module without a session."""
+    return F.pandas_udf(lambda s: s.map(f, na_action="ignore").astype(object), "string")(c)
+
+
+def markdown(html: Column | str) -> Column:
+    return _mapped(to_markdown, html)
 
 
 #: Frequent words by language, for pages that declare none.
@@ -123,6 +126,5 @@ def guess_language(text: str | None) -> str | None:
     return best if hits[best] else None
 
 
-@F.pandas_udf("string")
-def guessed_language(text: pd.Series) -> pd.Series:
-    return text.map(guess_language, na_action="ignore").astype(object)
+def guessed_language(text: Column | str) -> Column:
+    return _mapped(guess_language, text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SUGGESTIONS, SUGGESTION_CHARS = 4, 120
@@ -39,6 +39,6 @@ def suggestions(reply: str | None) -> list[str]:
     return good[:SUGGESTIONS]
 
 
-@F.pandas_udf("array<string>")
-def suggestion_list(reply: pd.Series) -> pd.Series:
-    return reply.map(suggestions)
+def suggestion_list(reply: Column | str) -> Column:
+    """``suggestions`` as a column; made at call time, since executors import this module without a session."""
+    return F.pandas_udf(lambda s: s.map(suggestions), "array<string>")(reply)

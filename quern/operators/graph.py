@@ -126,8 +126,8 @@ def apply_clusters(nodes: DataFrame, edges: DataFrame, clusters: DataFrame) -> t
     to = last.join(ranked.filter("kind = 0").select(F.col("at").alias("c"), F.col("id").alias("new")), "c").select("id", "new").unionByName(ranked.filter("kind = 1").select(F.col("old").alias("id"), F.col("id").alias("new")))
     e = edges.join(to.withColumnsRenamed({"id": "src", "new": "s"}), "src").join(to.withColumnsRenamed({"id": "dst", "new": "d"}), "dst").filter("s <> d")
     is_local = F.coalesce(F.col("props")["source"] == "local", F.lit(False))
-    e = e.groupBy("s", "d", "rel").agg(F.min("ord").alias("at"), F.min(F.struct((~is_local).alias("_r"), "ord", "props")).alias("_b"))
-    e = numbered(cut(e.select(F.col("s").alias("src"), F.col("d").alias("dst"), "rel", F.col("_b.props").alias("props"), "at"), "edges"), 1, "at", "_b").withColumn("id", F.col("_place") + 1)
+    e = e.groupBy("s", "d", "rel").agg(F.min("ord").alias("at"), F.min_by("props", F.struct((~is_local).alias("_r"), "ord")).alias("props"))
+    e = numbered(cut(e.select(F.col("s").alias("src"), F.col("d").alias("dst"), "rel", "props", "at"), "edges"), 1, "at", "_b").withColumn("id", F.col("_place") + 1)
     return ranked.select("id", "label", "name", "aliases", "props"), e.select("id", "src", "dst", "rel", "props")
 
 
