@@ -180,7 +180,7 @@ def in_order(docs: DataFrame, cells: int = 8192) -> DataFrame:
         heads[at] = top  # cells rise, and so do their largest ids
     buckets = at + 1
     # the row that follows bucket b is the largest of bucket b - 1; the largest of all follows bucket 0
-    targets = {heads[b]: (b + 1) % buckets for b in range(buckets)}
+    targets = {heads[b]: (b + 1) % buckets for b in range(buckets) if b in heads}
     out = docs.withColumn("bucket", F.element_at(F.lit(bucket_of), cell + 1))
     # a map with one entry for each bucket
     named = {k: v for k, v in targets.items() if k is not None}
