@@ -2,9 +2,11 @@
 
 Texts with equal shingle sets count as one (their set is represented by its smallest doc_id). Banded
 minima propose candidates; compact signatures discard hopeless ones; every link is confirmed on full sets. First
-each set is compared with the set it shares most bands with among the ends of its bands; once those links have
-joined what belongs together, all pairs are compared that share a band but are still apart. So a group of
-thousands of near copies costs about one comparison each, and no candidate is given up.
+each set is compared with the set it shares most bands with among the ends of its bands, then with the most typical
+sets of its bands. Once those links have joined what belongs together, sets that share a band but are still apart are
+paired by their rarest shingles: two sets can only be linked if the first of their common shingles, in the order of
+frequency, leaves room for enough more in both. That bound is exact, so no link is given up, and it leaves few pairs even
+of thousands of near copies just below the threshold.
 """
 
 from __future__ import annotations
@@ -120,10 +122,11 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches):
             sets, offsets = shingle_sets(texts(batch), width)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sets[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["rep", "hashes"])
+            hashes = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes], ["rep", "hashes"])
 
     chosen = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(run, "rep bigint, hashes binary").dropDuplicates(["rep"])
+    return chosen.mapInArrow(run, "rep bigint, hashes array<bigint>").dropDuplicates(["rep"])
 
 
 def _verified(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int, hashes: int) -> DataFrame:
@@ -140,7 +143,7 @@ def _verified(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int, h
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = np.asarray(x.values), np.asarray(y.values)
                 lo, hi = sorted((len(x), len(y)))
                 if 100 * lo < percent * hi:
                     keep.append(False)
@@ -159,6 +162,40 @@ def _verified(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int, h
     return beside(maybe, sets, "hashes").mapInArrow(linked, "u bigint, v bigint")
 
 
+def _ranked(some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """rep, n, own (shingles no other of these sets has), prefix: (place, shingle) of shared ones among the rarest.
+
+    Shingles are ordered by the number of sets that have them. A link needs percent / 100 of a set's shingles in common, so
+    a common one lies among its first n - ceil(percent * n / 100) + 1.
+    """
+    tokens = cut(some.join(sets, "rep").select("rep", "n", F.explode("hashes").alias("token")), "tokens")
+    often = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    rare = tokens.join(often, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    # as many shingles as a text has, no more
+    lists = rare.groupBy("rep").agg(F.first("n").alias("n"), F.count_if(F.col("df") == 1).alias("own"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)).cast("bigint") + 1
+    head = F.transform(F.slice("t", F.lit(1), length.cast("int")), lambda x, i: F.struct(i.cast("bigint").alias("place"), x["df"].alias("df"), x["token"].alias("token")))
+    return lists.select("rep", "n", "own", F.filter(head, lambda x: x["df"] > 1).alias("prefix"))
+
+
+def _within_bound(ranked: DataFrame, joined_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that share a shingle which leaves room for a link.
+
+    From common shingles at places i and j on, at most min(n - i, m - j) are common; a link of sets of n and m takes
+    percent * (n + m) / (100 + percent). Of each shingle only sets outside its largest component are looked up among
+    all its sets.
+    """
+    named = ranked.join(joined_, ranked["rep"] == joined_["node"], "left").select("rep", "n", F.coalesce("component", "rep").alias("c"), F.inline("prefix")).drop("df")
+    named = cut(named, "prefixes")
+    of = named.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("major"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = cut(named.join(cut(of.select("token", "major"), "majors"), "token"), "mixed")
+    one = mixed.filter("c <> major").drop("major")
+    two = mixed.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"))
+    room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    found = one.join(two, "token").filter("c <> c2").filter(room)
+    return found.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept.
 
@@ -178,7 +215,6 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     ends = cut(in_bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi"), "bands")
     shared = cut(in_bands.join(ends, "band"), "shared")
     sets = cut(_set_table(docs, shared.select("rep").distinct(), width), "sets")
-    sizes_fit = F.col("n") * 100 >= F.col("n2") * percent
 
     # first: the band end that most bands of a set name
     hubs = shared.select("rep", F.explode(F.array("lo", "hi")).alias("hub")).filter("rep <> hub").groupBy("rep", "hub").count()
@@ -186,17 +222,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     links = cut(_verified(first, sig, sets, percent, rows * bands), "links")
     joined_ = cut(components(links), "joined")
 
-    # then: whatever shares a band but is still apart
+    # then: sets that share a band with a set of another component, and how frequent their shingles are among them
     apart = shared.join(joined_, shared["rep"] == joined_["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
     apart = cut(apart, "apart")
     mixed = cut(apart.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("band"), "mixed")
-    left = apart.join(mixed, "band")
-    right = left.select("band", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    pairs = left.join(right, "band").filter("c <> c2 and n <= n2 and (n < n2 or rep < rep2)").filter(sizes_fit)
-    pairs = pairs.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
-    tested = first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    more = _verified(pairs.join(tested, ["u", "v"], "left_anti"), sig, sets, percent, rows * bands)
-    # on top of the first components: their members hang on their least member already
+    left = cut(apart.join(mixed, "band"), "left")
+    ranked = cut(_ranked(left.select("rep", "n", "c").distinct(), sets, percent), "ranked")
+
+    # the most typical set of a band is the one with the smallest share of shingles of its own
+    typical = left.join(ranked.select("rep", "own"), "rep")
+    heads = cut(typical.groupBy("band").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), F.col("rep").alias("hub"), F.col("c").alias("hub_c"))).alias("h")).select("band", "h.hub", "h.hub_c"), "heads")
+    to_heads = typical.join(heads, "band").filter("c <> hub_c").groupBy("rep", "hub").agg(F.count("*").alias("count"))
+    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("count", (-F.col("hub")).alias("hub"))))), 1, 2)  # at most one entry per band
+    second = to_heads.groupBy("rep").agg(best.alias("best")).select(F.col("rep").alias("u"), F.explode("best").alias("b")).select("u", (-F.col("b.hub")).alias("v"))
+    second = cut(second, "second")
+    stars = joined_.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    joined_ = cut(components(stars.unionByName(_verified(second, sig, sets, percent, rows * bands))), "joined")
+
+    # last: whatever can still be linked by the bound on common shingles
+    tested = first.unionByName(second).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = _within_bound(ranked, joined_, percent).join(tested, ["u", "v"], "left_anti")
+    more = _verified(cut(pairs, "pairs"), sig, sets, percent, rows * bands)
     stars = joined_.select(F.col("node").alias("u"), F.col("component").alias("v"))
     whole = components(stars.unionByName(more))
 
