@@ -19,18 +19,20 @@ def _starred(edges: DataFrame, centre: str, leaf: str) -> DataFrame:
     return pairs.join(least, "u")
 
 
+def _is_forest(e: DataFrame) -> bool:
+    """Whether every node hangs on one node, which hangs on none: then the components are found."""
+    ends = e.select(F.col("a").alias("node"), F.col("b"), F.lit(1).alias("hangs")).unionByName(e.select(F.col("b").alias("node"), F.lit(None).cast("bigint").alias("b"), F.lit(0).alias("hangs")))
+    odd = ends.groupBy("node").agg(F.min("b").alias("x"), F.max("b").alias("y"), F.min("hangs").alias("lo"), F.max("hangs").alias("hi")).filter("x <> y or lo <> hi")
+    return odd.limit(1).count() == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, component``: for every node of ``edges (u, v)`` the least node it is connected with.
 
     Nodes are longs. Loops and repeated edges are allowed, edges with a null end are left out; no edges give no rows.
     """
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
-    state = None
-    while True:
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if now == state or now[0] == 0:
-            break
-        state = now
+    while not _is_forest(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = cut(_starred(both, "a", "b").filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
         near = _starred(large, "a", "b")
