@@ -70,7 +70,8 @@ def pdf_pages(files: DataFrame, reader, threshold: int = TEXT_CHARS) -> DataFram
                     pages = list(reader(content))
                 except Exception:  # noqa: BLE001  a broken file must not end the ingest
                     pages = []
-                yield pd.DataFrame({"doc": [path] * len(pages), "page_no": range(1, len(pages) + 1), "pages_total": [len(pages)] * len(pages), "text": pages})
+                if pages:  # one document at a time
+                    yield pd.DataFrame([(str(path), k, len(pages), t) for k, t in enumerate(pages, 1)], columns=["doc", "page_no", "pages_total", "text"])
 
     return files.filter(F.col("path").rlike(r"(?i)\.pdf$")).select("path", "content").mapInPandas(run, "doc string, page_no bigint, pages_total bigint, text string")
 
