@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.operators import pages
+from quern.operators.ranking import numbered_within
 from quern.state import cut
 
 
@@ -117,6 +118,5 @@ def crawl_log(spark, sf_dir) -> DataFrame:
 
 def document_pages(spark, sf_dir) -> DataFrame:
     """Documents as the pages of one document per source, numbered by doc_id: doc, page_no, text."""
-    from pyspark.sql import Window
-
-    return documents(spark, sf_dir).select(F.col("source").alias("doc"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("bigint").alias("page_no"), "text", "doc_id")
+    d = documents(spark, sf_dir).select(F.col("source").alias("doc"), "text", "doc_id")
+    return numbered_within(d, "doc", "doc_id", "page_no").select("doc", "page_no", "text", "doc_id")
