@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import html, text, urls
+from quern.operators.ranking import running_sum
 from quern.state import cut
 
 #: When a host counts as blocking.
@@ -53,24 +54,29 @@ def _negated(df: DataFrame, name: str) -> list[Column]:
     return [(-p.cast("bigint")).alias(f"n{i}") for i, p in enumerate(parts)]
 
 
+def _coarse(log: DataFrame) -> Column:
+    """An hour of a sequence that begins with microseconds, or a thousand of a plain number."""
+    kind = log.schema["seq"].dataType
+    return F.floor(F.col(f"seq.{kind.fields[0].name}") / 3_600_000_000) if hasattr(kind, "fields") else F.floor(F.col("seq") / 1000)
+
+
 def abort_points(log: DataFrame, after: int = ABORT_AFTER) -> DataFrame:
     """(domain, abort_seq): where the fifth 429 answer in a row comes; domains without are left out.
 
-    Rows without an answer (network errors) neither lengthen nor end a run.
+    Rows without an answer (network errors) neither lengthen nor end a run. ``seq`` is a number or a struct that begins with
+    microseconds.
     """
     answers = log.filter("code is not null or outcome = 'success'").withColumn("_is", F.coalesce(F.col("code") == 429, F.lit(False)))
-    w = Window.partitionBy("domain").orderBy("seq")
-    runs = answers.withColumn("_run", F.sum(F.when(F.col("_is"), 0).otherwise(1)).over(w))
-    place = F.row_number().over(Window.partitionBy("domain", "_run", "_is").orderBy("seq"))
-    return runs.filter("_is").withColumn("_n", place).filter(F.col("_n") == after).groupBy("domain").agg(F.min("seq").alias("abort_seq"))
+    runs = running_sum(answers, ["domain"], "seq", _coarse(log), F.when(F.col("_is"), 0).otherwise(1), "_run_no").filter("_is")
+    placed = running_sum(runs, ["domain", "_run_no"], "seq", _coarse(log), F.lit(1), "_n")
+    return placed.filter(F.col("_n") == after).groupBy("domain").agg(F.min("seq").alias("abort_seq"))
 
 
 def outcomes(log: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Rows per domain and outcome, of a crawl that stops after ``max_pages`` successes of a domain."""
     if max_pages is not None:
-        w = Window.partitionBy("domain").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-        done = F.coalesce(F.sum(F.when(F.col("outcome") == "success", 1).otherwise(0)).over(w), F.lit(0))
-        log = log.withColumn("_done", done).filter(F.col("_done") < max_pages)
+        good = F.when(F.col("outcome") == "success", 1).otherwise(0)
+        log = running_sum(log, ["domain"], "seq", _coarse(log), good, "_done").filter(F.col("_done") - good < max_pages)
     return log.groupBy("domain", "outcome").agg(F.count("*").alias("n"))
 
 

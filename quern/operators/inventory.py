@@ -35,6 +35,18 @@ def fingerprints(member_rows: DataFrame) -> DataFrame:
     return member_rows.groupBy("slug").agg(text.fingerprint(F.collect_set("digest")).alias("fingerprint"))
 
 
+def corpus_fingerprint(digests: DataFrame, schema: int = 1) -> DataFrame:
+    """One row: a fingerprint of all distinct digests, whatever their order.
+
+    A tree of two levels: digests are hashed in order by their first three hexadecimal digits, then the 4,096 hashes in
+    theirs. One hash over all digests would have to see them in one task; equality means the same.
+    """
+    d = digests.select("digest").distinct()
+    parts = d.groupBy(F.substring("digest", 8, 3).alias("p")).agg(text.fingerprint(F.collect_list("digest")).alias("h"))
+    whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n").alias("x"))
+    return whole.select(F.sha2(F.concat(F.lit(f"v{schema}\n"), "x"), 256).alias("fingerprint"))
+
+
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:
     """Clusters that are new or whose fingerprint differs."""
     old = before.select("slug", F.col("fingerprint").alias("_old"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RUN = 4096
@@ -20,3 +20,17 @@ def numbered_within(rows: DataFrame, key: str, order: str, name: str, run: int =
     before = counts.select(key, "_run", F.coalesce(F.sum("_k").over(w), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy(key, "_run").orderBy(order))
     return r.withColumn("_n", place).join(before, [key, "_run"]).withColumn(name, (F.col("_before") + F.col("_n")).cast("bigint")).drop("_run", "_before", "_n")
+
+
+def running_sum(rows: DataFrame, keys: list[str], order: str, coarse: Column, value: Column, name: str) -> DataFrame:
+    """``name``: the sum of ``value`` over a key's rows up to and with this one, by ``order``.
+
+    ``coarse`` never falls where ``order`` rises (an hour of a time, say). Sums of (key, coarse) are summed per key, rows are
+    summed inside theirs: a key with a third of all rows is spread over as many tasks as it has coarse values.
+    """
+    r = rows.withColumn("_run", coarse).withColumn("_v", value.cast("bigint"))
+    sums = r.groupBy(*keys, "_run").agg(F.sum("_v").alias("_s"))
+    w = Window.partitionBy(*keys).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, "_run", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))
+    inside = F.sum("_v").over(Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return r.withColumn("_in", inside).join(before, [*keys, "_run"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_run", "_v", "_in", "_before")

@@ -303,16 +303,9 @@ def cluster_fingerprint(spark, sf):
     return inventory.fingerprints(_member_rows(spark, sf))
 
 
-@query(f"SELECT sha256('v1' || chr(10) || string_agg(DISTINCT digest, chr(10) ORDER BY digest)) AS fingerprint FROM {GROUPS}")
+@query(f"WITH g AS (SELECT substr(digest, 8, 3) AS p, {FINGERPRINT('digest')} AS h FROM {GROUPS} GROUP BY 1) SELECT sha256('v1' || chr(10) || string_agg(h, chr(10) ORDER BY p)) AS fingerprint FROM g")
 def graph_fingerprint(spark, sf):
-    # the contract is one digest over all sorted digests: hashed as a stream in their order, a partition after the other
-    import hashlib
-
-    digests = pages.group_pages(i.raw_label(spark, sf)).select("digest").orderBy("digest")
-    h = hashlib.sha256(b"v1")
-    for r in digests.toLocalIterator():
-        h.update(b"\n" + r["digest"].encode())
-    return spark.createDataFrame([(h.hexdigest(),)], "fingerprint string")
+    return inventory.corpus_fingerprint(pages.parsed(i.raw_label(spark, sf)))
 
 
 @query(

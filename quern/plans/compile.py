@@ -159,16 +159,6 @@ def build_graph(distillates: DataFrame, call: Call | None = None, model: str = "
     return n.withColumn("ord", F.col("id")), x.withColumn("ord", F.col("id"))
 
 
-def graph_fingerprint(digests: DataFrame) -> str:
-    """One digest over all sorted digests, streamed in their order."""
-    import hashlib
-
-    h = hashlib.sha256(b"v1")
-    for r in digests.select("digest").distinct().orderBy("digest").toLocalIterator():
-        h.update(b"\n" + r["digest"].encode())
-    return h.hexdigest()
-
-
 def compile_corpus(raw: DataFrame, state: State, call: Call, model: str = "", domains: list[str] | None = None, langs: list[str] | None = None, prompts: dict[str, str] | None = None, today: str = "", canonicalize: bool = False) -> Report:
     """One run over ``raw(rel, content)``. An unchanged corpus costs no model call and rewrites no article."""
     from quern.state import cut
@@ -197,7 +187,7 @@ def compile_corpus(raw: DataFrame, state: State, call: Call, model: str = "", do
         page = raw.sparkSession.createDataFrame([("_index.md", index)], ARTICLES)
         articles, report.index_built = articles.filter("name <> '_index.md'").unionByName(page), True
     tables = {"store": live, "clusters": clusters, "articles": articles}
-    mark = graph_fingerprint(live)
+    mark = inventory.corpus_fingerprint(live).first()["fingerprint"]
     known = state.read("meta").first()
     if known is None or known["fingerprint"] != mark:
         tables["nodes"], tables["edges"] = build_graph(live, call if canonicalize else None, model, prompts.get("canonicalize", ""))
