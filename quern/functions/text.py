@@ -112,6 +112,12 @@ def metadata(title: Column, url: Column, domain: Column, crawled: Column, langua
     )
 
 
+def document_metadata(title: Column, source: Column, page_no: Column, label: Column, day: Column, language: Column) -> Column:
+    """A metadata block for one page of a document; the domain is the label."""
+    name = F.concat(title, F.lit(" — Seite "), page_no.cast("string"))
+    return metadata(name, F.concat(F.lit("file://"), source, F.lit("#page="), page_no.cast("string")), label, day, language)
+
+
 def article_sources(c: Column) -> Column:
     """The source list of an article: its block opens with dashes or a yaml fence; inline list or one item a line."""
     t = F.regexp_replace(c, r"(?U)^\s+", "")

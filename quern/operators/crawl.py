@@ -100,6 +100,37 @@ def collect_plan(wanted: DataFrame, history: DataFrame) -> DataFrame:
     return once.join(history.select("url").distinct().withColumn("_c", F.lit(True)), "url", "left").select("url", "ord", F.when(F.col("_c"), "cached").otherwise("fetch").alias("outcome"))
 
 
+def _fetched(due: DataFrame, fetch: Callable[[str], tuple[int, str, str]], allowed: Callable[[str], bool] | None, langs: list[str] | None) -> DataFrame:
+    """Pages fetched on executors with what became of them; ``due(url, depth, parent_ord, link_ord)``."""
+    schema = "url string, depth int, parent_ord bigint, link_ord bigint"
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                at = (r.url, r.depth, r.parent_ord, r.link_ord)
+                if allowed and not allowed(r.url):
+                    rows.append((*at, 0, "", None, "robots"))
+                    continue
+                try:
+                    rows.append((*at, *fetch(r.url), None))
+                except Exception as e:  # noqa: BLE001  a page that cannot be fetched is an outcome
+                    rows.append((*at, None, "", None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["url", "depth", "parent_ord", "link_ord", "status", "kind", "body", "trouble"])
+
+    got = due.mapInPandas(run, schema + ", status int, kind string, body string, trouble string")
+    # written at once: what was fetched is not fetched again
+    got = cut(got, "fetched").withColumn("content", F.when(F.col("kind").contains("text/markdown"), F.col("body")).otherwise(html.markdown("body")))
+    got = got.withColumn("language", F.coalesce(html.declared_language(F.col("body")), html.guessed_language("content")))
+    outcome = F.when(F.col("trouble") == "robots", "skipped").when(F.col("trouble").isNotNull(), "failed").otherwise(outcome_of(F.col("status"), F.col("kind"), F.col("content")))
+    if langs:
+        outcome = F.when((outcome == "success") & F.col("language").isNotNull() & ~F.col("language").isin([x.lower() for x in langs]), "skipped").otherwise(outcome)
+    reason = F.when(F.col("trouble").isNotNull(), F.col("trouble")).when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    return got.select("url", "depth", "parent_ord", "link_ord", outcome.alias("outcome"), reason.alias("reason"), F.when(F.col("status") > 0, F.col("status")).alias("code"), html.title(F.col("body"), F.col("url")).alias("title"), "language", "content", "body")
+
+
 def crawl(start: str, fetch: Callable[[str], tuple[int, str, str]], spark, history: DataFrame | None = None, max_depth: int = 2, langs: list[str] | None = None, max_pages: int | None = None, allowed: Callable[[str], bool] | None = None, seeds: list[str] = ()) -> DataFrame:
     """Breadth-first crawl of one host, a level at a time; returns a log of every address.
 
@@ -117,31 +148,7 @@ def crawl(start: str, fetch: Callable[[str], tuple[int, str, str]], spark, histo
         if level.isEmpty():
             break
 
-        def run(frames):
-            import pandas as pd
-
-            for frame in frames:
-                rows = []
-                for r in frame.to_dict("records"):
-                    if allowed and not allowed(r["url"]):
-                        rows.append((0, "", None, "robots"))
-                        continue
-                    try:
-                        status, kind, body = fetch(r["url"])
-                        rows.append((status, kind, body, None))
-                    except Exception as e:  # noqa: BLE001  a page that cannot be fetched is an outcome
-                        rows.append((None, "", None, f"{type(e).__name__}: {e}"))
-                made = pd.DataFrame(rows, columns=["status", "kind", "body", "trouble"])
-                yield pd.concat([frame[["url", "depth", "parent_ord", "link_ord"]].reset_index(drop=True), made], axis=1)
-
-        got = level.filter("_h is null").drop("_h").mapInPandas(run, schema + ", status int, kind string, body string, trouble string")
-        got = cut(got, "fetched").withColumn("content", html.markdown("body"))
-        got = got.withColumn("language", F.coalesce(html.declared_language(F.col("body")), html.guessed_language("content")))
-        outcome = F.when(F.col("trouble") == "robots", "skipped").when(F.col("trouble").isNotNull(), "failed").otherwise(outcome_of(F.col("status"), F.col("kind"), F.col("content")))
-        if langs:
-            outcome = F.when((outcome == "success") & F.col("language").isNotNull() & ~F.col("language").isin([x.lower() for x in langs]), "skipped").otherwise(outcome)
-        reason = F.when(F.col("trouble").isNotNull(), F.col("trouble")).when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-        done = got.select("url", "depth", "parent_ord", "link_ord", outcome.alias("outcome"), reason.alias("reason"), F.when(F.col("status") > 0, F.col("status")).alias("code"), html.title(F.col("body"), F.col("url")).alias("title"), "language", "content", "body")
+        done = _fetched(level.filter("_h is null").drop("_h"), fetch, allowed, langs)
         cached = level.filter("_h").select("url", "depth", "parent_ord", "link_ord", F.lit("cached").alias("outcome"), *[F.lit(None).cast(t).alias(n) for n, t in (("reason", "string"), ("code", "int"), ("title", "string"), ("language", "string"), ("content", "string"), ("body", "string"))])
         done = cut(done.unionByName(cached), "done")
         out = done.drop("body") if out is None else out.unionByName(done.drop("body"))
@@ -152,3 +159,17 @@ def crawl(start: str, fetch: Callable[[str], tuple[int, str, str]], spark, histo
         links = done.filter("body is not null and outcome <> 'failed'").select(F.lit(depth + 1).alias("depth"), F.xxhash64("url").alias("parent_ord"), F.posexplode(urls.page_links(F.col("body"), F.col("url"))).alias("link_ord", "url"))
         frontier = next_frontier(links.withColumn("link_ord", F.col("link_ord").cast("bigint")), visited)
     return out
+
+
+def collect(wanted: DataFrame, fetch: Callable[[str], tuple[int, str, str]], history: DataFrame | None = None, langs: list[str] | None = None) -> DataFrame:
+    """Fetch a list of addresses ``wanted(url, ord)``, each once, without following links; a log as of ``crawl``.
+
+    A single pass: cached addresses are told apart by a join, the rest is fetched in parallel.
+    """
+    spark = wanted.sparkSession
+    known = history if history is not None else spark.createDataFrame([], "url string")
+    plan = cut(collect_plan(wanted, known), "plan")
+    due = plan.filter("outcome = 'fetch'").select("url", F.lit(0).alias("depth"), F.col("ord").cast("bigint").alias("parent_ord"), F.lit(0).cast("bigint").alias("link_ord"))
+    fetched = _fetched(due, fetch, None, langs)
+    cached = plan.filter("outcome = 'cached'").select("url", F.lit(0).alias("depth"), F.col("ord").cast("bigint").alias("parent_ord"), F.lit(0).cast("bigint").alias("link_ord"), F.lit("cached").alias("outcome"))
+    return fetched.drop("body").unionByName(cached, allowMissingColumns=True)

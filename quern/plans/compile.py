@@ -201,3 +201,27 @@ def compile_corpus(raw: DataFrame, state: State, call: Call, model: str = "", do
 def read_sources(articles: DataFrame) -> DataFrame:
     """(name, sources) that articles name themselves."""
     return articles.select("name", text.article_sources(F.col("content")).alias("sources"))
+
+
+def lint(articles: DataFrame, call: Call, model: str = "", prompt: str = "", each: int = 3000, most: int = 40_000) -> DataFrame:
+    """``_lint-report.md``: a model's view of the first characters of all articles; what it sees is bounded by ``most``."""
+    out, size = [], 0
+    for r in articles.select("name", F.left("content", F.lit(each)).alias("c")).orderBy("name").toLocalIterator():
+        out.append(f"### {r['name']}\n{r['c']}\n\n")
+        size += len(out[-1])
+        if size >= most:
+            break
+    return articles.sparkSession.createDataFrame([("_lint-report.md", call(prompt + "".join(out)[:most], model, 4000))], ARTICLES)
+
+
+def suggested_questions(articles: DataFrame, call: Call, model: str = "", prompt: str = "") -> list[str]:
+    """Three or four example questions from the index; none when the model fails."""
+    from quern.functions.replies import suggestions
+
+    index = articles.filter("name = '_index.md'").select(F.left("content", F.lit(retrieval.INDEX_CHARS)).alias("c")).first()
+    if index is None:
+        return []
+    try:
+        return suggestions(call(f"{prompt}\n\n{index['c']}", model, 300))
+    except Exception:  # noqa: BLE001  suggestions are an extra
+        return []

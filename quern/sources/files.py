@@ -105,3 +105,34 @@ def write_export(data: str, target: str, chats: bool = True) -> tuple[int, int]:
             n, size = n + 1, size + f.stat().st_size
     os.replace(temp, out)
     return n, size
+
+
+def wiki_languages(data: str, prefix: str | None = "wiki") -> list[dict]:
+    """Wiki folders that hold Markdown: the base one and ``<prefix>-<lang>``."""
+    root = Path(data)
+    if prefix is None or not root.exists():
+        return []
+    out = []
+    for d in sorted(p for p in root.iterdir() if p.is_dir() and any(p.glob("*.md"))):
+        if d.name == prefix or d.name.startswith(prefix + "-"):
+            out.append({"lang": d.name[len(prefix) + 1 :], "dir": d.name, "default": d.name == prefix})
+    return out
+
+
+def wiki_folder(data: str, lang: str | None = None, prefix: str = "wiki") -> str:
+    """The folder of a language, or the base folder where it has none."""
+    own = Path(data, f"{prefix}-{lang.strip().lower()}") if lang else None
+    return str(own if own and own.exists() else Path(data, prefix))
+
+
+def write_markdown(pages: DataFrame, folder: str, key: str = "rel") -> int:
+    """Pages as files below a folder of this machine, streamed; an export for people, not a table of the engine."""
+    n, root = 0, Path(folder).resolve()
+    for r in pages.select(key, "content").toLocalIterator():
+        path = (root / r[key]).resolve()
+        if root not in path.parents:
+            raise ValueError(f"outside of the folder: {r[key]!r}")
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(r["content"], encoding="utf-8")
+        n += 1
+    return n
