@@ -159,12 +159,28 @@ def build_graph(distillates: DataFrame, call: Call | None = None, model: str = "
     return n.withColumn("ord", F.col("id")), x.withColumn("ord", F.col("id"))
 
 
+def _unchanged(shown: DataFrame, state: State) -> bool:
+    """Whether the state is of just these contents and complete: then nothing is left to do."""
+    known = state.read("meta").first()
+    if known is None:
+        return False
+    mark = inventory.corpus_fingerprint(shown.select(text.content_digest(F.col("content")).alias("digest"))).first()["fingerprint"]
+    if mark != known["fingerprint"]:
+        return False
+    articles, clusters = state.read("articles"), state.read("clusters").select("slug")
+    due = inventory.article_todo(clusters, clusters.limit(0), articles)
+    return due.isEmpty() and not articles.filter("name = '_index.md'").isEmpty()
+
+
 def compile_corpus(raw: DataFrame, state: State, call: Call, model: str = "", domains: list[str] | None = None, langs: list[str] | None = None, prompts: dict[str, str] | None = None, today: str = "", canonicalize: bool = False) -> Report:
     """One run over ``raw(rel, content)``. An unchanged corpus costs no model call and rewrites no article."""
     from quern.state import cut
 
     prompts, report = prompts or {}, Report()
     shown = pages.filter_language(pages.filter_domains(pages.parsed(raw), [d.lower() for d in domains] if domains else None), langs, detect=bool(langs)).select("rel", "content")
+    if _unchanged(shown, state):
+        report.pages = state.read("store").count()
+        return report
     result = distill.distill_all(shown, state.read("store"), call, model, prompts.get("distill", ""))
     live = cut(result.distillates, "live")
     report.pages, report.distilled, report.failed = live.count(), result.made.count(), result.failed.count()
