@@ -2,8 +2,8 @@
 
 Texts with equal shingle sets count as one (their set is represented by its smallest doc_id). Banded
 minima propose candidates; compact signatures discard hopeless ones; every link is confirmed on full sets. First
-each set is compared with the set it shares most bands with among the ends of its bands, then with the most typical
-sets of its bands. Once those links have joined what belongs together, sets that share a band but are still apart are
+each set is compared with the set it shares most bands with among the least of its bands, then with the most typical
+sets of its bands. Sets that share a band but whose links do not lead to one set yet are
 paired by their rarest shingles: two sets can only be linked if the first of their common shingles, in the order of
 frequency, leaves room for enough more in both. That bound is exact, so no link is given up, and it leaves few pairs even
 of thousands of near copies just below the threshold.
@@ -129,17 +129,28 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return chosen.mapInArrow(run, "rep bigint, hashes array<bigint>").dropDuplicates(["rep"])
 
 
-def _verified(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int, hashes: int) -> DataFrame:
-    """The pairs (u, v) that are links: hopeless ones go by signature, the rest are judged on full sets."""
+def _beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+    one, two = (table.select(F.col("rep").alias(k), F.col(value).alias(f"{k}_{value}")) for k in ("u", "v"))
+    return pairs.join(one, "u").join(two, "v").select("u", "v", f"u_{value}", f"v_{value}")
+
+
+def _likely(pairs: DataFrame, sig: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """The pairs whose signatures agree as often as a link's do, less five standard deviations."""
     t = percent / 100
     least = t - 5 * math.sqrt(t * (1 - t) / hashes)
 
-    def likely(batches):
+    def run(batches):
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for i in (2, 3))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array((a == b).mean(axis=1) >= least))
 
-    def linked(batches):
+    return _beside(pairs, sig, "sig").mapInArrow(run, "u bigint, v bigint")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) that are links, judged on full sets."""
+
+    def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -154,38 +165,35 @@ def _verified(pairs: DataFrame, sig: DataFrame, sets: DataFrame, percent: int, h
                 keep.append(100 * shared >= percent * (lo + hi - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    def beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        one, two = (table.select(F.col("rep").alias(k), F.col(value).alias(f"{k}_{value}")) for k in ("u", "v"))
-        return pairs.join(one, "u").join(two, "v").select("u", "v", f"u_{value}", f"v_{value}")
-
-    maybe = beside(pairs, sig, "sig").mapInArrow(likely, "u bigint, v bigint")
-    return beside(maybe, sets, "hashes").mapInArrow(linked, "u bigint, v bigint")
+    return _beside(pairs, sets, "hashes").mapInArrow(run, "u bigint, v bigint")
 
 
 def _ranked(some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """rep, n, own (shingles no other of these sets has), prefix: (place, shingle) of shared ones among the rarest.
+    """rep, n, c, share (of shingles no other of these sets has), prefix: (place, token) of shared ones among the rarest.
 
     Shingles are ordered by the number of sets that have them. A link needs percent / 100 of a set's shingles in common, so
-    a common one lies among its first n - ceil(percent * n / 100) + 1.
+    a common one lies among its first n - ceil(percent * n / 100) + 1, and a set with more of its own than that has no link.
     """
-    tokens = cut(some.join(sets, "rep").select("rep", "n", F.explode("hashes").alias("token")), "tokens")
+    chosen = cut(some.join(sets, "rep"), "chosen")
+    tokens = chosen.select("rep", "n", "c", F.explode("hashes").alias("token"))
     often = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     rare = tokens.join(often, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     # as many shingles as a text has, no more
-    lists = rare.groupBy("rep").agg(F.first("n").alias("n"), F.count_if(F.col("df") == 1).alias("own"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    lists = rare.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.count_if(F.col("df") == 1).alias("own"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)).cast("bigint") + 1
     head = F.transform(F.slice("t", F.lit(1), length.cast("int")), lambda x, i: F.struct(i.cast("bigint").alias("place"), x["df"].alias("df"), x["token"].alias("token")))
-    return lists.select("rep", "n", "own", F.filter(head, lambda x: x["df"] > 1).alias("prefix"))
+    linkable = lists.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
+    return linkable.select("rep", "n", "c", (F.col("own") / F.col("n")).alias("share"), F.filter(head, lambda x: x["df"] > 1).alias("prefix"))
 
 
-def _within_bound(ranked: DataFrame, joined_: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components that share a shingle which leaves room for a link.
+def _within_bound(ranked: DataFrame, label2: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different labels that share a shingle which leaves room for a link.
 
     From common shingles at places i and j on, at most min(n - i, m - j) are common; a link of sets of n and m takes
-    percent * (n + m) / (100 + percent). Of each shingle only sets outside its largest component are looked up among
+    percent * (n + m) / (100 + percent). Of each shingle only sets outside its most frequent label are looked up among
     all its sets.
     """
-    named = ranked.join(joined_, ranked["rep"] == joined_["node"], "left").select("rep", "n", F.coalesce("component", "rep").alias("c"), F.inline("prefix")).drop("df")
+    named = ranked.join(label2, ranked["rep"] == label2["u"], "left").select("rep", "n", F.coalesce("v", "c").alias("c"), F.inline("prefix")).drop("df")
     named = cut(named, "prefixes")
     of = named.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("major"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = cut(named.join(cut(of.select("token", "major"), "majors"), "token"), "mixed")
@@ -212,39 +220,38 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     classes = cut(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     sig = cut(named.join(classes.select("rep"), named["doc_id"] == classes["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys", "sig").dropDuplicates(["rep"]), "reps")
     in_bands = sig.select("rep", "n", F.explode("keys").alias("band"))
-    ends = cut(in_bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi"), "bands")
+    ends = cut(in_bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "lo"), "bands")
     shared = cut(in_bands.join(ends, "band"), "shared")
     sets = cut(_set_table(docs, shared.select("rep").distinct(), width), "sets")
 
-    # first: the band end that most bands of a set name
-    hubs = shared.select("rep", F.explode(F.array("lo", "hi")).alias("hub")).filter("rep <> hub").groupBy("rep", "hub").count()
+    # first: of the least sets of its bands, the one most bands name
+    hubs = shared.filter("rep <> lo").groupBy("rep", F.col("lo").alias("hub")).count()
     first = cut(hubs.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("rep").alias("u"), (-F.col("best.hub")).alias("v")), "first")
-    links = cut(_verified(first, sig, sets, percent, rows * bands), "links")
-    joined_ = cut(components(links), "joined")
+    links = cut(_verified(_likely(first, sig, percent, rows * bands), sets, percent), "links")
+    # where a set's links lead in two steps; any label that only linked sets share would do
+    onward = links.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    label = cut(links.join(onward, "v", "left").select(F.col("u").alias("rep"), F.coalesce("w", "v").alias("c")), "label")
 
-    # then: sets that share a band with a set of another component, and how frequent their shingles are among them
-    apart = shared.join(joined_, shared["rep"] == joined_["node"], "left").select("band", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    apart = cut(apart, "apart")
+    # then: sets that share a band with a set of another label, and how frequent their shingles are among them
+    apart = cut(shared.select("band", "rep", "n").join(label, "rep", "left").withColumn("c", F.coalesce("c", "rep")), "apart")
     mixed = cut(apart.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("band"), "mixed")
     left = cut(apart.join(mixed, "band"), "left")
     ranked = cut(_ranked(left.select("rep", "n", "c").distinct(), sets, percent), "ranked")
 
     # the most typical set of a band is the one with the smallest share of shingles of its own
-    typical = left.join(ranked.select("rep", "own"), "rep")
-    heads = cut(typical.groupBy("band").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), F.col("rep").alias("hub"), F.col("c").alias("hub_c"))).alias("h")).select("band", "h.hub", "h.hub_c"), "heads")
-    to_heads = typical.join(heads, "band").filter("c <> hub_c").groupBy("rep", "hub").agg(F.count("*").alias("count"))
-    best = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("count", (-F.col("hub")).alias("hub"))))), 1, 2)  # at most one entry per band
-    second = to_heads.groupBy("rep").agg(best.alias("best")).select(F.col("rep").alias("u"), F.explode("best").alias("b")).select("u", (-F.col("b.hub")).alias("v"))
-    second = cut(second, "second")
-    stars = joined_.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    joined_ = cut(components(stars.unionByName(_verified(second, sig, sets, percent, rows * bands))), "joined")
+    typical = left.select("band", "rep").join(ranked.select("rep", "c", "share"), "rep")
+    heads = cut(typical.groupBy("band").agg(F.min(F.struct("share", F.col("rep").alias("hub"), F.col("c").alias("hub_c"))).alias("h")).select("band", "h.hub", "h.hub_c", F.col("h.share").alias("hub_share")), "heads")
+    to_heads = typical.join(heads, "band").filter("c <> hub_c").groupBy("rep", "hub").agg(F.min("hub_share").alias("hub_share"))
+    best = F.slice(F.array_sort(F.collect_list(F.struct("hub_share", "hub"))), 1, 2)  # at most one entry per band
+    second = cut(to_heads.groupBy("rep").agg(best.alias("best")).select(F.col("rep").alias("u"), F.explode("best.hub").alias("v")), "second")
+    links2 = cut(_verified(second, sets, percent), "links2")
+    label2 = links2.groupBy("u").agg(F.min("v").alias("v"))
 
     # last: whatever can still be linked by the bound on common shingles
     tested = first.unionByName(second).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = _within_bound(ranked, joined_, percent).join(tested, ["u", "v"], "left_anti")
-    more = _verified(cut(pairs, "pairs"), sig, sets, percent, rows * bands)
-    stars = joined_.select(F.col("node").alias("u"), F.col("component").alias("v"))
-    whole = components(stars.unionByName(more))
+    pairs = _within_bound(ranked, label2, percent).join(tested, ["u", "v"], "left_anti")
+    more = _verified(cut(pairs, "pairs"), sets, percent)
+    whole = components(links.unionByName(links2).unionByName(more))
 
     of_set = classes.join(whole, classes["rep"] == whole["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
     of_set = cut(of_set, "of_set")
