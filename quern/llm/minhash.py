@@ -12,10 +12,11 @@ of thousands of near copies just below the threshold.
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import RangeHash, class_table, joined, mix, schema, slices, texts, words
@@ -94,7 +95,7 @@ def _prepared(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
     """doc_id, n, h1, h2 (128 bits that name the set), keys (of bands), sig."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             sets, offsets = shingle_sets(texts(batch), width)
             n = np.diff(offsets)
             full = np.flatnonzero(n)
@@ -120,7 +121,7 @@ def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """rep, hashes: the full sets of the wanted documents."""
 
     def run(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=1 << 20):
             sets, offsets = shingle_sets(texts(batch), width)
             hashes = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), hashes], ["rep", "hashes"])
@@ -204,6 +205,22 @@ def _within_bound(ranked: DataFrame, label2: DataFrame, percent: int) -> DataFra
     return found.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
 
 
+#: Rows of an Arrow batch: a pair of full sets has some ten kilobytes, of long texts far more.
+BATCH_ROWS = 200
+
+
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Small Arrow batches for the jobs run inside; the session's own setting afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept.
 
@@ -213,8 +230,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     without doc_id cannot be named by a group: it stays alone with a null component_id and is kept. Rows that repeat
     a doc_id get one result each, and are linked by that id. Ties and other columns have no influence; an empty table gives no rows.
     """
+    # every job with Python in it runs before this returns: the result only joins written tables
+    with _small_batches(docs.sparkSession):
+        return _grouped(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), width, percent)
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows, bands = banding(percent / 100)
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     every = cut(_prepared(docs, width, rows, bands), "prepared")
     named = every.filter("n > 0 and doc_id is not null")
     classes = cut(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
