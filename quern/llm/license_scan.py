@@ -34,6 +34,34 @@ TEMPLATES = {
     "proprietary": ("All rights reserved.", "All rights reserved. No part of this text may be reproduced without permission."),
 }
 
+#: The real wording of notices and short licences, as they stand in files (names of holders differ).
+NOTICES = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+    ),
+    "BSD-2-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "GNU General Public License Version 2, June 1991",
+    ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU General Public License Version 3, 29 June 2007",
+    ),
+    "LGPL-3.0": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version.",
+        "GNU Lesser General Public License Version 3, 29 June 2007",
+    ),
+    "MIT": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
+    ),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
+}
+
 
 def _words(text: str) -> list[str]:
     import re
@@ -76,27 +104,107 @@ def anchors(templates: list[tuple[str, list[str]]], threshold: Fraction = THRESH
     return sorted(set(chosen))
 
 
+def _table(templates: list[tuple[str, list[str]]], threshold: Fraction) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n"), F.lit(bounds(len(g), threshold)[0]).alias("lo"), F.lit(bounds(len(g), threshold)[1]).alias("hi")) for name, g in templates])
+
+
+def _grams(u: Column) -> Column:
+    """Word bigrams of a normalised text, in order."""
+    w = F.split(u, " ")
+    n = F.size(w)
+    return F.when(n > 1, F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+
+
 def _unit_matches(units: Column, templates: list[tuple[str, list[str]]], threshold: Fraction) -> Column:
     """Array of (dice, name) structs: one for each unit and template that reach the threshold."""
     lo = min(bounds(len(g), threshold)[0] for _, g in templates)
     hi = max(bounds(len(g), threshold)[1] for _, g in templates)
-    table = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n"), F.lit(bounds(len(g), threshold)[0]).alias("lo"), F.lit(bounds(len(g), threshold)[1]).alias("hi")) for name, g in templates])
+    table = _table(templates, threshold)
     t = F.lit(threshold.numerator), F.lit(threshold.denominator)
 
-    def grams(u: Column) -> Column:
-        w = F.split(u, " ")
-        n = F.size(w)
-        return F.when(n > 1, F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b)))).otherwise(F.array().cast("array<string>"))
-
     def matches(g: Column) -> Column:
         fits = F.filter(table, lambda x: (F.size(g) >= x["lo"]) & (F.size(g) <= x["hi"]))
         shared = F.transform(fits, lambda x: F.struct(F.size(F.array_intersect(g, x["grams"])).alias("shared"), (x["n"] + F.size(g)).alias("both"), x["name"].alias("name")))
         return F.filter(shared, lambda x: x["shared"] * 2 * t[1] >= x["both"] * t[0])
 
-    sized = F.filter(F.transform(units, grams), lambda g: (F.size(g) >= lo) & (F.size(g) <= hi))
+    sized = F.filter(F.transform(units, lambda u: F.array_distinct(_grams(u))), lambda g: (F.size(g) >= lo) & (F.size(g) <= hi))
     return F.flatten(F.transform(sized, matches))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value made once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _window_matches(text: Column, templates: list[tuple[str, list[str]]], threshold: Fraction) -> Column:
+    """Array of (shared, both, name) structs of a normalised text: for each template its best window, if that reaches the threshold."""
+    table = _table(templates, threshold)
+    known = sorted({x for _, g in templates for x in g})
+    num, den = F.lit(threshold.numerator), F.lit(threshold.denominator)
+
+    def window(g: Column, own: Column, k: Column, x: Column, span: Column) -> Column:
+        start = own[k]["at"]
+
+        def measured(inside: Column) -> Column:
+            shared = F.size(F.array_distinct(F.transform(inside, lambda h: h["gram"])))
+            length = F.element_at(inside, -1)["at"] - start + 1
+            both = x["n"] + F.size(F.array_distinct(F.slice(g, start + 1, length)))
+            return F.when(F.size(inside) >= x["lo"], F.struct(shared.alias("shared"), both.alias("both"), x["name"].alias("name")))
+
+        # hits are in order: those of the next ``span`` positions are among the next ``span`` hits
+        return _let(F.filter(F.slice(own, k + 1, span), lambda h: h["at"] < start + span), measured)
+
+    def best(g: Column, own: Column, x: Column) -> Column:
+        made = F.flatten(F.transform(own, lambda _, k: F.array(window(g, own, k, x, x["n"]), window(g, own, k, x, x["hi"]))))
+        reached = F.filter(made, lambda m: m.isNotNull() & (m["shared"] * 2 * den >= m["both"] * num))
+        top = F.array_max(F.transform(reached, lambda m: F.struct((m["shared"] * F.lit(2.0) / m["both"]).alias("dice"), m.alias("m"))))
+        return top["m"]
+
+    def of_text(g: Column, hits: Column) -> Column:
+        distinct = F.array_distinct(F.transform(hits, lambda h: h["gram"]))
+        fits = _let(distinct, lambda d: F.filter(table, lambda x: F.size(F.array_intersect(d, x["grams"])) >= x["lo"]))
+        each = F.transform(fits, lambda x: _let(F.filter(hits, lambda h: F.array_contains(x["grams"], h["gram"])), lambda own: best(g, own, x)))
+        return F.filter(each, lambda m: m.isNotNull())
+
+    hits = lambda g: F.filter(F.transform(g, lambda x, k: F.when(x.isin(known), F.struct(k.alias("at"), x.alias("gram")))), lambda h: h.isNotNull())
+    return _let(_grams(text), lambda g: _let(hits(g), lambda h: of_text(g, h)))
+
+
+def license_notices(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document row: doc_id, n_licenses, license, dice, shared, licenses: licences whose wording stands anywhere in a text.
+
+    The words of the whole text are one sequence: line ends, comment signs and other words around a notice do not matter, nor does the
+    length of the text. A window starts at any bigram of a template, spans the template's n bigrams or its upper bound
+    (1.5 n), and ends at the last bigram of the template in that span. Lines and whole texts count as windows too. license: of the match
+    that shares most bigrams (then the higher dice, then the alphabetically first), dice and shared: its figures, null
+    without a match; licenses: all found, sorted, comma-joined; n_licenses: how many. Rows as in ``license_scan``.
+    """
+    both = {name: TEMPLATES.get(name, ()) + NOTICES.get(name, ()) for name in {*TEMPLATES, *NOTICES}}
+    ready = compiled(both if templates is None else templates)
+    if not ready:
+        raise ValueError("no template has two words")
+    plain = F.replace(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u0130"), F.lit(" ")), F.lit("\u212a"), F.lit(" "))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.lower(plain).alias("low"))
+    low = F.col("low")
+    has = None
+    for anchor in anchors(ready, threshold):
+        one = F.contains(low, F.lit(anchor[0]))
+        for w in anchor[1:]:
+            one = one & F.contains(low, F.lit(w))
+        has = one if has is None else has | one
+    norm = lambda c: F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
+    lines = F.filter(F.transform(F.split(low, "\n"), norm), lambda u: F.instr(u, " ") > 0)
+    found = F.concat(_let(norm(low), lambda t: F.concat(_window_matches(t, ready, threshold), _unit_matches(F.array(t), ready, threshold))), _unit_matches(lines, ready, threshold))
+    found = F.when(has, found).otherwise(F.array().cast("array<struct<shared:int,both:int,name:string>>"))
+    # made once, below a generator that keeps every row
+    rows = docs.select("doc_id", F.explode(F.array(found)).alias("found"))
+    dice = lambda x: x["shared"] * F.lit(2.0) / x["both"]
+    # least of (-shared, -dice, name)
+    top = F.array_min(F.transform("found", lambda x: F.struct((-x["shared"]).alias("s"), (-dice(x)).alias("d"), x["name"].alias("name"))))
+    names = F.array_sort(F.array_distinct(F.transform("found", lambda x: x["name"])))
+    return rows.select("doc_id", F.size(names).cast("bigint").alias("n_licenses"), top["name"].alias("license"), (-top["d"]).alias("dice"), (-top["s"]).cast("bigint").alias("shared"), F.array_join(names, ",").alias("licenses"))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_matches, license, dice, licenses.
 

@@ -319,6 +319,68 @@ def test_license_scan_equals_sql_without_anchors(spark, tmp_path):
     assert sum(r[1] > 0 for r in got) > 40
 
 
+def _best_windows(text, templates):
+    """By template: the greatest Dice coefficient over windows of template length at any word, and over all runs of words."""
+    w = license_scan._words(text)
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    dice = lambda run, t: 2 * len(set(run) & set(t)) / (len(set(run)) + len(t))
+    fixed, free = {}, {}
+    for name, t in templates:
+        n = len(t)
+        starts = [i for i in range(len(grams)) if grams[i] in t]
+        fixed[name] = max([fixed.get(name, 0.0), *(dice(grams[i : i + n], t) for i in starts)])
+        free[name] = max([free.get(name, 0.0), *(dice(grams[i : j + 1], t) for i in starts for j in starts if i <= j < i + 2 * n)])
+    return fixed, free
+
+
+def test_license_notices_stand_anywhere(spark):
+    import textwrap
+
+    notices = {k: v for k, v in license_scan.NOTICES.items()}
+    gpl, mit, apache = notices["GPL-3.0"][0], notices["MIT"][0], notices["Apache-2.0"][0]
+    isc = license_scan.TEMPLATES["ISC"][0]
+    prose = "made up words that say nothing of it " * 2000
+    rows = [
+        (1, "This file is part of Foo. Licensed under the Apache License, Version 2.0. See LICENSE for details.", "Apache-2.0"),
+        (2, textwrap.fill(gpl, 60), "GPL-3.0"),
+        (3, prose + "\n" + textwrap.fill(gpl, 70, initial_indent=" * ", subsequent_indent=" * ") + "\n" + prose, "GPL-3.0"),
+        (4, "ISC License\n\nCopyright (c) 2020 A B\n\n" + textwrap.fill(isc, 50), "ISC"),
+        (5, "MIT License\n\nCopyright (c) 2020 A B\n\n" + textwrap.fill(mit, 78) + "\n\nTHE SOFTWARE IS PROVIDED AS IS", "MIT"),
+        (6, mit, "MIT"),
+        (7, textwrap.fill(apache, 64, initial_indent="# ", subsequent_indent="# "), "Apache-2.0"),
+        (8, textwrap.fill(notices["BSD-3-Clause"][0].replace("the copyright holder", "Foo Inc"), 72), "BSD-3-Clause"),
+        (9, textwrap.fill(notices["BSD-2-Clause"][0], 72), "BSD-2-Clause"),
+        (10, prose, None),
+        (11, None, None),
+        (12, textwrap.fill(notices["GPL-2.0"][0], 72), "GPL-2.0"),
+    ]
+    df = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id bigint, text string")
+    assert {d: r["license"] for d, r in by_id(license_scan.license_notices(df)).items()} == {d: x for d, _, x in rows}
+
+
+def test_license_notices_equal_brute_force(spark):
+    rng = random.Random(9)
+    templates = {"a": ("one two three four five six seven",), "b": ("red green blue", "old new red green"), "c": ("seven one two six five",)}
+    ready = license_scan.compiled(templates)
+    pool = "one two three four five six seven red green blue old new x y".split()
+    rows = []
+    for d in range(300):
+        w = rng.choices(pool, k=rng.randint(0, 12))
+        for t in rng.choices([t for ts in templates.values() for t in ts], k=rng.randint(0, 2)):
+            w += [x for x in t.split() if rng.random() > 0.08] + rng.choices(pool, k=rng.randint(0, 4))
+        rows.append((d, "".join(x + rng.choice([" ", "\n", ", "]) for x in w)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = by_id(license_scan.license_notices(df, templates))
+    assert len(out) == 300 and sum(r["n_licenses"] > 0 for r in out.values()) > 60
+    for d, t in rows:
+        fixed, free = _best_windows(t, ready)
+        got = set(filter(None, out[d]["licenses"].split(",")))
+        assert {n for n, x in fixed.items() if x >= 0.8 - 1e-12} <= got
+        if got:
+            assert out[d]["license"] in got and 0.8 - 1e-12 <= out[d]["dice"] <= 1
+        assert got <= {n for n, x in free.items() if x >= 0.8 - 1e-12}, (d, t)
+
+
 def test_license_bounds_prune_nothing():
     from fractions import Fraction
 
