@@ -477,6 +477,15 @@ def graph_restrict(spark, sf):
     return n.select(F.lit("node").alias("kind"), "id").unionByName(e.select(F.lit("edge").alias("kind"), F.col("ord").alias("id")))
 
 
+@query(f"WITH {_ENT}, {_TG}, v AS (SELECT DISTINCT id FROM f WHERE doc_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2'))) SELECT 'node' AS kind, id FROM v UNION ALL SELECT 'edge', ord FROM te WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
+def graph_restrict_view(spark, sf):
+    """The graph of all articles of two whole sources, however many they are."""
+    nodes = i.terms(spark, sf)
+    a = i.articles(spark, sf, ["src1", "src2"])
+    n, e = graph.restrict(graph.article_entities(a, graph.terms_of(nodes)), nodes, i.term_edges(nodes))
+    return n.select(F.lit("node").alias("kind"), "id").unionByName(e.select(F.lit("edge").alias("kind"), F.col("ord").alias("id")))
+
+
 @query(
     f"""WITH {_ENT}, {_TG}, {_SEL}, nb AS (SELECT dst AS id FROM te WHERE src IN (SELECT id FROM si) UNION SELECT src FROM te WHERE dst IN (SELECT id FROM si)), nn AS (SELECT id FROM nb WHERE id NOT IN (SELECT id FROM si)),
 x AS (SELECT name FROM f WHERE id IN (SELECT id FROM nn) AND name NOT IN (SELECT name FROM sel) GROUP BY name HAVING count(*) >= 2 ORDER BY count(*) DESC, name LIMIT 1)

@@ -62,8 +62,10 @@ def term_edges(nodes: DataFrame) -> DataFrame:
     return both.select("src", "e.rel", "e.dst").filter(F.col("dst") <= n).withColumn("ord", F.col("src") * 10 + F.when(F.col("rel") == "USES", 1).otherwise(2))
 
 
-def articles(spark, sf_dir) -> DataFrame:
-    return documents(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("content"), "doc_id")
+def articles(spark, sf_dir, sources: list[str] | None = None) -> DataFrame:
+    """All articles, or all of some sources."""
+    d = documents(spark, sf_dir)
+    return (d if sources is None else d.filter(F.col("source").isin(sources))).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("content"), "doc_id")
 
 
 def graph_nodes(spark, sf_dir) -> DataFrame:

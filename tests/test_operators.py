@@ -85,6 +85,22 @@ def test_graph_context(spark, monkeypatch):
     assert block == "## Wissensgraph\n\n### Entitäten\n- **A** (T): x\n\n### Beziehungen\n- A nutzt B" and graph.context_block([], []) == ""
 
 
+def test_restricted_graph_holds_all_articles_of_a_view(spark, tmp_path):
+    """Against brute force: terms that only later articles of the view mention are in the graph, those of other sources are not."""
+    from quern.plans import catalog
+
+    words = ["alpha", "beta", "delta", "gamma", "kappa", "omega", "sigma", "theta", "zeta"]
+    texts = [(d, "src" + str(d % 4), f"Text of {words[d % len(words)].upper()} and more") for d in range(1, 8)] + [(d, "src2", "nothing") for d in range(20, 30)] + [(30, "src1", "sigma"), (31, "src0", "zeta")]
+    spark.createDataFrame([(d, t, "en", s, len(t)) for d, s, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, f"{w} asks") for k, w in enumerate(words)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {k for k, w in enumerate(words, 1) if any(w in t.lower() for _, s, t in texts if s in ("src1", "src2"))}
+    edges = {a * 10 + mark for a in seen for step, mark in ((1, 1), (7, 2)) if a + step in seen}
+    got = [tuple(r) for r in catalog.queries()["graph_restrict_view"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted([("node", k) for k in seen] + [("edge", k) for k in edges])
+    few = {r["id"] for r in catalog.queries()["graph_restrict"](spark, str(tmp_path)).collect() if r["kind"] == "node"}
+    assert seen - few
+
+
 def test_answer(spark):
     articles = spark.createDataFrame([("a.md", "Alpha und Beta"), ("b.md", "gamma DELTA"), ("_index.md", "x")], "name string, content string")
     nodes = nodes_of(spark, [(1, "T", "Alpha", [], {"description": "erste"}), (2, "T", "Beta", [], {}), (3, "T", "Gamma", [], {}), (4, "T", "Delta", [], {})])
