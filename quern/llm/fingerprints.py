@@ -22,8 +22,6 @@ from quern.llm._bytes import joined, mix, schema, slices, texts
 
 #: Names kept of each level from 1 on; phrases of level k have about 3**k bytes.
 KEPT = (8, 16, 32)
-#: Names of the first level serve short texts only: those with fewer names than this on the second.
-SHORT = 12
 #: A level speaks for two texts when each has at least so many names on it.
 ENOUGH = 6
 
@@ -120,13 +118,13 @@ def fingerprints(rows: list[bytes]) -> list[str]:
         names, starts = next_level(names, starts)
         levels.append(((names >> _U(32)).astype(np.uint32) * np.uint32(0x9E3779B1), starts.tolist()))
     for j, i in enumerate(full):
-        least = [_least(x[at[j] : at[j + 1]], k) if level or levels[1][1][j + 1] - levels[1][1][j] < SHORT else x[:0] for level, ((x, at), k) in enumerate(zip(levels, KEPT, strict=True))]
+        least = [_least(x[at[j] : at[j + 1]], k) for (x, at), k in zip(levels, KEPT, strict=True)]
         out[i] = ".".join(x.astype(">u4").tobytes().hex() for x in least)
     return out
 
 
 def likeness(a: str, b: str) -> float:
-    """0 to 1: the share of common names, on the highest level that both have enough names of; 1 for equal fingerprints."""
+    """0 to 1: the share of common names, on the highest level that both have enough names of, else on the first; 1 for equal fingerprints."""
     if a == b:
         return 1.0
     if not a or not b:

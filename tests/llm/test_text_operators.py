@@ -232,6 +232,14 @@ def test_fingerprints_do_not_depend_on_the_batch():
     assert fingerprints.fingerprints(rows) == [fingerprints.fingerprints([r])[0] for r in rows]
 
 
+def test_repetitive_and_short_texts_are_alike():
+    """Texts with few names on the higher levels are compared on the first, which every fingerprint holds."""
+    alike = lambda a, b: fingerprints.likeness(*fingerprints.fingerprints([a.encode(), b.encode()]))
+    assert alike("Enatre " * 600, "Enatre " * 300 + "Thhand " * 300) > 0.3
+    assert alike("a few words of a short text", "a few words of a short text " + "and more words that go on " * 20) > 0.1
+    assert all(all(f.split(".")) for f in fingerprints.fingerprints([b"a", b"Enatre " * 600, b"word " * 5, bytes(range(32, 127)) * 9]))
+
+
 @pytest.mark.parametrize("cells", [3, 8192])
 def test_edited_texts_follow_the_order_of_ids(spark, monkeypatch, cells):
     original = fingerprints.in_order
