@@ -109,20 +109,20 @@ def scan(text: bytes, searcher: WuManber, items: dict[bytes, list[str]]) -> tupl
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
     """The items in blocks of a checked size: one block as a rule, more when the benchmark is large."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).filter("item_id is not null and text is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).filter("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
     if n == 1:
         return [items]
     n *= 2  # room for uneven blocks
-    return [items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) for k in range(n)]
+    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
 def _tables(rows: list, width: int) -> tuple[WuManber, dict[bytes, list[str]]]:
     owners: dict[bytes, set[str]] = defaultdict(set)
     for r in rows:
         for p in windows_of(r["text"].encode(), width):
-            owners[p].add(r["item_id"])
+            owners[p].update([] if r["item_id"] is None else [r["item_id"]])
     return WuManber(list(owners)), {p: sorted(v) for p, v in owners.items()}
 
 
@@ -178,7 +178,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_c
 
     One row per document row: ``doc_id, n_words``, ``hit`` (ranges of word numbers, end exclusive) and
     ``items`` (sorted ids of items with occurring windows). A null text has no words, a null
-    item text no windows, items without words match nothing, repeated rows are handled one by one;
+    item text no windows, an item without id has windows (they count as hits) but is not in ``items``, items without words match nothing, repeated rows are handled one by one;
     other columns are ignored. A benchmark beyond ``BLOCK_BYTES`` is searched block by block and the
     blocks' hits are united per document.
     """

@@ -62,6 +62,17 @@ def test_decontamination_equals_brute_force(spark, monkeypatch, block):
     assert {r["doc_id"] for r in decontamination.clean(docs, bench).collect()} == {d for d, v in want.items() if not v[4]}
 
 
+@pytest.mark.parametrize("block", [None, 10])
+def test_items_without_id_contaminate(spark, monkeypatch, block):
+    if block:
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    bench = spark.createDataFrame([(None, "a passage of no item"), (7, "other words"), (None, None)], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "A passage of no item."), (2, "clean"), (3, "other words and a passage of no item")], "doc_id bigint, text string")
+    out = by_id(decontamination.contamination(docs, bench))
+    assert {d: (r["n_hit"], r["n_items"], r["contaminated"]) for d, r in out.items()} == {1: (5, 0, True), 2: (0, 0, False), 3: (7, 1, True)}
+    assert [r["doc_id"] for r in decontamination.clean(docs, bench).collect()] == [2]
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "word")], "item_id bigint, text string")
     rows = decontamination.contamination(odd, bench).collect()
