@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import urls
+from quern.operators.ranking import numbered_within
 
 MOST, DEPTH = 5000, 3
 
@@ -31,7 +32,10 @@ def parse(xml: str | bytes | None) -> tuple[str, list[str]]:
 
 
 def locations(files: DataFrame, most: int = MOST) -> DataFrame:
-    """(domain, url, ord) of ``files(domain, xml)``: locations on the file's own host, cleaned, each once, ``most`` per host."""
+    """(domain, url, ord) of ``files(domain, xml)``: locations on the file's own host, cleaned, each once, ``most`` per host.
+
+    The cap counts the addresses kept, lowest ``ord`` first; of equal ones (from several files of a host) any may be the last.
+    """
 
     def run(frames):
         for frame in frames:
@@ -40,7 +44,7 @@ def locations(files: DataFrame, most: int = MOST) -> DataFrame:
 
     raw = files.select("domain", "xml").mapInPandas(run, "domain string, url string, ord bigint").filter(urls.authority(F.col("url")) == F.col("domain"))
     once = raw.groupBy("domain", urls.clean_link(F.col("url")).alias("url")).agg(F.min("ord").alias("ord"))
-    return once.filter(F.col("ord") < most)
+    return numbered_within(once, "domain", "ord", "_place").filter(F.col("_place") <= most).drop("_place")
 
 
 def discover(start: str, fetch: Callable[[str], bytes | None], explicit: str | None = None, most: int = MOST, depth: int = DEPTH) -> list[str]:

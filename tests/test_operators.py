@@ -282,6 +282,13 @@ def test_files(spark, tmp_path):
         files.load_json(str(tmp_path / "bad.json"), {}, strict=True)
 
 
+def test_sitemap_cap_counts_kept_addresses(spark):
+    locs = ["https://y.de/b"] * 6 + ["https://x.de/a", "https://x.de/a/", "https://x.de/c", "https://x.de/d", "https://x.de/e"]
+    xml = "<urlset>" + "".join(f"<url><loc>{u}</loc></url>" for u in locs) + "</urlset>"
+    got = sitemap.locations(spark.createDataFrame([("x.de", xml)], "domain string, xml string"), most=3).orderBy("ord").collect()
+    assert [(r["url"], r["ord"]) for r in got] == [("https://x.de/a", 6), ("https://x.de/c", 8), ("https://x.de/d", 9)]
+
+
 def test_robots_and_sitemaps():
     text = "User-agent: *\n\nDisallow: /private\nSITEMAP: https://x.de/s.xml\n"
     ok = robots.allowed(text, "me")
