@@ -50,17 +50,45 @@ def test_query_equals_sql(spark, name):
     assert key(got) == key(want) and want
 
 
-def test_library_stands_alone(tmp_path):
-    """Without the optional subpackage and the pipeline the entry module still imports and lists the rest."""
+def _without_the_subpackage(to: Path, also: bool) -> dict[str, str]:
     import shutil
 
-    shutil.copytree(ROOT / "quern", tmp_path / "quern", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    skip = shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", *(["corpus_pipeline.py"] if also else []))
+    shutil.copytree(ROOT, to, ignore=skip)
+    shutil.rmtree(to / "quern" / "llm")
+    shutil.rmtree(to / "tests" / "llm")
+    return {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(to)}
+
+
+@pytest.mark.parametrize("also", [False, True])
+@pytest.mark.parametrize("left", [False, True])
+def test_library_stands_alone(tmp_path, also, left):
+    """Without the optional subpackage, with or without the pipeline's file, the entry module still imports and lists the rest."""
+    env = _without_the_subpackage(tmp_path / "r", also)
+    if left:  # what an earlier import leaves behind
+        (tmp_path / "r" / "quern" / "llm" / "__pycache__").mkdir(parents=True)
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q); print(len(q))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env=env)
     assert out.returncode == 0, out.stderr
 
 
+def test_other_tests_stand_alone(tmp_path):
+    """The other tests are collected without the optional subpackage."""
+    env = _without_the_subpackage(tmp_path / "r", True)
+    out = subprocess.run([sys.executable, "-m", "pytest", "--collect-only", "-q", "tests"], cwd=tmp_path / "r", capture_output=True, text=True, env=env)
+    assert out.returncode == 0, out.stdout + out.stderr
+
+
+def test_errors_of_the_subpackage_are_not_hidden(tmp_path):
+    """A library that the subpackage needs and does not find is an error, not an absence."""
+    env = _without_the_subpackage(tmp_path / "r", True)
+    (tmp_path / "r" / "quern" / "llm").mkdir()
+    (tmp_path / "r" / "quern" / "llm" / "__init__.py").write_text("")
+    (tmp_path / "r" / "quern" / "llm" / "queries.py").write_text("import a_library_that_is_not_there")
+    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path / "r", capture_output=True, text=True, env=env)
+    assert out.returncode and "a_library_that_is_not_there" in out.stderr
+
+
 def test_nothing_else_imports_the_subpackage():
     for f in (ROOT / "quern").rglob("*.py"):
         if "llm" not in f.relative_to(ROOT).parts:
