@@ -243,6 +243,92 @@ def test_fingerprints_do_not_depend_on_the_batch():
     assert fingerprints.fingerprints(rows) == [fingerprints.fingerprints([r])[0] for r in rows]
 
 
+_M64 = (1 << 64) - 1
+
+
+def _mix(x):
+    for a, b in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = ((x ^ x >> a) * b) & _M64
+    return x ^ x >> 31
+
+
+def plain_parse(text):
+    """All levels of phrase names of one text, symbol by symbol."""
+    odd, power = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+    toss = lambda a, b: (lambda low: 2 * (low.bit_length() - 1) + bool(a & low) if low else 0)((a ^ b) & -(a ^ b))
+    x, levels = [_mix(b + 1) for b in text], []
+    while not levels or len(x) > 1:
+        runs = []
+        for s in x:
+            if runs and runs[-1][0] == s:
+                runs[-1][1] += 1
+            else:
+                runs.append([s, 1])
+        x = [s if n == 1 else _mix((s + n * odd) & _M64) for s, n in runs]
+        label = [toss(a, b) for a, b in zip(x, [0, *x], strict=False)]
+        for _ in range(2):
+            label = [toss(a, b) for a, b in zip(label, [255, *label], strict=False)]
+        cut = [i for i in range(len(x)) if i == 0 or (i > 1 and label[i] > label[i - 1] and label[i] > (label[i + 1] if i + 1 < len(x) else 0))]
+        phrases = [x[a:b] for a, b in zip(cut, [*cut[1:], len(x)], strict=True)]
+        x = [_mix((sum(s * pow(power, i, 1 << 64) for i, s in enumerate(p)) + len(p)) & _M64) for p in phrases]
+        levels.append(x)
+    return levels
+
+
+def test_fingerprints_equal_a_plain_parser(monkeypatch):
+    rng = random.Random(12)
+    texts = [bytes(rng.choice(rng.choice([b"ab", b"abcdefgh ", b"a", bytes(range(256))])) for _ in range(rng.randint(1, 300))) for _ in range(150)] + [b"abab" * 60, b"x" * 200, b"word " * 80]
+    short = lambda x: ((x >> 32) * 0x9E3779B1) & 0xFFFFFFFF
+    want = [".".join("".join(f"{v:08x}" for v in sorted({short(n) for n in names})[: (8, 16, 32)[min(k, 2)]]) for k, names in enumerate(plain_parse(t))) for t in texts]
+    assert fingerprints.fingerprints(texts) == want
+    for chunk in (1, 5, 64, 1000):  # long texts, chunk by chunk
+        monkeypatch.setattr(fingerprints, "CHUNK", chunk)
+        assert fingerprints.fingerprints(texts) == want
+
+
+def test_likeness_equals_sets():
+    rng = random.Random(13)
+    names = lambda: sorted(rng.sample(range(40), rng.randint(1, 40)))
+    for _ in range(500):
+        a, b = ([names()[:k] for k in (8, 16, 32, 32)][: rng.randint(1, 4)] for _ in range(2))
+        share = lambda k: len(set(a[k]) & set(b[k]) & set(sorted({*a[k], *b[k]})[: (8, 16, 32, 32)[k]])) / len(sorted({*a[k], *b[k]})[: (8, 16, 32, 32)[k]])  # noqa: E731, B023
+        n = min(len(a), len(b))
+        levels = list(range(2, n))
+        if n < 3 or min(len(a[2]), len(b[2])) < 6:
+            levels.append(max([k for k in range(min(n, 2)) if min(len(a[k]), len(b[k])) >= 6], default=0))
+        text = [".".join("".join(f"{v:08x}" for v in x) for x in y) for y in (a, b)]
+        assert fingerprints.likeness(*text) == (1.0 if a == b else max(map(share, levels)))
+
+
+def test_memory_does_not_grow_with_a_text():
+    import tracemalloc
+
+    rng = random.Random(14)
+    text = bytes(rng.choices(b"abcdefgh  etaoin", k=4_000_000))
+    tracemalloc.start()
+    fingerprints.fingerprints([text])
+    fingerprints.fingerprints([text[i : i + 2000] for i in range(0, len(text), 2000)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+
+
+def test_one_id_far_away_does_not_unbalance_the_ranges(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text").union(spark.sql("SELECT 1000000000000000L, 't'"))
+    sizes = [r["count"] for r in fingerprints.in_order(df, 16).filter(~F.col("guest")).groupBy("bucket").count().collect()]
+    assert sum(sizes) == 20_001 and len(sizes) >= 15 and max(sizes) <= 2 * 20_001 / 16
+
+
+def test_very_many_empty_texts(spark):
+    df = spark.range(100_000).selectExpr("id AS doc_id", "CASE WHEN id % 1000 = 0 THEN repeat('long text ', 3000) WHEN id % 2 = 0 THEN '' END AS text")
+    out = fingerprints.edited_fingerprints(df)
+    assert out.count() == 100_000
+    r = by_id(out.filter("doc_id IN (0, 1, 1000, 99999)"))
+    assert r[1]["fingerprint"] == "" and r[0]["fingerprint"] == r[1000]["fingerprint"] != ""
+
+
 def test_repetitive_and_short_texts_are_alike():
     """Texts with few names on the higher levels are compared on the first, which every fingerprint holds."""
     alike = lambda a, b: fingerprints.likeness(*fingerprints.fingerprints([a.encode(), b.encode()]))
@@ -251,10 +337,10 @@ def test_repetitive_and_short_texts_are_alike():
     assert all(all(f.split(".")) for f in fingerprints.fingerprints([b"a", b"Enatre " * 600, b"word " * 5, bytes(range(32, 127)) * 9]))
 
 
-@pytest.mark.parametrize("cells", [3, 8192])
-def test_edited_texts_follow_the_order_of_ids(spark, monkeypatch, cells):
+@pytest.mark.parametrize("parts", [1, 3, 500])
+def test_edited_texts_follow_the_order_of_ids(spark, monkeypatch, parts):
     original = fingerprints.in_order
-    monkeypatch.setattr(fingerprints, "in_order", lambda docs: original(docs, cells))
+    monkeypatch.setattr(fingerprints, "in_order", lambda docs: original(docs, parts))
     rng = random.Random(6)
     rows = [(d, "".join(rng.choice("abc é") for _ in range(rng.randint(0, 50)))) for d in rng.sample(range(-500, 3000), 120)] + [(5000, None), (10**12, "far away")]
     out = by_id(fingerprints.edited_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")))
