@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from quern.state import cut, forget
 
 
-def _starred(edges: DataFrame, centre: str, leaf: str) -> DataFrame:
-    """Edges (u, v) with the least neighbour m of u, itself included.
+def _starred(edges: DataFrame, centre: str, leaf: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (u, v) with the least neighbour m of u, itself included; and the table of the minima.
 
     The minima are written before the join, so that both sides are plain and a node with very many
     neighbours can be split over tasks.
     """
     pairs = edges.select(F.col(centre).alias("u"), F.col(leaf).alias("v"))
     least = cut(pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-    return pairs.join(least, "u")
+    return pairs.join(least, "u"), least
 
 
 def _is_forest(e: DataFrame) -> bool:
@@ -34,10 +34,12 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct(), "edges")
     while not _is_forest(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = cut(_starred(both, "a", "b").filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
-        near = _starred(large, "a", "b")
+        far, minima = _starred(both, "a", "b")
+        large = cut(far.filter("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        forget(minima)
+        near, minima = _starred(large, "a", "b")
         small = near.filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(near.select(F.col("u").alias("a"), F.col("m").alias("b")))
         was, e = e, cut(small.distinct(), "small")
-        forget(was)
-        forget(large)
+        for spent in (was, large, minima):
+            forget(spent)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -13,16 +13,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and executors are one process."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir`` where it is set, else one made for this session.
 
-    Only a session without that setting (tests, local mode) gets a temporary folder.
+    Only a local session without that setting (tests) gets a temporary folder; on a cluster, whose machines would not share it, that is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not sc.getCheckpointDir():
+        if not is_local(sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quern-"))
     return sc.getCheckpointDir().rstrip("/")
 

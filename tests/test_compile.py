@@ -113,3 +113,10 @@ def test_provider():
 
     with pytest.raises(OSError):
         list(retrying_stream(torn, sleep=waits.append)())
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from quern.state import is_local
+
+    assert is_local("local") and is_local("local[8]") and is_local("local[*, 3]")
+    assert not any(map(is_local, ("local-cluster[3,2,3000]", "spark://h:7077", "yarn", "k8s://https://h")))
