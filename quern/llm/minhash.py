@@ -1,6 +1,6 @@
 """MinHash near-duplicates: universal hash minima, banding, verified links, connected components.
 
-Texts with equal shingle sets count as one (their set is represented by its smallest doc_id). Banded
+Texts with equal shingle sets count as one: a set is named by 128 bits of it and numbered, whatever doc_ids have it. Banded
 minima propose candidates; compact signatures discard hopeless ones; every link is confirmed on full sets. First
 each set is compared with the set it shares most bands with among the least of its bands, then with the most typical
 sets of its bands. Sets that share a band but whose links do not lead to one set yet are
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._bytes import RangeHash, class_table, joined, mix, schema, slices, texts, words
 from quern.operators.components import components
-from quern.state import cut
+from quern.state import cut, forget
 
 HASHES = 144
 #: Chance that a pair exactly at the threshold shares no band.
@@ -91,47 +91,57 @@ def signatures(sets: np.ndarray, offsets: np.ndarray, rows: int, bands: int) ->
     return key.T.copy(), (minima & np.uint32(0xFFFF)).astype(np.uint16).T.copy()
 
 
+def set_names(sets: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that name each set, as two columns; zero for an empty one."""
+    h1, h2 = (np.zeros(len(offsets) - 1, np.uint64) for _ in range(2))
+    full = np.flatnonzero(np.diff(offsets))
+    if len(full):
+        h1[full] = np.add.reduceat(sets, offsets[full])
+        h2[full] = np.add.reduceat(mix(sets ^ _K[7]), offsets[full])
+    return h1.view(np.int64), h2.view(np.int64)
+
+
 def _prepared(docs: DataFrame, width: int, rows: int, bands: int) -> DataFrame:
-    """doc_id, n, h1, h2 (128 bits that name the set), keys (of bands), sig."""
+    """doc_id, th (hash of the text), n, h1, h2 (the name of the set), keys (of bands), sig."""
 
     def run(batches):
         for batch in slices(batches, most=1 << 20):
             sets, offsets = shingle_sets(texts(batch), width)
             n = np.diff(offsets)
             full = np.flatnonzero(n)
-            h1, h2 = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+            h1, h2 = set_names(sets, offsets)
             keys: list = [None] * len(n)
             sigs: list = [None] * len(n)
             if len(full):
-                own = np.append(offsets[full], offsets[-1])
-                h1[full] = np.add.reduceat(sets, own[:-1])
-                h2[full] = np.add.reduceat(mix(sets ^ _K[7]), own[:-1])
-                key, sig = signatures(sets, own, rows, bands)
+                key, sig = signatures(sets, np.append(offsets[full], offsets[-1]), rows, bands)
                 key = key.view(np.int64)
                 for k, i in enumerate(full.tolist()):
                     keys[i], sigs[i] = key[k], sig[k].tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "n", "h1", "h2", "keys", "sig"]
+                [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h1), pa.array(h2), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], ["doc_id", "th", "n", "h1", "h2", "keys", "sig"]
             )
 
-    return docs.mapInArrow(run, schema(docs, ["doc_id"], "n bigint, h1 bigint, h2 bigint, keys array<bigint>, sig binary"))
+    return docs.mapInArrow(run, schema(docs, ["doc_id", "th"], "n bigint, h1 bigint, h2 bigint, keys array<bigint>, sig binary"))
 
 
 def _set_table(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """rep, hashes: the full sets of the wanted documents."""
+    """set_id, hashes: the full sets of ``wanted`` (set_id, rep, rep_th, h1, h2), each from the text that stands for it."""
 
     def run(batches):
         for batch in slices(batches, most=1 << 20):
             sets, offsets = shingle_sets(texts(batch), width)
+            h1, h2 = set_names(sets, offsets)
+            # two texts of one doc_id and one hash are told apart by their sets
+            same = (h1 == np.asarray(batch.column(1))) & (h2 == np.asarray(batch.column(2)))
             hashes = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(sets.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), hashes], ["rep", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes], ["set_id", "hashes"]).filter(pa.array(same))
 
-    chosen = docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").select("doc_id", "text")
-    return chosen.mapInArrow(run, "rep bigint, hashes array<bigint>").dropDuplicates(["rep"])
+    chosen = docs.join(wanted, (docs["doc_id"] == wanted["rep"]) & (docs["th"] == wanted["rep_th"])).select("set_id", "h1", "h2", "text")
+    return chosen.mapInArrow(run, "set_id bigint, hashes array<bigint>").dropDuplicates(["set_id"])
 
 
 def _beside(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-    one, two = (table.select(F.col("rep").alias(k), F.col(value).alias(f"{k}_{value}")) for k in ("u", "v"))
+    one, two = (table.select(F.col("set_id").alias(k), F.col(value).alias(f"{k}_{value}")) for k in ("u", "v"))
     return pairs.join(one, "u").join(two, "v").select("u", "v", f"u_{value}", f"v_{value}")
 
 
@@ -169,40 +179,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _beside(pairs, sets, "hashes").mapInArrow(run, "u bigint, v bigint")
 
 
-def _ranked(some: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """rep, n, c, share (of shingles no other of these sets has), prefix: (place, token) of shared ones among the rarest.
+def _ranked(some: DataFrame, sets: DataFrame, percent: int, table=cut) -> DataFrame:
+    """set_id, n, c, share (of shingles no other of these sets has), prefix: (place, token) of shared ones among the rarest.
 
     Shingles are ordered by the number of sets that have them. A link needs percent / 100 of a set's shingles in common, so
     a common one lies among its first n - ceil(percent * n / 100) + 1, and a set with more of its own than that has no link.
     """
-    chosen = cut(some.join(sets, "rep"), "chosen")
-    tokens = chosen.select("rep", "n", "c", F.explode("hashes").alias("token"))
-    often = cut(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")
+    chosen = table(some.join(sets, "set_id"), "chosen")
+    tokens = chosen.select("set_id", "n", "c", F.explode("hashes").alias("token"))
+    often = table(tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"), "often")
     rare = tokens.join(often, "token", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     # as many shingles as a text has, no more
-    lists = rare.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.count_if(F.col("df") == 1).alias("own"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    lists = rare.groupBy("set_id").agg(F.first("n").alias("n"), F.first("c").alias("c"), F.count_if(F.col("df") == 1).alias("own"), F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     length = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100.0)).cast("bigint") + 1
     head = F.transform(F.slice("t", F.lit(1), length.cast("int")), lambda x, i: F.struct(i.cast("bigint").alias("place"), x["df"].alias("df"), x["token"].alias("token")))
     linkable = lists.filter((F.col("n") - F.col("own")) * 100 >= F.col("n") * percent)
-    return linkable.select("rep", "n", "c", (F.col("own") / F.col("n")).alias("share"), F.filter(head, lambda x: x["df"] > 1).alias("prefix"))
+    return linkable.select("set_id", "n", "c", (F.col("own") / F.col("n")).alias("share"), F.filter(head, lambda x: x["df"] > 1).alias("prefix"))
 
 
-def _within_bound(ranked: DataFrame, label2: DataFrame, percent: int) -> DataFrame:
+def _within_bound(ranked: DataFrame, label2: DataFrame, percent: int, table=cut) -> DataFrame:
     """Pairs (u, v) of different labels that share a shingle which leaves room for a link.
 
     From common shingles at places i and j on, at most min(n - i, m - j) are common; a link of sets of n and m takes
     percent * (n + m) / (100 + percent). Of each shingle only sets outside its most frequent label are looked up among
     all its sets.
     """
-    named = ranked.join(label2, ranked["rep"] == label2["u"], "left").select("rep", "n", F.coalesce("v", "c").alias("c"), F.inline("prefix")).drop("df")
-    named = cut(named, "prefixes")
+    named = ranked.join(label2, ranked["set_id"] == label2["u"], "left").select("set_id", "n", F.coalesce("v", "c").alias("c"), F.inline("prefix")).drop("df")
+    named = table(named, "prefixes")
     of = named.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("major"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = cut(named.join(cut(of.select("token", "major"), "majors"), "token"), "mixed")
+    mixed = table(named.join(table(of.select("token", "major"), "majors"), "token"), "mixed")
     one = mixed.filter("c <> major").drop("major")
-    two = mixed.select("token", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"))
+    two = mixed.select("token", F.col("set_id").alias("set2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"))
     room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
     found = one.join(two, "token").filter("c <> c2").filter(room)
-    return found.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")).distinct()
+    return found.select(F.least("set_id", "set2").alias("u"), F.greatest("set_id", "set2").alias("v")).distinct()
 
 
 #: Rows of an Arrow batch: a pair of full sets has some ten kilobytes, of long texts far more.
@@ -228,74 +238,130 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     or its whole sequence as one when it is shorter. Links: 100 * intersection >= ``percent`` * union. component_id is the
     smallest doc_id reachable, kept says that the row has it. Null, empty and blank texts have an empty set and stay alone. A row
     without doc_id cannot be named by a group: it stays alone with a null component_id and is kept. Rows that repeat
-    a doc_id get one result each, and are linked by that id. Ties and other columns have no influence; an empty table gives no rows.
+    a doc_id get one result each; those with words are linked by that id, whatever their texts: each of their texts links what is
+    near it. Ties and other columns have no influence; an empty table gives no rows.
     """
     # every job with Python in it runs before this returns: the result only joins written tables
     with _small_batches(docs.sparkSession):
-        return _grouped(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")), width, percent)
+        members, sets, links = _linked(_plain(docs, id_col, text_col), width, percent)
+    several = cut(members.filter("set_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("doc_id", "lo"), "several")
+    by_id = members.join(several, "doc_id").filter("set_id <> lo").select(F.col("lo").alias("u"), F.col("set_id").alias("v")).distinct()
+    whole = components(links.unionByName(by_id))
+    least = cut(whole.join(sets, whole["node"] == sets["set_id"]).groupBy("component").agg(F.min("rep").alias("component_id")), "least_ids")
+    of_whole = whole.join(least, "component").select(F.col("node").alias("set_id"), "component_id")
+    of_set = cut(sets.select("set_id", "rep").join(of_whole, "set_id", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id")), "of_set")
+    for table in (several, links, least, whole, sets):
+        forget(table)
+    grouped = members.filter("set_id is not null").join(of_set, "set_id").select("doc_id", "n", "component_id")
+    alone = members.filter("set_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = grouped.unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
 
+def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+
+
+def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three written tables: the rows, the sets, and links between sets that connect all that similarity connects.
+
+    members: doc_id, th, n, set_id (null for an empty set or a null doc_id). sets: set_id, rep (the least doc_id that has the set), rep_th (the
+    text of it that stands for the set). links: u, v. All other tables are deleted.
+    """
+    spent: list[DataFrame] = []
+
+    def table(df: DataFrame, name: str) -> DataFrame:
+        spent.append(cut(df, name))
+        return spent[-1]
 
-def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     rows, bands = banding(percent / 100)
     every = cut(_prepared(docs, width, rows, bands), "prepared")
     named = every.filter("n > 0 and doc_id is not null")
-    classes = cut(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
-    sig = cut(named.join(classes.select("rep"), named["doc_id"] == classes["rep"], "left_semi").select(F.col("doc_id").alias("rep"), "n", "keys", "sig").dropDuplicates(["rep"]), "reps")
-    in_bands = sig.select("rep", "n", F.explode("keys").alias("band"))
-    ends = cut(in_bands.groupBy("band").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "lo"), "bands")
-    shared = cut(in_bands.join(ends, "band"), "shared")
-    sets = cut(_set_table(docs, shared.select("rep").distinct(), width), "sets")
+    # numbers are given once, when the table is written
+    classes = table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).withColumn("set_id", F.monotonically_increasing_id()), "classes")
+    known = named.select("doc_id", "th", "n", "h1", "h2").join(classes.drop("rep"), ["h1", "h2"]).select("doc_id", "th", "n", "set_id")
+    unnamed = every.filter("n = 0 or doc_id is null").select("doc_id", "th", "n", F.lit(None).cast("bigint").alias("set_id"))
+    members = cut(known.unionByName(unnamed), "members")
+    first_rows = named.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "h1", "h2"]).dropDuplicates(["rep", "h1", "h2"])
+    sig = table(first_rows.select("set_id", "rep", F.col("th").alias("rep_th"), "n", "h1", "h2", "keys", "sig"), "sigs")
+    forget(every)
+    in_bands = sig.select("set_id", "n", F.explode("keys").alias("band"))
+    ends = table(in_bands.groupBy("band").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("band", "lo"), "bands")
+    shared = table(in_bands.join(ends, "band"), "shared")
+    wanted = sig.select("set_id", "rep", "rep_th", "h1", "h2").join(shared.select("set_id").distinct(), "set_id", "left_semi")
+    sets = table(_set_table(docs, wanted, width), "sets")
 
     # first: of the least sets of its bands, the one most bands name
-    hubs = shared.filter("rep <> lo").groupBy("rep", F.col("lo").alias("hub")).count()
-    first = cut(hubs.groupBy("rep").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("rep").alias("u"), (-F.col("best.hub")).alias("v")), "first")
-    links = cut(_verified(_likely(first, sig, percent, rows * bands), sets, percent), "links")
+    hubs = shared.filter("set_id <> lo").groupBy("set_id", F.col("lo").alias("hub")).count()
+    first = hubs.groupBy("set_id").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("set_id").alias("u"), (-F.col("best.hub")).alias("v"))
+    first = table(_likely(table(first, "first"), sig, percent, rows * bands), "likely")
+    links = table(_verified(first, sets, percent), "links")
     # where a set's links lead in two steps; any label that only linked sets share would do
     onward = links.select(F.col("u").alias("v"), F.col("v").alias("w"))
-    label = cut(links.join(onward, "v", "left").select(F.col("u").alias("rep"), F.coalesce("w", "v").alias("c")), "label")
+    label = table(links.join(onward, "v", "left").select(F.col("u").alias("set_id"), F.coalesce("w", "v").alias("c")), "label")
 
     # then: sets that share a band with a set of another label, and how frequent their shingles are among them
-    apart = cut(shared.select("band", "rep", "n").join(label, "rep", "left").withColumn("c", F.coalesce("c", "rep")), "apart")
-    mixed = cut(apart.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("band"), "mixed")
-    left = cut(apart.join(mixed, "band"), "left")
-    ranked = cut(_ranked(left.select("rep", "n", "c").distinct(), sets, percent), "ranked")
+    apart = table(shared.select("band", "set_id", "n").join(label, "set_id", "left").withColumn("c", F.coalesce("c", "set_id")), "apart")
+    mixed = table(apart.groupBy("band").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("band"), "mixed")
+    left = table(apart.join(mixed, "band"), "left")
+    ranked = table(_ranked(left.select("set_id", "n", "c").distinct(), sets, percent, table), "ranked")
 
     # the most typical set of a band is the one with the smallest share of shingles of its own
-    typical = left.select("band", "rep").join(ranked.select("rep", "c", "share"), "rep")
-    heads = cut(typical.groupBy("band").agg(F.min(F.struct("share", F.col("rep").alias("hub"), F.col("c").alias("hub_c"))).alias("h")).select("band", "h.hub", "h.hub_c", F.col("h.share").alias("hub_share")), "heads")
-    to_heads = typical.join(heads, "band").filter("c <> hub_c").groupBy("rep", "hub").agg(F.min("hub_share").alias("hub_share"))
+    typical = left.select("band", "set_id").join(ranked.select("set_id", "c", "share"), "set_id")
+    heads = table(typical.groupBy("band").agg(F.min(F.struct("share", F.col("set_id").alias("hub"), F.col("c").alias("hub_c"))).alias("h")).select("band", "h.hub", "h.hub_c", F.col("h.share").alias("hub_share")), "heads")
+    to_heads = typical.join(heads, "band").filter("c <> hub_c").groupBy("set_id", "hub").agg(F.min("hub_share").alias("hub_share"))
     best = F.slice(F.array_sort(F.collect_list(F.struct("hub_share", "hub"))), 1, 2)  # at most one entry per band
-    second = cut(to_heads.groupBy("rep").agg(best.alias("best")).select(F.col("rep").alias("u"), F.explode("best.hub").alias("v")), "second")
-    links2 = cut(_verified(second, sets, percent), "links2")
+    second = table(to_heads.groupBy("set_id").agg(best.alias("best")).select(F.col("set_id").alias("u"), F.explode("best.hub").alias("v")), "second")
+    links2 = table(_verified(second, sets, percent), "links2")
     label2 = links2.groupBy("u").agg(F.min("v").alias("v"))
 
-    # last: whatever can still be linked by the bound on common shingles
+    # last: whatever can still be linked by the bound on common shingles; only pairs judged on full sets are done with
     tested = first.unionByName(second).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    pairs = _within_bound(ranked, label2, percent).join(tested, ["u", "v"], "left_anti")
-    more = _verified(cut(pairs, "pairs"), sets, percent)
-    whole = components(links.unionByName(links2).unionByName(more))
-
-    of_set = classes.join(whole, classes["rep"] == whole["node"], "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"))
-    of_set = cut(of_set, "of_set")
-    grouped = named.select("doc_id", "n", "h1", "h2").join(of_set, ["h1", "h2"]).select("doc_id", "n", "component_id")
-    alone = every.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    out = grouped.unionByName(alone)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    pairs = table(_within_bound(ranked, label2, percent, table).join(tested, ["u", "v"], "left_anti"), "pairs")
+    more = _verified(pairs, sets, percent)
+    found = cut(links.unionByName(links2).unionByName(more), "all_links")
+    of_sets = cut(sig.select("set_id", "rep", "rep_th"), "of_sets")
+    for t in spent:
+        forget(t)
+    return members, of_sets, found
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, all columns, less all but one of each group; rows that repeat a doc_id become one."""
-    found = near_duplicates(docs.select("doc_id", "text"), width, percent)
-    keep = found.filter("kept and doc_id is not null").select("doc_id").distinct()
-    twice = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    kept = docs.join(keep, "doc_id", "left_semi")
-    if twice:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    """The documents, all columns, less all but one of each group of near duplicates.
 
-
-def brute_force(rows: list[tuple[int, str | None]], width: int, percent: int) -> dict[int, tuple[int, int]]:
-    """doc_id -> (set size, smallest doc_id reachable), by comparing all pairs; for tests."""
+    A group is what similarity links, texts of one doc_id included; the one with the least doc_id stays. Different texts that repeat a doc_id
+    and are no near duplicates all stay. Of rows equal in doc_id and text one stays, the first by the JSON of its other
+    columns. Rows without words, null texts included, and rows without doc_id all stay. An empty table gives no rows.
+    """
+    with _small_batches(docs.sparkSession):
+        members, sets, links = _linked(_plain(docs, "doc_id", "text"), width, percent)
+    whole = components(links)
+    label = sets.join(whole, sets["set_id"] == whole["node"], "left").select("set_id", "rep", "rep_th", F.coalesce("component", "set_id").alias("component"))
+    one = label.groupBy("component").agg(F.min(F.struct("rep", "set_id", "rep_th")).alias("o")).select(F.col("o.rep").alias("_rep"), F.col("o.rep_th").alias("_th"))
+    empty = members.filter("n = 0 and doc_id is not null").select(F.col("doc_id").alias("_rep"), F.col("th").alias("_th")).distinct()
+    keep = cut(one.unionByName(empty), "keep")
+    twice = members.filter("set_id is not null").groupBy("doc_id", "th").count().filter("count > 1").limit(1).count()
+    for table in (members, sets, links, whole):
+        forget(table)
+    names = docs.columns
+    carry = [f"c{i}" for i in range(len(names))]
+    plain = docs.toDF(*carry)
+    key, text = (F.col(carry[names.index(c)]) for c in ("doc_id", "text"))
+    kept = plain.join(keep, (key.cast("bigint") == keep["_rep"]) & (F.xxhash64(text) == keep["_th"]), "left_semi")
+    if twice:
+        rest = [c for i, c in enumerate(carry) if i not in (names.index("doc_id"), names.index("text"))]
+        worded = F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+        kept = kept.withColumn("_n", F.when(worded, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
+        by = [carry[names.index("doc_id")], carry[names.index("text")], "_n"]
+        rows = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
+        kept = kept.groupBy(*by).agg(F.min_by(rows, F.to_json(rows)).alias("_o"))
+        kept = kept.select(*[F.col(c) if c in by else F.col("_o")[c].alias(c) for c in carry])
+    return kept.unionByName(plain.filter(key.isNull())).toDF(*names)
+
+
+def brute_force(rows: list[tuple[int, str | None]], width: int, percent: int) -> list[tuple[int, int]]:
+    """For each row (set size, smallest doc_id reachable), by comparing all pairs; for tests."""
     import re
 
     def shingles(t):
@@ -315,4 +381,4 @@ def brute_force(rows: list[tuple[int, str | None]], width: int, percent: int) ->
             if x and y and 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) and 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a), find(b)
                 parent[max(p, q)] = min(p, q)
-    return {d: (len(x), find(d)) for d, x in sets}
+    return [(len(x), find(d) if x else d) for d, x in sets]

@@ -31,9 +31,49 @@ def corpus(rng):
 @pytest.mark.parametrize(("seed", "width", "percent"), [(1, 3, 85), (2, 5, 80)])
 def test_groups_equal_brute_force(spark, seed, width, percent):
     rows = corpus(random.Random(seed))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width, percent).collect()}
-    assert got == minhash.brute_force(rows, width, percent)
-    assert len({c for _, c in got.values()}) < len(rows) - 10
+    got = grouped(spark, rows, width, percent)
+    assert got == wanted(rows, width, percent)
+    assert len({c for _, _, c in got}) < len(rows) - 10
+
+
+def grouped(spark, rows, width, percent):
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width, percent).collect()
+    return sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out)
+
+
+def wanted(rows, width, percent):
+    return sorted((d, n, c) for (d, _), (n, c) in zip(rows, minhash.brute_force(rows, width, percent), strict=True))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_groups_with_repeated_ids_equal_brute_force(spark, seed):
+    """Rows that share a doc_id and have different texts: every text links what is near it."""
+    rng = random.Random(seed)
+    rows = [(d // rng.choice([1, 10, 60]), t) for d, t in corpus(rng)]
+    assert len({d for d, _ in rows}) < len(rows) - 5
+    assert grouped(spark, rows, 3, 85) == wanted(rows, 3, 85)
+
+
+def test_both_texts_of_one_id_link(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(7, a), (7, b), (9, a + " more"), (11, b + " more"), (12, "none of this at all")]
+    assert {(d, c) for d, _, c in grouped(spark, rows, 3, 85)} == {(7, 7), (9, 7), (11, 7), (12, 12)}
+    df = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate([*rows, rows[0], (5, b)])], "doc_id bigint, text string, place int")
+    # both texts of 7 are of different groups; the copy of b under a lower id stands for its group
+    assert sorted((r["doc_id"], r["text"], r["place"]) for r in minhash.keep_one(df, 3, 85).collect()) == sorted([(7, a, 0), (5, b, 6), (12, rows[4][1], 4)])
+
+
+def test_tables_in_between_are_deleted(spark):
+    import os
+
+    from quern.state import shared_dir
+
+    top = shared_dir(spark).removeprefix("file:") + "/quern"
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    out = minhash.near_duplicates(spark.createDataFrame(corpus(random.Random(5)), "doc_id bigint, text string"), 3, 85)
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(top)) - before}
+    assert left <= {"members", "of_set"}, left
+    assert out.count() > 0
 
 
 def test_near_copies_just_below_the_threshold(spark):
@@ -46,9 +86,8 @@ def test_near_copies_just_below_the_threshold(spark):
         for k in rng.sample(range(150), rng.randint(1, 12)):
             w[k] = f"n{rng.randrange(3000)}"
         rows.append((d, " ".join(w)))
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
-    want = minhash.brute_force(rows, 3, 85)
-    assert got == want and 1 < len({c for _, c in want.values()}) < 160
+    want = wanted(rows, 3, 85)
+    assert grouped(spark, rows, 3, 85) == want and 1 < len({c for _, _, c in want}) < 160
 
 
 def test_near_duplicates_of_odd_rows(spark):
