@@ -48,21 +48,63 @@ class Chain:
 
     def _viterbi(self, sequences: list[list[list[int]]]) -> list[np.ndarray]:
         e, lengths = self.emissions(sequences)
+        path = self._best(e, lengths, self.first, self.last)
+        return [p[:m] for p, m in zip(path, lengths, strict=True)]
+
+    def certain_cuts(self, e: np.ndarray, at: np.ndarray):
+        """(labels, token numbers) of all tokens that need not have the first label on the best paths of many texts.
+
+        ``e`` [token, label] holds the scores of texts end to end, ``at`` where each begins and the number of tokens. A token whose
+        first label beats every other by more than the greatest gain from the transitions on both sides has that label on the best
+        path, whatever its neighbours have. Runs of other tokens, between two such or the ends of a text, are searched by
+        themselves, many of similar length at a time.
+        """
+        n, k = e.shape
+        # with another label instead, the two transitions around a token can gain so much at most
+        into, out = np.vstack([self.step, self.first]), np.hstack([self.step, self.last[:, None]])
+        gain = (into[:, 1:] - into[:, :1]).max(initial=-np.inf, axis=0) + (out[1:] - out[:1]).max(initial=-np.inf, axis=1)
+        open_ = (e[:, 1:] + gain >= e[:, :1]).any(axis=1)
+        where = np.flatnonzero(open_)
+        if not len(where):
+            return
+        head = np.zeros(n + 1, bool)
+        head[at] = True
+        new = np.append(True, (np.diff(where) > 1) | head[where[1:]])
+        begin = where[new]
+        length = np.diff(np.append(np.flatnonzero(new), len(where)))
+        order = np.argsort(length, kind="stable")
+        a = 0
+        while a < len(order):
+            longest, b = int(length[order[a]]) * 2 + 8, a
+            most = max(1, 400_000 // longest)
+            b = a + int(np.searchsorted(length[order[a : a + most]], longest, side="right"))
+            some = order[a:b]
+            size = length[some]
+            t = np.arange(int(size.max()))
+            inside = t[None, :] < size[:, None]
+            token = np.minimum(begin[some][:, None] + t[None, :], n - 1)
+            enter = np.where(head[begin[some]][:, None], self.first, self.step[0])
+            leave = np.where(head[begin[some] + size][:, None], self.last, self.step[:, 0])
+            path = self._best(e[token].astype(np.float64), size, enter, leave)
+            yield path[inside], token[inside]
+            a = b
+
+    def _best(self, e: np.ndarray, lengths: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> np.ndarray:
+        """Best label numbers [sequence, position]; scores for the first and the last label of each sequence are given."""
         n, t_max, k = e.shape
         back = np.zeros((t_max, n, k), np.int8)
-        v = e[:, 0] + self.first
+        v = e[:, 0] + enter
         for t in range(1, t_max):
             every = v[:, :, None] + self.step[None]
             back[t] = every.argmax(axis=1)
-            new = every.max(axis=1) + e[:, t]
-            v = np.where((t < lengths)[:, None], new, v)
+            v = np.where((t < lengths)[:, None], every.max(axis=1) + e[:, t], v)
         path = np.zeros((n, t_max), np.int8)
-        now = (v + self.last).argmax(axis=1)
+        now = (v + leave).argmax(axis=1)
         rows = np.arange(n)
         for t in range(t_max - 1, -1, -1):
             path[:, t] = now
             now = np.where((t > 0) & (t < lengths), back[t, rows, now], now)
-        return [p[:m] for p, m in zip(path, lengths, strict=True)]
+        return path
 
     def fit(self, sequences: list[list[list[int]]], gold: list[list[int]], ridge: float = 0.02, rounds: int = 150, rate: float = 0.5) -> Chain:
         """Maximum likelihood with a ridge, by scaled gradient steps (the scale of each weight follows its own past)."""

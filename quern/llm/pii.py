@@ -1,8 +1,12 @@
 """Personal data: fixed patterns, and a conditional random field for what no pattern describes.
 
-The patterns give the base spans. Around tokens with a digit, an at-sign or an equals sign the text is read as
-short sequences of tokens; a linear-chain conditional random field over word-shape features labels them. It is trained from
-the small table below and decoded in numpy batches. Its spans are added where they touch no base span.
+The patterns give the base spans. Every text, whole, is also a sequence of tokens (what ASCII white space separates), and a
+linear-chain conditional random field over word-shape features labels each of them. It is trained from the small table below and decoded by
+Viterbi in numpy batches. Its spans are added where they touch no base span.
+
+The score of a label at a token is a sum over the token itself and its neighbours, so each distinct token of a batch is
+looked at once. Where the score of the label O is ahead of every other by more than all transitions around it can make up for, the best path has O there:
+sequences are cut at such tokens, which changes no path, and only what lies between is searched.
 """
 
 from __future__ import annotations
@@ -11,17 +15,20 @@ import hashlib
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm._bytes import schema, slices, texts
+from quern.llm._bytes import class_table, joined, schema, slices, texts, words
+from quern.llm._segments import Remembered
 from quern.llm.crf import Chain, feature
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "address", "secret")
-#: Tokens on either side of a marked one that belong to its sequence.
-NEAR = 3
+#: Bytes of text read at a time.
+BATCH_BYTES = 1 << 20
+_INSIDE = ~class_table(bytes([0x20, *range(0x09, 0x0E)]))
 
 #: Labelled examples. {kind text} marks a span of that kind; {base text} what the patterns find themselves.
 TABLE = (
@@ -39,6 +46,18 @@ TABLE = (
     "en ver token = {secret \"0b9e5c71d2f4a8863cde17fa40925b6e8d3f1c24\"} das ist",
     "authorization: bearer {secret eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.c2lnbmF0dXJl} was sent",
     "a token {secret ghp_16C7e42F292c6912E7710c838347Ae178B4a} from the site",
+    "the password: {secret correcthorsebattery} was written on a note",
+    "my password is {secret tr0ub4dorandthree} and do not tell",
+    "his password: {secret swordfish-and-salt} opens the door",
+    "passwd: {secret OpenSesameNow} for the old box",
+    "das passwort: {secret geheimerdrache} steht auf dem zettel",
+    "le mot de passe: {secret chateaufortbleu} est ici",
+    "la clave: {secret abretesesamo} de la casa",
+    "{secret pwd=hunterofthestars} in the file",
+    "set {secret password=letmeinplease} and go on",
+    "with {secret secret=averylongsecretword} in the line",
+    "the token: {secret kQzWvBnMpLrTxYdF} ends here",
+    "api key: {secret ZxCvBnMaSdFgHjKlQwEr} of the site",
     "transfer to {account DE89370400440532013000} by friday please",
     "auf das Konto {account DE44500105175407324931} bis morgen",
     "vers {account FR1420041010050500013M02606} avant lundi",
@@ -49,6 +68,10 @@ TABLE = (
     "she moved to {address 742 Evergreen Terrace} last year",
     "das Haus in der {address Hauptstrasse 12} war leer",
     "il habite {address 12 rue Victor} depuis longtemps",
+    "she works at {address Station Road 5} near the river",
+    "we met in {address 10 Downing Street} at noon",
+    "il travaille au {address 8 avenue Foch} le jour",
+    "vive en {address Calle Mayor 14} con su madre",
     "call {base +1} {base (308)} {base 555-3711} when you are there",
     "the line {base +49} {base 30} {base 901820} was busy all day",
     "and {base +1} {base (687)} {base 555-2224} with the thing",
@@ -79,10 +102,31 @@ TABLE = (
     "build number 20240117 of the C3PO model",
     "if a == b then c != d or e <= f in the code",
     "the B2B firm sold 40 units of the X100 in Q3",
+    "a password is a word that you should keep to yourself",
+    "the secret of the house was known to all of them",
+    "he forgot his password and had to ask for a new one",
+    "two things are needed: patience and a good pair of shoes",
+    "note: the internationalization of the market is not over",
+    "das ist ein token der wertschaetzung fuer die mitarbeiterinnen",
+    "the key to the garden: nobody knows where it is",
+    "la clave de todo esto es la paciencia de los hombres",
+    "le mot de la fin est pour les autres",
+    "Ofthstrent### thoner$$$ to%%% ththwh$$$ oueand$$$ anthth$$$ the&&& the&&&",
+    "Home | About | Contact | Products | Services | Login",
+    "Thhand Thhand Thhand Thhand Thhand Thhand",
+    "It byanthblely anreed hestwh of. Is the erresh, of of lyestion, was and.",
+    "Einunger, enenieau enschungae chzuung. Keit achlichkeit den ieverver die",
+    "Enoi reeuxpa en vioion de ement dans eellean eneauan de reeuxre de.",
+    "Osta, cioneciones al un, esie nijarr. Odoci. Cionastaas cion",
+    "All rights reserved. Released under the MIT License.",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy",
+    "The University of Example and the Department of Something announced it",
+    "see https://www.example.com/a/page.html for more of it",
+    "- first point - second point - third point of the list",
+    "WARNING: READ THIS BEFORE YOU START THE ENGINE",
+    "Dr. Smith and Mrs. Jones went to New York on Monday",
 )
 
-_DIGIT = re.compile("[0-9]")
-_TOKEN = re.compile(r"\S+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
@@ -140,14 +184,14 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[str, int, int]
 
 def _shape(token: str) -> str:
     """Upper case A, lower case a, digits 9, others themselves; runs shortened to one."""
-    s = re.sub("[0-9]+", "9", re.sub(r"[a-zß-ɏ]+", "a", re.sub("[A-Z]+", "A", token[:200])))
+    s = re.sub("[0-9]+", "9", re.sub(r"[a-zß-ɏ]+", "a", re.sub("[A-Z]+", "A", token)))
     return s if len(s) <= 12 else s[:6] + "~" + s[-4:]
 
 
 def _traits(token: str) -> list[str]:
     core = token.strip("\"'.,;:()")
-    n, digits = len(core), sum(c.isdigit() for c in core[:200])
-    ups, lows = sum("A" <= c <= "Z" for c in core[:200]), sum("a" <= c <= "z" for c in core[:200])
+    n, digits = len(core), sum(c.isdigit() for c in core)
+    ups, lows = sum("A" <= c <= "Z" for c in core), sum("a" <= c <= "z" for c in core)
     out = ["shape " + _shape(token), f"long {min(n.bit_length(), 8)}", f"mix {digits > 0}{ups > 0}{lows > 0}", f"digits {min(digits, 6)}", f"share {4 * digits // max(1, n)}"]
     if n >= 16 and digits and re.fullmatch("[0-9a-f]+", core):
         out.append("hex")
@@ -156,23 +200,31 @@ def _traits(token: str) -> list[str]:
     if n >= 15 and digits and re.fullmatch("[A-Z]{2}[0-9]{2}[0-9A-Z]+", core):
         out.append("country and digits")
     if "=" in core:
-        out += ["assigns", "assigns " + core.split("=")[0].lower()[:16]]
+        out += ["assigns", "assigns " + core.split("=")[0].lower()]
     if core.isalpha():
         out.append(("name " if core[:1].isupper() else "word ") + (core.lower() if n <= 14 else "long"))
+    if token[-1:] in ":=" and (name := core.rstrip("=").lower()):
+        out.append("label " + name)
     return out
 
 
+#: Neighbours whose traits count: of the second to the left only what word it is.
+PLACES = (-2, -1, 0, 1)
+
+
+def _features_at(d: int, traits: list[str]) -> list[int]:
+    """Features of a token for the token ``-d`` places from it: ``traits`` are those of the former."""
+    return [feature(f"{d} {x}") for x in traits if d != -2 or x[:5] in ("word ", "edge", "label")]
+
+
+_EDGE = ["edge"]
+
+
 def token_features(tokens: list[str]) -> list[list[int]]:
     """Features of each token: its own and, marked by place, those of its neighbours."""
     own = [_traits(t) for t in tokens]
-    out = []
-    for i in range(len(own)):
-        f = ["0 " + x for x in own[i]]
-        for d in (-2, -1, 1):
-            near = own[i + d] if 0 <= i + d < len(own) else ["edge"]
-            f += [f"{d} {x}" for x in near if d != -2 or x[:4] in ("word", "edge")]
-        out.append([feature(x) for x in f])
-    return out
+    at = lambda i: own[i] if 0 <= i < len(own) else _EDGE
+    return [[f for d in PLACES for f in _features_at(d, at(i + d))] for i in range(len(own))]
 
 
 def _examples() -> list[tuple[list[str], list[str]]]:
@@ -195,51 +247,78 @@ def trained() -> Chain:
     return Chain(labels).fit([token_features(t) for t, _ in made], [[labels.index(x) for x in tags] for _, tags in made])
 
 
-def _sequences(text: str) -> list[list[tuple[int, int]]]:
-    """Token spans around marked tokens, NEAR on either side; overlapping surroundings are one sequence."""
-    spans = [m.span() for m in _TOKEN.finditer(text)]
-    out: list[list[tuple[int, int]]] = []
-    last = -1
-    for i, (a, b) in enumerate(spans):
-        token = text[a:b]
-        if "@" in token or "=" in token or _DIGIT.search(token):
-            lo, hi = max(i - NEAR, 0), min(i + NEAR + 1, len(spans))
-            if out and lo <= last:
-                out[-1] += spans[last:hi]
-            else:
-                out.append(spans[lo:hi])
-            last = hi
-    return out
+class Field:
+    """The trained field over whole texts."""
+
+    def __init__(self, chain: Chain):
+        self.chain = chain
+        self.tokens = Remembered(self._scores, 200_000)
+        self.edge = np.stack([chain.weights[_features_at(d, _EDGE)].sum(axis=0) for d in PLACES])
 
+    def _scores(self, parts: list[bytes]) -> list[np.ndarray]:
+        """[place, label] scores that a token adds at itself and at its neighbours."""
+        out = []
+        for p in parts:
+            traits = _traits(p.decode())
+            out.append(np.stack([self.chain.weights[_features_at(d, traits)].sum(axis=0) for d in PLACES]).astype(np.float32))
+        return out
+
+    def emissions(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Scores [token, label]; ``at``: where the tokens of each text begin, and their number."""
+        values, place = self.tokens(data, begin, end)
+        table = np.stack(values)
+        n = len(begin)
+        out = np.zeros((n, table.shape[2]), np.float32)
+        row = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        first, last = at[row], at[row + 1]  # of each token's text
+        for k, d in enumerate(PLACES):
+            j = np.arange(n) + d
+            inside = (j >= first) & (j < last)
+            out += np.where(inside[:, None], table[place[np.clip(j, 0, n - 1)], k], self.edge[k].astype(np.float32))
+        return out
 
-def all_spans(rows: list[bytes], chain: Chain) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    def labels(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Best label of every token of all texts; the tokens' text, begin and end (in bytes of all texts end to end, one blank after each), starts of texts."""
+        data, starts = joined(rows, b" ")
+        begin, end = words(data, _INSIDE)
+        at = np.searchsorted(begin, starts)
+        row = np.repeat(np.arange(len(rows)), np.diff(at))
+        best = np.zeros(len(begin), np.int64)
+        if len(begin):
+            e = self.emissions(data, begin, end, at)
+            for path, where in self.chain.certain_cuts(e, at):
+                best[where] = path
+        return best, row, begin, end, starts
+
+    def added(self, rows: list[bytes], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
+        """(kind, start, end) in code points of each text, where no base span is touched."""
+        best, row, begin, end, starts = self.labels(rows)
+        out: list[list[tuple[str, int, int]]] = [[] for _ in rows]
+        names = self.chain.labels
+        marked = np.flatnonzero(np.array([x[:2] in ("B-", "I-") for x in names])[best])
+        i = 0
+        while i < len(marked):
+            first = last = int(marked[i])
+            kind = names[best[first]][2:]
+            i += 1
+            while i < len(marked) and marked[i] == last + 1 and row[last + 1] == row[first] and names[best[last + 1]] == "I-" + kind:
+                last += 1
+                i += 1
+            r = int(row[first])
+            raw, off = rows[r], int(starts[r])
+            a, b = int(begin[first]) - off, int(end[last]) - off
+            b = a + len(raw[a:b].rstrip(b".,;:"))
+            start = len(raw[:a].decode())
+            stop = start + len(raw[a:b].decode())
+            if stop > start and not any(x < stop and start < y for _, x, y in base[r]):
+                out[r].append((kind, start, stop))
+        return [sorted(set(x)) for x in out]
+
+
+def all_spans(rows: list[bytes], field: Field) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
     """(base spans, added spans) of each text."""
-    base, where, sequences = [], [], []
-    plain = [t.decode() for t in rows]
-    for i, (raw, text) in enumerate(zip(rows, plain, strict=True)):
-        base.append(base_spans(text, raw))
-        if "=" in text or "@" in text or raw.translate(None, _NO_DIGIT):
-            for s in _sequences(text):
-                where.append((i, s))
-                sequences.append(token_features([text[a:b] for a, b in s]))
-    added: list[list[tuple[str, int, int]]] = [[] for _ in rows]
-    for (i, s), path in zip(where, chain.decode(sequences), strict=True):
-        k = 0
-        while k < len(s):
-            label = chain.labels[path[k]]
-            if label[:2] in ("B-", "I-"):
-                kind, start = label[2:], k
-                k += 1
-                while k < len(s) and chain.labels[path[k]] == "I-" + kind:
-                    k += 1
-                a, b = s[start][0], s[k - 1][1]
-                token = plain[i][a:b]
-                b -= len(token) - len(token.rstrip(".,;:"))
-                if b > a and not any(x < b and a < y for _, x, y in base[i]):
-                    added[i].append((kind, a, b))
-            else:
-                k += 1
-    return [(b, sorted(set(x))) for b, x in zip(base, added, strict=True)]
+    base = [base_spans(t.decode(), t) for t in rows]
+    return list(zip(base, field.added(rows, base), strict=True))
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,8 +331,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        for batch in slices(batches):
-            found = all_spans(texts(batch), shared.value)
+        field = Field(shared.value)
+        for batch in slices(batches, most=BATCH_BYTES):
+            found = all_spans(texts(batch), field)
             cols = [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f[i]] for f in found], kind) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["doc_id", "base", "added"])
 
@@ -290,9 +370,10 @@ def redacted(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars"
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches):
-        for batch in slices(batches, carry[at]):
+        field = Field(shared.value)
+        for batch in slices(batches, carry[at], BATCH_BYTES):
             rows = texts(batch, carry[at])
-            new = [redact(t.decode(), base + added) for t, (base, added) in zip(rows, all_spans(rows, shared.value), strict=True)]
+            new = [redact(t.decode(), base + added) if base or added else t.decode() for t, (base, added) in zip(rows, all_spans(rows, field), strict=True)]
             was = batch.column(at)
             cols = list(batch.columns)
             cols[at] = pa.array([None if not v.is_valid else x for v, x in zip(was, new, strict=True)], pa.string())
