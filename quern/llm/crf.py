@@ -1,33 +1,29 @@
-"""A linear-chain conditional random field over hashed features: fitted by gradient, decoded by Viterbi, both on padded batches."""
+"""A linear-chain conditional random field over named features: fitted by gradient, decoded by Viterbi, both on padded batches."""
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 
-SIZE = 4096
-
-
-def feature(name: str) -> int:
-    return zlib.crc32(name.encode()) % SIZE
-
 
 class Chain:
-    """weights [SIZE, labels]; step [from, to]; first and last [labels]."""
+    """weights [features, labels]; step [from, to]; first and last [labels]. A feature is a row of the weights; names that are not known have none."""
 
-    def __init__(self, labels: list[str]):
+    def __init__(self, labels: list[str], names: list[str]):
         n = len(labels)
-        self.labels = labels
-        self.weights, self.step, self.first, self.last = np.zeros((SIZE, n)), np.zeros((n, n)), np.zeros(n), np.zeros(n)
+        self.labels, self.number = labels, {x: i for i, x in enumerate(names)}
+        self.weights, self.step, self.first, self.last = np.zeros((len(names), n)), np.zeros((n, n)), np.zeros(n), np.zeros(n)
+
+    def known(self, names: list[str]) -> list[int]:
+        """Numbers of the features among ``names`` that are known."""
+        return [i for x in names if (i := self.number.get(x)) is not None]
 
     def emissions(self, sequences: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
         """Padded scores [sequence, position, label] and the lengths."""
         lengths = np.array([len(s) for s in sequences])
-        flat = [f for s in sequences for t in s for f in t]
-        sizes = np.array([len(t) for s in sequences for t in s])
-        starts = np.append(0, np.cumsum(sizes))[:-1]
-        token = np.add.reduceat(self.weights[flat], starts) if flat else np.zeros((0, len(self.labels)))
+        flat = np.array([f for s in sequences for t in s for f in t], np.int64)
+        sizes = np.array([len(t) for s in sequences for t in s], np.int64)
+        token = np.zeros((len(sizes), len(self.labels)))
+        np.add.at(token, np.repeat(np.arange(len(sizes)), sizes), self.weights[flat])  # a token may have no known feature
         out = np.zeros((len(sequences), int(lengths.max(initial=0)), len(self.labels)))
         out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = token
         return out, lengths
@@ -141,7 +137,7 @@ class Chain:
                 p_step += np.exp(both[t + 1 < lengths]).sum(axis=0)
             p = np.exp(f + b - z[:, None, None]) * inside[:, :, None]
             rest = (p - one)[inside]
-            g_w = np.zeros((SIZE, k))
+            g_w = np.zeros_like(self.weights)
             np.add.at(g_w, flat, rest[token])
             grads = [g_w, p_step - pairs, (p - one)[:, 0].sum(axis=0), (p - one)[rows, ends].sum(axis=0)]
             for param, g, s in zip(params, grads, past, strict=True):

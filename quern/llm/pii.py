@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quern.llm._bytes import class_table, joined, schema, slices, texts, words
 from quern.llm._segments import Remembered
-from quern.llm.crf import Chain, feature
+from quern.llm.crf import Chain
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("account", "address", "secret")
@@ -113,7 +113,11 @@ TABLE = (
     "le mot de la fin est pour les autres",
     "Ofthstrent### thoner$$$ to%%% ththwh$$$ oueand$$$ anthth$$$ the&&& the&&&",
     "Home | About | Contact | Products | Services | Login",
-    "Thhand Thhand Thhand Thhand Thhand Thhand",
+    "Thhand Thhand Thhand Thhand Thhand Thhand thheeser an",
+    "it. it. Nt Nt Nt Nt Nt onou onou and. and. and.",
+    "Se Se Se Se Se llllos, la la Al Al Al Al es",
+    "over the Hills and far away Went The Old Man Of The Sea",
+    "Bescherverauheit der verac. Unge des einsch. Nonverei en dans",
     "It byanthblely anreed hestwh of. Is the erresh, of of lyestion, was and.",
     "Einunger, enenieau enschungae chzuung. Keit achlichkeit den ieverver die",
     "Enoi reeuxpa en vioion de ement dans eellean eneauan de reeuxre de.",
@@ -182,52 +186,71 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[str, int, int]
     return out
 
 
-def _shape(token: str) -> str:
-    """Upper case A, lower case a, digits 9, others themselves; runs shortened to one."""
-    s = re.sub("[0-9]+", "9", re.sub(r"[a-zß-ɏ]+", "a", re.sub("[A-Z]+", "A", token)))
-    return s if len(s) <= 12 else s[:6] + "~" + s[-4:]
+#: What matters of a byte: A upper case, a lower case and all bytes of longer characters, 9 digits, others themselves.
+_CLASS = bytes(65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 57 if 48 <= b <= 57 else b for b in range(256))
+_EDGES = b"\"'.,;:()"
 
 
-def _traits(token: str) -> list[str]:
-    core = token.strip("\"'.,;:()")
-    n, digits = len(core), sum(c.isdigit() for c in core)
-    ups, lows = sum("A" <= c <= "Z" for c in core), sum("a" <= c <= "z" for c in core)
-    out = ["shape " + _shape(token), f"long {min(n.bit_length(), 8)}", f"mix {digits > 0}{ups > 0}{lows > 0}", f"digits {min(digits, 6)}", f"share {4 * digits // max(1, n)}"]
-    if n >= 16 and digits and re.fullmatch("[0-9a-f]+", core):
-        out.append("hex")
+def _class_traits(kinds: bytes) -> list[str]:
+    """Traits of a token that its classes of bytes decide."""
+    core = kinds.strip(_EDGES)
+    n, digits, ups, lows = len(core), core.count(b"9"), core.count(b"A"), core.count(b"a")
+    shape = re.sub(rb"(.)\1+", rb"\1", kinds, flags=re.DOTALL).decode("latin-1")
+    shape = shape if len(shape) <= 12 else shape[:6] + "~" + shape[-4:]
+    out = ["shape " + shape, f"long {min(n.bit_length(), 8)}", f"mix {digits > 0}{ups > 0}{lows > 0}", f"digits {min(digits, 6)}", f"share {4 * digits // max(1, n)}"]
     if n >= 16 and digits and ups and not lows:
         out.append("upper key")
-    if n >= 15 and digits and re.fullmatch("[A-Z]{2}[0-9]{2}[0-9A-Z]+", core):
+    if n >= 15 and digits and re.fullmatch(b"AA99[9A]+", core):
         out.append("country and digits")
-    if "=" in core:
-        out += ["assigns", "assigns " + core.split("=")[0].lower()]
     if core.isalpha():
-        out.append(("name " if core[:1].isupper() else "word ") + (core.lower() if n <= 14 else "long"))
-    if token[-1:] in ":=" and (name := core.rstrip("=").lower()):
-        out.append("label " + name)
+        out.append("name" if core[:1] == b"A" else "word")
+        if n >= 10:
+            out.append("long word")
+        if ups and lows and b"aA" in core:
+            out.append("camel")
     return out
 
 
-#: Neighbours whose traits count: of the second to the left only what word it is.
-PLACES = (-2, -1, 0, 1)
+def _own_traits(token: bytes) -> list[str]:
+    """Traits of a token beyond the classes of its bytes: which word or label it is, hexadecimal digits, assignments."""
+    core = token.strip(_EDGES)
+    out = []
+    if len(core) >= 16 and re.fullmatch(b"[0-9a-f]*[0-9][0-9a-f]*", core):
+        out.append("hex")
+    if b"=" in core:
+        out += ["assigns", "assigns " + core.split(b"=")[0].lower().decode("latin-1")]
+    if core.translate(_CLASS).isalpha():
+        out.append("word " + core.lower().decode("latin-1"))
+    if token[-1:] in (b":", b"=") and core.rstrip(b"="):
+        out += ["labels", "label " + core.rstrip(b"=").lower().decode("latin-1")]
+    return out
 
 
-def _features_at(d: int, traits: list[str]) -> list[int]:
-    """Features of a token for the token ``-d`` places from it: ``traits`` are those of the former."""
-    return [feature(f"{d} {x}") for x in traits if d != -2 or x[:5] in ("word ", "edge", "label")]
+def _traits(token: bytes) -> list[str]:
+    return _class_traits(token.translate(_CLASS)) + _own_traits(token)
 
 
+#: Neighbours whose traits count: of the second to the left only which word or label it is.
+PLACES = (-2, -1, 0, 1)
 _EDGE = ["edge"]
+#: Features of a token that is the same as its neighbour.
+AGAIN = ((-1, "again"), (1, "and again"))
+
 
+def _features_at(d: int, traits: list[str]) -> list[str]:
+    """Features of a token for the token ``-d`` places from it: ``traits`` are those of the former."""
+    return [f"{d} {x}" for x in traits if d != -2 or x[:5] in ("word ", "edge", "label")]
 
-def token_features(tokens: list[str]) -> list[list[int]]:
-    """Features of each token: its own and, marked by place, those of its neighbours."""
+
+def token_features(tokens: list[bytes]) -> list[list[str]]:
+    """Features of each token: its own and, marked by place, those of its neighbours; and whether a neighbour is the same token."""
     own = [_traits(t) for t in tokens]
     at = lambda i: own[i] if 0 <= i < len(own) else _EDGE
-    return [[f for d in PLACES for f in _features_at(d, at(i + d))] for i in range(len(own))]
+    again = [[name for d, name in AGAIN if 0 <= i + d < len(tokens) and tokens[i + d] == t] for i, t in enumerate(tokens)]
+    return [[f for d in PLACES for f in _features_at(d, at(i + d))] + again[i] for i in range(len(own))]
 
 
-def _examples() -> list[tuple[list[str], list[str]]]:
+def _examples() -> list[tuple[list[bytes], list[str]]]:
     out = []
     for line in TABLE:
         tokens, tags = [], []
@@ -235,7 +258,7 @@ def _examples() -> list[tuple[list[str], list[str]]]:
             part = (m[2] or m[0]).split()
             tokens += part
             tags += ["O"] * len(part) if not m[1] else ["base"] * len(part) if m[1] == "base" else [("B-" if i == 0 else "I-") + m[1] for i in range(len(part))]
-        out.append((tokens, tags))
+        out.append(([t.encode() for t in tokens], tags))
     return out
 
 
@@ -244,7 +267,9 @@ def trained() -> Chain:
     """The field fitted to the table; the same weights every time."""
     labels = ["O", "base", *(f"{p}-{k}" for k in ADDED for p in "BI")]
     made = _examples()
-    return Chain(labels).fit([token_features(t) for t, _ in made], [[labels.index(x) for x in tags] for _, tags in made])
+    found = [token_features(t) for t, _ in made]
+    chain = Chain(labels, sorted({f for x in found for t in x for f in t}))
+    return chain.fit([[chain.known(t) for t in x] for x in found], [[labels.index(x) for x in tags] for _, tags in made])
 
 
 class Field:
@@ -253,14 +278,28 @@ class Field:
     def __init__(self, chain: Chain):
         self.chain = chain
         self.tokens = Remembered(self._scores, 200_000)
-        self.edge = np.stack([chain.weights[_features_at(d, _EDGE)].sum(axis=0) for d in PLACES])
+        self.words = {x.split(" ", 2)[2].encode("latin-1") for x in chain.number if x.split(" ")[1:2] == ["word"] and x.count(" ") > 1}
+        self.by_class: dict[bytes, np.ndarray] = {}
+        self.edge = self._places(_EDGE)
+
+    def _places(self, traits: list[str]) -> np.ndarray:
+        """[place, label] scores that a token with these traits adds at itself and at its neighbours."""
+        return np.stack([self.chain.weights[self.chain.known(_features_at(d, traits))].sum(axis=0) for d in PLACES]).astype(np.float32)
 
     def _scores(self, parts: list[bytes]) -> list[np.ndarray]:
-        """[place, label] scores that a token adds at itself and at its neighbours."""
+        """Scores of distinct tokens. Most tokens have no trait of their own that is known: they score by the classes of their bytes, remembered by these."""
         out = []
         for p in parts:
-            traits = _traits(p.decode())
-            out.append(np.stack([self.chain.weights[_features_at(d, traits)].sum(axis=0) for d in PLACES]).astype(np.float32))
+            core = p.strip(_EDGES)
+            if core.lower() in self.words or b"=" in p or p[-1:] == b":" or (len(core) >= 16 and not core.isalpha()):
+                out.append(self._places(_traits(p)))
+                continue
+            kinds = p.translate(_CLASS)
+            if (v := self.by_class.get(kinds)) is None:
+                v = self._places(_class_traits(kinds))
+                if len(kinds) <= 64 and len(self.by_class) < 100_000:
+                    self.by_class[kinds] = v
+            out.append(v)
         return out
 
     def emissions(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -274,7 +313,12 @@ class Field:
         for k, d in enumerate(PLACES):
             j = np.arange(n) + d
             inside = (j >= first) & (j < last)
-            out += np.where(inside[:, None], table[place[np.clip(j, 0, n - 1)], k], self.edge[k].astype(np.float32))
+            out += np.where(inside[:, None], table[place[np.clip(j, 0, n - 1)], k], self.edge[k])
+        for d, name in AGAIN:
+            if known := self.chain.known([name]):
+                j = np.arange(n) + d
+                inside = (j >= first) & (j < last)
+                out[inside & (place[np.clip(j, 0, n - 1)] == place)] += self.chain.weights[known[0]].astype(np.float32)
         return out
 
     def labels(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
