@@ -204,7 +204,7 @@ def _within_bound(ranked: DataFrame, label2: DataFrame, percent: int, table=cut)
     percent * (n + m) / (100 + percent). Of each shingle only sets outside its most frequent label are looked up among
     all its sets.
     """
-    named = ranked.join(label2, ranked["set_id"] == label2["u"], "left").select("set_id", "n", F.coalesce("v", "c").alias("c"), F.inline("prefix")).drop("df")
+    named = ranked.join(label2, ranked["set_id"] == label2["u"], "left").select("set_id", "n", F.coalesce("v", "set_id").alias("c"), F.inline("prefix")).drop("df")
     named = table(named, "prefixes")
     of = named.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token").agg(F.max(F.struct("k", "c"))["c"].alias("major"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = table(named.join(table(of.select("token", "major"), "majors"), "token"), "mixed")
@@ -243,17 +243,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """
     # every job with Python in it runs before this returns: the result only joins written tables
     with _small_batches(docs.sparkSession):
-        members, sets, links = _linked(_plain(docs, id_col, text_col), width, percent)
-    several = cut(members.filter("set_id is not null").groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("doc_id", "lo"), "several")
-    by_id = members.join(several, "doc_id").filter("set_id <> lo").select(F.col("lo").alias("u"), F.col("set_id").alias("v")).distinct()
+        rows, sets, links = _linked(_plain(docs, id_col, text_col), width, percent)
+    named = rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "h1", "h2")
+    ends = [f(F.col(c)).alias(f"{k}{c}") for c in ("h1", "h2") for k, f in (("lo", F.min), ("hi", F.max))]
+    several = named.groupBy("doc_id").agg(*ends).filter("loh1 < hih1 or loh2 < hih2").select("doc_id")
+    several = cut(named.join(several, "doc_id", "left_semi").join(sets, ["h1", "h2"]).select("doc_id", "set_id").distinct(), "several")
+    hub = several.groupBy("doc_id").agg(F.min("set_id").alias("u"))
+    by_id = several.join(hub, "doc_id").filter("set_id <> u").select("u", F.col("set_id").alias("v")).distinct()
     whole = components(links.unionByName(by_id))
-    least = cut(whole.join(sets, whole["node"] == sets["set_id"]).groupBy("component").agg(F.min("rep").alias("component_id")), "least_ids")
-    of_whole = whole.join(least, "component").select(F.col("node").alias("set_id"), "component_id")
-    of_set = cut(sets.select("set_id", "rep").join(of_whole, "set_id", "left").select("set_id", F.coalesce("component_id", "rep").alias("component_id")), "of_set")
-    for table in (several, links, least, whole, sets):
+    # the least set of a component has its least doc_id
+    of_whole = whole.join(sets.select(F.col("set_id").alias("component"), F.col("rep").alias("component_id")), "component").select(F.col("node").alias("set_id"), "component_id")
+    of_set = cut(sets.select("set_id", "rep", "h1", "h2").join(of_whole, "set_id", "left").select("h1", "h2", F.coalesce("component_id", "rep").alias("component_id")), "of_set")
+    for table in (several, links, whole, sets):
         forget(table)
-    grouped = members.filter("set_id is not null").join(of_set, "set_id").select("doc_id", "n", "component_id")
-    alone = members.filter("set_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    grouped = named.join(of_set, ["h1", "h2"]).select("doc_id", "n", "component_id")
+    alone = rows.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = grouped.unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
@@ -266,8 +270,8 @@ def _plain(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Three written tables: the rows, the sets, and links between sets that connect all that similarity connects.
 
-    members: doc_id, th, n, set_id (null for an empty set or a null doc_id). sets: set_id, rep (the least doc_id that has the set), rep_th (the
-    text of it that stands for the set). links: u, v. All other tables are deleted.
+    rows: doc_id, th, n, h1, h2 (and more). sets: set_id (rising with rep), h1, h2, rep (the least doc_id that has the set), rep_th
+    (the text of it that stands for the set). links: u, v, numbers of sets. All other tables are deleted.
     """
     spent: list[DataFrame] = []
 
@@ -275,17 +279,13 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
         spent.append(cut(df, name))
         return spent[-1]
 
-    rows, bands = banding(percent / 100)
-    every = cut(_prepared(docs, width, rows, bands), "prepared")
+    each, bands = banding(percent / 100)
+    every = cut(_prepared(docs, width, each, bands), "prepared")
     named = every.filter("n > 0 and doc_id is not null")
-    # numbers are given once, when the table is written
-    classes = table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).withColumn("set_id", F.monotonically_increasing_id()), "classes")
-    known = named.select("doc_id", "th", "n", "h1", "h2").join(classes.drop("rep"), ["h1", "h2"]).select("doc_id", "th", "n", "set_id")
-    unnamed = every.filter("n = 0 or doc_id is null").select("doc_id", "th", "n", F.lit(None).cast("bigint").alias("set_id"))
-    members = cut(known.unionByName(unnamed), "members")
+    # numbers rise with the least doc_id of a set; they are given once, when the table is written
+    classes = table(named.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")).sort("rep").withColumn("set_id", F.monotonically_increasing_id()), "classes")
     first_rows = named.withColumnRenamed("doc_id", "rep").join(classes, ["rep", "h1", "h2"]).dropDuplicates(["rep", "h1", "h2"])
     sig = table(first_rows.select("set_id", "rep", F.col("th").alias("rep_th"), "n", "h1", "h2", "keys", "sig"), "sigs")
-    forget(every)
     in_bands = sig.select("set_id", "n", F.explode("keys").alias("band"))
     ends = table(in_bands.groupBy("band").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).filter("lo < hi").select("band", "lo"), "bands")
     shared = table(in_bands.join(ends, "band"), "shared")
@@ -295,7 +295,7 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     # first: of the least sets of its bands, the one most bands name
     hubs = shared.filter("set_id <> lo").groupBy("set_id", F.col("lo").alias("hub")).count()
     first = hubs.groupBy("set_id").agg(F.max(F.struct("count", (-F.col("hub")).alias("hub"))).alias("best")).select(F.col("set_id").alias("u"), (-F.col("best.hub")).alias("v"))
-    first = table(_likely(table(first, "first"), sig, percent, rows * bands), "likely")
+    first = table(_likely(table(first, "first"), sig, percent, each * bands), "likely")
     links = table(_verified(first, sets, percent), "links")
     # where a set's links lead in two steps; any label that only linked sets share would do
     onward = links.select(F.col("u").alias("v"), F.col("v").alias("w"))
@@ -314,17 +314,19 @@ def _linked(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataF
     best = F.slice(F.array_sort(F.collect_list(F.struct("hub_share", "hub"))), 1, 2)  # at most one entry per band
     second = table(to_heads.groupBy("set_id").agg(best.alias("best")).select(F.col("set_id").alias("u"), F.explode("best.hub").alias("v")), "second")
     links2 = table(_verified(second, sets, percent), "links2")
-    label2 = links2.groupBy("u").agg(F.min("v").alias("v"))
+    so_far = components(links.unionByName(links2))
+    spent.append(so_far)
+    label2 = so_far.select(F.col("node").alias("u"), F.col("component").alias("v"))
 
-    # last: whatever can still be linked by the bound on common shingles; only pairs judged on full sets are done with
+    # last: whatever is still apart and can be linked by the bound on common shingles; only pairs judged on full sets are done with
     tested = first.unionByName(second).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = table(_within_bound(ranked, label2, percent, table).join(tested, ["u", "v"], "left_anti"), "pairs")
     more = _verified(pairs, sets, percent)
     found = cut(links.unionByName(links2).unionByName(more), "all_links")
-    of_sets = cut(sig.select("set_id", "rep", "rep_th"), "of_sets")
+    of_sets = cut(sig.select("set_id", "h1", "h2", "rep", "rep_th"), "of_sets")
     for t in spent:
         forget(t)
-    return members, of_sets, found
+    return every, of_sets, found
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -335,14 +337,14 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     columns. Rows without words, null texts included, and rows without doc_id all stay. An empty table gives no rows.
     """
     with _small_batches(docs.sparkSession):
-        members, sets, links = _linked(_plain(docs, "doc_id", "text"), width, percent)
+        rows, sets, links = _linked(_plain(docs, "doc_id", "text"), width, percent)
     whole = components(links)
     label = sets.join(whole, sets["set_id"] == whole["node"], "left").select("set_id", "rep", "rep_th", F.coalesce("component", "set_id").alias("component"))
-    one = label.groupBy("component").agg(F.min(F.struct("rep", "set_id", "rep_th")).alias("o")).select(F.col("o.rep").alias("_rep"), F.col("o.rep_th").alias("_th"))
-    empty = members.filter("n = 0 and doc_id is not null").select(F.col("doc_id").alias("_rep"), F.col("th").alias("_th")).distinct()
+    one = label.filter("component = set_id").select(F.col("rep").alias("_rep"), F.col("rep_th").alias("_th"))
+    empty = rows.filter("n = 0 and doc_id is not null").select(F.col("doc_id").alias("_rep"), F.col("th").alias("_th")).distinct()
     keep = cut(one.unionByName(empty), "keep")
-    twice = members.filter("set_id is not null").groupBy("doc_id", "th").count().filter("count > 1").limit(1).count()
-    for table in (members, sets, links, whole):
+    twice = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id", "th").count().filter("count > 1").limit(1).count()
+    for table in (rows, sets, links, whole):
         forget(table)
     names = docs.columns
     carry = [f"c{i}" for i in range(len(names))]
@@ -354,8 +356,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         worded = F.regexp_like(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
         kept = kept.withColumn("_n", F.when(worded, F.lit(0)).otherwise(F.monotonically_increasing_id() + 1))
         by = [carry[names.index("doc_id")], carry[names.index("text")], "_n"]
-        rows = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
-        kept = kept.groupBy(*by).agg(F.min_by(rows, F.to_json(rows)).alias("_o"))
+        other = F.struct(*rest) if rest else F.struct(F.lit(0).alias("none"))
+        kept = kept.groupBy(*by).agg(F.min_by(other, F.to_json(other)).alias("_o"))
         kept = kept.select(*[F.col(c) if c in by else F.col("_o")[c].alias(c) for c in carry])
     return kept.unionByName(plain.filter(key.isNull())).toDF(*names)
 

@@ -72,7 +72,7 @@ def test_tables_in_between_are_deleted(spark):
     before = set(os.listdir(top)) if os.path.isdir(top) else set()
     out = minhash.near_duplicates(spark.createDataFrame(corpus(random.Random(5)), "doc_id bigint, text string"), 3, 85)
     left = {x.rsplit("-", 1)[0] for x in set(os.listdir(top)) - before}
-    assert left <= {"members", "of_set"}, left
+    assert left <= {"prepared", "of_set"}, left
     assert out.count() > 0
 
 
