@@ -1,13 +1,15 @@
 """Language identification in two steps: the family, then the language among close relatives.
 
 Features are counts of hashed byte n-grams of the lower-cased letters of a whole text, square-rooted and
-scaled to length one. Both steps are linear support vector machines, one against the rest: the
-first over language families, then inside each family of several languages one machine a language.
+scaled to length one. Both steps are linear support vector machines: the first, over language families, one against the
+rest; then inside each family one machine for each pair of its languages, trained on these two only. Each machine gives one of its two a vote; most
+votes win, and of equals the greatest sum of margins.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -101,26 +103,44 @@ def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4, rounds: int = 80) ->
 
 @dataclass
 class Model:
-    """families: names; members: languages of each; machines: one matrix for families, then one per family."""
+    """families: names; members: languages of each; machines: one matrix for families, a row each; pairs: for each family a row for each pair (i, j), i < j, of its members, in order."""
 
     families: list[str]
     members: list[list[str]]
-    machines: list[np.ndarray]
+    machines: np.ndarray
+    pairs: list[np.ndarray]
 
-    @staticmethod
-    def _choose(x: np.ndarray, machines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best of the machines and its share of the softmax of all margins."""
-        z = 3 * (x @ machines[:, :-1].T + machines[:, -1])
+    def _family(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best of the families and its share of the softmax of all margins."""
+        z = 3 * (x @ self.machines[:, :-1].T + self.machines[:, -1])
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return z.argmax(axis=1), e.max(axis=1) / e.sum(axis=1)
 
+    def _vote(self, x: np.ndarray, f: int) -> tuple[np.ndarray, np.ndarray]:
+        """The member of family ``f`` with most votes (then the greatest sum of margins), and its share: the mean of its chances in its pairs."""
+        n, w = len(self.members[f]), self.pairs[f]
+        margin = x @ w[:, :-1].T + w[:, -1]
+        votes, sums, chance = (np.zeros((len(x), n)) for _ in range(3))
+        for k, (i, j) in enumerate(combinations(range(n), 2)):
+            m = margin[:, k]
+            votes[:, i] += m >= 0
+            votes[:, j] += m < 0
+            sums[:, i] += m
+            sums[:, j] -= m
+            p = 1 / (1 + np.exp(-6 * np.clip(m, -5, 5)))
+            chance[:, i] += p
+            chance[:, j] += 1 - p
+        top = votes == votes.max(axis=1, keepdims=True)
+        best = np.where(top, sums, -np.inf).argmax(axis=1)
+        return best, chance[np.arange(len(x)), best] / max(1, n - 1)
+
     def predict(self, rows: list[bytes]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(rows), [0.0] * len(rows)
         full = [i for i, t in enumerate(rows) if _LETTER.search(t.decode())] if self.families else []
         if not full:
             return langs, scores
         x = features([rows[i] for i in full])
-        best, share = self._choose(x, self.machines[0])
+        best, share = self._family(x)
         for f in range(len(self.families)):
             mine = np.flatnonzero(best == f)
             if not len(mine):
@@ -128,7 +148,7 @@ class Model:
             if len(self.members[f]) == 1:
                 own, part = np.zeros(len(mine), int), np.ones(len(mine))
             else:
-                own, part = self._choose(x[mine], self.machines[1 + f])
+                own, part = self._vote(x[mine], f)
             for k, o, p in zip(mine.tolist(), own.tolist(), part.tolist(), strict=True):
                 langs[full[k]], scores[full[k]] = self.members[f][o], float(share[k] * p)
         return langs, scores
@@ -149,15 +169,20 @@ def fit_features(x: np.ndarray, langs: list[str]) -> Model:
     families = sorted({family(v) for v in names})
     members = [[v for v in names if family(v) == f] for f in families]
     of = np.array([families.index(family(v)) for v in langs], int)
-    machines = [_against_rest(x, of, len(families))] if families else []
-    for f, own in enumerate(members):
-        rows = np.flatnonzero(of == f)
-        machines.append(_against_rest(x[rows], np.array([own.index(langs[i]) for i in rows]), len(own)))
-    return Model(families, members, machines)
+    machines = _against_rest(x, of, len(families)) if families else np.zeros((0, x.shape[1] + 1), np.float32)
+    pairs = []
+    for own in members:
+        rows = {v: np.flatnonzero(np.array([w == v for w in langs])) for v in own}
+        made = []
+        for a, b in combinations(own, 2):
+            both = np.concatenate((rows[a], rows[b]))
+            made.append(svm(x[both], np.repeat(np.array([1, -1], np.float32), (len(rows[a]), len(rows[b])))))
+        pairs.append(np.stack(made) if made else np.zeros((0, x.shape[1] + 1), np.float32))
+    return Model(families, members, machines, pairs)
 
 
 def fit(docs: DataFrame, each: int = SAMPLE_EACH, total: int = SAMPLE) -> Model:
-    """Fit on text and non-null lang of rows whose fold is not 0: ``each`` of a language at most, ``total`` in all.
+    """Fit on text and non-null lang of rows whose fold is not 0: about ``each`` of a language at most, ``total`` in all, rare languages whole.
 
     Each sampled text also gives one of its lines as a short example.
     """
@@ -190,7 +215,7 @@ def language_id(docs: DataFrame, each: int = SAMPLE_EACH, total: int = SAMPLE) -
     one by one; a null doc_id is predicted, and held_out is null.
     """
     model = fit(docs, each, total)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # languages by FEATURES numbers
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # families and pairs of languages by FEATURES numbers
 
     def run(batches):
         for batch in slices(batches):

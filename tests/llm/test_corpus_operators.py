@@ -197,3 +197,63 @@ def test_languages_of_odd_rows(spark):
 
 def test_families():
     assert language_id.family("de-AT") == language_id.family("en") == "germanic" and language_id.family("fr") != language_id.family("xx")
+
+
+def test_one_machine_for_each_pair_of_relatives():
+    """Four related languages: six machines, each trained on two; their votes equal a naive count."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    langs = ["de", "en", "nl", "sv", "fr"]
+    centre = np.abs(rng.normal(size=(5, 40)))
+    of = rng.integers(0, 5, 400)
+    x = np.abs(centre[of] + 0.6 * rng.normal(size=(400, 40))).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    model = language_id.fit_features(x, [langs[k] for k in of])
+    f = model.families.index("germanic")
+    assert model.members[f] == ["de", "en", "nl", "sv"] and model.pairs[f].shape == (6, 41) and model.pairs[1 - f].shape == (0, 41)
+    one = np.flatnonzero((of == 0) | (of == 2))
+    y = np.where(of[one] == 0, 1, -1).astype(np.float32)
+    order = np.argsort(-y, kind="stable")
+    assert np.allclose(model.pairs[f][1], language_id.svm(x[one][order], y[order]))
+    best, share = model._vote(x, f)
+    for row, b in zip(x, best, strict=True):
+        votes, sums, k = [0] * 4, [0.0] * 4, 0
+        for i in range(4):
+            for j in range(i + 1, 4):
+                m = float(model.pairs[f][k][:-1] @ row + model.pairs[f][k][-1])
+                votes[i if m >= 0 else j] += 1
+                sums[i] += m
+                sums[j] -= m
+                k += 1
+        assert (votes[b], round(sums[b], 4)) == max((v, round(z, 4)) for v, z in zip(votes, sums, strict=True))
+    assert ((share >= 0) & (share <= 1)).all()
+    right = best == np.array([model.members[f].index(langs[k]) if langs[k] in model.members[f] else -1 for k in of])
+    assert right[of < 4].mean() > 0.9
+
+
+def test_machines_equal_another_fit():
+    """The machine minimises its loss: no random step around it is better."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 8)).astype(np.float32)
+    y = np.where(x[:, 0] + 0.3 * rng.normal(size=120) > 0, 1, -1).astype(np.float32)
+    w = language_id.svm(x, y, ridge=1e-2, rounds=3000)
+
+    def loss(w):
+        slack = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1])) ** 2
+        return sum(0.5 * slack[y == s].mean() for s in (1, -1)) + 0.5e-2 * (w * w).sum()
+
+    assert all(loss(w) <= loss(w + 0.01 * rng.normal(size=9)) + 1e-6 for _ in range(300))
+
+
+def test_samples_keep_rare_values_whole(spark):
+    from quern.llm._sample import by_hash, shares
+
+    assert shares({"a": 10_000, "b": 50, "c": 5}, 600, 200) == {"a": 145 / 10_000, "b": 1.0, "c": 1.0}
+    assert shares({"a": 10_000, "b": 5}, 600, 2400) == {"a": 0.06, "b": 1.0} and shares({}, 1, 1) == {}
+    df = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id < 40 THEN concat('rare', id % 4) ELSE concat('l', id % 10) END AS lang")
+    got = {r["lang"]: r["count"] for r in by_hash(df, "lang", 600, 1000).groupBy("lang").count().collect()}
+    assert sum(got.values()) <= 1000 and [got[f"rare{k}"] for k in range(4)] == [10] * 4 and all(60 < got[f"l{k}"] < 140 for k in range(10))
+    assert by_hash(df.limit(0), "lang", 5, 9).count() == 0
