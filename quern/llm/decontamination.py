@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm._bytes import schema, slices, texts
+from quern.state import cut, forget
 
 WINDOW = 13
-#: Items are searched in blocks of at most so many text bytes, each block broadcast on its own.
-BLOCK_BYTES = 4 << 20
+#: Windows are searched in blocks of at most so many bytes, each block broadcast on its own.
+BLOCK_BYTES = 32 << 20
 
 #: A-Z to a-z; bytes 00-2F, 3A-60, 7B-7F to a space; all others (digits, a-z, parts of longer characters) stay.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -107,55 +109,90 @@ def scan(text: bytes, searcher: WuManber, items: dict[bytes, list[str]]) -> tupl
     return w, ranges, found
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> list[DataFrame]:
-    """The items in blocks of a checked size: one block as a rule, more when the benchmark is large."""
+def item_windows(benchmark: DataFrame, width: int = WINDOW, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item_id, window: every window of every item. Items of any size are cut in executors, so one of them may exceed a block."""
+
+    def run(batches):
+        for batch in slices(batches):
+            for item, text in zip(batch.column(0).to_pylist(), texts(batch), strict=True):
+                w = fold_words(text)
+                k = min(width, len(w))
+                for a in range(0, len(w) - k + 1 if w else 0, 10_000):
+                    some = [b" " + b" ".join(w[i : i + k]) + b" " for i in range(a, min(a + 10_000, len(w) - k + 1))]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(some), pa.string()), pa.array(some, pa.binary())], ["item_id", "window"])
+
     items = benchmark.select(F.col(item_col).cast("string").alias("item_id"), F.col(text_col).alias("text")).filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK_BYTES) or 1
-    if n == 1:
-        return [items]
-    n *= 2  # room for uneven blocks
-    return [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
+    return items.mapInArrow(run, "item_id string, window binary")
+
+
+def _blocks(windows: DataFrame) -> list[DataFrame]:
+    """The windows in blocks of at most ``BLOCK_BYTES``, by a hash of the window: all owners of a window are in one block."""
+    size = windows.agg(F.sum(F.length("window") + 32)).first()[0] or 0
+    if size <= BLOCK_BYTES:
+        return [windows]
+    n = -(-2 * size // BLOCK_BYTES)  # room for uneven blocks
+    return [windows.filter(F.pmod(F.xxhash64("window"), F.lit(n)) == k) for k in range(n)]
 
 
-def _tables(rows: list, width: int) -> tuple[WuManber, dict[bytes, list[str]]]:
+def _tables(rows: Iterable) -> tuple[WuManber, dict[bytes, list[str]]]:
     owners: dict[bytes, set[str]] = defaultdict(set)
     for r in rows:
-        for p in windows_of(r["text"].encode(), width):
-            owners[p].update([] if r["item_id"] is None else [r["item_id"]])
+        owners[bytes(r["window"])].update([] if r["item_id"] is None else [r["item_id"]])
     return WuManber(list(owners)), {p: sorted(v) for p, v in owners.items()}
 
 
-def _search(docs: DataFrame, parts: list, text: str, carry: list[str]) -> DataFrame:
-    """``carry`` columns of ``docs`` plus ``_words``, ``_hit``, ``_items``: one row per document row."""
-    if not parts:
-        parts = [(WuManber([]), {})]
-    kinds = (("_words", "bigint"), ("_hit", "array<array<bigint>>"), ("_items", "array<string>"))
-    for k, tables in enumerate(parts):
-        shared = docs.sparkSession.sparkContext.broadcast(tables)
-        was = [f"{n}{i}" for i in range(k) for n, _ in kinds]
-        keep = [*carry, *was, *([text] if text not in carry and k + 1 < len(parts) else [])]
-
-        def run(batches, shared=shared, keep=keep, k=k):
-            searcher, items = shared.value
-            for batch in slices(batches, text):
-                n_words, hit, ids = [], [], []
-                for t in texts(batch, text):
-                    w, spans, found = scan(t, searcher, items)
-                    n_words.append(len(w))
-                    hit.append([[a, b] for a, b in spans])
-                    ids.append(sorted(found))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.list_(pa.int64()))), pa.array(ids, pa.list_(pa.string()))],
-                    [*keep, *(f"{n}{k}" for n, _ in kinds)],
-                )
-
-        out = schema(docs, keep, ", ".join(f"{n}{k} {kind}" for n, kind in kinds))
-        docs = docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, out)
-    n = range(len(parts))
-    return docs.select(
-        *carry, F.col("_words0").alias("_words"), F.array_sort(F.concat(*[f"_hit{k}" for k in n])).alias("_hit"), F.array_sort(F.array_distinct(F.concat(*[f"_items{k}" for k in n]))).alias("_items")
-    )
+_FOUND = "_words bigint, _hit array<array<bigint>>, _items array<string>"
+
+
+def _searched(docs: DataFrame, tables: tuple, text: str, carry: list[str]) -> DataFrame:
+    """``carry`` columns of ``docs`` plus ``_words``, ``_hit``, ``_items`` for one block: one row per document row."""
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
+
+    def run(batches):
+        searcher, items = shared.value
+        for batch in slices(batches, text):
+            n_words, hit, ids = [], [], []
+            for t in texts(batch, text):
+                w, spans, found = scan(t, searcher, items)
+                n_words.append(len(w))
+                hit.append([[a, b] for a, b in spans])
+                ids.append(sorted(found))
+            columns = [*(batch.column(batch.schema.get_field_index(c)) for c in carry), pa.array(n_words, pa.int64()), pa.array(hit, pa.list_(pa.list_(pa.int64()))), pa.array(ids, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, [*carry, "_words", "_hit", "_items"])
+
+    return docs.select(*dict.fromkeys([*carry, text])).mapInArrow(run, schema(docs, carry, _FOUND))
+
+
+def _search(docs: DataFrame, benchmark: DataFrame, width: int, item_col: str, item_text: str, text: str, carry: list[str]) -> DataFrame:
+    """``carry`` columns of ``docs`` plus ``_words``, ``_hit``, ``_items``: one row per document row.
+
+    One block is collected, searched and let go before the next: its hits go to a written table. Several blocks' hits are put together by a hash of the text,
+    which is all a hit depends on; documents without any hit are in no such table.
+    """
+    windows = cut(item_windows(benchmark, width, item_col, item_text), "windows")
+    blocks = _blocks(windows)
+    if len(blocks) == 1:
+        tables = _tables(blocks[0].toLocalIterator())
+        forget(windows)
+        return _searched(docs, tables, text, carry)
+    parts = []
+    for block in blocks:
+        tables = _tables(block.toLocalIterator())
+        one = docs.select(F.col(text).alias("_text")).filter("_text is not null")
+        hits = _searched(one.withColumn("_h", _text_name(F.col("_text"))), tables, "_text", ["_h"])
+        parts.append(cut(hits.filter(F.size("_hit") > 0).select("_h", "_hit", "_items").dropDuplicates(["_h"]), "hits"))
+    forget(windows)
+    both = reduce(DataFrame.unionByName, parts)
+    both = both.groupBy("_h").agg(F.array_sort(F.flatten(F.collect_list("_hit"))).alias("_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("_items")))).alias("_items"))  # a row for each block at most
+    counted = _searched(docs.withColumn("_h", _text_name(F.col(text))), (WuManber([]), {}), text, [*carry, "_h"]).drop("_hit", "_items")
+    found = counted.join(both, "_h", "left")
+    none = {"_hit": "array<array<bigint>>", "_items": "array<string>"}
+    return found.select(*carry, "_words", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in none.items()])
+
+
+def _text_name(text: Column) -> Column:
+    """What equal texts, and no others, have in common."""
+    return F.sha2(text, 256)
 
 
 def _n_hit():
@@ -169,21 +206,17 @@ def _n_hit():
     )
 
 
-def _parts(benchmark: DataFrame, width: int, item_col: str, item_text: str) -> list:
-    return [_tables(b.collect(), width) for b in _blocks(benchmark, item_col, item_text)]
-
-
 def occurrences(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Where windows of benchmark items occur in documents.
 
     One row per document row: ``doc_id, n_words``, ``hit`` (ranges of word numbers, end exclusive) and
     ``items`` (sorted ids of items with occurring windows). A null text has no words, a null
     item text no windows, an item without id has windows (they count as hits) but is not in ``items``, items without words match nothing, repeated rows are handled one by one;
-    other columns are ignored. A benchmark beyond ``BLOCK_BYTES`` is searched block by block and the
-    blocks' hits are united per document.
+    other columns are ignored. A benchmark whose windows exceed ``BLOCK_BYTES`` is searched block by block, one of them on the driver at a time, and the
+    blocks' hits are united per document; items of any size are cut into windows first.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    found = _search(docs, _parts(benchmark, width, item_col, item_text), "text", ["doc_id"])
+    found = _search(docs, benchmark, width, item_col, item_text, "text", ["doc_id"])
     return found.select("doc_id", F.col("_words").alias("n_words"), F.col("_hit").alias("hit"), F.col("_items").alias("items"), _n_hit().alias("n_hit"))
 
 
@@ -199,7 +232,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int
     """The documents (all their columns, whatever their names) that are not contaminated; null texts stay."""
     names = docs.columns
     carry = [f"c{i}" for i in range(len(names))]
-    found = _search(docs.toDF(*carry), _parts(benchmark, width, "item_id", "text"), carry[names.index(text_col)], carry).withColumn("_n", _n_hit())
+    found = _search(docs.toDF(*carry), benchmark, width, "item_id", "text", carry[names.index(text_col)], carry).withColumn("_n", _n_hit())
     return found.filter(~((F.col("_n") > 0) & (F.col("_n") * share >= F.col("_words")))).select(*carry).toDF(*names)
 
 

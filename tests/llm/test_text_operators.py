@@ -73,6 +73,19 @@ def test_items_without_id_contaminate(spark, monkeypatch, block):
     assert [r["doc_id"] for r in decontamination.clean(docs, bench).collect()] == [2]
 
 
+def test_one_item_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 2000)
+    rng = random.Random(30)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    items = [(1, " ".join(long)), (2, "a few other words")]
+    rows = [(k, " ".join(long[a : a + n])) for k, (a, n) in enumerate([(0, 12), (0, 13), (50, 30), (380, 20), (0, 400)])] + [(9, "a few other words"), (10, None), (11, " ".join(long[:13])), (11, "w")]
+    docs, bench = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    assert len(decontamination._blocks(decontamination.item_windows(bench))) > 5
+    out = decontamination.contamination(docs, bench).collect()
+    got = sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in out)
+    assert got == sorted((d, *decontamination.brute_force([(d, t)], [(str(i), x) for i, x in items])[d]) for d, t in rows)
+
+
 def test_decontamination_of_odd_rows(spark, odd):
     bench = spark.createDataFrame([(1, "word")], "item_id bigint, text string")
     rows = decontamination.contamination(odd, bench).collect()
