@@ -1,9 +1,9 @@
 """License scans with DataFrame functions only.
 
-Units of a text are its lines and, if it is short enough, the whole text. A unit is normalised to
-lower-case words of a-z and 0-9 and compared to every template whose number of distinct word bigrams allows the
+A text is normalised to lower-case words of a-z and 0-9, all of it, whatever its length. Its windows (runs of words that begin and end in
+a template's wording), its lines and itself are compared to every template whose number of distinct word bigrams allows the
 threshold, by the Dice coefficient of the two bigram sets. Only texts with an anchor are looked at closely:
-anchors are words or pairs of words chosen so that no unit can reach the threshold with a template without one of them.
+anchors are words or pairs of words chosen so that nothing can reach the threshold with a template without one of them.
 """
 
 from __future__ import annotations
@@ -73,6 +73,11 @@ def _bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def known_templates() -> dict[str, tuple[str, ...]]:
+    """All wordings by licence."""
+    return {name: TEMPLATES.get(name, ()) + NOTICES.get(name, ()) for name in sorted({*TEMPLATES, *NOTICES})}
+
+
 def compiled(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, list[str]]]:
     """(licence, sorted distinct bigrams) of each template with two words at least."""
     return [(name, b) for name, texts in sorted(templates.items()) for t in texts if (b := _bigrams(_words(t)))]
@@ -170,17 +175,18 @@ def _window_matches(text: Column, templates: list[tuple[str, list[str]]], thresh
     return _let(_grams(text), lambda g: _let(hits(g), lambda h: of_text(g, h)))
 
 
-def license_notices(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_licenses, license, dice, shared, licenses: licences whose wording stands anywhere in a text.
 
     The words of the whole text are one sequence: line ends, comment signs and other words around a notice do not matter, nor does the
     length of the text. A window starts at any bigram of a template, spans the template's n bigrams or its upper bound
-    (1.5 n), and ends at the last bigram of the template in that span. Lines and whole texts count as windows too. license: of the match
+    (1.5 n), and ends at the last bigram of the template in that span. The window with the highest
+    coefficient is the template's match; lines and whole texts that reach the threshold are matches too. license: of the match
     that shares most bigrams (then the higher dice, then the alphabetically first), dice and shared: its figures, null
-    without a match; licenses: all found, sorted, comma-joined; n_licenses: how many. Rows as in ``license_scan``.
+    without a match; licenses: all found, sorted, comma-joined, empty without; n_licenses: how many. Null and empty texts have no match;
+    repeated rows are scanned one by one; other columns are ignored; lines end at line feeds and upper case is A-Z only.
     """
-    both = {name: TEMPLATES.get(name, ()) + NOTICES.get(name, ()) for name in {*TEMPLATES, *NOTICES}}
-    ready = compiled(both if templates is None else templates)
+    ready = compiled(known_templates() if templates is None else templates)
     if not ready:
         raise ValueError("no template has two words")
     plain = F.replace(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u0130"), F.lit(" ")), F.lit("\u212a"), F.lit(" "))
@@ -205,62 +211,38 @@ def license_notices(docs: DataFrame, templates: dict[str, tuple[str, ...]] | Non
     return rows.select("doc_id", F.size(names).cast("bigint").alias("n_licenses"), top["name"].alias("license"), (-top["d"]).alias("dice"), (-top["s"]).cast("bigint").alias("shared"), F.array_join(names, ",").alias("licenses"))
 
 
-def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document row: doc_id, n_matches, license, dice, licenses.
-
-    n_matches: pairs of a unit and a template that reach the threshold; license and dice: of the best pair (the
-    alphabetically first licence of equals), null without a match; licenses: all found, sorted, comma-joined,
-    empty without. Null and empty texts have no match; repeated rows are scanned one by one; other
-    columns are ignored; units are cut at line feeds and upper case is A-Z only.
-    """
-    ready = compiled(TEMPLATES if templates is None else templates)
-    if not ready:
-        raise ValueError("no template has two words")
-    most = max(len(g) for _, g in ready)
-    # Only A-Z are to become a-z. ``lower`` is fast; the two characters it would turn into ASCII letters go before it.
-    plain = F.replace(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u0130"), F.lit(" ")), F.lit("\u212a"), F.lit(" "))
-    # a projection of its own: it is used many times below and made once
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.lower(plain).alias("low"))
-    low = F.col("low")
-    has = None
-    for anchor in anchors(ready, threshold):
-        one = F.contains(low, F.lit(anchor[0]))
-        for w in anchor[1:]:
-            one = one & F.contains(low, F.lit(w))
-        has = one if has is None else has | one
-    # a whole text of one line is that line; longer ones only up to the longest template's bound in distinct bigrams
-    norm = lambda c: F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
-    lines = F.transform(F.split(low, "\n"), norm)
-    lines = F.filter(lines, lambda u: F.length(u) - F.length(F.translate(u, " ", "")) >= 1)
-    whole = F.when((F.instr(low, "\n") > 0) & (F.length(low) <= 40 * 10 * most), F.array(norm(low))).otherwise(F.array().cast("array<string>"))
-    found = F.when(has, _unit_matches(F.concat(lines, whole), ready, threshold)).otherwise(F.array().cast("array<struct<shared:int,both:int,name:string>>"))
-    best = F.array_max(F.transform("found", lambda x: x["shared"] * F.lit(2.0) / x["both"]))
-    # what follows uses the matches several times: they are made once, below a generator that keeps every row
-    rows = docs.select("doc_id", F.explode(F.array(found)).alias("found")).withColumn("dice", best)
-    return rows.select(
-        "doc_id", F.size("found").cast("bigint").alias("n_matches"),
-        F.array_min(F.transform(F.filter("found", lambda x: x["shared"] * F.lit(2.0) / x["both"] == F.col("dice")), lambda x: x["name"])).alias("license"),
-        "dice", F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["name"]))), ",").alias("licenses"),
-    )
-
-
 def oracle_sql(table: str = "documents", templates: dict[str, tuple[str, ...]] | None = None, threshold: Fraction = THRESHOLD) -> str:
-    """The same rows in DuckDB's SQL, without anchors."""
-    ready = compiled(TEMPLATES if templates is None else templates)
-    most = max(len(g) for _, g in ready)
-    values = ", ".join(f"('{n}', [{', '.join(repr(x) for x in g)}])" for n, g in ready)
+    """The same rows in DuckDB's SQL, without anchors and without any limit of length."""
+    ready = compiled(known_templates() if templates is None else templates)
+    values = ", ".join(f"({i}, '{n}', {len(g)}, {bounds(len(g), threshold)[0]}, {bounds(len(g), threshold)[1]}, [{', '.join(repr(x) for x in g)}])" for i, (n, g) in enumerate(ready))
+    reached = f"{2 * threshold.denominator} * shared >= {threshold.numerator} * both_n"
     return f"""
-WITH t(name, grams) AS (VALUES {values}),
+WITH t(tid, name, n, lo, hi, grams) AS (VALUES {values}),
+tg AS (SELECT tid, unnest(grams) AS gram FROM t),
 d AS (SELECT row_number() OVER () AS row_no, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM {table}),
-u AS (
-  SELECT row_no, unnest(string_split(low, chr(10))) AS unit FROM d
-  UNION ALL SELECT row_no, low FROM d WHERE contains(low, chr(10)) AND length(low) <= {40 * 10 * most}
+whole AS (SELECT row_no, string_split(trim(regexp_replace(low, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM d),
+g AS (SELECT row_no, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS grams FROM whole WHERE len(w) > 1),
+p AS (SELECT row_no, unnest(grams) AS gram, unnest(range(0, len(grams))) AS at FROM g),
+h AS (SELECT p.row_no, tg.tid, p.at, p.gram FROM p JOIN tg ON p.gram = tg.gram),
+enough AS (SELECT h.row_no, h.tid FROM h JOIN t ON h.tid = t.tid GROUP BY h.row_no, h.tid, t.lo HAVING count(DISTINCT h.gram) >= t.lo),
+hs AS (SELECT h.* FROM h JOIN enough e ON h.row_no = e.row_no AND h.tid = e.tid),
+win AS (
+  SELECT a.row_no, a.tid, a.at AS first, s.span, count(*) AS inside, count(DISTINCT b.gram) AS shared, max(b.at) AS last
+  FROM hs a JOIN t ON a.tid = t.tid JOIN (SELECT tid, n AS span FROM t UNION SELECT tid, hi FROM t) s ON a.tid = s.tid
+  JOIN hs b ON a.row_no = b.row_no AND a.tid = b.tid AND b.at >= a.at AND b.at < a.at + s.span
+  GROUP BY a.row_no, a.tid, a.at, s.span
+),
+wm AS (
+  SELECT win.row_no, win.tid, t.name, win.shared, t.n + len(list_distinct(list_slice(g.grams, win.first + 1, win.last + 1))) AS both_n
+  FROM win JOIN t ON win.tid = t.tid JOIN g ON win.row_no = g.row_no WHERE win.inside >= t.lo
 ),
-n AS (SELECT row_no, string_split(trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
-g AS (SELECT row_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM n WHERE len(w) > 1),
-m AS (SELECT row_no, name, len(list_intersect(g.grams, t.grams)) AS shared, len(g.grams) + len(t.grams) AS both_n FROM g, t),
-k AS (SELECT row_no, name, 2.0::DOUBLE * shared / both_n AS dice FROM m WHERE {2 * threshold.denominator} * shared >= {threshold.numerator} * both_n),
-r AS (SELECT row_no, count(*) AS n_matches, max(dice) AS dice, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM k GROUP BY row_no),
-b AS (SELECT k.row_no, min(k.name) AS license FROM k JOIN r ON k.row_no = r.row_no AND k.dice = r.dice GROUP BY k.row_no)
-SELECT doc_id, coalesce(n_matches, 0)::BIGINT AS n_matches, license, dice, coalesce(licenses, '') AS licenses
-FROM d LEFT JOIN r ON d.row_no = r.row_no LEFT JOIN b ON d.row_no = b.row_no"""
+u AS (SELECT row_no, unnest(string_split(low, chr(10))) AS unit FROM d UNION ALL SELECT row_no, low FROM d),
+un AS (SELECT row_no, string_split(trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
+ug AS (SELECT row_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM un WHERE len(w) > 1),
+um AS (SELECT row_no, t.name, len(list_intersect(ug.grams, t.grams)) AS shared, len(ug.grams) + t.n AS both_n FROM ug, t WHERE len(ug.grams) BETWEEN t.lo AND t.hi),
+wb AS (SELECT row_no, name, shared, both_n FROM wm WHERE {reached} QUALIFY row_number() OVER (PARTITION BY row_no, tid ORDER BY 2.0::DOUBLE * shared / both_n DESC, shared DESC) = 1),
+k AS (SELECT row_no, name, shared, 2.0::DOUBLE * shared / both_n AS dice FROM (SELECT * FROM wb UNION ALL SELECT * FROM um) WHERE {reached}),
+best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY shared DESC, dice DESC, name) = 1),
+r AS (SELECT row_no, count(DISTINCT name) AS n_licenses, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM k GROUP BY row_no)
+SELECT doc_id, coalesce(n_licenses, 0)::BIGINT AS n_licenses, best.name AS license, best.dice, best.shared::BIGINT AS shared, coalesce(licenses, '') AS licenses
+FROM d LEFT JOIN r ON d.row_no = r.row_no LEFT JOIN best ON d.row_no = best.row_no"""

@@ -18,10 +18,6 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
-def op1_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_notices(table(spark, sf_dir, "documents"))
-
-
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.sql("SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -62,7 +58,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
-    "op1_license_notices": op1_license_notices,
     "op2_chat_format": op2_chat_format,
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
