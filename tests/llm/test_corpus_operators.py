@@ -159,17 +159,111 @@ def test_toxicity_without_labels(spark):
     assert toxicity.toxicity(df.limit(0), none).count() == 0
 
 
-def test_label_model_finds_accuracies():
+def test_label_model_finds_accuracies_and_correlations():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    y = rng.random(3000) < 0.3
-    fire = np.array([0.6, 0.3, 0.3])
-    votes = ((rng.random((3000, 3)) < np.where(y[:, None], fire, [0.02, 0.01, 0.2]))).astype(np.float32)
-    seed = np.where(rng.random(3000) < 0.05, ~y, y).astype(float)
-    post, a, b, _ = toxicity.label_model(votes, seed)
-    assert abs(a[0] - 0.6) < 0.15 and b[0] < 0.06 and b[2] > 0.1
-    assert ((post > 0.5) == y).mean() > ((seed > 0.5) == y).mean() - 0.01
+    n = 6000
+    y = rng.random(n) < 0.3
+    fire = lambda one, zero: rng.random(n) < np.where(y, one, zero)
+    votes = [fire(0.6, 0.02), fire(0.3, 0.01), fire(0.3, 0.2), fire(0.05, 0.5)]
+    votes.append(np.where(rng.random(n) < 0.9, votes[0], fire(0.3, 0.05)))  # hardly more than a copy of the first
+    votes = np.array(votes).T.astype(np.uint8)
+    seed = np.where(rng.random(n) < 0.05, ~y, y).astype(float)
+    post, a, b, parent = toxicity.label_model(votes, seed)
+    for k in range(5):
+        assert abs(a[k] - votes[y, k].mean()) < 0.05 and abs(b[k] - votes[~y, k].mean()) < 0.05
+    assert {(k, int(p)) for k, p in enumerate(parent) if p >= 0} in ({(4, 0)}, {(0, 4)})
+    assert ((post > 0.5) == y).mean() >= ((seed > 0.5) == y).mean()
+    # the copy adds next to nothing: without it the classes are nearly the same
+    alone = toxicity.label_model(votes[:, :4], seed)[0]
+    assert np.abs(post - alone).mean() < 0.01
+    nothing = toxicity.label_model(np.zeros((0, 0), np.uint8), np.zeros(0))
+    assert len(nothing[0]) == 0
+
+
+def test_forest_equals_the_best_of_all_forests():
+    """Greatest mutual information within the classes, against trying all parents of four voters."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    n = 1500
+    y = rng.random(n) < 0.4
+    v = [rng.random(n) < np.where(y, 0.5, 0.1)]
+    for k in (0, 0, 1):
+        v.append(np.where(rng.random(n) < 0.6, v[k], rng.random(n) < 0.3))
+    x = np.array(v).T.astype(np.uint8)
+
+    def information(i, j):
+        total = 0.0
+        for side in (y, ~y):
+            m = side.sum()
+            for p, q in itertools.product((0, 1), repeat=2):
+                r = ((x[:, i] == p) & (x[:, j] == q) & side).sum()
+                total += 2 * r * np.log(r * m / (((x[:, i] == p) & side).sum() * ((x[:, j] == q) & side).sum()))
+        return total
+
+    gain = {(i, j): information(i, j) for i in range(4) for j in range(i + 1, 4)}
+    acyclic = [e for e in itertools.combinations(gain, 3) if len({z for i, j in e for z in (i, j)}) == 4]
+    best = max(acyclic, key=lambda e: sum(gain[z] for z in e))
+    parent = toxicity.tree(x, y.astype(float))
+    assert {tuple(sorted((k, int(p)))) for k, p in enumerate(parent) if p >= 0} == set(best)
+
+
+def test_regression_is_at_its_optimum():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = (rng.random((400, 6)) < 0.3).astype(np.float32)
+    post = 1 / (1 + np.exp(-(x @ np.array([2, 1, 0, -1, 0.5, 0]) - 0.5)))
+    w, bias = toxicity._regression(x, post, ridge=1e-2)
+    weight = np.where(post > 0.5, 0.5 * 400 / (post > 0.5).sum(), 0.5 * 400 / (post <= 0.5).sum())
+
+    def loss(w, b):
+        z = x @ w + b
+        return (weight * (np.logaddexp(0, z) - post * z)).sum() + 0.5 * 0.1 * (w * w).sum() + 0.5e-3 * b * b
+
+    assert all(loss(w, bias) <= loss(w + 0.05 * rng.normal(size=6), bias + 0.05 * rng.normal()) + 1e-6 for _ in range(300))
+
+
+def test_fixed_patterns_equal_plain_rules():
+    import re
+
+    rng = random.Random(15)
+    pool = ["you", "idiot", "IDIOT", "the", "THE", "please", "soooo", "what??", "no!", "yes!!", "du", "trottel", "müll", "usted", "basura,", "ABCDEFGHIJ KLMNOPQRST", "aaa", "x"]
+    texts = [" ".join(rng.choices(pool, k=rng.randint(0, 12))) for _ in range(600)] + ["", "!", "!!"]
+    found, row = toxicity.patterns([t.encode() for t in texts])
+    got = [set() for _ in texts]
+    for p, r in zip(found.tolist(), row.tolist(), strict=True):
+        if p < len(toxicity.FIXED):
+            got[r].add(toxicity.FIXED[p])
+    for t, g in zip(texts, got, strict=True):
+        w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", t.lower())
+        listed = [k for k, x in enumerate(w) if x in toxicity.INSULTS]
+        you = [k for k, x in enumerate(w) if x in toxicity.SECOND_PERSON]
+        ups, lows = len(re.findall("[A-Z]", t)), len(re.findall("[a-z]", t))
+        rules = [
+            bool(listed), len(listed) > 1, any(-4 <= u - k <= 2 and u != k for k in listed for u in you), ups + lows >= 20 and ups >= 0.6 * (ups + lows),
+            bool(re.search("[!?][!?]", t)), bool(re.search(r"([A-Za-z])\1\1\1", t)), any(x in toxicity.POLITE for x in w),
+        ]
+        rules.append(not any(rules[:6]))
+        assert g == {name for name, on in zip(toxicity.FIXED, rules, strict=True) if on}, t
+
+
+def test_words_of_both_classes_vote(spark):
+    """A made-up word of the toxic class and one of the clean class, neither on a list, both get weight; there is no cap on voters."""
+    rng = random.Random(16)
+    docs, labels = [], []
+    for d in range(1500):
+        y = int(rng.random() < 0.3)
+        w = [f"w{rng.randrange(300)}" for _ in range(30)] + [f"{'bad' if y else 'good'}{rng.randrange(700 if y else 3)}x" for _ in range(25 if y else 1)]
+        docs.append((d, " ".join(w)))
+        labels.append((d, y))
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int"))
+    signs = [(one > zero) for p, one, zero, _ in model.voters if p >= len(toxicity.FIXED)]
+    assert sum(signs) > 600 and signs.count(False) >= 2
 
 
 # --- languages ---
