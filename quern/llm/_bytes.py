@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
 

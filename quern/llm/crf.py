@@ -72,7 +72,7 @@ class Chain:
         a = 0
         while a < len(order):
             longest, b = int(length[order[a]]) * 2 + 8, a
-            most = max(1, 400_000 // longest)
+            most = max(1, 100_000 // longest)
             b = a + int(np.searchsorted(length[order[a : a + most]], longest, side="right"))
             some = order[a:b]
             size = length[some]

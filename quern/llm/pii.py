@@ -277,35 +277,42 @@ class Field:
 
     def __init__(self, chain: Chain):
         self.chain = chain
-        self.tokens = Remembered(self._scores, 200_000)
+        self.tokens = Remembered(self._kinds, 0)
         self.words = {x.split(" ", 2)[2].encode("latin-1") for x in chain.number if x.split(" ")[1:2] == ["word"] and x.count(" ") > 1}
-        self.by_class: dict[bytes, np.ndarray] = {}
         self.edge = self._places(_EDGE)
+        self.by_class: dict[bytes, np.ndarray] = {}
 
     def _places(self, traits: list[str]) -> np.ndarray:
         """[place, label] scores that a token with these traits adds at itself and at its neighbours."""
         return np.stack([self.chain.weights[self.chain.known(_features_at(d, traits))].sum(axis=0) for d in PLACES]).astype(np.float32)
 
-    def _scores(self, parts: list[bytes]) -> list[np.ndarray]:
-        """Scores of distinct tokens. Most tokens have no trait of their own that is known: they score by the classes of their bytes, remembered by these."""
+    def _kinds(self, parts: list[bytes]) -> list[bytes]:
+        """What decides the scores of each token: the classes of its bytes, or for some tokens the bytes themselves, marked by a zero byte."""
         out = []
         for p in parts:
             core = p.strip(_EDGES)
-            if core.lower() in self.words or b"=" in p or p[-1:] == b":" or (len(core) >= 16 and not core.isalpha()):
-                out.append(self._places(_traits(p)))
-                continue
-            kinds = p.translate(_CLASS)
-            if (v := self.by_class.get(kinds)) is None:
-                v = self._places(_class_traits(kinds))
-                if len(kinds) <= 64 and len(self.by_class) < 100_000:
-                    self.by_class[kinds] = v
-            out.append(v)
+            own = core.lower() in self.words or b"=" in p or p[-1:] == b":" or p[:1] == b"\0" or (len(core) >= 16 and not core.isalpha())
+            out.append(b"\0" + p if own else p.translate(_CLASS))
         return out
 
+    def _scores(self, kinds: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores [kind, place, label] of the distinct kinds, and the number of the kind of each."""
+        number: dict[bytes, int] = {}
+        of = np.fromiter((number.setdefault(k, len(number)) for k in kinds), np.int64, len(kinds))
+        made = []
+        for k in number:
+            if (v := self.by_class.get(k)) is None:
+                v = self._places(_traits(k[1:]) if k[:1] == b"\0" else _class_traits(k))
+                if len(k) <= 32 and len(self.by_class) < 20_000:
+                    self.by_class[k] = v
+            made.append(v)
+        return np.stack(made), of
+
     def emissions(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Scores [token, label]; ``at``: where the tokens of each text begin, and their number."""
-        values, place = self.tokens(data, begin, end)
-        table = np.stack(values)
+        kinds, token = self.tokens(data, begin, end)
+        table, of = self._scores(kinds)
+        place = of[token]
         n = len(begin)
         out = np.zeros((n, table.shape[2]), np.float32)
         row = np.repeat(np.arange(len(at) - 1), np.diff(at))
@@ -318,7 +325,7 @@ class Field:
             if known := self.chain.known([name]):
                 j = np.arange(n) + d
                 inside = (j >= first) & (j < last)
-                out[inside & (place[np.clip(j, 0, n - 1)] == place)] += self.chain.weights[known[0]].astype(np.float32)
+                out[inside & (token[np.clip(j, 0, n - 1)] == token)] += self.chain.weights[known[0]].astype(np.float32)
         return out
 
     def labels(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
