@@ -122,7 +122,7 @@ def ensured_metadata(content: str, title: str, sources: list[str], today: str) -
             if end[1] == "---" and t.rstrip().endswith("```") and t.count("```") % 2:
                 t = t.rstrip()[:-3].rstrip() + "\n"
     m = re.match(r"---\s*\n(.*?)\n---\s*\n?", t, re.S)
-    lines = m[1].split("\n") if m else [f"title: {title}"]
+    lines = m[1].split("\n") if m else [f"title: {json.dumps(title, ensure_ascii=False)}"]
     body = t[m.end() :] if m else t
 
     def put(name: str, value: str):
@@ -138,5 +138,5 @@ def ensured_metadata(content: str, title: str, sources: list[str], today: str) -
         lines[:] = [*kept, f"{name}: {value}"]
 
     put("sources", json.dumps(sorted(sources), ensure_ascii=False))
-    put("compiled", today)
+    put("compiled", json.dumps(today))
     return "---\n" + "\n".join(lines) + "\n---\n\n" + body.lstrip("\n")

@@ -68,8 +68,7 @@ HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#]+)', 1)"
 
 @query(f"SELECT {REL} AS rel, length(text)::BIGINT AS n_chars, {DIGEST_WEB} AS digest FROM documents")
 def raw_scan(spark, sf):
-    d = i.documents(spark, sf).select("doc_id", F.length("text").cast("bigint").alias("n_chars"))
-    return i.raw_web(spark, sf).join(d, "doc_id").select("rel", "n_chars", text.content_digest(F.col("content")).alias("digest"))
+    return i.raw_web(spark, sf).select("rel", F.length("text").cast("bigint").alias("n_chars"), text.content_digest(F.col("content")).alias("digest"))
 
 
 @query(f"SELECT 'web/' || {REL} AS rel, {DIGEST_WEB} AS digest FROM documents UNION ALL SELECT 'label/' || {REL}, {DIGEST_LABEL} FROM documents UNION ALL SELECT 'crawled/' || {REL}, {DIGEST_WEB} FROM documents")
@@ -177,8 +176,7 @@ def raw_language_counts(spark, sf):
 
 @query("SELECT CASE WHEN doc_id % 7 <> 0 THEN 'skipped' WHEN lang IS NULL THEN 'unknown' ELSE 'updated' END AS status, count(*)::BIGINT AS n FROM documents GROUP BY 1")
 def migrate_lang_counts(spark, sf):
-    p = i.raw_web(spark, sf, lang=i.some_unknown()).join(i.documents(spark, sf).select("doc_id", F.col("lang").alias("detected")), "doc_id")
-    p = p.select("detected", text.block(F.col("content")).isNotNull().alias("has_block"), text.page_language(F.col("content")).alias("language"))
+    p = i.raw_web(spark, sf, lang=i.some_unknown()).select(F.col("lang").alias("detected"), text.block(F.col("content")).isNotNull().alias("has_block"), text.page_language(F.col("content")).alias("language"))
     return pages.migrate_language_status(p).groupBy("status").agg(F.count("*").alias("n"))
 
 
@@ -220,7 +218,7 @@ SELECT batch::BIGINT AS batch, count(*)::BIGINT AS n, min(digest) AS first_diges
 )
 def distill_batches(spark, sf):
     new = pages.group_pages(i.raw_label(spark, sf)).select("digest").join(_store(spark, sf), "digest", "left_anti")
-    return distill.batches(new)
+    return distill.batches(cut(new, "new"))
 
 
 def _member_rows(spark, sf):
@@ -237,20 +235,22 @@ def unassigned(spark, sf):
 _LIVE = f"(SELECT DISTINCT digest FROM {GROUPS} WHERE doc_id IN (SELECT doc_id FROM labels) AND source <> 'src6')"
 
 
-def _live(spark, sf):
-    rows = _member_rows(spark, sf).filter("slug <> 'src6'")
+def _live(spark, sf, rows=None):
+    rows = (_member_rows(spark, sf) if rows is None else rows).filter("slug <> 'src6'")
     return rows.join(i.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("digest").distinct()
 
 
 @query(f"SELECT source AS slug, count(DISTINCT digest)::BIGINT AS members, {FINGERPRINT('digest')} AS fingerprint FROM {GROUPS} WHERE digest IN (SELECT digest FROM {_LIVE}) GROUP BY source")
 def prune_clusters(spark, sf):
-    kept, _ = inventory.prune(_member_rows(spark, sf), _live(spark, sf))
+    rows = cut(_member_rows(spark, sf), "members")  # digests are made once
+    kept, _ = inventory.prune(rows, _live(spark, sf, rows))
     return kept.select("slug", F.size("members").cast("bigint").alias("members"), "fingerprint")
 
 
 @query(f"SELECT DISTINCT source AS slug FROM {GROUPS} WHERE source NOT IN (SELECT source FROM {GROUPS} WHERE digest IN (SELECT digest FROM {_LIVE}))")
 def pruned_empty(spark, sf):
-    return inventory.prune(_member_rows(spark, sf), _live(spark, sf))[1]
+    rows = cut(_member_rows(spark, sf), "members")
+    return inventory.prune(rows, _live(spark, sf, rows))[1]
 
 
 _REPLY = f"(SELECT DISTINCT digest, 'src' || (('0x' || substr(digest, 8, 2))::INTEGER % 24) AS slug FROM {GROUPS})"
@@ -469,16 +469,8 @@ def article_domains(spark, sf):
     return retrieval.article_domains(a, p).select("name", F.array_join("domains", ",").alias("domains"))
 
 
-@query(f"WITH {_ENT}, {_TG}, v AS (SELECT DISTINCT id FROM f WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 3)) SELECT 'node' AS kind, id FROM v UNION ALL SELECT 'edge', ord FROM te WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
-def graph_restrict(spark, sf):
-    nodes = i.terms(spark, sf)
-    a = i.articles(spark, sf).orderBy("doc_id").limit(3)
-    n, e = graph.restrict(graph.article_entities(a, graph.terms_of(nodes)), nodes, i.term_edges(nodes))
-    return n.select(F.lit("node").alias("kind"), "id").unionByName(e.select(F.lit("edge").alias("kind"), F.col("ord").alias("id")))
-
-
 @query(f"WITH {_ENT}, {_TG}, v AS (SELECT DISTINCT id FROM f WHERE doc_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src2'))) SELECT 'node' AS kind, id FROM v UNION ALL SELECT 'edge', ord FROM te WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
-def graph_restrict_view(spark, sf):
+def graph_restrict(spark, sf):
     """The graph of all articles of two whole sources, however many they are."""
     nodes = i.terms(spark, sf)
     a = i.articles(spark, sf, ["src1", "src2"])
@@ -589,7 +581,11 @@ def crawl_block_status(spark, sf):
     return crawl.block_status(i.crawl_log(spark, sf)).withColumn("top_status", F.col("top_status").cast("string"))
 
 
-@query()
+@query(
+    f"""WITH x AS (SELECT {HOST} AS domain, regexp_replace(split_part(url, '#', 1), '/+$', '') AS url, row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1 AS ord FROM pages),
+m AS (SELECT domain, url, min(ord) AS ord FROM x GROUP BY domain, url), n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ord) AS k FROM m)
+SELECT domain, url, ord::BIGINT AS ord FROM n WHERE k <= 5000"""
+)
 def sitemap_urls(spark, sf):
     from quern.sources import sitemap
 
@@ -635,9 +631,13 @@ def pending_pages(spark, sf):
     return documents.pending(d, m).select(F.col("key").alias("doc"), F.array_join(F.transform("pending", lambda x: x.cast("string")), ",").alias("pending"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT conv_id, turn, [left(text, 60), text, '', 'One? ', role || '?', 'Two?', 'Three?'] AS x FROM conversations WHERE turn % 3 <> 2)
+SELECT conv_id, turn, unnest(list_transform(list_filter(x, lambda v: v IS NOT NULL AND trim(v, E' \\n\\t') <> '' AND length(trim(v, E' \\n\\t')) <= 120), lambda v: trim(v, E' \\n\\t'))[1:4]) AS question FROM c"""
+)
 def suggestions_parse(spark, sf):
-    replies = [(1, '["What is it?", "Where is it?"]'), (2, '```json\n["A?", 3, "B?", "C?", "D?", "E?"]\n```'), (3, "none"), (4, 'Here: ["' + "x" * 130 + '", "short?"] done'), (5, "[broken")]
-    df = spark.createDataFrame(replies, "reply_id bigint, reply string")
-    return df.select("reply_id", F.explode(suggestion_list("reply")).alias("question"))
-
+    """Each message as a model's reply: a fenced list, a list within prose, or none at all."""
+    c = i.table(spark, sf, "conversations")
+    found = F.to_json(F.array(F.left("text", F.lit(60)), "text", F.lit(""), F.lit("One? "), F.concat("role", F.lit("?")), F.lit("Two?"), F.lit("Three?")))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("```json\n"), found, F.lit("\n```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("Here they are: "), found, F.lit(" (done)"))).otherwise("none")
+    return c.select("conv_id", "turn", F.explode(suggestion_list(reply)).alias("question"))

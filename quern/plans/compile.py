@@ -1,7 +1,7 @@
 """The compile run: distil, assign, write, connect; each step touches only what changed.
 
-State is a folder of Parquet versions. A version becomes current when its number is written to a pointer file, by rename,
-after all its tables are complete: a run that dies leaves the state before it.
+State is a folder of Parquet versions. A version counts once its marker file exists, which is made after all its tables are
+complete; the highest one that counts is the current one. Nothing is ever moved or pointed elsewhere: a run that dies leaves the state before it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ META = "fingerprint string"
 TABLES = {"store": STORE, "clusters": CLUSTERS, "articles": ARTICLES, "nodes": NODES, "edges": EDGES, "meta": META}
 
 Call = Callable[[str, str, int], str]
+#: The file that makes a version count, and how many versions stay.
+MARKER, KEEP = "_COMPLETE", 2
 
 
 class State:
@@ -34,17 +36,24 @@ class State:
         self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def versions(self) -> list[int]:
+        """Numbers of all complete versions, rising."""
+        if not self.fs.exists(self.path(self.root)):
+            return []
+        names = [s.getPath().getName() for s in self.fs.listStatus(self.path(self.root))]
+        numbers = sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit())
+        return [n for n in numbers if self.fs.exists(self.path(f"{self.root}/v={n}/{MARKER}"))]
+
     def version(self) -> int | None:
-        """The current version; none before the first run or with a broken pointer."""
-        try:
-            stream = self.fs.open(self.path(f"{self.root}/CURRENT"))
-        except Exception as e:  # noqa: BLE001  only a missing pointer means an empty state
-            if "FileNotFound" in str(e):
-                return None
-            raise
-        raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        return int(raw) if raw.strip().isdigit() else None
+        """The current version; none before the first run."""
+        return (self.versions() or [None])[-1]
+
+    def complete(self, version: int, keep: int = KEEP) -> None:
+        """Let a version count whose tables are all written; all but the last ``keep`` complete ones are deleted."""
+        self.fs.create(self.path(f"{self.root}/v={version}/{MARKER}"), True).close()
+        for old in self.versions()[:-keep]:
+            self.fs.delete(self.path(f"{self.root}/v={old}/{MARKER}"), False)
+            self.fs.delete(self.path(f"{self.root}/v={old}"), True)
 
     def read(self, table: str) -> DataFrame:
         v = self.version()
@@ -60,13 +69,7 @@ class State:
             df = tables[name] if name in tables else self.read(name)
             want = [c.split(" ")[0] for c in _columns(TABLES[name])]
             df.select(*want).write.mode("overwrite").parquet(f"{self.root}/v={new}/{name}")
-        temp, final = self.path(f"{self.root}/CURRENT.tmp"), self.path(f"{self.root}/CURRENT")
-        out = self.fs.create(temp, True)
-        out.write(bytearray(str(new).encode()))
-        out.close()
-        self.fs.delete(final, False)
-        if not self.fs.rename(temp, final):
-            raise RuntimeError("the pointer to the new version could not be put in place")
+        self.complete(new)
         return new
 
 

@@ -27,7 +27,7 @@ def _raw(spark, sf_dir, domain, lang=None, crawled=False) -> DataFrame:
     line = F.when(lang.isNotNull(), F.concat(F.lit('language: "'), lang, F.lit('"\n'))).otherwise(F.lit(""))
     extra = F.concat(F.lit('crawled: "2026-01-'), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit('"\n')) if crawled else F.lit("")
     content = F.concat(F.lit('---\ndomain: "'), domain, F.lit('"\n'), extra, line, F.lit("---\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
-    return documents(spark, sf_dir).select("doc_id", rel().alias("rel"), content.alias("content"))
+    return documents(spark, sf_dir).select("doc_id", "text", "lang", rel().alias("rel"), content.alias("content"))
 
 
 def raw_web(spark, sf_dir, **how) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import zipfile
 from datetime import datetime
 from pathlib import Path
@@ -89,21 +90,31 @@ def export_name(now: datetime) -> str:
     return f"export-{now:%Y-%m-%d-%H%M}.zip"
 
 
-def write_export(data: str, target: str, chats: bool = True) -> tuple[int, int]:
-    """A ZIP of a data folder, (files, bytes); refused inside the folder itself, and put in place when complete."""
+def write_export(data: str, target: str, chats: bool = True, top: str = "data") -> tuple[int, int]:
+    """A ZIP of a data folder, (files, bytes), all below ``top`` in the archive; refused inside the folder itself.
+
+    Written under a name of its own beside the target and moved onto it when complete; nothing is left behind by a run that fails, and two runs do
+    not meet.
+    """
     root, out = Path(data).resolve(), Path(target).resolve()
-    if root == out or root in out.parents:
+    if not root.is_dir():
+        raise FileNotFoundError(f"no data folder: {data}")
+    if any(p.exists() and p.samefile(root) for p in (out, *out.parents)):
         raise ValueError("the export would contain itself")
+    out.parent.mkdir(parents=True, exist_ok=True)
+    handle, temp = tempfile.mkstemp(prefix=f".{out.name}.", suffix=".tmp", dir=out.parent)
     n = size = 0
-    temp = out.with_name(out.name + ".tmp")
-    with zipfile.ZipFile(temp, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(p for p in root.rglob("*") if p.is_file()):
-            rel = f.relative_to(root).as_posix()
-            if f.name == ".DS_Store" or f.name.endswith(".tmp") or (rel.startswith("chats/") and not chats):
-                continue
-            z.write(f, rel)
-            n, size = n + 1, size + f.stat().st_size
-    os.replace(temp, out)
+    try:
+        with os.fdopen(handle, "wb") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
+            for path in sorted(p for p in root.rglob("*") if p.is_file()):
+                rel = path.relative_to(root).as_posix()
+                if path.name != ".DS_Store" and not path.name.endswith(".tmp") and (chats or not rel.startswith("chats/")):
+                    z.write(path, f"{top}/{rel}")
+                    n, size = n + 1, size + path.stat().st_size
+        os.replace(temp, out)
+    except BaseException:
+        Path(temp).unlink(missing_ok=True)
+        raise
     return n, size
 
 

@@ -15,7 +15,8 @@ LOG = "domain string, seq bigint, ts timestamp, outcome string, code int"
 def compile_stream(spark: SparkSession, arriving: str, corpus: str, state: State, call: Call, checkpoint: str, **options) -> list[Report]:
     """Take in all raw pages (Parquet of ``rel, content``) that arrived since the last run, then compile; returns the batches' reports.
 
-    New pages replace pages of the same path in ``corpus``, a folder of Parquet versions. Without new files there is no batch, and
+    New pages replace pages of the same path in ``corpus``, a folder of Parquet versions; of several of one path in a batch the one in the file
+    written last counts (of files of one moment, the last by name; of rows of one file, the greatest content). Without new files there is no batch, and
     no model call. A batch that is run again after a failure finds what it had finished in the state.
     """
     reports: list[Report] = []
@@ -24,29 +25,19 @@ def compile_stream(spark: SparkSession, arriving: str, corpus: str, state: State
         pages = State(spark, corpus)
         v = pages.version()
         have = spark.read.schema(RAW).parquet(f"{corpus}/v={v}/raw") if v is not None else spark.createDataFrame([], RAW)
-        last = batch.groupBy("rel").agg(F.max("content").alias("content"))
+        last = batch.groupBy("rel").agg(F.max_by("content", F.struct("at", "file", "content")).alias("content"))
         merged = have.join(last.select("rel"), "rel", "left_anti").unionByName(last)
         new = f"{corpus}/v={number}/raw"
         if v != number:
             merged.write.mode("overwrite").parquet(new)
-            _point(pages, number)
+            pages.complete(number)
         reports.append(compile_corpus(spark.read.schema(RAW).parquet(new), state, call, **options))
 
-    stream = spark.readStream.schema(RAW).parquet(arriving)
+    stream = spark.readStream.schema(RAW).parquet(arriving).select("rel", "content", F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_name").alias("file"))
     stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return reports
 
 
-def _point(state: State, version: int) -> None:
-    temp, final = state.path(f"{state.root}/CURRENT.tmp"), state.path(f"{state.root}/CURRENT")
-    out = state.fs.create(temp, True)
-    out.write(bytearray(str(version).encode()))
-    out.close()
-    state.fs.delete(final, False)
-    if not state.fs.rename(temp, final):
-        raise RuntimeError("the pointer to the new version could not be put in place")
-
-
 def latest_status(status: DataFrame, batch: DataFrame) -> DataFrame:
     """Block status by domain, the last crawl of a domain wins; ``batch`` is one crawl's log."""
     new = crawl.block_status(batch.withColumn("domain", F.col("domain")))

@@ -77,6 +77,38 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert report.distilled == 2 and report.pages == 3
 
 
+def test_the_page_that_arrived_last_wins(spark, tmp_path):
+    import os
+
+    for k, body in enumerate(["Zuerst: zzz am Ende.", "Danach: aaa am Anfang."]):
+        raw(spark, [page(1, body)]).coalesce(1).write.parquet(f"{tmp_path}/in", mode="append")
+        for f in os.listdir(tmp_path / "in"):
+            if f.endswith(".parquet") and os.path.getmtime(tmp_path / "in" / f) > 10**9 + 10:
+                os.utime(tmp_path / "in" / f, (10**9 + k, 10**9 + k))
+    state = State(spark, f"file://{tmp_path}/state")
+    compile_stream(spark, f"{tmp_path}/in", f"file://{tmp_path}/corpus", state, EchoModel(), f"{tmp_path}/check")
+    corpus = State(spark, f"file://{tmp_path}/corpus")
+    assert "Danach" in spark.read.parquet(f"{corpus.root}/v={corpus.version()}/raw").first()["content"]
+
+
+def test_a_run_that_dies_leaves_the_state_before_it(spark, tmp_path, monkeypatch):
+    state = State(spark, f"file://{tmp_path}/state")
+    compile_corpus(raw(spark, [page(1, "Eins und mehr.")]), state, EchoModel())
+    assert state.version() == 0
+
+    def dies(version, keep=2):
+        raise OSError("lost")
+
+    monkeypatch.setattr(state, "complete", dies)
+    with pytest.raises(OSError):
+        compile_corpus(raw(spark, [page(1, "Eins und mehr."), page(2, "Zwei und mehr.")]), state, EchoModel())
+    monkeypatch.undo()
+    assert state.version() == 0 and state.read("store").count() == 1
+    for k in range(3, 6):
+        compile_corpus(raw(spark, [page(k, f"Seite {k} und mehr.")]), state, EchoModel())
+    assert state.versions() == [2, 3] and state.read("store").count() == 1
+
+
 def test_crawl_status_of_the_last_crawl_wins(spark):
     log = lambda d, code, n: spark.createDataFrame([(d, k, "failed", code) for k in range(n)], "domain string, seq bigint, outcome string, code int")
     first = latest_status(spark.createDataFrame([], "domain string, ok bigint, failed bigint, blocked boolean, reason string, top_status int"), log("a", 429, 5).union(log("b", 403, 5)))

@@ -32,7 +32,7 @@ def test_queries_and_sql_name_the_same_columns(spark):
         assert con.execute(f"SELECT * FROM ({text}) LIMIT 0").description, name
 
 
-NAMES = ["group_pages", "slugify", "raw_paths", "page_links", "distill_todo", "context_budget", "graph_edges", "merge_preflabel", "chat_tail", "crawl_block_status", "crawl_429_abort", "vision_budget", "pending_pages", "wiki_index"]
+NAMES = ["group_pages", "slugify", "raw_paths", "page_links", "distill_todo", "context_budget", "graph_edges", "merge_preflabel", "chat_tail", "crawl_block_status", "crawl_429_abort", "vision_budget", "pending_pages", "wiki_index", "raw_scan", "migrate_lang_counts", "prune_clusters", "graph_restrict", "sitemap_urls", "suggestions_parse", "bookmark_urls", "crawl_frontier", "distill_batches"]
 
 
 @pytest.mark.parametrize("name", NAMES)

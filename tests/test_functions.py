@@ -78,6 +78,23 @@ def test_page_links(spark):
     assert one(spark, urls.page_links(F.col("h"), F.col("u")), h=doc, u="https://x.de/dir/p") == ["https://x.de/b", "https://x.de/dir/c.html", "https://x.de/d"]
 
 
+LINKS = ["../x", "..", ".", "./y", "?p=2", "?p=2#f", "a/../b", "/a/./b/../c", "../../../q", "", "x y", "p;v=1", "//x.de/d/../e", "https://x.de/a/../b", "http:/odd", "/", "a//b", "/a//b", "q?x=../y", "..hidden", "a/b/..", "a/."]
+
+
+@pytest.mark.parametrize("base", ["https://x.de/a/b/c.html", "https://x.de", "https://x.de/", "https://x.de/a/b/", "https://x.de/a?q=1/2", "https://x.de:80/a//b/c"])
+def test_links_resolve_as_references_do(spark, base):
+    from urllib.parse import urljoin
+
+    df = spark.createDataFrame([(x,) for x in LINKS], "link string").select("link", urls.resolved(F.col("link"), F.lit(base)).alias("got"))
+    clean = lambda x: x.split("#")[0].rstrip("/")
+    assert {r["link"]: clean(r["got"]) for r in df.collect() if r["link"] != "http:/odd"} == {x: clean(urljoin(base, x)) for x in LINKS if x != "http:/odd"}
+
+
+def test_links_unquoted_and_escaped(spark):
+    doc = "<a href=./y>1</a><a href=' /q?a=1&amp;b=2 '>2</a><a data-href='/no' href=\"z\">3</a><abbr href='/no'>4</abbr><a\nclass=k\nhref=/n>5</a>"
+    assert one(spark, urls.page_links(F.col("h"), F.col("u")), h=doc, u="https://x.de/d/p") == ["https://x.de/d/y", "https://x.de/q?a=1&b=2", "https://x.de/d/z", "https://x.de/n"]
+
+
 def test_bookmarks(spark):
     doc = '<DT><A HREF="https://example.com/a">x</A><A HREF="javascript:1">y</A><A HREF="HTTP://foo.org/b">z</A><A HREF="place:x">w</A><A HREF="https://example.com/a">x</A>'
     assert one(spark, urls.bookmark_links(F.col("h")), h=doc) == ["https://example.com/a", "HTTP://foo.org/b"]
