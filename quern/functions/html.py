@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": "\xa0", "&amp;": "&"}
 
 
+#: The language an html tag declares.
+DECLARED = r"""(?i)<html[^>]*\blang\s*=\s*["']?([A-Za-z-]+)"""
+
+
 def unescaped(c: Column) -> Column:
     for name, char in ENTITIES.items():
         c = F.replace(c, F.lit(name), F.lit(char))
@@ -28,7 +32,7 @@ def title(html: Column, url: Column) -> Column:
 
 def declared_language(html: Column) -> Column:
     """The language of the html tag, lower case, up to a dash; null without one."""
-    value = F.split(F.lower(F.trim(F.regexp_extract(html, r"""(?i)<html[^>]*\blang\s*=\s*["']?([A-Za-z-]+)""", 1))), "-")[0]
+    value = F.split(F.lower(F.trim(F.regexp_extract(html, DECLARED, 1))), "-")[0]
     return F.when(value != "", value)
 
 
@@ -126,5 +130,11 @@ def guess_language(text: str | None) -> str | None:
     return best if hits[best] else None
 
 
+def page_language(page: str, content: str | None) -> str | None:
+    """The declared language of one page, else the guessed one of its content."""
+    found = re.search(DECLARED, page)
+    return (found[1].lower().split("-")[0] if found else "") or guess_language(content)
+
+
 def guessed_language(text: Column | str) -> Column:
     return _mapped(guess_language, text)

@@ -15,6 +15,7 @@ from quern.state import cut
 OK_RATIO, LEAST_COUNT, MAJORITY = 0.05, 3, 0.5
 ABORT_AFTER = 5
 SHIELD_CODES = (401, 403, 407)
+LEAST_CHARS = 50
 
 
 def block_label(code: Column) -> Column:
@@ -86,7 +87,7 @@ def summary(log: DataFrame) -> DataFrame:
 
 def outcome_of(status: Column, content_type: Column, markdown: Column) -> Column:
     """failed (other than 200), skipped (no HTML, or hardly any text), success."""
-    return F.when(status != 200, "failed").when(~F.coalesce(content_type, F.lit("")).contains("text/html"), "skipped").when(F.length(text.strip(F.coalesce(markdown, F.lit("")))) < 50, "skipped").otherwise("success")
+    return F.when(status != 200, "failed").when(~F.coalesce(content_type, F.lit("")).contains("text/html"), "skipped").when(F.length(text.strip(F.coalesce(markdown, F.lit("")))) < LEAST_CHARS, "skipped").otherwise("success")
 
 
 def next_frontier(links: DataFrame, visited: DataFrame) -> DataFrame:
@@ -100,27 +101,48 @@ def collect_plan(wanted: DataFrame, history: DataFrame) -> DataFrame:
     return once.join(history.select("url").distinct().withColumn("_c", F.lit(True)), "url", "left").select("url", "ord", F.when(F.col("_c"), "cached").otherwise("fetch").alias("outcome"))
 
 
-def _fetched(due: DataFrame, fetch: Callable[[str], tuple[int, str, str]], allowed: Callable[[str], bool] | None, langs: list[str] | None) -> DataFrame:
-    """Pages fetched on executors with what became of them; ``due(url, depth, parent_ord, link_ord)``."""
+def _stored(status: int, kind: str, body: str, langs: list[str] | None) -> bool:
+    """Whether a crawl keeps an answer: what ``outcome_of`` and the filter of languages call a success, for one page."""
+    if status != 200 or "text/html" not in kind:
+        return False
+    content = body if "text/markdown" in kind else html.to_markdown(body)
+    if len((content or "").strip()) < LEAST_CHARS:
+        return False
+    found = html.page_language(body, content) if langs else None
+    return not langs or found is None or found in [x.lower() for x in langs]
+
+
+def _fetched(due: DataFrame, fetch: Callable[[str], tuple[int, str, str]], allowed: Callable[[str], bool] | None, langs: list[str] | None, left: int | None = None, limited: int = 0, after: int | None = None) -> DataFrame:
+    """Pages fetched on executors with what became of them; ``due(url, depth, parent_ord, link_ord)``, in the order of its partitions.
+
+    A task ends early with its ``left``-th success, or with the ``after``-th 429 answer in a row (``limited`` of them came before): later rows
+    are not asked for and not returned. ``place`` numbers a task's rows.
+    """
     schema = "url string, depth int, parent_ord bigint, link_ord bigint"
 
     def run(frames):
         import pandas as pd
 
+        in_row, good, place = limited, 0, 0
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
-                at = (r.url, r.depth, r.parent_ord, r.link_ord)
+                if (left is not None and good >= left) or (after is not None and in_row >= after):
+                    break
+                at, place = (r.url, r.depth, r.parent_ord, r.link_ord, place), place + 1
                 if allowed and not allowed(r.url):
                     rows.append((*at, 0, "", None, "robots"))
                     continue
                 try:
-                    rows.append((*at, *fetch(r.url), None))
+                    answer = fetch(r.url)
+                    in_row = in_row + 1 if answer[0] == 429 else 0
+                    good += left is not None and _stored(*answer, langs)
+                    rows.append((*at, *answer, None))
                 except Exception as e:  # noqa: BLE001  a page that cannot be fetched is an outcome
                     rows.append((*at, None, "", None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["url", "depth", "parent_ord", "link_ord", "status", "kind", "body", "trouble"])
+            yield pd.DataFrame(rows, columns=["url", "depth", "parent_ord", "link_ord", "place", "status", "kind", "body", "trouble"])
 
-    got = due.mapInPandas(run, schema + ", status int, kind string, body string, trouble string")
+    got = due.select("url", "depth", "parent_ord", "link_ord").mapInPandas(run, schema + ", place bigint, status int, kind string, body string, trouble string")
     # written at once: what was fetched is not fetched again
     got = cut(got, "fetched").withColumn("content", F.when(F.col("kind").contains("text/markdown"), F.col("body")).otherwise(html.markdown("body")))
     got = got.withColumn("language", F.coalesce(html.declared_language(F.col("body")), html.guessed_language("content")))
@@ -128,48 +150,61 @@ def _fetched(due: DataFrame, fetch: Callable[[str], tuple[int, str, str]], allow
     if langs:
         outcome = F.when((outcome == "success") & F.col("language").isNotNull() & ~F.col("language").isin([x.lower() for x in langs]), "skipped").otherwise(outcome)
     reason = F.when(F.col("trouble").isNotNull(), F.col("trouble")).when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-    return got.select("url", "depth", "parent_ord", "link_ord", outcome.alias("outcome"), reason.alias("reason"), F.when(F.col("status") > 0, F.col("status")).alias("code"), html.title(F.col("body"), F.col("url")).alias("title"), "language", "content", "body")
+    return got.select("url", "depth", "parent_ord", "link_ord", "place", outcome.alias("outcome"), reason.alias("reason"), F.when(F.col("status") > 0, F.col("status")).alias("code"), html.title(F.col("body"), F.col("url")).alias("title"), "language", "content", "body")
 
 
-def crawl(start: str, fetch: Callable[[str], tuple[int, str, str]], spark, history: DataFrame | None = None, max_depth: int = 2, langs: list[str] | None = None, max_pages: int | None = None, allowed: Callable[[str], bool] | None = None, seeds: list[str] = ()) -> DataFrame:
-    """Breadth-first crawl of one host, a level at a time; returns a log of every address.
+def _limited_at_end(done: DataFrame, before: int) -> int:
+    """How many 429 answers in a row a level ends with; ``before``: how many the levels before it ended with."""
+    answers = done.filter("code is not null")
+    other = answers.filter("code <> 429").agg(F.max("place").alias("p")).first()["p"]
+    return answers.filter(F.col("place") > F.lit(-1 if other is None else other)).count() + (before if other is None else 0)
 
-    ``fetch(url) -> (status, content type, body)`` runs on executors. Log: seq, url, depth, outcome, reason, code, title, language,
-    content. Addresses of the history are not fetched again and lead nowhere. Each level is one job: frontier, fetch, links, new
-    frontier; the loop runs ``max_depth + 1`` times at most, whatever the number of pages. ``max_pages`` cuts after a level.
+
+def crawl(start: str, fetch: Callable[[str], tuple[int, str, str]], spark, history: DataFrame | None = None, max_depth: int = 2, langs: list[str] | None = None, max_pages: int | None = None, allowed: Callable[[str], bool] | None = None, seeds: list[str] = (), max_consecutive_429: int = ABORT_AFTER) -> DataFrame:
+    """Breadth-first crawl of one host, a level at a time; returns a log of every address that was reached.
+
+    ``fetch(url) -> (status, content type, body)`` runs on an executor. Log: url, depth, parent_ord, link_ord, place, outcome, reason, code, title, language,
+    content. Addresses of the history are not fetched again and lead nowhere. One host is asked by one task, one address after the other in the order they
+    were found: a host is never asked by two at once. The crawl ends with success number ``max_pages``, or with the
+    ``max_consecutive_429``-th 429 answer in a row, counted across levels. The loop runs ``max_depth + 1`` times at most, whatever the number of pages.
     """
     schema = "url string, depth int, parent_ord bigint, link_ord bigint"
     frontier = spark.createDataFrame([(u, 0, 0, i) for i, u in enumerate(dict.fromkeys([start, *seeds]))], schema)
     known = history.select("url").distinct() if history is not None else spark.createDataFrame([], "url string")
     visited = frontier.select("url").limit(0)
-    out, pages = None, 0
+    out, pages, limited = None, 0, 0
     for depth in range(max_depth + 1):
         level = cut(frontier.join(known.withColumn("_h", F.lit(True)), "url", "left"), "frontier")
         if level.isEmpty():
             break
-
-        done = _fetched(level.filter("_h is null").drop("_h"), fetch, allowed, langs)
-        cached = level.filter("_h").select("url", "depth", "parent_ord", "link_ord", F.lit("cached").alias("outcome"), *[F.lit(None).cast(t).alias(n) for n, t in (("reason", "string"), ("code", "int"), ("title", "string"), ("language", "string"), ("content", "string"), ("body", "string"))])
+        due = level.filter("_h is null").repartition(1).sortWithinPartitions("parent_ord", "link_ord")
+        done = _fetched(due, fetch, allowed, langs, None if max_pages is None else max_pages - pages, limited, max_consecutive_429)
+        absent = (("place", "bigint"), ("reason", "string"), ("code", "int"), ("title", "string"), ("language", "string"), ("content", "string"), ("body", "string"))
+        cached = level.filter("_h").select("url", "depth", "parent_ord", "link_ord", F.lit("cached").alias("outcome"), *[F.lit(None).cast(t).alias(n) for n, t in absent])
         done = cut(done.unionByName(cached), "done")
         out = done.drop("body") if out is None else out.unionByName(done.drop("body"))
         visited = visited.union(level.select("url"))
         pages += done.filter("outcome = 'success'").count()
-        if max_pages is not None and pages >= max_pages:
+        limited = _limited_at_end(done, limited)
+        if limited >= max_consecutive_429 or (max_pages is not None and pages >= max_pages):
             break
-        links = done.filter("body is not null and outcome <> 'failed'").select(F.lit(depth + 1).alias("depth"), F.xxhash64("url").alias("parent_ord"), F.posexplode(urls.page_links(F.col("body"), F.col("url"))).alias("link_ord", "url"))
+        links = done.filter("outcome = 'success'").select(F.lit(depth + 1).alias("depth"), F.col("place").alias("parent_ord"), F.posexplode(urls.page_links(F.col("body"), F.col("url"))).alias("link_ord", "url"))
         frontier = next_frontier(links.withColumn("link_ord", F.col("link_ord").cast("bigint")), visited)
     return out
 
 
-def collect(wanted: DataFrame, fetch: Callable[[str], tuple[int, str, str]], history: DataFrame | None = None, langs: list[str] | None = None) -> DataFrame:
+def collect(wanted: DataFrame, fetch: Callable[[str], tuple[int, str, str]], history: DataFrame | None = None, langs: list[str] | None = None, max_pages: int | None = None) -> DataFrame:
     """Fetch a list of addresses ``wanted(url, ord)``, each once, without following links; a log as of ``crawl``.
 
-    A single pass: cached addresses are told apart by a join, the rest is fetched in parallel.
+    Cached addresses are told apart by a join. The rest is fetched host by host, each by one task in the order of the list, hosts in parallel. With
+    ``max_pages`` one task goes through the whole list and ends with that success: the limit is over all hosts and by order.
     """
     spark = wanted.sparkSession
     known = history if history is not None else spark.createDataFrame([], "url string")
     plan = cut(collect_plan(wanted, known), "plan")
     due = plan.filter("outcome = 'fetch'").select("url", F.lit(0).alias("depth"), F.col("ord").cast("bigint").alias("parent_ord"), F.lit(0).cast("bigint").alias("link_ord"))
-    fetched = _fetched(due, fetch, None, langs)
+    host = F.coalesce(urls.authority(F.col("url")), F.lit(""))
+    dealt = due.repartition(host).sortWithinPartitions(host, "parent_ord") if max_pages is None else due.repartition(1).sortWithinPartitions("parent_ord")
+    fetched = _fetched(dealt, fetch, None, langs, max_pages)
     cached = plan.filter("outcome = 'cached'").select("url", F.lit(0).alias("depth"), F.col("ord").cast("bigint").alias("parent_ord"), F.lit(0).cast("bigint").alias("link_ord"), F.lit("cached").alias("outcome"))
     return fetched.drop("body").unionByName(cached, allowMissingColumns=True)

@@ -155,6 +155,50 @@ def test_crawl_by_levels(spark):
     assert out["https://x.de/c"] == "cached" and "https://x.de/d" not in out
 
 
+FILLER = "Genug Text für eine Seite, die nicht übersprungen werden soll, weil sie lang genug ist."
+
+
+def _site(codes):
+    """A start page that links to one page for each code, in order."""
+    links = "".join(f'<a href="/p{k}">x</a>' for k in range(len(codes)))
+    answers = {f"https://x.de/p{k}": c for k, c in enumerate(codes)}
+
+    def fetch(url):
+        if url == "https://x.de":
+            return 200, "text/html", f"<p>{FILLER}</p>{links}"
+        if answers[url] is None:
+            raise OSError("no network")
+        return answers[url], "text/html", f"<p>{FILLER} {url}</p><a href='/p0'>s</a>"
+
+    return fetch
+
+
+@pytest.mark.parametrize(
+    ("codes", "reached"),
+    [([429] * 20, 5), (([429] * 4 + [200]) * 4, 20), ([429, 429, None, 429, 429, 429, 200], 6), ([200, 429, 429, 429, 429, 429, 200], 6)],
+)
+def test_crawl_ends_after_five_limits_in_a_row(spark, codes, reached):
+    out = crawl.crawl("https://x.de", _site(codes), spark, max_depth=1)
+    assert out.filter("depth = 1").count() == reached
+
+
+def test_crawl_counts_limits_across_levels(spark):
+    def fetch(url):
+        return (200, "text/html", f"<p>{FILLER}</p><a href='/q'>x</a><a href='/r'>x</a><a href='/s'>x</a>") if url == "https://x.de" else (429, "", "")
+
+    out = crawl.crawl("https://x.de", fetch, spark, max_depth=3, seeds=["https://x.de/1", "https://x.de/2", "https://x.de/3"])
+    assert sorted((r["url"], r["code"]) for r in out.filter("code = 429").collect()) == [(f"https://x.de/{x}", 429) for x in ("1", "2", "3", "q", "r")]
+
+
+@pytest.mark.parametrize("most", [1, 2, 5, 50])
+def test_crawl_keeps_exactly_so_many_pages(spark, most):
+    out = crawl.crawl("https://x.de", _site([200, 404, 200, 500] * 4), spark, max_depth=2, max_pages=most)
+    assert out.filter("outcome = 'success'").count() == min(most, 9)
+    wanted = spark.createDataFrame([(f"https://x.de/p{k}", k) for k in range(16)], "url string, ord bigint")
+    got = crawl.collect(wanted, _site([200, 404, 200, 500] * 4), max_pages=most).filter("outcome = 'success'")
+    assert sorted(r["parent_ord"] for r in got.collect()) == list(range(0, 16, 2))[:most]
+
+
 def test_documents(spark):
     d = spark.createDataFrame([("a", "h", 3), ("b", "h2", 2), ("c", "h", 4), ("new", "h", 2), ("zero", "h", 0)], "key string, hash string, pages_total int")
     m = spark.createDataFrame([("a", "h", 3, [1, 3]), ("b", "old", 2, [1, 2]), ("c", "h", 3, [1, 2, 3])], "key string, hash string, pages_total int, pages_done array<int>")
