@@ -1,6 +1,10 @@
-"""Command line: compile a folder of Markdown, ask it a question, list queries.
+"""Command line.
 
-    python -m quern.cli compile --raw data/raw --state data/state [--only-domains a,b] [--lang de,en]
+    python -m quern.cli crawl https://host --out data/pages [--depth 2] [--max-pages N] [--lang de,en] [--delay 0.5] [--sitemap URL] [--no-sitemap]
+    python -m quern.cli collect bookmarks.html --out data/pages [--max-pages N] [--lang de,en]
+    python -m quern.cli compile --raw data/raw --state data/state [--only-domains a,b] [--lang de,en] [--wiki-dir data/wiki] [--lint] [--jobs 4]
+    python -m quern.cli ask "question" --state data/state
+    python -m quern.cli suggestions --state data/state
     python -m quern.cli queries
     python -m quern.cli run NAME --sf-dir DIR --out DIR
     python -m quern.cli export --data data --out export.zip [--no-chats]
@@ -24,17 +28,42 @@ def provider(name: str | None):
     return retrying(getattr(importlib.import_module(module), attribute))
 
 
-def main(argv: list[str] | None = None) -> None:
+def _split(value: str | None) -> list[str] | None:
+    return [v.strip() for v in value.split(",") if v.strip()] if value else None
+
+
+def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="quern")
     sub = parser.add_subparsers(dest="command", required=True)
-    c = sub.add_parser("compile")
+    for name in ("crawl", "collect"):
+        p = sub.add_parser(name)
+        p.add_argument("start")
+        p.add_argument("--out", required=True)
+        p.add_argument("--history")
+        p.add_argument("--max-pages", type=int)
+        p.add_argument("--lang")
+        p.add_argument("--delay", type=float, default=0.5)
+        if name == "crawl":
+            p.add_argument("--depth", type=int, default=2)
+            p.add_argument("--sitemap")
+            p.add_argument("--sitemap-max", type=int, default=5000)
+            p.add_argument("--no-sitemap", action="store_true")
+    models = argparse.ArgumentParser(add_help=False)
+    models.add_argument("--state", required=True)
+    models.add_argument("--provider")
+    models.add_argument("--model", default="")
+    models.add_argument("--language", default="de")
+    c = sub.add_parser("compile", parents=[models])
     c.add_argument("--raw", required=True)
-    c.add_argument("--state", required=True)
     c.add_argument("--only-domains")
     c.add_argument("--lang")
-    c.add_argument("--provider")
-    c.add_argument("--model", default="")
+    c.add_argument("--wiki-dir")
+    c.add_argument("--jobs", type=int, default=4)
+    c.add_argument("--lint", action="store_true")
     c.add_argument("--canonicalize", action="store_true")
+    a = sub.add_parser("ask", parents=[models])
+    a.add_argument("question")
+    sub.add_parser("suggestions", parents=[models])
     r = sub.add_parser("run")
     r.add_argument("name")
     r.add_argument("--sf-dir", required=True)
@@ -44,7 +73,40 @@ def main(argv: list[str] | None = None) -> None:
     e.add_argument("--out", required=True)
     e.add_argument("--no-chats", action="store_true")
     sub.add_parser("queries")
-    a = parser.parse_args(argv)
+    return parser
+
+
+def _pages(spark, a) -> None:
+    """A crawl or a collection as a table of its log, pages with their metadata block included."""
+    from pyspark.sql import functions as F
+
+    from quern.functions import text, urls
+    from quern.operators import crawl
+    from quern.sources import sitemap
+    from quern.sources.fetch import Fetcher, open_url
+    from quern.sources.files import read_bookmarks
+    from quern.sources.robots import allowed
+
+    history = spark.read.parquet(a.history).filter("outcome = 'success'").select("url") if a.history else None
+    fetch = Fetcher(delay=a.delay)
+    if a.command == "collect":
+        log = crawl.collect(read_bookmarks(spark, a.start), fetch, history, _split(a.lang), a.max_pages)
+    else:
+        def body(url: str) -> bytes | None:
+            status, _, content = open_url(url)
+            return content if status == 200 else None
+
+        root = "/".join(a.start.split("/")[:3])
+        rules = body(f"{root}/robots.txt")
+        seeds = [] if a.no_sitemap else sitemap.discover(a.start, body, a.sitemap, a.sitemap_max)
+        log = crawl.crawl(a.start, fetch, spark, history, a.depth, _split(a.lang), a.max_pages, allowed(rules.decode("utf-8", "replace") if rules else None, "quern"), seeds)
+    block = text.metadata(F.col("title"), F.col("url"), F.coalesce(urls.authority(F.col("url")), F.lit("")), F.lit(date.today().isoformat()), F.col("language"))
+    log.withColumn("page", F.when(F.col("outcome") == "success", F.concat(block, F.col("content")))).write.mode("append").parquet(a.out)
+    crawl.summary(spark.read.parquet(a.out)).show()
+
+
+def main(argv: list[str] | None = None) -> None:
+    a = _parser().parse_args(argv)
     if a.command == "export":
         from quern.sources.files import write_export
 
@@ -58,16 +120,35 @@ def main(argv: list[str] | None = None) -> None:
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("quern").getOrCreate()
+    if a.command in ("crawl", "collect"):
+        _pages(spark, a)
+        return
     if a.command == "run":
         from quern.plans import catalog
 
         catalog.queries()[a.name](spark, a.sf_dir).write.mode("overwrite").parquet(a.out)
         return
-    from quern.plans.compile import State, compile_corpus
-    from quern.sources.files import read_markdown
-
-    split = lambda x: [v.strip() for v in x.split(",") if v.strip()] if x else None
-    print(compile_corpus(read_markdown(spark, a.raw), State(spark, a.state), provider(a.provider), a.model, split(a.only_domains), split(a.lang), today=date.today().isoformat(), canonicalize=a.canonicalize))
+    from quern.operators import retrieval
+    from quern.plans.compile import State, cached_suggestions, compile_corpus
+    from quern.plans.prompts import prompts
+    from quern.sources.files import read_markdown, write_markdown
+
+    state, call, texts = State(spark, a.state), provider(a.provider), prompts(a.language)
+    if a.command == "suggestions":
+        print("\n".join(cached_suggestions(state, call, a.model, texts["suggestions"])))
+        return
+    if a.command == "ask":
+        ask = lambda messages: call("\n\n".join(m["content"] for m in messages), a.model, 4096)
+        found = retrieval.answer(a.question, state.read("articles"), state.read("nodes"), state.read("edges"), ask, route=texts["route"])
+        print(found["answer"], *[f"- {s}" for s in found["sources"]], sep="\n")
+        return
+    run = compile_corpus(
+        read_markdown(spark, a.raw), state, call, a.model, _split(a.only_domains), _split(a.lang), today=date.today().isoformat(), canonicalize=a.canonicalize,
+        language=a.language, jobs=a.jobs, with_lint=a.lint,
+    )
+    print(run)
+    if a.wiki_dir:
+        print("articles written:", write_markdown(state.read("articles"), a.wiki_dir, "name"))
 
 
 if __name__ == "__main__":

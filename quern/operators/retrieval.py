@@ -46,7 +46,7 @@ def message(question: str, contents: list[tuple[str, str]], graph_context: str =
     return f"{question}\n\n{context}" if context else question
 
 
-def answer(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFrame, call: Callable[[list[dict]], str], view: Callable[[DataFrame], DataFrame] | None = None, history: list[dict] = (), tail: int = WEB_TAIL) -> dict:
+def answer(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFrame, call: Callable[[list[dict]], str], view: Callable[[DataFrame], DataFrame] | None = None, history: list[dict] = (), tail: int = WEB_TAIL, route: str = "") -> dict:
     """Route, walk one hop, gather, ask. ``view`` limits articles, and then the graph to what they mention.
 
     What reaches the driver is the listing for the router, a handful of chosen articles and at most 40 facts.
@@ -57,7 +57,7 @@ def answer(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFram
         nodes, edges = graph.restrict(found, nodes, edges)
     listing = routing_list(shown, found).orderBy("name").toLocalIterator()
     lines = [f"- {r['name']}" + (f"  (Entitäten: {', '.join(r['entities'])})" if r["entities"] else "") for r in listing]
-    reply = call([{"role": "user", "content": f"{question}\n\n" + "\n".join(lines)}])
+    reply = call([{"role": "user", "content": "\n\n".join([*([route] if route else []), question, "\n".join(lines)])}])
     spark = articles.sparkSession
     chosen = [r["name"] for r in routed_names(spark.createDataFrame([(reply,)], "reply string"), shown).orderBy("ord").collect()]
     selected = spark.createDataFrame([(n,) for n in chosen], "name string")

@@ -6,6 +6,7 @@ complete; the highest one that counts is the current one. Nothing is ever moved
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.operators import distill, graph, inventory, pages, retrieval
+from quern.plans.prompts import prompts as default_prompts
 
 CLUSTERS = "slug string, name string, description string, ord bigint, members array<string>, fingerprint string"
 ARTICLES = "name string, content string"
@@ -55,6 +57,24 @@ class State:
             self.fs.delete(self.path(f"{self.root}/v={old}/{MARKER}"), False)
             self.fs.delete(self.path(f"{self.root}/v={old}"), True)
 
+    def note(self, name: str, value: dict | None = None) -> dict:
+        """A small JSON note beside the versions: read, or written where a value is given; a missing or torn one is empty."""
+        at = self.path(f"{self.root}/{name}.json")
+        if value is not None:
+            out = self.fs.create(at, True)
+            out.write(bytearray(json.dumps(value, ensure_ascii=False).encode()))
+            out.close()
+            return value
+        if not self.fs.exists(at):
+            return {}
+        stream = self.fs.open(at)
+        raw = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        try:
+            return json.loads(raw)
+        except ValueError:
+            return {}
+
     def read(self, table: str) -> DataFrame:
         v = self.version()
         if v is None:
@@ -175,26 +195,33 @@ def _unchanged(shown: DataFrame, state: State) -> bool:
     return due.isEmpty() and not articles.filter("name = '_index.md'").isEmpty()
 
 
-def compile_corpus(raw: DataFrame, state: State, call: Call, model: str = "", domains: list[str] | None = None, langs: list[str] | None = None, prompts: dict[str, str] | None = None, today: str = "", canonicalize: bool = False) -> Report:
-    """One run over ``raw(rel, content)``. An unchanged corpus costs no model call and rewrites no article."""
+def compile_corpus(
+    raw: DataFrame, state: State, call: Call, model: str = "", domains: list[str] | None = None, langs: list[str] | None = None, prompts: dict[str, str] | None = None, today: str = "",
+    canonicalize: bool = False, language: str = "de", jobs: int = 4, with_lint: bool = False,
+) -> Report:
+    """One run over ``raw(rel, content)``. An unchanged corpus costs no model call and rewrites no article.
+
+    ``language``: of the default instructions, where ``prompts`` gives none. ``with_lint``: a report on all articles, written
+    whenever an article or the index changed.
+    """
     from quern.state import cut
 
-    prompts, report = prompts or {}, Report()
+    prompts, report = default_prompts(language, prompts), Report()
     shown = pages.filter_language(pages.filter_domains(pages.parsed(raw), [d.lower() for d in domains] if domains else None), langs, detect=bool(langs)).select("rel", "content")
     if _unchanged(shown, state):
         report.pages = state.read("store").count()
         return report
-    result = distill.distill_all(shown, state.read("store"), call, model, prompts.get("distill", ""))
+    result = distill.distill_all(shown, state.read("store"), call, model, prompts["distill"], jobs)
     live = cut(result.distillates, "live")
     report.pages, report.distilled, report.failed = live.count(), result.made.count(), result.failed.count()
     before = state.read("clusters")
     kept, _ = inventory.prune(inventory.members(before), live)
     kept = before.drop("members", "fingerprint").join(kept, "slug")
-    clusters = cut(inventory.assign_new(kept, live, call, model, prompts.get("assign", "")), "clusters")
+    clusters = cut(inventory.assign_new(kept, live, call, model, prompts["assign"]), "clusters")
     old = state.read("articles")
     changed = inventory.changed(clusters, before).select("slug")
     todo = cut(inventory.article_todo(clusters, changed, old), "todo")
-    written = cut(write_articles(todo, clusters, live, call, model, prompts.get("article", ""), today), "written")
+    written = cut(write_articles(todo, clusters, live, call, model, prompts["article"], today), "written")
     report.changed = sorted(r["name"] for r in written.select("name").collect())  # names of topics
     gone = cut(inventory.orphans(old, clusters), "gone")
     report.removed = sorted(r["name"] for r in gone.collect())
@@ -205,11 +232,14 @@ def compile_corpus(raw: DataFrame, state: State, call: Call, model: str = "", do
         index = "\n".join(f"- [[{r['name']}]]: {r['first_line']}" for r in lines)
         page = raw.sparkSession.createDataFrame([("_index.md", index)], ARTICLES)
         articles, report.index_built = articles.filter("name <> '_index.md'").unionByName(page), True
+        if with_lint:
+            found = lint(articles.filter("not startswith(name, '_')"), call, model, prompts["lint"])
+            articles = articles.filter("name <> '_lint-report.md'").unionByName(cut(found, "lint"))
     tables = {"store": live, "clusters": clusters, "articles": articles}
     mark = inventory.corpus_fingerprint(live).first()["fingerprint"]
     known = state.read("meta").first()
     if known is None or known["fingerprint"] != mark:
-        tables["nodes"], tables["edges"] = build_graph(live, call if canonicalize else None, model, prompts.get("canonicalize", ""))
+        tables["nodes"], tables["edges"] = build_graph(live, call if canonicalize else None, model, prompts["canonicalize"])
         tables["meta"] = raw.sparkSession.createDataFrame([(mark,)], META)
         report.graph_built = True
     if report.distilled or report.changed or report.removed or report.graph_built or report.index_built:
@@ -244,3 +274,21 @@ def suggested_questions(articles: DataFrame, call: Call, model: str = "", prompt
         return suggestions(call(f"{prompt}\n\n{index['c']}", model, 300))
     except Exception:  # noqa: BLE001  suggestions are an extra
         return []
+
+
+def cached_suggestions(state: State, call: Call, model: str = "", prompt: str = "") -> list[str]:
+    """``suggested_questions`` of the state's articles, asked for once for each index; an empty answer is not kept."""
+    import hashlib
+
+    articles = state.read("articles")
+    index = articles.filter("name = '_index.md'").select("content").first()
+    if index is None:
+        return []
+    mark = hashlib.sha256(f"{prompt}\n{index['content']}".encode()).hexdigest()
+    kept = state.note("suggestions")
+    if kept.get("mark") == mark:
+        return kept["questions"]
+    found = suggested_questions(articles, call, model, prompt)
+    if found:
+        state.note("suggestions", {"mark": mark, "questions": found})
+    return found

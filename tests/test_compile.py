@@ -43,6 +43,49 @@ def test_second_run_is_free_and_changes_stay_local(spark, tmp_path):
     assert empty.pages == 0 and empty.removed == []  # an empty inventory orphans nothing
 
 
+def test_prompts_lint_and_suggestions(spark, tmp_path):
+    from quern.plans.compile import cached_suggestions
+    from quern.plans.prompts import DEFAULTS, prompts
+
+    assert all(DEFAULTS["de"].keys() == p.keys() and all(p.values()) for p in DEFAULTS.values())
+    assert prompts("EN-us") == DEFAULTS["en"] and prompts("xx", {"lint": "own"}) == DEFAULTS["de"] | {"lint": "own"}
+    folder = tmp_path / "seen"
+    folder.mkdir()
+    where = str(folder)
+
+    def call(prompt, model="", n=0):
+        from quern.plans.prompts import DEFAULTS
+
+        kind = next((k for k, v in DEFAULTS["en"].items() if prompt.startswith(v)), "?")
+        with open(f"{where}/{kind}", "a") as f:
+            f.write("x")
+        return '["What?"]' if kind == "suggestions" else "fine" if kind == "lint" else EchoModel()(prompt)
+
+    state = State(spark, f"file://{tmp_path}/state")
+    assert cached_suggestions(state, call, prompt=DEFAULTS["en"]["suggestions"]) == []
+    compile_corpus(raw(spark, [page(1, "Frankfurt Messe")]), state, call, language="en", with_lint=True, canonicalize=True)
+    assert {f.name for f in folder.iterdir()} == {"distill", "assign", "article", "lint", "canonicalize"}
+    assert state.read("articles").filter("name = '_lint-report.md'").first()["content"] == "fine"
+    for _ in range(2):
+        assert cached_suggestions(state, call, prompt=DEFAULTS["en"]["suggestions"]) == ["What?"]
+    assert (folder / "suggestions").read_text() == "x"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quern import cli
+
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw/a.md").write_text(page(1, "Frankfurt Messe")[1])
+    state = ["--state", f"file://{tmp_path}/state"]
+    cli.main(["compile", "--raw", str(tmp_path / "raw"), *state, "--wiki-dir", str(tmp_path / "wiki"), "--lint", "--jobs", "2"])
+    assert {f.name for f in (tmp_path / "wiki").iterdir()} == {"_index.md", "_lint-report.md", "sammlung.md"}
+    cli.main(["ask", "Was?", *state])
+    cli.main(["suggestions", *state])
+    cli.main(["queries"])
+    out = capsys.readouterr().out
+    assert "distilled=1" in out and "articles written: 3" in out and "none" in out and "raw_scan" in out
+
+
 def test_filters_of_a_run(spark, tmp_path):
     state = State(spark, f"file://{tmp_path}/state")
     rows = [page(1, "Deutsch."), page(2, "English.", "en"), ("e/3.md", "no block at all")]
