@@ -51,9 +51,10 @@ def shingle_sets(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]
     at = np.searchsorted(begin, starts)  # first word of each row
     h = RangeHash(data)(begin, end) if len(begin) else np.zeros(0, np.uint64)
     n = len(h)
-    full = np.zeros(max(n - width + 1, 0), np.uint64)
+    m = max(n - width + 1, 0)  # a batch may hold fewer words than a shingle
+    full = np.zeros(m, np.uint64)
     for i in range(width):
-        full += h[i : n - width + 1 + i] * _K[i]
+        full += h[i : m + i] * _K[i]
     full = mix(full)
     sets, offsets = [], np.zeros(len(rows) + 1, np.int64)
     for r in range(len(rows)):

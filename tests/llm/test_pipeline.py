@@ -55,6 +55,25 @@ def test_whole_pipeline(spark, tables):
     assert [n for n, _ in c.STAGES] == ["toxicity", "near_duplicates", "decontamination", "personal_data", "packing"]
 
 
+ODD = [(1, None), (2, ""), (3, " \n "), (4, "some words of a text that says little"), (4, "some words of a text that says little"), (4, "other words under the same number"), (None, "no number here"), (None, None), (5, "long text " * 30_000)]
+
+
+def test_stages_of_odd_rows(spark, tables):
+    """Nulls, empty and very long texts, repeated ids, clashing names, empty tables."""
+    df = spark.createDataFrame([(d, t, None, "s", None, k, "x", 1.0, ["y"], 7) for k, (d, t) in enumerate(ODD)], "doc_id bigint, text string, lang string, source string, n_chars bigint, c0 int, rep string, score double, _words array<string>, set_id int")
+    rows = lambda x: sorted(map(str, x.select("doc_id", "text", "c0").collect()))
+    for name, stage in c.STAGES[:-1]:
+        out, none = stage(spark, df, tables), stage(spark, df.limit(0), tables)
+        assert out.columns == none.columns == df.columns and none.count() == 0, name
+        # only one of two equal rows goes, and only among near duplicates
+        want = df.filter("c0 <> 4") if name == "near_duplicates" else df
+        assert rows(out) == rows(want), name
+        # what a stage returns can be written and is the next one's input
+        assert stage(spark, out, tables).count() == out.count(), name
+    packed = c.pack(spark, df, tables)
+    assert packed.filter("start = 0").count() == len(ODD) and c.pack(spark, df.limit(0), tables).count() == 0
+
+
 def test_queries_are_registered():
     assert [q.split("_")[0] for q in sorted(QUERIES, key=lambda q: int(q.split("_")[0][2:]))] == [f"op{k}" for k in range(1, 11)]
     assert set(ORACLE_SQL) <= set(QUERIES)
