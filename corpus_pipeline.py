@@ -1,7 +1,7 @@
 """A training corpus from raw documents, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the
-next one's docs. All but the last return the columns of documents.
+next one's docs. All but the last return the columns of documents, whatever they are called; an empty table gives no rows in any stage.
 """
 
 from __future__ import annotations
@@ -18,27 +18,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects (score of 0.5 or more) go."""
+    """Documents that the toxicity model rejects (score of 0.5 or more) go.
+
+    Every row is scored by itself, rows that repeat and rows without doc_id too; null and empty texts have the score of no evidence and
+    stay. Without labels of both classes the score is the smoothed rate of toxic ones.
+    """
     return toxicity.keep_clean(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: shingles of five words, similarity of 0.8 or more."""
+    """One document of each group of near duplicates stays: shingles of five words, similarity of 0.8 or more.
+
+    The least doc_id of a group stays. Different texts under one doc_id all stay; of rows equal in doc_id and text one does, the first by
+    the JSON of its other columns. Rows without words or without doc_id all stay.
+    """
     return minhash.keep_one(docs, width=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth of the words or more lie in benchmark windows go."""
+    """Documents of which a twentieth of the words or more lie in benchmark windows go.
+
+    Every row is judged by itself, rows that repeat too; null texts and texts without words stay. Items without text match nothing, items without
+    item_id do.
+    """
     return decontamination.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind; all documents stay."""
+    """Personal data in texts is replaced by its kind; all rows stay, n_chars follows the text. Null texts stay null, empty ones empty."""
     return pii.redacted(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of at most 2048, one row per piece of a document."""
+    """Token sequences of at most 2048, one row per piece of a document.
+
+    Null and empty texts are the closing id alone; rows that repeat are packed each for itself.
+    """
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
