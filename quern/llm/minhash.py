@@ -218,18 +218,22 @@ def _within_bound(ranked: DataFrame, label2: DataFrame, percent: int, table=cut)
 
 #: Rows of an Arrow batch: a pair of full sets has some ten kilobytes, of long texts far more.
 BATCH_ROWS = 200
+#: What a task that writes a shuffled table reads at least: some thirty tables are written, most of them small.
+TASK_BYTES = 8 << 20
 
 
 @contextmanager
-def _small_batches(spark: SparkSession):
-    """Small Arrow batches for the jobs run inside; the session's own setting afterwards."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    was = spark.conf.get(name)
-    spark.conf.set(name, str(BATCH_ROWS))
+def _settings(spark: SparkSession):
+    """Small Arrow batches and few small files for the jobs run inside; the session's own settings afterwards."""
+    ours = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS), "spark.sql.adaptive.coalescePartitions.minPartitionSize": f"{TASK_BYTES}b"}
+    was = {name: spark.conf.get(name) for name in ours}
+    for name, value in ours.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, was)
+        for name, value in was.items():
+            spark.conf.set(name, value)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     near it. Ties and other columns have no influence; an empty table gives no rows.
     """
     # every job with Python in it runs before this returns: the result only joins written tables
-    with _small_batches(docs.sparkSession):
+    with _settings(docs.sparkSession):
         rows, sets, links = _linked(_plain(docs, id_col, text_col), width, percent)
     named = rows.filter("n > 0 and doc_id is not null").select("doc_id", "n", "h1", "h2")
     ends = [f(F.col(c)).alias(f"{k}{c}") for c in ("h1", "h2") for k, f in (("lo", F.min), ("hi", F.max))]
@@ -337,7 +341,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     and are no near duplicates all stay. Of rows equal in doc_id and text one stays, the first by the JSON of its other
     columns. Rows without words, null texts included, and rows without doc_id all stay. An empty table gives no rows.
     """
-    with _small_batches(docs.sparkSession):
+    with _settings(docs.sparkSession):
         rows, sets, links = _linked(_plain(docs, "doc_id", "text"), width, percent)
     whole = components(links)
     label = sets.join(whole, sets["set_id"] == whole["node"], "left").select("set_id", "rep", "rep_th", F.coalesce("component", "set_id").alias("component"))
