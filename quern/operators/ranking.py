@@ -34,3 +34,21 @@ def running_sum(rows: DataFrame, keys: list[str], order: str, coarse: Column, va
     before = sums.select(*keys, "_run", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_before"))
     inside = F.sum("_v").over(Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return r.withColumn("_in", inside).join(before, [*keys, "_run"]).withColumn(name, F.col("_before") + F.col("_in")).drop("_run", "_v", "_in", "_before")
+
+
+def places(rows: DataFrame, group: list[str], order: list[str | Column], name: str) -> DataFrame:
+    """``name``: the row's number from 0 within its group, by ``order``; any types, groups of any size.
+
+    Rows are range-partitioned by group and order, so a large group lies in many partitions. What a partition holds of a group is
+    counted; only those counts are summed per group. ``group`` columns must not be null (name null by a value of its own). Rows that agree in
+    group and order meet in one task: end ``order`` with a column that tells repeats apart.
+    """
+    from quern.state import cut
+
+    ranged = cut(rows.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    ranged = ranged.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    chunks = ranged.groupBy("_part", *group).agg(F.min("_at").alias("_start"), F.count("*").alias("_k"))
+    w = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = chunks.withColumn("_before", F.coalesce(F.sum("_k").over(w), F.lit(0)))
+    found = ranged.join(before, ["_part", *group]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_start"))
+    return found.drop("_part", "_at", "_start", "_k", "_before")
