@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chat_format, decontamination, fingerprints, language_id, license_scan, minhash, packing, pii, token_counts, toxicity
+from quern.llm import chat_format, decontamination, fingerprints, language_id, license_scan, merkle, minhash, packing, piece_codec, pii, snapshot_diff, token_counts, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return snapshot_diff.snapshot_diff(docs, snapshot_diff.later_snapshot(docs))
+
+
+def op12_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
@@ -67,6 +80,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_snapshot_diff": op11_snapshot_diff,
+    "op12_piece_codec": op12_piece_codec,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_scan.oracle_sql(),
+    "op11_snapshot_diff": snapshot_diff.oracle_sql(),
+    "op13_merkle_manifest": merkle.oracle_sql(),
+}
