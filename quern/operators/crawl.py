@@ -112,11 +112,12 @@ def _stored(status: int, kind: str, body: str, langs: list[str] | None) -> bool:
     return not langs or found is None or found in [x.lower() for x in langs]
 
 
-def _fetched(due: DataFrame, fetch: Callable[[str], tuple[int, str, str]], allowed: Callable[[str], bool] | None, langs: list[str] | None, left: int | None = None, limited: int = 0, after: int | None = None) -> DataFrame:
+def _fetched(due: DataFrame, fetch: Callable[[str], tuple[int, str, str]], allowed: Callable[[str], bool] | None, langs: list[str] | None, left: int | None = None, limited: int = 0, after: int | None = None, delay: float | None = None) -> DataFrame:
     """Pages fetched on executors with what became of them; ``due(url, depth, parent_ord, link_ord)``, in the order of its partitions.
 
     A task ends early with its ``left``-th success, or with the ``after``-th 429 answer in a row (``limited`` of them came before): later rows
-    are not asked for and not returned. ``place`` numbers a task's rows.
+    are not asked for and not returned. ``place`` numbers a task's rows. ``delay``: what a fetcher that has one waits at first; its delay after each
+    answer is returned with the row.
     """
     schema = "url string, depth int, parent_ord bigint, link_ord bigint"
 
@@ -124,33 +125,44 @@ def _fetched(due: DataFrame, fetch: Callable[[str], tuple[int, str, str]], allow
         import pandas as pd
 
         in_row, good, place = limited, 0, 0
+        if delay is not None and hasattr(fetch, "delay"):
+            fetch.delay = delay
         for frame in frames:
             rows = []
             for r in frame.itertuples(index=False):
                 if (left is not None and good >= left) or (after is not None and in_row >= after):
                     break
                 at, place = (r.url, r.depth, r.parent_ord, r.link_ord, place), place + 1
+                waits = lambda: getattr(fetch, "delay", None)
                 if allowed and not allowed(r.url):
-                    rows.append((*at, 0, "", None, "robots"))
+                    rows.append((*at, 0, "", None, "robots", waits()))
                     continue
                 try:
                     answer = fetch(r.url)
                     in_row = in_row + 1 if answer[0] == 429 else 0
                     good += left is not None and _stored(*answer, langs)
-                    rows.append((*at, *answer, None))
+                    rows.append((*at, *answer, None, waits()))
                 except Exception as e:  # noqa: BLE001  a page that cannot be fetched is an outcome
-                    rows.append((*at, None, "", None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["url", "depth", "parent_ord", "link_ord", "place", "status", "kind", "body", "trouble"])
+                    rows.append((*at, None, "", None, f"{type(e).__name__}: {e}", waits()))
+            yield pd.DataFrame(rows, columns=["url", "depth", "parent_ord", "link_ord", "place", "status", "kind", "body", "trouble", "delay"])
 
-    got = due.select("url", "depth", "parent_ord", "link_ord").mapInPandas(run, schema + ", place bigint, status int, kind string, body string, trouble string")
+    got = due.select("url", "depth", "parent_ord", "link_ord").mapInPandas(run, schema + ", place bigint, status int, kind string, body string, trouble string, delay double")
     # written at once: what was fetched is not fetched again
-    got = cut(got, "fetched").withColumn("content", F.when(F.col("kind").contains("text/markdown"), F.col("body")).otherwise(html.markdown("body")))
+    return judged(cut(got, "fetched"), langs, ["url", "depth", "parent_ord", "link_ord", "place", "delay"])
+
+
+def judged(got: DataFrame, langs: list[str] | None, keep: list[str]) -> DataFrame:
+    """What became of ``got(url, status, kind, body, trouble)``: the columns ``keep``, outcome, reason, code, title, language, content, body.
+
+    ``trouble`` is ``robots``, an error of the fetch, or null.
+    """
+    got = got.withColumn("content", F.when(F.col("kind").contains("text/markdown"), F.col("body")).otherwise(html.markdown("body")))
     got = got.withColumn("language", F.coalesce(html.declared_language(F.col("body")), html.guessed_language("content")))
     outcome = F.when(F.col("trouble") == "robots", "skipped").when(F.col("trouble").isNotNull(), "failed").otherwise(outcome_of(F.col("status"), F.col("kind"), F.col("content")))
     if langs:
         outcome = F.when((outcome == "success") & F.col("language").isNotNull() & ~F.col("language").isin([x.lower() for x in langs]), "skipped").otherwise(outcome)
     reason = F.when(F.col("trouble").isNotNull(), F.col("trouble")).when(F.col("status") != 200, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-    return got.select("url", "depth", "parent_ord", "link_ord", "place", outcome.alias("outcome"), reason.alias("reason"), F.when(F.col("status") > 0, F.col("status")).alias("code"), html.title(F.col("body"), F.col("url")).alias("title"), "language", "content", "body")
+    return got.select(*keep, outcome.alias("outcome"), reason.alias("reason"), F.when(F.col("status") > 0, F.col("status")).alias("code"), html.title(F.col("body"), F.col("url")).alias("title"), "language", "content", "body")
 
 
 def _limited_at_end(done: DataFrame, before: int) -> int:
@@ -172,20 +184,23 @@ def crawl(start: str, fetch: Callable[[str], tuple[int, str, str]], spark, histo
     frontier = spark.createDataFrame([(u, 0, 0, i) for i, u in enumerate(dict.fromkeys([start, *seeds]))], schema)
     known = history.select("url").distinct() if history is not None else spark.createDataFrame([], "url string")
     visited = frontier.select("url").limit(0)
-    out, pages, limited = None, 0, 0
+    out, pages, limited, delay = None, 0, 0, None
     for depth in range(max_depth + 1):
         level = cut(frontier.join(known.withColumn("_h", F.lit(True)), "url", "left"), "frontier")
         if level.isEmpty():
             break
         due = level.filter("_h is null").repartition(1).sortWithinPartitions("parent_ord", "link_ord")
-        done = _fetched(due, fetch, allowed, langs, None if max_pages is None else max_pages - pages, limited, max_consecutive_429)
-        absent = (("place", "bigint"), ("reason", "string"), ("code", "int"), ("title", "string"), ("language", "string"), ("content", "string"), ("body", "string"))
+        done = _fetched(due, fetch, allowed, langs, None if max_pages is None else max_pages - pages, limited, max_consecutive_429, delay)
+        absent = (("place", "bigint"), ("delay", "double"), ("reason", "string"), ("code", "int"), ("title", "string"), ("language", "string"), ("content", "string"), ("body", "string"))
         cached = level.filter("_h").select("url", "depth", "parent_ord", "link_ord", F.lit("cached").alias("outcome"), *[F.lit(None).cast(t).alias(n) for n, t in absent])
         done = cut(done.unionByName(cached), "done")
-        out = done.drop("body") if out is None else out.unionByName(done.drop("body"))
+        shown = done.drop("body", "delay")
+        out = shown if out is None else out.unionByName(shown)
         visited = visited.union(level.select("url"))
         pages += done.filter("outcome = 'success'").count()
         limited = _limited_at_end(done, limited)
+        last = done.agg(F.max_by("delay", "place")).first()[0]
+        delay = delay if last is None else last  # what limits have made of it stays for the next level
         if limited >= max_consecutive_429 or (max_pages is not None and pages >= max_pages):
             break
         links = done.filter("outcome = 'success'").select(F.lit(depth + 1).alias("depth"), F.col("place").alias("parent_ord"), F.posexplode(urls.page_links(F.col("body"), F.col("url"))).alias("link_ord", "url"))
@@ -207,4 +222,4 @@ def collect(wanted: DataFrame, fetch: Callable[[str], tuple[int, str, str]], his
     dealt = due.repartition(host).sortWithinPartitions(host, "parent_ord") if max_pages is None else due.repartition(1).sortWithinPartitions("parent_ord")
     fetched = _fetched(dealt, fetch, None, langs, max_pages)
     cached = plan.filter("outcome = 'cached'").select("url", F.lit(0).alias("depth"), F.col("ord").cast("bigint").alias("parent_ord"), F.lit(0).cast("bigint").alias("link_ord"), F.lit("cached").alias("outcome"))
-    return fetched.drop("body").unionByName(cached, allowMissingColumns=True)
+    return fetched.drop("body", "delay").unionByName(cached, allowMissingColumns=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import subprocess
 import sys
 from pathlib import Path
@@ -57,7 +58,9 @@ def _without_the_subpackage(to: Path, also: bool) -> dict[str, str]:
     shutil.copytree(ROOT, to, ignore=skip)
     shutil.rmtree(to / "quern" / "llm")
     shutil.rmtree(to / "tests" / "llm")
-    return {"PATH": "/usr/bin:/bin", "PYTHONPATH": str(to)}
+    # libraries may lie on an inherited path: the copy comes before it, this repository is left out
+    inherited = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and Path(p).resolve() != ROOT]
+    return os.environ | {"PYTHONPATH": os.pathsep.join([str(to), *inherited])}
 
 
 @pytest.mark.parametrize("also", [False, True])
