@@ -2,6 +2,8 @@
 
     python -m quern.cli crawl https://host --out data/pages [--depth 2] [--max-pages N] [--lang de,en] [--delay 0.5] [--sitemap URL] [--no-sitemap]
     python -m quern.cli collect bookmarks.html --out data/pages [--max-pages N] [--lang de,en]
+    python -m quern.cli documents FOLDER --label NAME --data data --reader module:open [--password P] [--max-pages N] [--text-threshold 200] [--force-vision] [--fresh]
+    python -m quern.cli migrate-lang --raw data/raw [--dry-run]
     python -m quern.cli compile --raw data/raw --state data/state [--only-domains a,b] [--lang de,en] [--wiki-dir data/wiki] [--lint] [--jobs 4]
     python -m quern.cli ask "question" --state data/state
     python -m quern.cli suggestions --state data/state
@@ -64,6 +66,20 @@ def _parser() -> argparse.ArgumentParser:
     a = sub.add_parser("ask", parents=[models])
     a.add_argument("question")
     sub.add_parser("suggestions", parents=[models])
+    d = sub.add_parser("documents")
+    d.add_argument("path")
+    for name in ("--label", "--data", "--reader"):
+        d.add_argument(name, required=True)
+    for name in ("--password", "--vision"):
+        d.add_argument(name)
+    d.add_argument("--max-pages", type=int)
+    d.add_argument("--text-threshold", type=int, default=200)
+    d.add_argument("--jobs", type=int, default=4)
+    d.add_argument("--force-vision", action="store_true")
+    d.add_argument("--fresh", action="store_true")
+    m = sub.add_parser("migrate-lang")
+    m.add_argument("--raw", required=True)
+    m.add_argument("--dry-run", action="store_true")
     r = sub.add_parser("run")
     r.add_argument("name")
     r.add_argument("--sf-dir", required=True)
@@ -105,6 +121,29 @@ def _pages(spark, a) -> None:
     crawl.summary(spark.read.parquet(a.out)).show()
 
 
+def _documents(spark, a) -> None:
+    """PDFs into raw pages; ``--vision`` names a callable that reads a page's image."""
+    from quern.plans.ingest import ingest_folder
+
+    call = provider(a.vision) if a.vision else None
+    got = ingest_folder(spark, a.path, a.data, a.label, a.reader, call, a.password, a.max_pages, a.text_threshold, a.force_vision, a.fresh, a.jobs, date.today().isoformat())
+    errors = got.pop("errors")
+    print(*(f"{k.replace('_', ' ')}: {v}" for k, v in got.items()), sep="\n")
+    print(*(f"error: {rel}{f' page {page}' if page else ''}: {e}" for rel, page, e in errors), sep="\n")
+
+
+def _migrate(spark, a) -> None:
+    """A language line for pages that have none; pages that have one stay as they are."""
+    from quern.operators.pages import migrated
+    from quern.sources.files import read_markdown, write_markdown
+    from quern.state import cut
+
+    pages = cut(migrated(read_markdown(spark, a.raw)), "migrated")
+    print(*(f"{r['status']}: {r['count']}" for r in pages.groupBy("status").count().orderBy("status").collect()), sep="\n")
+    if not a.dry_run:
+        write_markdown(pages.filter("status = 'updated'"), a.raw)
+
+
 def main(argv: list[str] | None = None) -> None:
     a = _parser().parse_args(argv)
     if a.command == "export":
@@ -123,6 +162,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.command in ("crawl", "collect"):
         _pages(spark, a)
         return
+    if a.command in ("documents", "migrate-lang"):
+        {"documents": _documents, "migrate-lang": _migrate}[a.command](spark, a)
+        return
     if a.command == "run":
         from quern.plans import catalog
 

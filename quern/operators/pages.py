@@ -65,6 +65,17 @@ def migrate_language_status(pages: DataFrame) -> DataFrame:
     return pages.withColumn("status", F.when(~F.col("has_block"), "no_frontmatter").when(F.col("language").isNotNull(), "skipped").when(F.col("detected").isNull(), "unknown").otherwise("updated"))
 
 
+def migrated(raw: DataFrame) -> DataFrame:
+    """``raw(rel, content)`` with status, as in ``migrate_language_status``, and for updated pages the new content."""
+    from quern.functions import html
+
+    block = text.without_bom(F.col("content")).rlike(text.BLOCK)
+    body = F.regexp_replace(text.without_bom(F.col("content")), text.BLOCK, "")
+    pages = raw.select("rel", "content", block.alias("has_block"), text.page_language(F.col("content")).alias("language"), body.alias("body"))
+    found = migrate_language_status(pages.withColumn("detected", html.guessed_language("body")))
+    return found.withColumn("content", F.when(F.col("status") == "updated", with_language_line(F.col("content"), F.col("detected"))).otherwise(F.col("content"))).select("rel", "content", "status")
+
+
 def with_language_line(content: F.Column, language: F.Column) -> F.Column:
     """The page with a language line at the end of its metadata block."""
     t = text.without_bom(content)

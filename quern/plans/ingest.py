@@ -78,3 +78,29 @@ def ingest_documents(found: DataFrame, manifest: DataFrame, label: str, call: Ca
     counts = documents.report(routed.withColumn("doc", F.col("key"))).first().asDict()
     errors = answers.filter("error is not null").select("key", "page_no", "error")
     return Ingest(raw, merged, errors, counts | {"written": raw.count(), "failed": errors.count()})
+
+
+def ingest_folder(spark, path: str, data: str, label: str, reader: str, call: Callable[[bytes], str] | None = None, password: str | None = None, budget: int | None = None, threshold: int = documents.TEXT_CHARS, force: bool = False, fresh: bool = False, jobs: int = 4, day: str = "") -> dict:
+    """All PDFs below ``path`` as Markdown pages below ``data``/raw/``label``; returns the counters, with ``errors``: (file, page, error).
+
+    What was done before is known from the manifest, a versioned table below ``data``/documents; the pages are written before the manifest that
+    names them, so a run that dies does them again. ``errors`` are at most a hundred, for people.
+    """
+    from quern.plans.compile import State
+    from quern.sources import files, pdf
+
+    documents.validate_label(label)
+    _, found, other = pdf.find_pdfs(path)
+    if not found:
+        raise FileNotFoundError(f"no PDF files: {path}")
+    read, failed = pdf.read_pdfs(spark, path, reader, password, "always" if force else "auto" if call else "never")
+    state = State(spark, f"{data}/documents")
+    v = state.version()
+    manifest = spark.read.schema(MANIFEST).parquet(f"{state.root}/v={v}/manifest") if v is not None else spark.createDataFrame([], MANIFEST)
+    done = ingest_documents(cut(read, "pages"), manifest, label, call, budget, threshold, force, fresh, jobs, day)
+    files.write_markdown(done.raw, f"{data}/raw")
+    new = 0 if v is None else v + 1
+    done.manifest.write.mode("overwrite").parquet(f"{state.root}/v={new}/manifest")
+    state.complete(new)
+    errors = failed.select("rel", "page_no", "error").unionByName(done.errors.select(F.col("key").alias("rel"), "page_no", "error"))
+    return done.report | {"other_files": other, "errors": [tuple(r) for r in errors.orderBy("rel", "page_no").limit(100).collect()]}

@@ -137,13 +137,31 @@ def wiki_folder(data: str, lang: str | None = None, prefix: str = "wiki") -> str
 
 
 def write_markdown(pages: DataFrame, folder: str, key: str = "rel") -> int:
-    """Pages as files below a folder of this machine, streamed; an export for people, not a table of the engine."""
-    n, root = 0, Path(folder).resolve()
-    for r in pages.select(key, "content").toLocalIterator():
-        path = (root / r[key]).resolve()
-        if root not in path.parents:
-            raise ValueError(f"outside of the folder: {r[key]!r}")
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(r["content"], encoding="utf-8")
-        n += 1
-    return n
+    """Pages as files below a folder, written by executors; returns how many.
+
+    The folder is one that driver and executors share, of any file system. A file is written under another name and moved onto its own, so
+    readers see the old or the new one, and a task that runs twice leaves one. A path that leads out of the folder is an error.
+    """
+    from quern.sources.pdf import file_system
+
+    def run(frames):
+        import uuid
+        from posixpath import dirname, normpath
+
+        import pandas as pd
+
+        system, root = file_system(folder)
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                path = normpath(f"{root}/{name}")
+                if not path.startswith(root.rstrip("/") + "/"):
+                    raise ValueError(f"outside of the folder: {name!r}")
+                system.create_dir(dirname(path), recursive=True)
+                temp = f"{path}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(temp) as f:
+                    f.write((content or "").encode())
+                system.move(temp, path)
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    found = pages.select(F.col(key).alias("name"), "content").mapInPandas(run, "n bigint").agg(F.sum("n").alias("n")).first()["n"]
+    return found or 0
