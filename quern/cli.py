@@ -4,7 +4,7 @@
     python -m quern.cli collect bookmarks.html --out data/pages [--max-pages N] [--lang de,en]
     python -m quern.cli documents FOLDER --label NAME --data data --reader module:open [--password P] [--max-pages N] [--text-threshold 200] [--force-vision] [--fresh]
     python -m quern.cli migrate-lang --raw data/raw [--dry-run]
-    python -m quern.cli compile --raw data/raw --state data/state [--only-domains a,b] [--lang de,en] [--wiki-dir data/wiki] [--lint] [--jobs 4]
+    python -m quern.cli compile --raw data/raw --state data/state [--only-domains a,b] [--lang de,en] [--wiki-dir data/wiki] [--lint] [--jobs 4] [--canonicalize] [--graph-only | --canonicalize-only] [--graph-dir data/graph]
     python -m quern.cli ask "question" --state data/state
     python -m quern.cli suggestions --state data/state
     python -m quern.cli queries
@@ -63,6 +63,9 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--jobs", type=int, default=4)
     c.add_argument("--lint", action="store_true")
     c.add_argument("--canonicalize", action="store_true")
+    c.add_argument("--graph-only", action="store_true")
+    c.add_argument("--canonicalize-only", action="store_true")
+    c.add_argument("--graph-dir")
     a = sub.add_parser("ask", parents=[models])
     a.add_argument("question")
     sub.add_parser("suggestions", parents=[models])
@@ -171,9 +174,10 @@ def main(argv: list[str] | None = None) -> None:
         catalog.queries()[a.name](spark, a.sf_dir).write.mode("overwrite").parquet(a.out)
         return
     from quern.operators import retrieval
-    from quern.plans.compile import State, cached_suggestions, compile_corpus
+    from quern.plans.compile import State, cached_suggestions, canonicalize_only, graph_only
+    from quern.plans.folder import Files, compile_folder
     from quern.plans.prompts import prompts
-    from quern.sources.files import read_markdown, write_markdown
+    from quern.sources.files import write_graph, write_markdown
 
     state, call, texts = State(spark, a.state), provider(a.provider), prompts(a.language)
     if a.command == "suggestions":
@@ -184,11 +188,16 @@ def main(argv: list[str] | None = None) -> None:
         found = retrieval.answer(a.question, state.read("articles"), state.read("nodes"), state.read("edges"), ask, route=texts["route"])
         print(found["answer"], *[f"- {s}" for s in found["sources"]], sep="\n")
         return
-    run = compile_corpus(
-        read_markdown(spark, a.raw), state, call, a.model, _split(a.only_domains), _split(a.lang), today=date.today().isoformat(), canonicalize=a.canonicalize,
-        language=a.language, jobs=a.jobs, with_lint=a.lint,
-    )
-    print(run)
+    if a.graph_only or a.canonicalize_only:
+        if a.canonicalize_only:
+            got = canonicalize_only(state, call, a.model, language=a.language)
+        else:
+            got = graph_only(state, call if a.canonicalize else None, a.model, language=a.language)
+        print("nodes, edges:", *got)
+    else:
+        print(compile_folder(Files(spark, a.raw), state, call, a.model, _split(a.only_domains), _split(a.lang), None, date.today().isoformat(), a.canonicalize, a.language, a.jobs, a.lint))
+    if a.graph_dir:
+        print("graph written:", *write_graph(state.read("nodes"), state.read("edges"), a.graph_dir, {"fingerprint": (state.read("meta").first() or [None])[0]}))
     if a.wiki_dir:
         print("articles written:", write_markdown(state.read("articles"), a.wiki_dir, "name"))
 

@@ -35,16 +35,26 @@ def fingerprints(member_rows: DataFrame) -> DataFrame:
     return member_rows.groupBy("slug").agg(text.fingerprint(F.collect_set("digest")).alias("fingerprint"))
 
 
-def corpus_fingerprint(digests: DataFrame, schema: int = 1) -> DataFrame:
-    """One row: a fingerprint of all distinct digests, whatever their order.
+#: Lanes of a multiset hash, each of 64 bits.
+LANES = 4
+
+
+def multiset_sums(values: DataFrame, name: str) -> DataFrame:
+    """One row: n, s0 .. s3: the number of the values and sums of four parts of their SHA-256.
 
-    A tree of two levels: digests are hashed in order by their first three hexadecimal digits, then the 4,096 hashes in
-    theirs. One hash over all digests would have to see them in one task; equality means the same.
+    Sums are the same in any order and can be added and taken away: those of a changed set are the old ones, plus those of what came, less those of what
+    went. Values are summed where they lie; a task sends one row on.
     """
-    d = digests.select("digest").distinct()
-    parts = d.groupBy(F.substring("digest", 8, 3).alias("p")).agg(text.fingerprint(F.collect_list("digest")).alias("h"))
-    whole = parts.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n").alias("x"))
-    return whole.select(F.sha2(F.concat(F.lit(f"v{schema}\n"), "x"), 256).alias("fingerprint"))
+    h = values.select(F.sha2(F.col(name).cast("binary"), 256).alias("h"))
+    lane = lambda i: F.conv(F.substring("h", 1 + 16 * i, 16), 16, 10).cast("decimal(20,0)")
+    return h.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(lane(i)), F.lit(0)).alias(f"s{i}") for i in range(LANES)))
+
+
+def corpus_fingerprint(digests: DataFrame, schema: int = 1) -> DataFrame:
+    """One row: a fingerprint of all distinct digests, whatever their order: their number and four sums of 64 bits."""
+    sums = multiset_sums(digests.select("digest").distinct(), "digest")
+    parts = [F.pmod(F.col(f"s{i}").cast("decimal(38,0)"), F.lit("18446744073709551616").cast("decimal(38,0)")).cast("decimal(20,0)").cast("string") for i in range(LANES)]
+    return sums.select(F.sha2(F.concat_ws("\n", F.lit(f"v{schema}"), F.col("n").cast("string"), *parts).cast("binary"), 256).alias("fingerprint"))
 
 
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:

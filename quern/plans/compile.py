@@ -33,8 +33,8 @@ MARKER, KEEP = "_COMPLETE", 2
 class State:
     """Versioned tables below one folder of any file system Spark reaches."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, str] | None = None):
+        self.spark, self.root, self.tables = spark, root.rstrip("/"), tables or TABLES
         self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
@@ -78,16 +78,16 @@ class State:
     def read(self, table: str) -> DataFrame:
         v = self.version()
         if v is None:
-            return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/v={v}/{table}")
+            return self.spark.createDataFrame([], self.tables[table])
+        return self.spark.read.schema(self.tables[table]).parquet(f"{self.root}/v={v}/{table}")
 
     def write(self, tables: dict[str, DataFrame]) -> int:
         """All tables as the next version; those not given are kept from the current one."""
         v = self.version()
         new = 0 if v is None else v + 1
-        for name in TABLES:
+        for name, kind in self.tables.items():
             df = tables[name] if name in tables else self.read(name)
-            want = [c.split(" ")[0] for c in _columns(TABLES[name])]
+            want = [c.split(" ")[0] for c in _columns(kind)]
             df.select(*want).write.mode("overwrite").parquet(f"{self.root}/v={new}/{name}")
         self.complete(new)
         return new
@@ -166,8 +166,13 @@ def build_graph(distillates: DataFrame, call: Call | None = None, model: str = "
     d = distillates.select(key.alias("k"), F.posexplode("edges").alias("at", "e")).select("e.src", "e.rel", "e.dst", F.struct("k", "at").alias("ord"))
     edges = graph.resolve_edges(d, nodes).withColumnRenamed("ord", "at")
     edges = cut(numbered(edges, 1, "at", "_b").select(F.col("_place").cast("bigint").alias("id"), "src", "dst", "rel", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("props"), F.col("_place").cast("bigint").alias("ord")), "edges")
-    if call is None:
-        return nodes, edges
+    return (nodes, edges) if call is None else canonicalized(nodes, edges, call, model, prompt)
+
+
+def canonicalized(nodes: DataFrame, edges: DataFrame, call: Call, model: str = "", prompt: str = "") -> tuple[DataFrame, DataFrame]:
+    """A graph whose entities that a model holds for one are merged, and those that full names give away."""
+    from quern.state import cut
+
     made = graph.model_clusters(nodes, call, model, prompt).withColumn("src", F.lit(0))
     full = graph.fullname_clusters(nodes).select("prefLabel", "label", F.array("alias").alias("aliases"), F.array("a", "b").alias("member_ids"), F.lit(1).alias("src"))
     both = made.unionByName(full).filter("size(member_ids) > 0").withColumn("cluster", F.xxhash64("src", "label", "prefLabel", "member_ids"))
@@ -204,14 +209,18 @@ def compile_corpus(
     ``language``: of the default instructions, where ``prompts`` gives none. ``with_lint``: a report on all articles, written
     whenever an article or the index changed.
     """
-    from quern.state import cut
-
-    prompts, report = default_prompts(language, prompts), Report()
     shown = pages.filter_language(pages.filter_domains(pages.parsed(raw), [d.lower() for d in domains] if domains else None), langs, detect=bool(langs)).select("rel", "content")
     if _unchanged(shown, state):
-        report.pages = state.read("store").count()
-        return report
-    result = distill.distill_all(shown, state.read("store"), call, model, prompts["distill"], jobs)
+        return Report(pages=state.read("store").count())
+    return compile_groups(pages.group_pages(shown, with_content=True), state, call, model, default_prompts(language, prompts), today, canonicalize, jobs, with_lint)
+
+
+def compile_groups(groups: DataFrame, state: State, call: Call, model: str, prompts: dict[str, str], today: str = "", canonicalize: bool = False, jobs: int = 4, with_lint: bool = False) -> Report:
+    """The steps of a run over page groups, as ``distill.distill_groups`` takes them."""
+    from quern.state import cut
+
+    spark, report = groups.sparkSession, Report()
+    result = distill.distill_groups(groups, state.read("store"), call, model, prompts["distill"], jobs)
     live = cut(result.distillates, "live")
     report.pages, report.distilled, report.failed = live.count(), result.made.count(), result.failed.count()
     before = state.read("clusters")
@@ -230,7 +239,7 @@ def compile_corpus(
     if report.changed or report.removed or meta_missing:
         lines = retrieval.index_lines(articles).orderBy("name").toLocalIterator()
         index = "\n".join(f"- [[{r['name']}]]: {r['first_line']}" for r in lines)
-        page = raw.sparkSession.createDataFrame([("_index.md", index)], ARTICLES)
+        page = spark.createDataFrame([("_index.md", index)], ARTICLES)
         articles, report.index_built = articles.filter("name <> '_index.md'").unionByName(page), True
         if with_lint:
             found = lint(articles.filter("not startswith(name, '_')"), call, model, prompts["lint"])
@@ -240,13 +249,32 @@ def compile_corpus(
     known = state.read("meta").first()
     if known is None or known["fingerprint"] != mark:
         tables["nodes"], tables["edges"] = build_graph(live, call if canonicalize else None, model, prompts["canonicalize"])
-        tables["meta"] = raw.sparkSession.createDataFrame([(mark,)], META)
+        tables["meta"] = spark.createDataFrame([(mark,)], META)
         report.graph_built = True
     if report.distilled or report.changed or report.removed or report.graph_built or report.index_built:
         state.write(tables)
     return report
 
 
+def graph_only(state: State, call: Call | None = None, model: str = "", prompts: dict[str, str] | None = None, language: str = "de") -> tuple[int, int]:
+    """The graph of the stored distillates, built anew whatever the last one was; with ``call`` its entities are united. Returns nodes and edges."""
+    live = state.read("store")
+    nodes, edges = build_graph(live, call, model, default_prompts(language, prompts)["canonicalize"])
+    mark = inventory.corpus_fingerprint(live).first()["fingerprint"]
+    state.write({"nodes": nodes, "edges": edges, "meta": state.spark.createDataFrame([(mark,)], META)})
+    return state.read("nodes").count(), state.read("edges").count()
+
+
+def canonicalize_only(state: State, call: Call, model: str = "", prompts: dict[str, str] | None = None, language: str = "de") -> tuple[int, int]:
+    """The graph there is, with its entities united; pages, topics and articles are not touched. Returns nodes and edges; without a graph nothing is done."""
+    nodes, edges = state.read("nodes"), state.read("edges")
+    if nodes.isEmpty():
+        return 0, 0
+    nodes, edges = canonicalized(nodes, edges, call, model, default_prompts(language, prompts)["canonicalize"])
+    state.write({"nodes": nodes, "edges": edges})
+    return state.read("nodes").count(), state.read("edges").count()
+
+
 def read_sources(articles: DataFrame) -> DataFrame:
     """(name, sources) that articles name themselves."""
     return articles.select("name", text.article_sources(F.col("content")).alias("sources"))

@@ -45,20 +45,118 @@ def graph_folders(lang: str | None = None, namespace: str | None = None) -> list
     return [f"{base}-{lang.strip().lower()}", base] if lang else [base]
 
 
+NODES = "id bigint, label string, name string, aliases array<string>, props map<string,string>"
+EDGES = "id bigint, src bigint, dst bigint, rel string, props map<string,string>"
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the class of paths."""
+    kind = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return kind(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), kind
+
+
+def _graph_version(spark: SparkSession, folder: str) -> int | None:
+    """The highest version below a graph's folder that is complete: its ``meta.json`` is there."""
+    fs, path = _hadoop(spark, folder)
+    if not fs.exists(path(folder)):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(path(folder))]
+    return max((int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit() and fs.exists(path(f"{folder}/{n}/meta.json"))), default=None)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, folder: str, meta: dict, keep: int = 2) -> tuple[int, int]:
+    """A graph as JSON: nodes, edges and ``meta.json`` with its name, fingerprint and so on; returns the numbers of nodes and edges.
+
+    ``<folder>/v=N/nodes.json`` and ``edges.json`` are folders of JSON lines, written by executors. ``meta.json`` is put in place last, in one step,
+    and is what makes the version count: readers see the three together or the graph before. All but the last ``keep`` versions are deleted.
+    """
+    spark = nodes.sparkSession
+    fs, path = _hadoop(spark, folder)
+    v = _graph_version(spark, folder)
+    at = f"{folder}/v={0 if v is None else v + 1}"
+    plain = lambda df, ddl: df.select(*[c.split(" ")[0] for c in ddl.split(", ")])
+    plain(nodes, NODES).write.mode("overwrite").option("ignoreNullFields", False).json(f"{at}/nodes.json")
+    plain(edges, EDGES).write.mode("overwrite").option("ignoreNullFields", False).json(f"{at}/edges.json")
+    n = spark.read.schema(NODES).json(f"{at}/nodes.json").count()
+    m = spark.read.schema(EDGES).json(f"{at}/edges.json").count()
+    out = fs.create(path(f"{at}/meta.json.tmp"), True)
+    out.write(bytearray(json.dumps({"name": "knowledge graph", "nodes": n, "edges": m} | meta, ensure_ascii=False, indent=2).encode()))
+    out.close()
+    if not fs.rename(path(f"{at}/meta.json.tmp"), path(f"{at}/meta.json")):
+        raise FileExistsError(f"another run wrote {at}")
+    for old in range(max(0, (0 if v is None else v + 1) - keep + 1)):
+        fs.delete(path(f"{folder}/v={old}/meta.json"), False)
+        fs.delete(path(f"{folder}/v={old}"), True)
+    return n, m
+
+
 def read_graph(spark: SparkSession, data: str, lang: str | None = None, namespace: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the first folder that has both files; empty tables without one."""
-    n = "id bigint, label string, name string, aliases array<string>, props map<string,string>"
-    e = "id bigint, src bigint, dst bigint, rel string, props map<string,string>"
+    """Nodes and edges of the first folder that has a graph: what ``write_graph`` wrote, or two files of one JSON array each; empty tables without one."""
     for name in graph_folders(lang, namespace):
+        v = _graph_version(spark, f"{data}/{name}")
+        at, whole = (f"{data}/{name}", True) if v is None else (f"{data}/{name}/v={v}", False)
         try:
-            nodes = spark.read.schema(n).json(f"{data}/{name}/nodes.json", multiLine=True)
-            edges = spark.read.schema(e).json(f"{data}/{name}/edges.json", multiLine=True)
+            nodes = spark.read.schema(NODES).json(f"{at}/nodes.json", multiLine=whole)
+            edges = spark.read.schema(EDGES).json(f"{at}/edges.json", multiLine=whole)
         except Exception as err:  # noqa: BLE001  only a missing path leads on to the next folder
             if "PATH_NOT_FOUND" in str(err):
                 continue
             raise
         return nodes.withColumn("ord", F.col("id")), edges.withColumn("ord", F.col("id"))
-    return spark.createDataFrame([], n + ", ord bigint"), spark.createDataFrame([], e + ", ord bigint")
+    return spark.createDataFrame([], NODES + ", ord bigint"), spark.createDataFrame([], EDGES + ", ord bigint")
+
+
+def read_graph_meta(spark: SparkSession, data: str, lang: str | None = None, namespace: str | None = None) -> dict:
+    """``meta.json`` of the first folder that has one; empty without."""
+    for name in graph_folders(lang, namespace):
+        v = _graph_version(spark, f"{data}/{name}")
+        at = f"{data}/{name}/meta.json" if v is None else f"{data}/{name}/v={v}/meta.json"
+        fs, path = _hadoop(spark, at)
+        if fs.exists(path(at)):
+            stream = fs.open(path(at))
+            raw = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            return json.loads(raw)
+    return {}
+
+
+def delete_markdown(spark: SparkSession, folder: str, domain: str) -> int:
+    """Delete all raw pages of a domain below a folder, then folders that are empty; returns how many files went, 0 if the domain has none.
+
+    Executors read the pages' metadata blocks and delete the files; the folder is one that they share.
+    """
+    from quern.functions import text
+    from quern.sources.pdf import file_system
+
+    def run(frames):
+        import pandas as pd
+
+        system, root = file_system(folder)
+        for frame in frames:
+            for rel in frame["rel"]:
+                system.delete_file(f"{root}/{rel}")
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    due = read_markdown(spark, folder).filter(text.page_domain(F.col("content")) == domain).select("rel")
+    from quern.state import cut
+
+    gone = cut(due, "delete").mapInPandas(run, "n bigint").agg(F.sum("n").alias("n")).first()["n"] or 0
+    if gone:
+        _prune(*file_system(folder))
+    return gone
+
+
+def _prune(system, folder: str) -> bool:
+    """Delete folders without any file below; whether this one is empty now (it stays itself)."""
+    from pyarrow import fs
+
+    empty = True
+    for f in system.get_file_info(fs.FileSelector(folder)):
+        if f.type == fs.FileType.Directory and _prune(system, f.path):
+            system.delete_dir(f.path)
+        else:
+            empty = False
+    return empty
 
 
 def load_json(path: str, default, strict: bool = False):

@@ -195,3 +195,102 @@ def test_a_cluster_needs_a_shared_folder():
 
     assert is_local("local") and is_local("local[8]") and is_local("local[*, 3]")
     assert not any(map(is_local, ("local-cluster[3,2,3000]", "spark://h:7077", "yarn", "k8s://https://h")))
+
+
+def write(folder, name, content):
+    path = folder / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(content)
+
+
+@pytest.mark.parametrize("kind", ["markdown", "parquet"])
+def test_a_folder_that_did_not_change_is_listed_and_not_read(spark, tmp_path, kind):
+    import os
+
+    from quern.plans.folder import Files, compile_folder
+
+    folder, state, call = tmp_path / "raw", State(spark, f"file://{tmp_path}/state"), Counting(spark)
+    rows = [page(k, f"Seite Nummer {k} über Dinge und Sachen.") for k in range(6)] + [("d/a b+c.md", page(0, "Seite Nummer 0 über Dinge und Sachen.")[1])]
+    if kind == "markdown":
+        for name, content in rows:
+            write(folder, name, content)
+    else:
+        raw(spark, rows).repartition(3, "rel").write.parquet(str(folder))
+    files = Files(spark, str(folder), kind)
+    first = compile_folder(files, state, call)
+    assert (first.pages, first.distilled, first.failed) == (6, 6, 0) and first.graph_built
+    assert state.read("store").filter("size(sources) = 2").first()["sources"] == ["d/0.md", "d/a b+c.md"]
+    calls, version = call.calls.value, state.version()
+    # other bytes of the same size and time: a run that read them would fail or find something new
+    for path in (p for p in folder.rglob("*") if p.suffix in (".md", ".parquet") and not p.name.startswith(".")):
+        at = path.stat()
+        path.write_bytes(b"x" * at.st_size)
+        os.utime(path, ns=(at.st_atime_ns, at.st_mtime_ns))
+        if (crc := path.with_name(f".{path.name}.crc")).exists():
+            crc.unlink()
+    again = compile_folder(files, state, call)
+    assert again.pages == 6 and call.calls.value == calls and state.version() == version and not again.graph_built
+
+
+def test_only_changed_files_are_read(spark, tmp_path):
+    import os
+
+    from quern.plans.folder import Files, compile_folder
+
+    folder, state, call = tmp_path / "raw", State(spark, f"file://{tmp_path}/state"), Counting(spark)
+    for k in range(4):
+        write(folder, *page(k, f"Seite Nummer {k} über Dinge und Sachen."))
+    files = Files(spark, str(folder))
+    compile_folder(files, state, call)
+    at = (folder / "d/3.md").stat()
+    (folder / "d/3.md").write_bytes(b"y" * at.st_size)  # not noticed: same size and time
+    os.utime(folder / "d/3.md", ns=(at.st_atime_ns, at.st_mtime_ns))
+    write(folder, *page(1, "Jetzt etwas ganz anderes auf dieser Seite."))
+    (folder / "d/0.md").unlink()
+    write(folder, *page(9, "Neu."))
+    report = compile_folder(files, state, call)
+    assert (report.pages, report.distilled) == (4, 2)
+    assert sorted(s for r in state.read("store").collect() for s in r["sources"]) == ["d/1.md", "d/2.md", "d/3.md", "d/9.md"]
+    # the same state as a run over all texts would have left
+    (folder / "d/3.md").write_text(page(3, "Seite Nummer 3 über Dinge und Sachen.")[1])
+    assert compile_folder(files, state, call).distilled == 0
+    other = compile_folder(files, state, call, domains=["elsewhere"])
+    assert other.pages == 0  # other settings are another run
+
+
+def test_failed_pages_of_unchanged_files_are_tried_again(spark, tmp_path):
+    from quern.plans.folder import Files, compile_folder
+
+    folder, state = tmp_path / "raw", State(spark, f"file://{tmp_path}/state")
+    write(folder, *page(0, "Eine Seite über Dinge und Sachen."))
+
+    def broken(*_):
+        raise OSError("no model")
+
+    assert compile_folder(Files(spark, str(folder)), state, broken).failed == 1
+    assert compile_folder(Files(spark, str(folder)), state, EchoModel()).distilled == 1
+    assert compile_folder(Files(spark, str(folder)), state, broken).pages == 1  # complete now: no call
+
+
+def test_graph_and_canonical_steps_alone(spark, tmp_path):
+    from quern.plans.compile import canonicalize_only, graph_only
+
+    state = State(spark, f"file://{tmp_path}/state")
+    assert canonicalize_only(state, EchoModel()) == (0, 0)
+    compile_corpus(raw(spark, [page(k, f"Seite {k} über Dinge und Sachen.") for k in range(3)]), state, EchoModel())
+    before, articles = state.read("nodes").count(), state.read("articles").count()
+    state.write({"nodes": state.read("nodes").limit(0), "edges": state.read("edges").limit(0)})
+    assert graph_only(state)[0] == before > 0
+    assert canonicalize_only(state, EchoModel())[0] <= before and state.read("articles").count() == articles
+
+
+def test_sums_of_a_changed_set_are_found_from_the_change(spark):
+    from quern.operators.inventory import corpus_fingerprint, multiset_sums
+
+    values = lambda names: spark.createDataFrame([(n,) for n in names], "digest string")
+    row = lambda names: multiset_sums(values(names), "digest").first()
+    a, came, went = row([f"k{i}" for i in range(50)]), row(["new"]), row(["k7"])
+    after = row([*(f"k{i}" for i in range(50) if i != 7), "new"])
+    assert [x + y - z for x, y, z in zip(a, came, went, strict=True)] == list(after)
+    mark = lambda names: corpus_fingerprint(values(names)).first()[0]
+    assert mark("abc") == mark("cbaab") != mark("abd") and mark("") != mark("a")
