@@ -5,7 +5,7 @@
     python -m quern.cli documents FOLDER --label NAME --data data --reader module:open [--password P] [--max-pages N] [--text-threshold 200] [--force-vision] [--fresh]
     python -m quern.cli migrate-lang --raw data/raw [--dry-run]
     python -m quern.cli compile --raw data/raw --state data/state [--only-domains a,b] [--lang de,en] [--wiki-dir data/wiki] [--lint] [--jobs 4] [--canonicalize] [--graph-only | --canonicalize-only] [--graph-dir data/graph]
-    python -m quern.cli ask "question" --state data/state
+    python -m quern.cli ask "question" --state data/state [--events]
     python -m quern.cli suggestions --state data/state
     python -m quern.cli queries
     python -m quern.cli run NAME --sf-dir DIR --out DIR
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import argparse
 import importlib
+import json
 from datetime import date
 
 
@@ -68,6 +69,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--graph-dir")
     a = sub.add_parser("ask", parents=[models])
     a.add_argument("question")
+    a.add_argument("--events", action="store_true")
     sub.add_parser("suggestions", parents=[models])
     d = sub.add_parser("documents")
     d.add_argument("path")
@@ -185,6 +187,16 @@ def main(argv: list[str] | None = None) -> None:
         return
     if a.command == "ask":
         ask = lambda messages: call("\n\n".join(m["content"] for m in messages), a.model, 4096)
+        if a.events:
+            from quern.streaming.answers import server_sent
+
+            def stream(messages):  # a provider that hands out its reply in parts, or whole
+                got = ask(messages)
+                yield from [got] if isinstance(got, str) else got
+
+            for kind, data in retrieval.answer_parts(a.question, state.read("articles"), state.read("nodes"), state.read("edges"), ask, stream, route=texts["route"]):
+                print(server_sent({"type": kind, "data": json.dumps(data)}), end="", flush=True)
+            return
         found = retrieval.answer(a.question, state.read("articles"), state.read("nodes"), state.read("edges"), ask, route=texts["route"])
         print(found["answer"], *[f"- {s}" for s in found["sources"]], sep="\n")
         return

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +46,8 @@ def message(question: str, contents: list[tuple[str, str]], graph_context: str =
     return f"{question}\n\n{context}" if context else question
 
 
-def answer(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFrame, call: Callable[[list[dict]], str], view: Callable[[DataFrame], DataFrame] | None = None, history: list[dict] = (), tail: int = WEB_TAIL, route: str = "") -> dict:
-    """Route, walk one hop, gather, ask. ``view`` limits articles, and then the graph to what they mention.
+def prepared(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFrame, call: Callable[[list[dict]], str], view: Callable[[DataFrame], DataFrame] | None = None, history: list[dict] = (), tail: int = WEB_TAIL, route: str = "") -> tuple[list[str], list[dict]]:
+    """(sources, messages): route, walk one hop, gather. ``view`` limits articles, and then the graph to what they mention.
 
     What reaches the driver is the listing for the router, a handful of chosen articles and at most 40 facts.
     """
@@ -69,7 +69,29 @@ def answer(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFram
     contents = {r["name"]: r["content"] for r in shown.filter(F.col("name").isin(chosen)).collect()} if chosen else {}
     messages = [*list(history)[-tail:], {"role": "user", "content": message(question, [(n, contents[n]) for n in chosen if n in contents], block)}]
     found.unpersist()
-    return {"sources": [n.removesuffix(".md") for n in chosen if not n.startswith("_")], "answer": call(messages)}
+    return [n.removesuffix(".md") for n in chosen if not n.startswith("_")], messages
+
+
+def answer(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFrame, call: Callable[[list[dict]], str], view: Callable[[DataFrame], DataFrame] | None = None, history: list[dict] = (), tail: int = WEB_TAIL, route: str = "") -> dict:
+    """``prepared``, and the model's answer to it."""
+    sources, messages = prepared(question, articles, nodes, edges, call, view, history, tail, route)
+    return {"sources": sources, "answer": call(messages)}
+
+
+def answer_parts(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFrame, call: Callable[[list[dict]], str], stream: Callable[[list[dict]], Iterator[str]], view: Callable[[DataFrame], DataFrame] | None = None, history: list[dict] = (), tail: int = WEB_TAIL, route: str = "") -> Iterator[tuple[str, dict]]:
+    """``answer`` as events while the model writes: (type, data), see ``streaming.answers``."""
+    from quern.streaming.answers import events_of
+
+    shown = articles.transform(view) if view else articles
+    if shown.filter(~F.col("name").startswith("_")).isEmpty():
+        yield from events_of(None, [], None, stream)
+        return
+    try:
+        sources, messages = prepared(question, articles, nodes, edges, call, view, history, tail, route)
+    except Exception as e:  # noqa: BLE001
+        yield from events_of([], [], f"{type(e).__name__}: {e}", stream)
+        return
+    yield from events_of(sources, messages, None, stream)
 
 
 def chat_list(messages: DataFrame) -> DataFrame:
