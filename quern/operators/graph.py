@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.functions.replies import parse_json
+from quern.functions.search import Strings
 from quern.state import cut
 
 BLOCK = 120
 FACTS, DESCRIPTIONS = 40, 15
-#: Terms are broadcast up to this many bytes; beyond, they are matched block by block.
+#: Bytes of terms and names that are looked for together.
 TERM_BYTES = 8 << 20
 
 #: Phrases of relations.
@@ -137,50 +140,53 @@ def terms_of(nodes: DataFrame) -> DataFrame:
     return nodes.filter("name <> ''").select("ord", "name", F.posexplode(own).alias("k", "t")).filter("t <> ''").select(F.lower("t").alias("term"), "name", F.struct("ord", "k").alias("place"))
 
 
-def article_entities(articles: DataFrame, terms: DataFrame) -> DataFrame:
+def article_entities(articles: DataFrame, terms: DataFrame, block_bytes: int = TERM_BYTES) -> DataFrame:
     """(name, entities): canonical names whose terms occur anywhere in an article, in term order; articles without are left out.
 
-    The terms, of a checked size, go to every task; each article is searched for all of them with one automaton. Larger
-    term lists are taken block by block. Meta articles (``_``) are skipped.
+    Terms are taken in blocks of about ``block_bytes``: one block at a time is on the driver and in the tasks, its hits are written before the next one is
+    looked at, and then it is let go. Meta articles (``_``) are skipped.
     """
     pages = articles.filter(~F.col("name").startswith("_")).select("name", F.lower(F.coalesce("content", F.lit(""))).alias("content"))
     size = terms.agg(F.sum(F.octet_length("term") + F.octet_length("name"))).first()[0] or 0
-    n = -(-size // TERM_BYTES) or 1
+    n = -(-size // block_bytes) or 1
+    if n > 1:
+        terms = cut(terms, "terms")
     found = None
     for k in range(n):
         part = terms if n == 1 else terms.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k)
-        rows = [(r["term"], r["name"], tuple(r["place"])) for r in part.select("term", "name", "place").collect()]
-        shared = pages.sparkSession.sparkContext.broadcast(rows)
-
-        def run(frames, shared=shared):
-            import ahocorasick
-
-            of: dict[str, list] = {}
-            for term, name, place in shared.value:
-                of.setdefault(term, []).append((place, name))
-            automaton = ahocorasick.Automaton()
-            for term in of:
-                automaton.add_word(term, term)
-            if of:
-                automaton.make_automaton()
-            for frame in frames:
-                out = []
-                for name, content in zip(frame["name"], frame["content"], strict=True):
-                    hits = {t for _, t in automaton.iter(content)} if of else set()
-                    best: dict[str, tuple] = {}
-                    for t in hits:
-                        for place, entity in of[t]:
-                            if entity not in best or place < best[entity]:
-                                best[entity] = place
-                    out += [(name, e, p[0], p[1]) for e, p in best.items()]
-                yield pd.DataFrame(out, columns=["name", "entity", "ord", "k"])
-
-        one = pages.mapInPandas(run, "name string, entity string, ord bigint, k int")
+        one = _hits(pages, part)
         found = one if found is None else found.unionByName(one)
-    best = found.groupBy("name", "entity").agg(F.min(F.struct("ord", "k")).alias("place")) if n > 1 else found.select("name", "entity", F.struct("ord", "k").alias("place"))
+    best = found.groupBy("name", "entity").agg(F.min("place").alias("place"))
     return best.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "entity"))), lambda x: x["entity"]).alias("entities"))  # at most one entry per entity
 
 
+def _hits(pages: DataFrame, terms: DataFrame) -> DataFrame:
+    """(name, entity, place): the terms of one block that occur in pages; of an entity's terms those that do, each once. Written when this returns."""
+    of: dict[str, list[tuple]] = {}
+    for r in terms.select("term", "name", "place").toLocalIterator():
+        of.setdefault(r["term"], []).append((r["name"], r["place"]["ord"], r["place"]["k"]))
+    strings, entries = [t.encode() for t in of], [e for es in of.values() for e in es]
+    starts = np.concatenate([[0], np.cumsum([len(es) for es in of.values()])]).astype(np.int64)
+    columns = pa.array([e[0] for e in entries], pa.string()), np.array([e[1] for e in entries], np.int64), np.array([e[2] for e in entries], np.int64)
+    shared = pages.sparkSession.sparkContext.broadcast((pa.array(strings, pa.binary()), starts, *columns))
+    del of, entries
+
+    def run(batches):
+        terms_, starts_, entity, order, k = shared.value
+        strings = Strings(terms_.to_pylist())
+        for batch in batches:
+            texts = [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            for row, number in strings.search(texts):
+                each = starts_[number + 1] - starts_[number]
+                at = np.repeat(starts_[number] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(row, each))), entity.take(pa.array(at)), pa.array(order[at]), pa.array(k[at])], ["name", "entity", "ord", "k"])
+
+    found = pages.mapInArrow(run, "name string, entity string, ord bigint, k bigint")
+    written = cut(found.select("name", "entity", F.struct("ord", F.col("k").cast("int").alias("k")).alias("place")), "hits")
+    shared.destroy()
+    return written
+
+
 def restrict(entities: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes that visible articles mention, and edges with both ends among them."""
     allowed = entities.select(F.explode("entities").alias("name")).distinct()

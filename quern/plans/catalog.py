@@ -449,7 +449,7 @@ _SEL = "sel AS (SELECT name FROM f GROUP BY name, doc_id HAVING count(*) = 2 ORD
 
 
 def _entities(spark, sf):
-    return cut(graph.article_entities(i.articles(spark, sf), graph.terms_of(i.terms(spark, sf))), "entities")
+    return graph.article_entities(i.articles(spark, sf), graph.terms_of(i.terms(spark, sf)))
 
 
 def _selected(found):
