@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import html, text, urls
+from quern.functions import html, language, text, urls
 from quern.functions.replies import suggestion_list
 from quern.operators import crawl, distill, documents, graph, inventory, pages, retrieval
 from quern.plans import inputs as i
@@ -312,6 +312,17 @@ def graph_fingerprint(spark, sf):
     return inventory.corpus_fingerprint(pages.parsed(i.raw_label(spark, sf)))
 
 
+@query(
+    """WITH w AS (SELECT lang AS language, unnest(string_split(regexp_replace(lower(text), '[^\\p{L}]+', ' ', 'g'), ' ')) AS word FROM documents WHERE lang IS NOT NULL),
+c AS (SELECT language, ' ' || word || ' ' AS p, count(*) AS n FROM w WHERE word <> '' GROUP BY ALL),
+g AS (SELECT language, n, unnest(flatten([list_transform(range(1 + CAST(k = 1 AS INT), length(p) - k + 2 - CAST(k = 1 AS INT)), lambda i: substr(p, i, k)) for k in [1, 2, 3]])) AS gram FROM c),
+r AS (SELECT language, gram, sum(n) AS n FROM g GROUP BY ALL)
+SELECT language, gram, rank FROM (SELECT language, gram, row_number() OVER (PARTITION BY language ORDER BY n DESC, gram) - 1 AS rank FROM r) WHERE rank < 300"""
+)
+def language_profiles(spark, sf):
+    return language.profiles_of(i.documents(spark, sf))
+
+
 @query(
     """WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS f FROM documents WHERE lang IS NOT NULL GROUP BY source, lang)
 SELECT source, lang AS language FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, f) AS k FROM c) WHERE k = 1"""
