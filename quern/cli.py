@@ -4,7 +4,7 @@
     python -m quern.cli collect bookmarks.html --out data/pages [--max-pages N] [--lang de,en]
     python -m quern.cli documents FOLDER --label NAME --data data --reader module:open [--password P] [--max-pages N] [--text-threshold 200] [--force-vision] [--fresh]
     python -m quern.cli migrate-lang --raw data/raw [--dry-run]
-    python -m quern.cli compile --raw data/raw --state data/state [--only-domains a,b] [--lang de,en] [--wiki-dir data/wiki] [--lint] [--jobs 4] [--canonicalize] [--graph-only | --canonicalize-only] [--graph-dir data/graph]
+    python -m quern.cli compile --raw data/raw --state data/state [--only-domains a,b] [--lang de,en] [--wiki-dir data/wiki] [--lint] [--model-index] [--jobs 4] [--canonicalize] [--graph-only | --canonicalize-only] [--graph-dir data/graph]
     python -m quern.cli ask "question" --state data/state [--events]
     python -m quern.cli suggestions --state data/state
     python -m quern.cli queries
@@ -67,6 +67,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--graph-only", action="store_true")
     c.add_argument("--canonicalize-only", action="store_true")
     c.add_argument("--graph-dir")
+    c.add_argument("--model-index", action="store_true")
     a = sub.add_parser("ask", parents=[models])
     a.add_argument("question")
     a.add_argument("--events", action="store_true")
@@ -207,7 +208,7 @@ def main(argv: list[str] | None = None) -> None:
             got = graph_only(state, call if a.canonicalize else None, a.model, language=a.language)
         print("nodes, edges:", *got)
     else:
-        print(compile_folder(Files(spark, a.raw), state, call, a.model, _split(a.only_domains), _split(a.lang), None, date.today().isoformat(), a.canonicalize, a.language, a.jobs, a.lint))
+        print(compile_folder(Files(spark, a.raw), state, call, a.model, _split(a.only_domains), _split(a.lang), None, date.today().isoformat(), a.canonicalize, a.language, a.jobs, a.lint, a.model_index))
     if a.graph_dir:
         print("graph written:", *write_graph(state.read("nodes"), state.read("edges"), a.graph_dir, {"fingerprint": (state.read("meta").first() or [None])[0]}))
     if a.wiki_dir:

@@ -147,6 +147,80 @@ def concat_inventories(parts: DataFrame) -> DataFrame:
     return parts.select("slug", F.explode("files").alias("f")).groupBy("slug").agg(F.array_sort(F.collect_set("f")).alias("files"))
 
 
+PART = "ord bigint, domain string, main_topics array<string>, clusters array<struct<slug:string,name:string,description:string,files:array<string>>>"
+#: Pages that one call of a one-shot inventory reads; characters of a page, and of all its pages.
+INVENTORY_PAGES, PAGE_CHARS = 30, 1500
+
+
+def merged_inventories(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Partial inventories (PART) without a model: clusters (slug, name, description, files, ord) and topics (topic, ord), as one after the other would give.
+
+    A slug's first cluster gives name and description; one that came once keeps its files as they were, else they are united and sorted. Clusters without slug go. Topics
+    are compared without case, the first spelling stays. ``ord`` is dense in neither, it only orders.
+    """
+    c = parts.select("ord", F.posexplode("clusters").alias("k", "c")).filter("c.slug <> ''").select(F.struct("ord", "k").alias("at"), "c.*")
+    files = F.coalesce("files", F.array().cast("array<string>"))
+    grouped = c.groupBy("slug").agg(
+        F.min("at").alias("ord"), F.min_by(F.struct("name", "description"), "at").alias("h"), F.count("*").alias("n"), F.min_by(files, "at").alias("own"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(files)))).alias("all"),
+    )
+    clusters = grouped.select("slug", "h.name", "h.description", F.when(F.col("n") == 1, F.col("own")).otherwise(F.col("all")).alias("files"), "ord")
+    topics = parts.select("ord", F.posexplode("main_topics").alias("k", "topic")).withColumn("at", F.struct("ord", "k"))
+    topics = topics.groupBy(F.lower("topic").alias("_t")).agg(F.min_by("topic", "at").alias("topic"), F.min("at").alias("ord")).drop("_t")
+    return clusters, topics
+
+
+def one_shot(pages: DataFrame, call: Callable[[str, str, int], str], model: str = "", prompt: str = "", merge_prompt: str = "", batch: int = INVENTORY_PAGES) -> tuple[DataFrame, DataFrame]:
+    """An inventory of pages ``rel, content`` in one go: clusters (slug, name, description, files, ord) and topics (topic, ord).
+
+    Batches of pages by path, a call for each, in parallel; their inventories are merged by calls that read a bounded number of characters, in a tree. A
+    reply that is no inventory counts as none; where all are, everything is one cluster, and where merging fails the inventories are merged
+    without a model.
+    """
+    import json
+
+    from quern.operators.distill import numbered
+    from quern.operators.reduction import READ, reduced
+
+    spark = pages.sparkSession
+    rows = numbered(pages.select("rel", F.left("content", F.lit(PAGE_CHARS)).alias("content")), batch, "rel")
+
+    def run(frame):
+        import pandas as pd
+
+        text = "".join(f"\n### {r.rel}\n{r.content or ''}\n" for r in frame.sort_values("rel").itertuples(index=False))
+        try:
+            data = parse_json(call(prompt + text[:READ], model, 4096))
+        except Exception:  # noqa: BLE001  the batch then has no inventory
+            data = None
+        good = isinstance(data, dict) and data.get("clusters")
+        return pd.DataFrame({"ord": [int(frame["batch"].iloc[0])], "data": [json.dumps(data, ensure_ascii=False) if good else None]})
+
+    made = cut(rows.groupBy("batch").applyInPandas(run, "ord bigint, data string"), "partial")
+    made = made.filter("data is not null")
+    n = made.count()
+    if n == 0:
+        files = F.array_sort(F.collect_list("rel"))
+        whole = pages.agg(files.alias("files")).filter("size(files) > 0")
+        clusters = whole.select(F.lit("allgemein").alias("slug"), F.lit("Allgemein").alias("name"), F.lit("Alle Inhalte").alias("description"), "files", F.struct(F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("k")).alias("ord"))
+        return clusters, spark.createDataFrame([("Allgemein", (0, 0))], "topic string, ord struct<ord:bigint,k:int>")
+    parsed = lambda df, text: merged_inventories(df.select("ord", F.from_json(text, PART).alias("p")).select("ord", "p.domain", "p.main_topics", "p.clusters"))
+    if n > 1:
+        def combine(texts: list[str], last: bool) -> str:
+            reply = call(merge_prompt + "\n\n---\n\n".join(texts), model, 8192)
+            if not (isinstance(parse_json(reply), dict) and parse_json(reply).get("clusters")):
+                raise ValueError("no inventory")
+            return json.dumps(parse_json(reply), ensure_ascii=False)
+
+        merged = reduced(made, combine, "ord", "data", each=READ // 8)
+        try:
+            if json.loads(merged).get("clusters"):
+                return parsed(spark.createDataFrame([(0, merged)], "ord bigint, data string"), "data")
+        except (ValueError, AttributeError):
+            pass  # some call failed: without a model
+    return parsed(made, "data")
+
+
 def ordered_distinct(rows: DataFrame, key: list[str], value: str, order: str, fold: bool = False) -> DataFrame:
     """The first row of each (key, value), values compared case-insensitively with ``fold``."""
     v = F.lower(value) if fold else F.col(value)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text
 from quern.operators import graph
+from quern.operators.ranking import places
 
 LISTED, INDEX_CHARS, LINE_CHARS = 5, 2000, 100
 WEB_TAIL, CLI_TAIL = 10, 20
@@ -99,6 +100,40 @@ def chat_list(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("turn").alias("last_turn"))
 
 
+def listed_chats(chats: DataFrame, bucket: str | None = None) -> DataFrame:
+    """(bucket, id, title, updated, place) of ``chats(bucket, id, title, updated)``: newest first within a bucket, ``place`` from 0; of equal times by id.
+
+    With ``bucket`` only that one; without, all of them, however many chats one holds. Chats without id or title are no chats; without a time they come last.
+    """
+    good = chats.filter(F.col("id").isNotNull() & F.col("title").isNotNull())
+    if bucket is not None:
+        good = good.filter(F.col("bucket") == bucket)
+    good = good.select(F.coalesce("bucket", F.lit("")).alias("bucket"), "id", "title", F.coalesce("updated", F.lit("")).alias("updated"))
+    return places(good, ["bucket"], [F.desc("updated"), "id", "title"], "place").select("bucket", "id", "title", "updated", "place")
+
+
+def stats_view(pages: DataFrame, articles: DataFrame, sources: DataFrame, allowed: list[str] | None = None, compiled: str = "—") -> DataFrame:
+    """One row on what a view shows: raw_count, article_count, domains, articles, lint_hints, compiled.
+
+    ``allowed``: domains that the view lets through, None for all. Then pages of these count, and articles with a source among them (``sources(name, sources)``); ``articles``
+    lists them with their visible domains. Hints of the lint report, five at most, are shown to the whole view only, as they tell of all domains. What is gathered
+    is names of articles and domains.
+    """
+    seen = pages if allowed is None else pages.filter(F.col("domain").isin(allowed))
+    of = article_domains(sources, pages)
+    if allowed is not None:
+        of = of.withColumn("domains", F.filter("domains", lambda d: d.isin(allowed))).filter("size(domains) > 0")
+    own = articles.filter(~F.col("name").startswith("_")).select("name").join(of, "name", "left" if allowed is None else "inner")
+    listed = own.agg(F.count("*").alias("article_count"), F.array_sort(F.collect_list(F.struct("name", F.coalesce("domains", F.array().cast("array<string>")).alias("domains")))).alias("articles"))
+    listed = listed.withColumn("domains", F.array_sort(F.array_distinct(F.flatten(F.transform("articles", lambda a: a["domains"])))))
+    lines = F.transform(F.split("content", "\n"), text.strip)
+    hints = F.slice(F.transform(F.filter(lines, lambda x: x.startswith("- ") & (F.length(x) > 4)), lambda x: F.substring(x, 3, 1 << 20)), 1, 5)
+    lint = articles.filter((F.col("name") == "_lint-report.md") & F.lit(allowed is None)).agg(F.max(hints).alias("lint_hints"))
+    counts = seen.agg(F.count("*").alias("raw_count"))
+    none = F.array().cast("array<string>")
+    return counts.crossJoin(listed).crossJoin(lint).select("raw_count", "article_count", "domains", "articles", F.coalesce("lint_hints", none).alias("lint_hints"), F.lit(compiled).alias("compiled"))  # three tables of one row
+
+
 def upsert_chats(chats: DataFrame, new: DataFrame) -> DataFrame:
     """Chats by id with new ones put in place of old ones; ids that are no file names are refused."""
     good = new.filter(F.col("id").rlike(CHAT_ID))

@@ -350,6 +350,30 @@ def concat_inventories(spark, sf):
     return inventory.concat_inventories(half("doc_id % 3 <> 0", 0).unionByName(half("doc_id % 3 <> 1", 1))).select("slug", F.array_join("files", ",").alias("files"))
 
 
+@query(
+    """WITH p AS (SELECT doc_id // 10 AS o, doc_id, source, lang FROM documents WHERE source IS NOT NULL),
+t AS (SELECT CASE WHEN doc_id % 2 = 0 THEN upper(lang) ELSE lang END AS topic, doc_id FROM p WHERE lang IS NOT NULL),
+c AS (SELECT source AS slug, o, min(doc_id) AS least_id FROM p GROUP BY source, o)
+SELECT 'cluster' AS kind, slug AS value, 'N' || min(least_id) AS name, (SELECT string_agg('f' || doc_id, ',' ORDER BY 'f' || doc_id) FROM p WHERE p.source = slug) AS files, count(*) AS n FROM c GROUP BY slug
+UNION ALL SELECT 'topic', arg_min(topic, doc_id), NULL, NULL, min(doc_id) FROM t GROUP BY lower(topic)"""
+)
+def merged_inventories(spark, sf):
+    """Partial inventories of ten documents each: a cluster a source, languages as topics in mixed case."""
+    p = i.documents(spark, sf).filter("source is not null and doc_id is not null").withColumn("o", F.floor(F.col("doc_id") / 10))
+    parts = p.groupBy("o", "source").agg(F.min("doc_id").alias("at"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
+    clusters = parts.groupBy("o").agg(F.sort_array(F.collect_list(F.struct("at", "source", "ids"))).alias("c"))
+    topic = F.when(F.col("doc_id") % 2 == 0, F.upper("lang")).otherwise(F.col("lang"))
+    topics = p.filter("lang is not null").groupBy("o").agg(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", topic.alias("t")))), lambda x: x["t"]).alias("main_topics"))
+    named = F.transform("c", lambda x: F.struct(x["source"].alias("slug"), F.concat(F.lit("N"), x["at"].cast("string")).alias("name"), F.lit("").alias("description"), F.transform(x["ids"], lambda d: F.concat(F.lit("f"), d.cast("string"))).alias("files")))
+    table = clusters.join(topics, "o", "left").select(F.col("o").alias("ord"), F.lit("").alias("domain"), F.coalesce("main_topics", F.array().cast("array<string>")).alias("main_topics"), named.alias("clusters"))
+    found, said = inventory.merged_inventories(table)
+    n = parts.groupBy(F.col("source").alias("slug")).agg(F.count("*").alias("n"))
+    first = p.filter("lang is not null").groupBy(F.lower("lang").alias("l")).agg(F.min("doc_id").alias("n"))
+    a = found.join(n, "slug").select(F.lit("cluster").alias("kind"), F.col("slug").alias("value"), "name", F.array_join(F.array_sort("files"), ",").alias("files"), "n")
+    b = said.join(first, F.lower("topic") == F.col("l")).select(F.lit("topic").alias("kind"), F.col("topic").alias("value"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("files"), "n")
+    return a.unionByName(b)
+
+
 # --- graph and entity resolution ---
 
 _NODES = """(SELECT 'r:' || r_regionkey AS key, r_name AS name, 'Location' AS label, r_regionkey::BIGINT AS ord FROM region
@@ -540,6 +564,31 @@ def chat_list(spark, sf):
     return retrieval.chat_list(i.table(spark, sf, "conversations"))
 
 
+@query(
+    """WITH c AS (SELECT 'b' || conv_id % 5 AS bucket, 'c' || conv_id AS id, coalesce(left(arg_min(text, turn), 60), '') AS title, lpad(CAST(max(turn) AS VARCHAR), 6, '0') AS updated FROM conversations WHERE text IS NOT NULL GROUP BY conv_id)
+SELECT bucket, id, title, updated, row_number() OVER (PARTITION BY bucket ORDER BY updated DESC, id) - 1 AS place FROM c"""
+)
+def chats_newest(spark, sf):
+    c = i.table(spark, sf, "conversations").filter("text is not null and conv_id is not null").groupBy("conv_id").agg(F.left(F.min_by("text", "turn"), F.lit(60)).alias("title"), F.lpad(F.max("turn").cast("string"), 6, "0").alias("updated"))
+    return retrieval.listed_chats(c.select(F.concat(F.lit("b"), (F.col("conv_id") % 5).cast("string")).alias("bucket"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), "title", "updated"))
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id // 4 AS a, source FROM documents WHERE source IN ('src1', 'src3', 'src8')),
+v AS (SELECT a, string_agg(DISTINCT source, ',' ORDER BY source) AS d FROM s GROUP BY a)
+SELECT (SELECT count(*) FROM s) AS raw_count, count(*) AS article_count, (SELECT string_agg(DISTINCT source, ',' ORDER BY source) FROM s) AS domains,
+sha256(string_agg(a || ':' || d, chr(10) ORDER BY lpad(CAST(a AS VARCHAR), 12, '0'))) AS articles FROM v"""
+)
+def stats_view(spark, sf):
+    """A view of three sources; articles of four documents each, named by number."""
+    raw = pages.parsed(i.raw_web(spark, sf)).select("rel", "domain")
+    name = F.lpad(F.floor(F.col("doc_id") / 4).cast("string"), 12, "0")
+    sources = i.documents(spark, sf).filter("doc_id is not null").groupBy(name.alias("name")).agg(F.collect_list(i.rel()).alias("sources"))
+    row = retrieval.stats_view(raw, sources.select("name", F.lit("").alias("content")), sources, ["src1", "src3", "src8"])
+    line = F.transform("articles", lambda a: F.concat(a["name"].cast("bigint").cast("string"), F.lit(":"), F.array_join(a["domains"], ",")))
+    return row.select("raw_count", "article_count", F.array_join("domains", ",").alias("domains"), F.sha2(F.array_join(line, "\n").cast("binary"), 256).alias("articles"))
+
+
 # --- crawl and documents ---
 
 

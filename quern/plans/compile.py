@@ -202,20 +202,20 @@ def _unchanged(shown: DataFrame, state: State) -> bool:
 
 def compile_corpus(
     raw: DataFrame, state: State, call: Call, model: str = "", domains: list[str] | None = None, langs: list[str] | None = None, prompts: dict[str, str] | None = None, today: str = "",
-    canonicalize: bool = False, language: str = "de", jobs: int = 4, with_lint: bool = False,
+    canonicalize: bool = False, language: str = "de", jobs: int = 4, with_lint: bool = False, model_index: bool = False,
 ) -> Report:
     """One run over ``raw(rel, content)``. An unchanged corpus costs no model call and rewrites no article.
 
     ``language``: of the default instructions, where ``prompts`` gives none. ``with_lint``: a report on all articles, written
-    whenever an article or the index changed.
+    whenever an article or the index changed. ``model_index``: the entry page is written by the model, else it is a list of articles.
     """
     shown = pages.filter_language(pages.filter_domains(pages.parsed(raw), [d.lower() for d in domains] if domains else None), langs, detect=bool(langs)).select("rel", "content")
     if _unchanged(shown, state):
         return Report(pages=state.read("store").count())
-    return compile_groups(pages.group_pages(shown, with_content=True), state, call, model, default_prompts(language, prompts), today, canonicalize, jobs, with_lint)
+    return compile_groups(pages.group_pages(shown, with_content=True), state, call, model, default_prompts(language, prompts), today, canonicalize, jobs, with_lint, model_index)
 
 
-def compile_groups(groups: DataFrame, state: State, call: Call, model: str, prompts: dict[str, str], today: str = "", canonicalize: bool = False, jobs: int = 4, with_lint: bool = False) -> Report:
+def compile_groups(groups: DataFrame, state: State, call: Call, model: str, prompts: dict[str, str], today: str = "", canonicalize: bool = False, jobs: int = 4, with_lint: bool = False, model_index: bool = False) -> Report:
     """The steps of a run over page groups, as ``distill.distill_groups`` takes them."""
     from quern.state import cut
 
@@ -237,8 +237,11 @@ def compile_groups(groups: DataFrame, state: State, call: Call, model: str, prom
     articles = cut(old.join(written.select("name").union(gone.select("name")), "name", "left_anti").unionByName(written), "articles")
     meta_missing = articles.filter("name = '_index.md'").isEmpty()
     if report.changed or report.removed or meta_missing:
-        lines = retrieval.index_lines(articles).orderBy("name").toLocalIterator()
-        index = "\n".join(f"- [[{r['name']}]]: {r['first_line']}" for r in lines)
+        if model_index:
+            index = written_index(articles, clusters, live, call, model, prompts["index"])
+        else:
+            lines = retrieval.index_lines(articles).orderBy("name").toLocalIterator()
+            index = "\n".join(f"- [[{r['name']}]]: {r['first_line']}" for r in lines)
         page = spark.createDataFrame([("_index.md", index)], ARTICLES)
         articles, report.index_built = articles.filter("name <> '_index.md'").unionByName(page), True
         if with_lint:
@@ -256,6 +259,25 @@ def compile_groups(groups: DataFrame, state: State, call: Call, model: str, prom
     return report
 
 
+def written_index(articles: DataFrame, clusters: DataFrame, distillates: DataFrame, call: Call, model: str = "", prompt: str = "") -> str:
+    """The entry page that a model writes from all articles' names and first lines and the language most sources have.
+
+    A call reads a bounded number of lines; the pages that several calls make are put together by further calls, so no prompt holds all lines of
+    a large knowledge base, and no process does.
+    """
+    from quern.operators.reduction import reduced
+
+    named = retrieval.index_lines(articles).join(clusters.select(F.col("slug").alias("name"), F.col("name").alias("title")), "name", "left")
+    lines = named.select("name", F.concat(F.lit("  "), "name", F.lit(" → "), F.coalesce("title", "first_line", F.lit(""))).alias("text"))
+    found = distillates.filter("language <> ''").groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").first()
+    head = f"Sprache der Quellen: {found['language']}\n\n" if found else ""
+
+    def combine(texts: list[str], last: bool) -> str:
+        return call(f"{prompt}\n\n{head}" + "\n".join(texts), model, 2000 if last else 4000)
+
+    return reduced(lines, combine, "name") or ""
+
+
 def graph_only(state: State, call: Call | None = None, model: str = "", prompts: dict[str, str] | None = None, language: str = "de") -> tuple[int, int]:
     """The graph of the stored distillates, built anew whatever the last one was; with ``call`` its entities are united. Returns nodes and edges."""
     live = state.read("store")

@@ -74,7 +74,7 @@ def indexed(found: DataFrame, fresh: DataFrame) -> DataFrame:
     return fresh.join(both, "path", "left").select(*FILE, "rel", "digest", "domain", "language", "guessed")
 
 
-def compile_folder(files: Files, state: State, call: Call, model: str = "", domains: list[str] | None = None, langs: list[str] | None = None, prompts: dict[str, str] | None = None, today: str = "", canonicalize: bool = False, language: str = "de", jobs: int = 4, with_lint: bool = False) -> Report:
+def compile_folder(files: Files, state: State, call: Call, model: str = "", domains: list[str] | None = None, langs: list[str] | None = None, prompts: dict[str, str] | None = None, today: str = "", canonicalize: bool = False, language: str = "de", jobs: int = 4, with_lint: bool = False, model_index: bool = False) -> Report:
     """``compile.compile_corpus`` over files. A run over files that did not change lists them and reads nothing else.
 
     A file counts as changed when its size or time differs. What a file names twice, or two files do, are pages of the same path, each with its own
@@ -102,7 +102,7 @@ def compile_folder(files: Files, state: State, call: Call, model: str = "", doma
     # a file that changed since it was listed gives another digest, and waits for the next run
     read = files.pages(due.select("path").distinct()).withColumn("digest", text.content_digest(F.col("content"))).join(due, ["path", "rel", "digest"], "left_semi")
     contents = read.groupBy("digest").agg(F.min("content").alias("content"))
-    report = compile_groups(groups.select("digest", "sources", "domain", "language").join(contents, "digest", "left"), state, call, model, default_prompts(language, prompts), today, canonicalize, jobs, with_lint)
+    report = compile_groups(groups.select("digest", "sources", "domain", "language").join(contents, "digest", "left"), state, call, model, default_prompts(language, prompts), today, canonicalize, jobs, with_lint, model_index)
     index.write({"files": now})
     missing = due.join(state.read("store").select("digest"), "digest", "left_anti").isEmpty()
     slugs, written = state.read("clusters").select("slug"), state.read("articles").select(F.regexp_replace("name", r"\.md$", "").alias("slug"))

@@ -10,6 +10,9 @@ DEFAULTS = {
         "article": "Write an article in Markdown about the topic from the excerpts below: what it is, then its facts under headings. Use nothing but the excerpts; where they contradict each other, say so. Begin with a metadata block between two lines of three dashes that holds the title.",
         "canonicalize": "Some entities of the list below may be the same thing under several names: spellings, short forms, translations. Reply with JSON only: an object whose field clusters is a list of objects with prefLabel (the best name), label, aliases (a list of the other names) and member_ids (a list of ids from the list). Leave out whatever is not certain.",
         "lint": "Read the beginnings of all articles below. Report in Markdown: articles about the same topic, contradictions, gaps, articles without sources. Name the articles concerned. Be brief.\n\n",
+        "index": "Write the entry page of a knowledge base in Markdown from the list below: a few sentences on what it holds, then its articles under headings, each as a link [[name]] with a half sentence. Leave no article out.",
+        "inventory": 'Find the topics of all pages below. Reply with JSON only: {"domain": "...", "main_topics": ["..."], "clusters": [{"slug": "short-name", "name": "Name", "description": "...", "files": ["path"]}]}.',
+        "merge": "Unite the inventories below into one of the same form: equal topics become one cluster with the files of all. Reply with JSON only.",
         "suggestions": "From the index below, think of three or four questions that a reader could ask and that the articles answer. Reply with a JSON list of short strings only.",
         "route": "Which of the articles below help to answer the question? Reply with their names only, parted by commas, the best first, five at most; with none if there is none.",
     },
@@ -19,6 +22,9 @@ DEFAULTS = {
         "article": "Schreibe aus den Auszügen unten einen Artikel in Markdown über das Thema: was es ist, dann die Einzelheiten unter Überschriften. Verwende nur die Auszüge; wo sie einander widersprechen, sage es. Beginne mit einem Metadatenblock zwischen zwei Zeilen aus drei Strichen, der den Titel enthält.",
         "canonicalize": "Manche Entitäten der Liste unten sind womöglich dasselbe unter mehreren Namen: Schreibweisen, Kurzformen, Übersetzungen. Antworte nur mit JSON: ein Objekt, dessen Feld clusters eine Liste von Objekten ist mit prefLabel (dem besten Namen), label, aliases (einer Liste der übrigen Namen) und member_ids (einer Liste von Nummern aus der Liste). Lass weg, was nicht sicher ist.",
         "lint": "Lies die Anfänge aller Artikel unten. Berichte in Markdown: Artikel zum selben Thema, Widersprüche, Lücken, Artikel ohne Quellen. Nenne die betroffenen Artikel. Fasse dich kurz.\n\n",
+        "index": "Schreibe aus der Liste unten die Einstiegsseite einer Wissensbasis in Markdown: wenige Sätze dazu, was sie enthält, dann ihre Artikel unter Überschriften, jeder als Verweis [[name]] mit einem halben Satz. Lass keinen Artikel aus.",
+        "inventory": 'Finde die Themen aller Seiten unten. Antworte nur mit JSON: {"domain": "...", "main_topics": ["..."], "clusters": [{"slug": "kurzname", "name": "Name", "description": "...", "files": ["Pfad"]}]}.',
+        "merge": "Vereinige die Inventare unten zu einem derselben Form: gleiche Themen werden ein Cluster mit den Dateien aller. Antworte nur mit JSON.",
         "suggestions": "Überlege zum Verzeichnis unten drei oder vier Fragen, die jemand stellen könnte und die die Artikel beantworten. Antworte nur mit einer JSON-Liste kurzer Zeichenketten.",
         "route": "Welche der Artikel unten helfen, die Frage zu beantworten? Antworte nur mit ihren Namen, durch Kommas getrennt, die besten zuerst, höchstens fünf; mit none, wenn es keinen gibt.",
     },

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Callable
 from xml.etree import ElementTree
 
@@ -16,9 +17,14 @@ from quern.operators.ranking import numbered_within
 MOST, DEPTH = 5000, 3
 
 
-def unpacked(content: bytes) -> bytes:
-    """The content, gunzipped where it is packed."""
-    return gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
+def unpacked(content: bytes, url: str = "") -> bytes:
+    """The content, gunzipped where its first bytes or its address (``.gz``) say that it is packed; nothing where that fails, as for a torn file."""
+    if content[:2] != b"\x1f\x8b" and not url.lower().split("?")[0].endswith(".gz"):
+        return content
+    try:
+        return gzip.decompress(content)
+    except (OSError, EOFError, zlib.error):
+        return b""
 
 
 def parse(xml: str | bytes | None) -> tuple[str, list[str]]:
@@ -69,7 +75,7 @@ def discover(start: str, fetch: Callable[[str], bytes | None], explicit: str | N
         if url in seen or level > depth or (content := fetch(url)) is None:
             continue
         seen.add(url)
-        kind, found = parse(unpacked(content))
+        kind, found = parse(unpacked(content, url))
         if kind == "sitemapindex":
             todo = [(u, level + 1) for u in found] + todo
         for u in found if kind == "urlset" else ():
