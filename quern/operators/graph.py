@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quern.functions import text
 from quern.functions.replies import parse_json
 from quern.functions.search import Strings
+from quern.operators.ranking import places
 from quern.state import cut
 
 BLOCK = 120
@@ -58,8 +59,7 @@ def blocks(nodes: DataFrame, size: int = BLOCK) -> DataFrame:
     """``block, chunk``: nodes by label (none: ``_``), chunks of ``size`` by normalised name where a label has more."""
     label = F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("_"))
     n = nodes.withColumn("block", label).withColumn("_norm", text.norm(F.col("name")))
-    place = F.row_number().over(Window.partitionBy("block").orderBy("_norm", "id")) - 1
-    return n.withColumn("chunk", F.floor(place / size)).drop("_norm")
+    return places(n, ["block"], ["_norm", "id"], "_place").withColumn("chunk", F.floor(F.col("_place") / size)).drop("_norm", "_place")
 
 
 def fullname_clusters(nodes: DataFrame) -> DataFrame:

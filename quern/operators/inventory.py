@@ -112,34 +112,52 @@ RUN = 4096
 
 
 def unique_slugs(rows: DataFrame, slug: str = "slug", order: str = "ord", taken: DataFrame | None = None) -> DataFrame:
-    """Free slugs in order of arrival: the base, else its first free suffix from 2 on.
+    """``unique_slug``: free slugs in order of arrival: the base, else its first free suffix from 2 on. ``order`` tells rows apart.
 
-    Most bases never meet a suffixed name that another base equals; those are numbered in parallel. Only bases
-    that do (and the names they meet) are settled one by one on the driver, since their outcome depends on order.
+    A name that ends in a number can be what another base would be given, so names with one stem (the name without numbers at its end) depend on each other,
+    and names of different stems never do. Families of which one member only comes up, and no name is taken, are numbered in parallel, whatever
+    their size. The others are settled family by family: a task goes through one family's rows in order, and holds its names only.
     """
-    rows = rows.select("*", F.row_number().over(Window.partitionBy(slug).orderBy(order)).alias("_n"))
-    have = taken.select(F.col(slug).alias("_have")).distinct() if taken is not None else rows.sparkSession.createDataFrame([], "_have string")
-    bases = rows.select(F.col(slug).alias("_base")).distinct()
-    # a name like x-2 can be a base of its own or taken: then x and x-2 depend on each other
-    stem = F.regexp_extract("_name", r"^(.*)-[0-9]+$", 1)
-    names = bases.select(F.col("_base").alias("_name")).union(have.select(F.col("_have").alias("_name"))).distinct()
-    entangled = names.filter(F.col("_name").rlike("^.*-[0-9]+$")).select("_name", stem.alias("_stem")).join(bases, F.col("_stem") == F.col("_base"), "left_semi")
-    odd = entangled.select(F.col("_name").alias(slug)).union(entangled.select(F.col("_stem").alias(slug))).union(have.select(F.col("_have").alias(slug))).distinct()
-    plain = rows.join(odd, slug, "left_anti").withColumn("unique_slug", F.when(F.col("_n") == 1, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("_n").cast("string")))).drop("_n")
-    hard = rows.join(odd, slug, "left_semi").drop("_n")
-    todo = [r[slug] for r in hard.select(slug, order).orderBy(order).collect()]  # colliding topic names only
-    used, out = {r["_have"] for r in have.collect()}, []
-    for base in todo:
-        name, k = base, 2
-        while name in used:
-            name, k = f"{base}-{k}", k + 1
-        used.add(name)
-        out.append(name)
-    if not todo:
-        return plain
-    keys = [r[order] for r in hard.select(order).orderBy(order).collect()]
-    settled = rows.sparkSession.createDataFrame(list(zip(keys, out, strict=True)), f"{order} {dict(rows.dtypes)[order]}, unique_slug string")
-    return plain.unionByName(hard.join(settled, order).select(*plain.columns))
+    from quern.operators.ranking import places
+
+    rows = rows.withColumn("_stem", F.regexp_replace(slug, r"(-[0-9]+)+$", ""))
+    names = rows.select("_stem", F.col(slug).alias("_name")).distinct()
+    if taken is not None:
+        names = names.unionByName(taken.select(F.regexp_replace(slug, r"(-[0-9]+)+$", "").alias("_stem"), F.concat(F.lit("\n"), slug).alias("_name")).distinct())
+    # taken names count as members of their own: such a family is settled in order
+    odd = cut(names.groupBy("_stem").agg(F.count("*").alias("_k"), F.max(F.col("_name").startswith("\n")).alias("_t")).filter("_k > 1 or _t").select("_stem"), "odd")
+    plain = places(rows.join(odd, "_stem", "left_anti"), [slug], [order], "_n")
+    plain = plain.withColumn("unique_slug", F.when(F.col("_n") == 0, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), (F.col("_n") + 1).cast("string")))).drop("_n", "_stem")
+    hard = rows.join(odd, "_stem", "left_semi").select("_stem", F.col(order).alias("_order"), F.col(slug).alias("_base"))
+    if taken is not None:
+        have = taken.select(F.regexp_replace(slug, r"(-[0-9]+)+$", "").alias("_stem"), F.lit(None).cast(dict(rows.dtypes)[order]).alias("_order"), F.col(slug).alias("_base")).distinct()
+        hard = hard.unionByName(have.join(odd, "_stem", "left_semi"))
+    kind = dict(rows.dtypes)[order]
+
+    def settle(batches):
+        import pyarrow as pa
+
+        stem, used, following = None, set(), {}
+        for batch in batches:
+            out = []
+            for s, base, taken_ in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if s != stem:
+                    stem, used, following = s, set(), {}
+                name = base
+                if not taken_:
+                    k = following.get(base, 2)  # lower numbers were found taken, and stay so
+                    while name in used:
+                        name, k = f"{base}-{k}", k + 1
+                    following[base] = k if name != base else 2
+                used.add(name)
+                out.append(name)
+            keep = pa.array([not t for t in batch.column(3).to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.string())], ["_order", "unique_slug"]).filter(keep)
+
+    ordered = hard.withColumn("_taken", F.col("_order").isNull()).repartition("_stem").sortWithinPartitions("_stem", F.desc("_taken"), "_order").select("_stem", "_order", "_base", "_taken")
+    settled = ordered.mapInArrow(settle, f"_order {kind}, unique_slug string")
+    both = rows.join(odd, "_stem", "left_semi").join(settled, F.col(order) == F.col("_order")).select(*plain.columns)
+    return plain.unionByName(both)
 
 
 def concat_inventories(parts: DataFrame) -> DataFrame:

@@ -85,9 +85,11 @@ def with_language_line(content: F.Column, language: F.Column) -> F.Column:
 def collision_paths(pages: DataFrame, host: str = "domain", order: str = "seq") -> DataFrame:
     """Paths of fetched pages below their host: the first page of a path keeps it, later ones get six digits of their address's MD5."""
     base = pages.withColumn("_path", urls.page_path(F.col("url")))
-    n = F.row_number().over(Window.partitionBy(host, "_path").orderBy(order))
     suffix = F.concat(F.regexp_replace("_path", r"\.md$", ""), F.lit("_"), F.left(F.md5("url"), F.lit(6)), F.lit(".md"))
-    return base.withColumn("path", F.when(n == 1, F.col("_path")).otherwise(suffix)).drop("_path")
+    # the first of a path is all that must be known of it: a minimum, however many pages share it
+    first = base.groupBy(host, "_path").agg(F.min(order).alias("_first"))
+    found = base.join(first, base[host].eqNullSafe(first[host]) & base["_path"].eqNullSafe(first["_path"]), "left").select(base["*"], "_first")
+    return found.withColumn("path", F.when(F.col(order) == F.col("_first"), F.col("_path")).otherwise(suffix)).drop("_path", "_first")
 
 
 def document_slug(rel: F.Column) -> F.Column:

@@ -234,7 +234,12 @@ def test_unique_slugs(spark):
             out.append(name)
         return out
 
-    for bases, taken in ((["x", "x-2", "x", "x", "y", "y", "x-2"], set()), (["x", "x", "z"], {"x-2", "z"}), (["a-3", "a", "a", "a", "a"], set())):
+    import random
+
+    rng = random.Random(1)
+    name = lambda: rng.choice("ab") + "".join(f"-{rng.randint(2, 4)}" for _ in range(rng.choice([0, 0, 0, 1, 1, 2])))
+    cases = [([name() for _ in range(rng.randint(1, 120))], {name() for _ in range(rng.randint(0, 4))}) for _ in range(6)] + [(["only"] * 300 + ["-2", "", ""], set())]
+    for bases, taken in ((["x", "x-2", "x", "x", "y", "y", "x-2"], set()), (["x", "x", "z"], {"x-2", "z"}), (["a-3", "a", "a", "a", "a"], set()), *cases):
         df = spark.createDataFrame([(b, i) for i, b in enumerate(bases)], "slug string, ord bigint")
         have = spark.createDataFrame([(t,) for t in taken], "slug string")
         got = [r["unique_slug"] for r in inventory.unique_slugs(df, taken=have).orderBy("ord").collect()]
