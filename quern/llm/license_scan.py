@@ -1,8 +1,8 @@
 """License scans with DataFrame functions only.
 
-A text is normalised to lower-case words of a-z and 0-9, all of it, whatever its length. Its windows (runs of words that begin and end in
-a template's wording), its lines and itself are compared to every template whose number of distinct word bigrams allows the
-threshold, by the Dice coefficient of the two bigram sets. Only texts with an anchor are looked at closely:
+A text is normalised to lower-case words of a-z and 0-9, all of it, whatever its length. Its windows, all runs of words that begin and end in
+a template's wording, are compared to every template that shares enough distinct word bigrams with the text to reach the threshold, by the Dice
+coefficient of the two bigram sets. A match gives way to a better one in the same place. Only texts with an anchor are looked at closely:
 anchors are words or pairs of words chosen so that nothing can reach the threshold with a template without one of them.
 """
 
@@ -36,6 +36,19 @@ TEMPLATES = {
 
 #: The real wording of notices and short licences, as they stand in files (names of holders differ).
 NOTICES = {
+    "AGPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "GNU Affero General Public License Version 3, 19 November 2007",
+    ),
+    "BSL-1.0": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+        "Boost Software License - Version 1.0 - August 17th, 2003",
+    ),
+    "CC-BY-NC-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "Licensed under CC BY-NC-ND 4.0."),
+    "CC-BY-NC-SA-4.0": ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "Licensed under CC BY-NC-SA 4.0."),
+    "CC-BY-ND-4.0": ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "Licensed under CC BY-ND 4.0."),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",),
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
         "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
@@ -120,71 +133,108 @@ def _grams(u: Column) -> Column:
     return F.when(n > 1, F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
 
 
-def _unit_matches(units: Column, templates: list[tuple[str, list[str]]], threshold: Fraction) -> Column:
-    """Array of (dice, name) structs: one for each unit and template that reach the threshold."""
-    lo = min(bounds(len(g), threshold)[0] for _, g in templates)
-    hi = max(bounds(len(g), threshold)[1] for _, g in templates)
-    table = _table(templates, threshold)
-    t = F.lit(threshold.numerator), F.lit(threshold.denominator)
-
-    def matches(g: Column) -> Column:
-        fits = F.filter(table, lambda x: (F.size(g) >= x["lo"]) & (F.size(g) <= x["hi"]))
-        shared = F.transform(fits, lambda x: F.struct(F.size(F.array_intersect(g, x["grams"])).alias("shared"), (x["n"] + F.size(g)).alias("both"), x["name"].alias("name")))
-        return F.filter(shared, lambda x: x["shared"] * 2 * t[1] >= x["both"] * t[0])
-
-    sized = F.filter(F.transform(units, lambda u: F.array_distinct(_grams(u))), lambda g: (F.size(g) >= lo) & (F.size(g) <= hi))
-    return F.flatten(F.transform(sized, matches))
-
-
 def _let(value: Column, f) -> Column:
     """f(value), with the value made once however often f uses it."""
     return F.transform(F.array(value), f)[0]
 
 
+#: Words of a window, at most, for each bigram of the template.
+SPAN = 2
+
+
 def _window_matches(text: Column, templates: list[tuple[str, list[str]]], threshold: Fraction) -> Column:
-    """Array of (shared, both, name) structs of a normalised text: for each template its best window, if that reaches the threshold."""
+    """Array of (dice, shared, both, first, last, name) structs of a normalised text: for each template its best window, if that reaches the threshold.
+
+    A bigram counts in a window where it did not stand in the window before, that is if its previous place in the text lies before the window. So
+    both sets' sizes grow by plain sums as a window's end moves on, and every end is measured in one pass for each beginning.
+    """
     table = _table(templates, threshold)
     known = sorted({x for _, g in templates for x in g})
     num, den = F.lit(threshold.numerator), F.lit(threshold.denominator)
 
-    def window(g: Column, own: Column, k: Column, x: Column, span: Column) -> Column:
+    def previous(g: Column) -> Column:
+        """For each place the last one before with the same bigram, -1 for none."""
+        placed = F.array_sort(F.transform(g, lambda x, k: F.struct(x.alias("gram"), k.alias("at"))))
+
+        def linked(o: Column) -> Column:
+            before = lambda k: F.get(o, k - 1)
+            return F.transform(o, lambda x, k: F.struct(x["at"].alias("at"), F.when(before(k)["gram"] == x["gram"], before(k)["at"]).otherwise(-1).alias("prev")))
+
+        return F.transform(F.array_sort(_let(placed, linked)), lambda x: x["prev"])
+
+    def from_start(prev: Column, own: Column, k: Column, x: Column) -> Column:
         start = own[k]["at"]
+        # hits are in order: those of the next places are among as many next hits
+        ends = F.filter(F.slice(own, k + 1, x["n"] * SPAN), lambda h: h["at"] < start + x["n"] * SPAN)
+        none = F.struct(start.alias("next"), F.lit(0).alias("size"), F.lit(0).alias("shared"), F.struct(F.lit(0.0).alias("dice"), F.lit(0).alias("shared"), F.lit(1).alias("both"), F.lit(-1).alias("last")).alias("best"))
+
+        def end(state: Column, h: Column) -> Column:
+            more = F.struct(
+                (state["size"] + F.size(F.filter(F.slice(prev, state["next"] + 1, h["at"] - state["next"] + 1), lambda v: v < start))).alias("size"),
+                (state["shared"] + (h["prev"] < start).cast("int")).alias("shared"),
+            )
+
+            def best(m: Column) -> Column:
+                both = x["n"] + m["size"]
+                dice = m["shared"] * F.lit(2.0) / both
+                mine = F.struct(dice.alias("dice"), m["shared"].alias("shared"), both.alias("both"), h["at"].alias("last"))
+                better = (dice > state["best"]["dice"]) | ((dice == state["best"]["dice"]) & (m["shared"] > state["best"]["shared"]))
+                return F.struct((h["at"] + 1).alias("next"), m["size"].alias("size"), m["shared"].alias("shared"), F.when(better, mine).otherwise(state["best"]).alias("best"))
+
+            return _let(more, best)
 
-        def measured(inside: Column) -> Column:
-            shared = F.size(F.array_distinct(F.transform(inside, lambda h: h["gram"])))
-            length = F.element_at(inside, -1)["at"] - start + 1
-            both = x["n"] + F.size(F.array_distinct(F.slice(g, start + 1, length)))
-            return F.when(F.size(inside) >= x["lo"], F.struct(shared.alias("shared"), both.alias("both"), x["name"].alias("name")))
+        def top(s: Column) -> Column:
+            b = s["best"]
+            return F.when(b["shared"] * 2 * den >= b["both"] * num, F.struct(b["dice"].alias("dice"), b["shared"].alias("shared"), (-start).alias("first"), (-b["last"]).alias("last"), b["both"].alias("both")))
 
-        # hits are in order: those of the next ``span`` positions are among the next ``span`` hits
-        return _let(F.filter(F.slice(own, k + 1, span), lambda h: h["at"] < start + span), measured)
+        return _let(ends, lambda e: F.when(F.size(e) >= x["lo"], _let(F.aggregate(e, none, end), top)))
 
-    def best(g: Column, own: Column, x: Column) -> Column:
-        made = F.flatten(F.transform(own, lambda _, k: F.array(window(g, own, k, x, x["n"]), window(g, own, k, x, x["hi"]))))
-        reached = F.filter(made, lambda m: m.isNotNull() & (m["shared"] * 2 * den >= m["both"] * num))
-        top = F.array_max(F.transform(reached, lambda m: F.struct((m["shared"] * F.lit(2.0) / m["both"]).alias("dice"), m.alias("m"))))
-        return top["m"]
+    def best(prev: Column, own: Column, x: Column) -> Column:
+        found = F.array_max(F.transform(own, lambda _, k: from_start(prev, own, k, x)))
+        shown = lambda m: F.when(m.isNotNull(), F.struct(m["dice"].alias("dice"), m["shared"].alias("shared"), m["both"].alias("both"), (-m["first"]).alias("first"), (-m["last"]).alias("last"), x["name"].alias("name")))
+        return _let(found, shown)
+
+    def measured(g: Column, hits: Column, fits: Column) -> Column:
+        def of(prev: Column) -> Column:
+            own = lambda x: F.transform(F.filter(hits, lambda h: F.array_contains(x["grams"], h["gram"])), lambda h: F.struct(h["at"].alias("at"), F.get(prev, h["at"]).alias("prev")))
+            return F.transform(fits, lambda x: _let(own(x), lambda o: best(prev, o, x)))
+
+        return F.filter(_let(previous(g), of), lambda m: m.isNotNull())
 
     def of_text(g: Column, hits: Column) -> Column:
         distinct = F.array_distinct(F.transform(hits, lambda h: h["gram"]))
         fits = _let(distinct, lambda d: F.filter(table, lambda x: F.size(F.array_intersect(d, x["grams"])) >= x["lo"]))
-        each = F.transform(fits, lambda x: _let(F.filter(hits, lambda h: F.array_contains(x["grams"], h["gram"])), lambda own: best(g, own, x)))
-        return F.filter(each, lambda m: m.isNotNull())
+        return _let(fits, lambda f: F.when(F.size(f) > 0, measured(g, hits, f)).otherwise(F.array().cast(MATCHES)))
 
     hits = lambda g: F.filter(F.transform(g, lambda x, k: F.when(x.isin(known), F.struct(k.alias("at"), x.alias("gram")))), lambda h: h.isNotNull())
     return _let(_grams(text), lambda g: _let(hits(g), lambda h: of_text(g, h)))
 
 
+MATCHES = "array<struct<dice:double,shared:int,both:int,first:int,last:int,name:string>>"
+
+
+def _standing(found: Column) -> Column:
+    """Matches of which no better one covers more than half.
+
+    Better is what shares more bigrams, less those that only the window or only the template has (then the higher dice, then the name): a longer wording with a changed name in
+    it is not taken for the shorter one that it begins with, nor that for the longer.
+    """
+    worth = lambda m: F.struct((3 * m["shared"] - m["both"]).alias("worth"), m["dice"].alias("dice"))
+    better = lambda b, a: (worth(b) > worth(a)) | ((worth(b) == worth(a)) & (b["name"] < a["name"]))
+    over = lambda b, a: 2 * (F.least(a["last"], b["last"]) - F.greatest(a["first"], b["first"]) + 1) > a["last"] - a["first"] + 1
+    return F.filter(found, lambda a: ~F.exists(found, lambda b: better(b, a) & over(b, a)))
+
+
 def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None, threshold: Fraction = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row: doc_id, n_licenses, license, dice, shared, licenses: licences whose wording stands anywhere in a text.
 
     The words of the whole text are one sequence: line ends, comment signs and other words around a notice do not matter, nor does the
-    length of the text. A window starts at any bigram of a template, spans the template's n bigrams or its upper bound
-    (1.5 n), and ends at the last bigram of the template in that span. The window with the highest
-    coefficient is the template's match; lines and whole texts that reach the threshold are matches too. license: of the match
-    that shares most bigrams (then the higher dice, then the alphabetically first), dice and shared: its figures, null
+    length of the text. Windows begin and end at bigrams of a template and are as long as twice its distinct bigrams at most; all of them are measured. The
+    one with the highest coefficient (then the most shared bigrams, then the first) is the template's match, if it reaches the threshold. A match of which
+    a better one covers more than half gives way to that: where several licences share their wording, the one that is there is reported. license: of the
+    match that shares most bigrams (then the higher dice, then the alphabetically first), dice and shared: its figures, null
     without a match; licenses: all found, sorted, comma-joined, empty without; n_licenses: how many. Null and empty texts have no match;
-    repeated rows are scanned one by one; other columns are ignored; lines end at line feeds and upper case is A-Z only.
+    repeated rows are scanned one by one; other columns are ignored; upper case is A-Z only.
     """
     ready = compiled(known_templates() if templates is None else templates)
     if not ready:
@@ -199,9 +249,7 @@ def license_scan(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None =
             one = one & F.contains(low, F.lit(w))
         has = one if has is None else has | one
     norm = lambda c: F.trim(F.regexp_replace(c, "[^a-z0-9]+", " "))
-    lines = F.filter(F.transform(F.split(low, "\n"), norm), lambda u: F.instr(u, " ") > 0)
-    found = F.concat(_let(norm(low), lambda t: F.concat(_window_matches(t, ready, threshold), _unit_matches(F.array(t), ready, threshold))), _unit_matches(lines, ready, threshold))
-    found = F.when(has, found).otherwise(F.array().cast("array<struct<shared:int,both:int,name:string>>"))
+    found = F.when(has, _let(_window_matches(norm(low), ready, threshold), _standing)).otherwise(F.array().cast(MATCHES))
     # made once, below a generator that keeps every row
     rows = docs.select("doc_id", F.explode(F.array(found)).alias("found"))
     dice = lambda x: x["shared"] * F.lit(2.0) / x["both"]
@@ -226,22 +274,16 @@ p AS (SELECT row_no, unnest(grams) AS gram, unnest(range(0, len(grams))) AS at F
 h AS (SELECT p.row_no, tg.tid, p.at, p.gram FROM p JOIN tg ON p.gram = tg.gram),
 enough AS (SELECT h.row_no, h.tid FROM h JOIN t ON h.tid = t.tid GROUP BY h.row_no, h.tid, t.lo HAVING count(DISTINCT h.gram) >= t.lo),
 hs AS (SELECT h.* FROM h JOIN enough e ON h.row_no = e.row_no AND h.tid = e.tid),
-win AS (
-  SELECT a.row_no, a.tid, a.at AS first, s.span, count(*) AS inside, count(DISTINCT b.gram) AS shared, max(b.at) AS last
-  FROM hs a JOIN t ON a.tid = t.tid JOIN (SELECT tid, n AS span FROM t UNION SELECT tid, hi FROM t) s ON a.tid = s.tid
-  JOIN hs b ON a.row_no = b.row_no AND a.tid = b.tid AND b.at >= a.at AND b.at < a.at + s.span
-  GROUP BY a.row_no, a.tid, a.at, s.span
-),
-wm AS (
-  SELECT win.row_no, win.tid, t.name, win.shared, t.n + len(list_distinct(list_slice(g.grams, win.first + 1, win.last + 1))) AS both_n
-  FROM win JOIN t ON win.tid = t.tid JOIN g ON win.row_no = g.row_no WHERE win.inside >= t.lo
+pp AS (SELECT p.*, coalesce(lag(p.at) OVER (PARTITION BY p.row_no, p.gram ORDER BY p.at), -1) AS prev FROM p),
+run AS (
+  SELECT a.row_no, a.tid, a.at AS first, q.at AS last, q.gram, q.prev < a.at AS new, c.gram IS NOT NULL AS hit
+  FROM hs a JOIN t ON a.tid = t.tid JOIN pp q ON a.row_no = q.row_no AND q.at >= a.at AND q.at < a.at + {SPAN} * t.n LEFT JOIN tg c ON c.tid = a.tid AND c.gram = q.gram
 ),
-u AS (SELECT row_no, unnest(string_split(low, chr(10))) AS unit FROM d UNION ALL SELECT row_no, low FROM d),
-un AS (SELECT row_no, string_split(trim(regexp_replace(unit, '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM u),
-ug AS (SELECT row_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams FROM un WHERE len(w) > 1),
-um AS (SELECT row_no, t.name, len(list_intersect(ug.grams, t.grams)) AS shared, len(ug.grams) + t.n AS both_n FROM ug, t WHERE len(ug.grams) BETWEEN t.lo AND t.hi),
-wb AS (SELECT row_no, name, shared, both_n FROM wm WHERE {reached} QUALIFY row_number() OVER (PARTITION BY row_no, tid ORDER BY 2.0::DOUBLE * shared / both_n DESC, shared DESC) = 1),
-k AS (SELECT row_no, name, shared, 2.0::DOUBLE * shared / both_n AS dice FROM (SELECT * FROM wb UNION ALL SELECT * FROM um) WHERE {reached}),
+win AS (SELECT row_no, tid, first, last, hit, sum(CAST(new AS INT)) OVER w AS size, sum(CAST(new AND hit AS INT)) OVER w AS shared FROM run WINDOW w AS (PARTITION BY row_no, tid, first ORDER BY last)),
+wm AS (SELECT win.row_no, win.tid, t.name, first, last, shared, t.n + size AS both_n, 2.0::DOUBLE * shared / (t.n + size) AS dice FROM win JOIN t ON win.tid = t.tid WHERE hit),
+wb AS (SELECT * FROM wm WHERE {reached} QUALIFY row_number() OVER (PARTITION BY row_no, tid ORDER BY dice DESC, shared DESC, first, last) = 1),
+k AS (SELECT * FROM wb a WHERE NOT EXISTS (SELECT 1 FROM wb b WHERE a.row_no = b.row_no AND (3 * b.shared - b.both_n > 3 * a.shared - a.both_n OR 3 * b.shared - b.both_n = 3 * a.shared - a.both_n AND (b.dice > a.dice OR b.dice = a.dice AND b.name < a.name))
+  AND 2 * (least(a.last, b.last) - greatest(a.first, b.first) + 1) > a.last - a.first + 1)),
 best AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY row_no ORDER BY shared DESC, dice DESC, name) = 1),
 r AS (SELECT row_no, count(DISTINCT name) AS n_licenses, string_agg(DISTINCT name, ',' ORDER BY name) AS licenses FROM k GROUP BY row_no)
 SELECT doc_id, coalesce(n_licenses, 0)::BIGINT AS n_licenses, best.name AS license, best.dice, best.shared::BIGINT AS shared, coalesce(licenses, '') AS licenses
