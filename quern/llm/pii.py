@@ -111,17 +111,13 @@ TABLE = (
     "the key to the garden: nobody knows where it is",
     "la clave de todo esto es la paciencia de los hombres",
     "le mot de la fin est pour les autres",
-    "Ofthstrent### thoner$$$ to%%% ththwh$$$ oueand$$$ anthth$$$ the&&& the&&&",
     "Home | About | Contact | Products | Services | Login",
-    "Thhand Thhand Thhand Thhand Thhand Thhand thheeser an",
-    "it. it. Nt Nt Nt Nt Nt onou onou and. and. and.",
-    "Se Se Se Se Se llllos, la la Al Al Al Al es",
+    "Mirrow Mirrow Mirrow Mirrow Mirrow tello tello an",
+    "so. so. Bi Bi Bi Bi Bi dum dum or. or. or.",
+    "wurr### tenna$$$ on%%% morrel$$$ sib&&& sib&&&",
+    "Trelle, vontaner un moribel. Sarrik ontello de parrin. Ulmar vennis",
+    "Gorrunger besk den irlauken. Nach ollweder die brunkheit, und zarr",
     "over the Hills and far away Went The Old Man Of The Sea",
-    "Bescherverauheit der verac. Unge des einsch. Nonverei en dans",
-    "It byanthblely anreed hestwh of. Is the erresh, of of lyestion, was and.",
-    "Einunger, enenieau enschungae chzuung. Keit achlichkeit den ieverver die",
-    "Enoi reeuxpa en vioion de ement dans eellean eneauan de reeuxre de.",
-    "Osta, cioneciones al un, esie nijarr. Odoci. Cionastaas cion",
     "All rights reserved. Released under the MIT License.",
     "Permission is hereby granted, free of charge, to any person obtaining a copy",
     "The University of Example and the Department of Something announced it",
@@ -131,10 +127,85 @@ TABLE = (
     "Dr. Smith and Mrs. Jones went to New York on Monday",
 )
 
+#: Words between and around made-up examples.
+_FILL = "the of and to in is was on at by it for with from this that we he she they der die das und ist nicht mit von ein eine für auf le la les des un une est que pour dans el los las en con una por".split()
+_NAMES = "Maple Linden Victor Mayor Station Church Garden Ober Wald Berg Molière Colón Baker Miller Rosen Bahnhof Luna Mill River Park Schiller Goethe Serrano Nations".split()
+#: Street words that stand alone, before a name (with a number behind it, or the number first), and those that end a name.
+_STREETS = "Street Lane Road Avenue Drive Court Boulevard Way Close Square Place Terrace Crescent Rd. Ave.".split()
+_BEFORE = "rue avenue boulevard place quai chemin impasse allée Calle Avenida Plaza Paseo Via Camino".split()
+_ENDINGS = "strasse straße weg gasse platz allee ring damm ufer".split()
+#: Beginnings of keys that services hand out.
+_PREFIXES = "ghp_ gho_ glpat- sk_live_ pk_live_ sk_test_ xoxb- npm_ AIza hf_ dop_v1_".split()
+_LABELS = "password: passwort: passwd: pwd: kennwort: clave: contraseña: secret: token: api_key: key:".split()
+
+
+def _made_up(seed: int = 5, each: int = 12) -> list[str]:
+    """More examples in the form of ``TABLE``, by rule: keys with and without a service's prefix, labelled values, addresses in four languages, and what only looks like them."""
+    import random
+
+    rng = random.Random(seed)
+    chars = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    digits, lower, upper = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    every, hexes = digits + lower + upper, digits + "abcdef"
+    fill = lambda: " ".join(rng.choice(_FILL) for _ in range(rng.randint(0, 4)))
+    word = lambda a=4, b=14: chars(lower, rng.randint(a, b))
+    name = lambda: rng.choice([rng.choice(_NAMES), word(4, 9).capitalize()])
+    number = lambda: str(rng.randint(1, 240)) + rng.choice(["", "", "", "a"])
+    forms = [
+        lambda: f"{{secret {rng.choice(_PREFIXES)}{chars(every, rng.randint(18, 40))}}}",
+        lambda: f"{{secret {word(2, 6)}{rng.choice('_-')}{chars(every, rng.randint(18, 40))}}}",
+        lambda: f"{{secret eyJ{chars(every, 17)}.eyJ{chars(every, rng.randint(12, 40))}.{chars(every + '_-', rng.randint(20, 43))}}}",
+        lambda: f"{{secret {chars(hexes, rng.choice([32, 40, 64]))}}}",
+        lambda: f"{{secret AKIA{chars(digits + upper, 16)}}}",
+        lambda: f"{rng.choice(_LABELS)} {{secret {rng.choice([word(6, 18), word(5, 9), word(5, 8), chars(every, rng.randint(8, 20)), word(4, 8) + chars(digits, 3)])}}}",
+        lambda: f"{{secret {rng.choice(_LABELS)[:-1]}={rng.choice([word(6, 18), chars(every, rng.randint(8, 20))])}}}",
+        lambda: f"{{account {chars(upper, 2)}{chars(digits, rng.choice([16, 18, 20, 22]))}}}",
+        lambda: f"{{account {chars(digits, 3)}-{chars(digits, 2)}-{chars(digits, 4)}}}",
+        lambda: f"{{address {number()} {' '.join(name() for _ in range(rng.randint(1, 2)))} {rng.choice(_STREETS)}}}",
+        lambda: f"{{address {name()}{rng.choice(_ENDINGS)} {number()}}}",
+        lambda: f"{{address {name()} {rng.choice(_ENDINGS).capitalize()} {number()}}}",
+        lambda: f"{{address {number()} {rng.choice(_BEFORE[:8])} {rng.choice(['', 'de ', 'du '])}{name()}}}",
+        lambda: f"{{address {rng.choice(_BEFORE[8:])} {rng.choice(['', 'de ', 'del '])}{name()} {number()}}}",
+        lambda: f"https://{word()}.example.{rng.choice(['com', 'org'])}/{word(1, 6)}/{chars(every, rng.randint(4, 24))}?{rng.choice(['id', 'ref', 'v', 'page', 'token_id'])}={chars(hexes, rng.randint(3, 12))}",
+        lambda: f"http://www.{word()}.net/{word()}-{chars(digits, 5)}.html",
+        lambda: f"{name()} {name()} {rng.choice(['walked', 'kam', 'est', 'vive'])} {number()} {rng.choice(['years', 'Jahre', 'ans', 'veces'])}",
+        lambda: f"{rng.choice(['the', 'a', 'der', 'la'])} {rng.choice([*_STREETS[:5], 'Weg', 'Platz', 'rue', 'Calle']).lower()} {fill()}",
+        lambda: f"{rng.choice(['note:', 'see:', 'example:', 'und:', 'dit:'])} {word()} {fill()}",
+        lambda: f"{word(3, 8)}-{word(3, 8)} {word(2, 5)}_{word(2, 9)} {chars(digits, rng.randint(1, 6))}",
+    ]
+    syllables = [a + b + e for a in ("b", "d", "gr", "k", "l", "m", "pl", "r", "s", "t", "v", "") for b in ("a", "e", "i", "o", "u", "é", "ü", "ó") for e in ("", "n", "r", "st")]
+    nonsense = lambda: "".join(rng.choice(syllables) for _ in range(rng.choice([1, 1, 2, 2, 3, 4, 5, 7])))
+
+    def prose() -> str:
+        """Words of no meaning, as lines of any kind have them: sentences, capitals, signs behind words, one word again and again."""
+        tail, cap = rng.choice(["", "", "", "!!", "&&&", "$$$", "###", "%%%", "..."]), rng.random() < 0.15
+        words = [nonsense() for _ in range(rng.randint(3, 12))]
+        if rng.random() < 0.2:
+            words = [rng.choice([words[0], rng.choice(_FILL), rng.choice(["de", "du", "del"])]).capitalize()] * rng.randint(2, 9) + words[:2]
+        if rng.random() < 0.3:
+            words.insert(rng.randrange(len(words)), chars(digits, rng.randint(1, 18)) + rng.choice(["", "", ".", ":", "!!"]))
+        for i in range(len(words)):
+            if rng.random() < 0.25:
+                words[i] = words[i].capitalize()
+                if i:
+                    words[i - 1] += rng.choice([".", ",", "?", ""])
+        return " ".join((w.upper() if cap else w) + tail for w in words)
+
+    numbers = [
+        lambda: f"{rng.randint(1900, 2100)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}",
+        lambda: f"ISBN {rng.choice(['978', '979'])}-{rng.randint(0, 9)}-{chars(digits, 2)}-{chars(digits, 6)}-{rng.randint(0, 9)}",
+        lambda: f"{word(4, 8)}-{rng.randint(1, 99)}",
+        lambda: f"{chars(digits, rng.randint(5, 19))}{rng.choice(['', '!!', '$$$', '.', ' %'])}",
+        lambda: f"{rng.choice(['v', 'x', 'utf-', 'A', 'MAX_', 'page-'])}{rng.randint(1, 99)}",
+    ]
+    labelled, numbered, french, spanish = forms[5], forms[8], forms[12], forms[13]
+    made = [f"{fill()} {form()} {fill()}".strip() for form in (*forms, *numbers, *[labelled] * 4, numbered, *[french] * 2, spanish) for _ in range(each)]
+    return made + [prose() for _ in range(24 * each)]
+
+
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _NO_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
@@ -198,6 +269,8 @@ def _class_traits(kinds: bytes) -> list[str]:
     shape = re.sub(rb"(.)\1+", rb"\1", kinds, flags=re.DOTALL).decode("latin-1")
     shape = shape if len(shape) <= 12 else shape[:6] + "~" + shape[-4:]
     out = ["shape " + shape, f"long {min(n.bit_length(), 8)}", f"mix {digits > 0}{ups > 0}{lows > 0}", f"digits {min(digits, 6)}", f"share {4 * digits // max(1, n)}"]
+    if digits and re.fullmatch(b"9+(-9+)+", core):
+        out.append("runs " + "-".join(str(len(x)) for x in core.split(b"-")[:6]))
     if n >= 16 and digits and ups and not lows:
         out.append("upper key")
     if n >= 15 and digits and re.fullmatch(b"AA99[9A]+", core):
@@ -211,6 +284,11 @@ def _class_traits(kinds: bytes) -> list[str]:
     return out
 
 
+_STREET_WORDS = frozenset(w.strip(".").lower().encode() for w in (*_STREETS, *_BEFORE, *_ENDINGS))
+_SECRET_LABELS = frozenset(w.strip(":").encode() for w in _LABELS)
+_STREET_ENDS = tuple(w.encode() for w in _ENDINGS)
+
+
 def _own_traits(token: bytes) -> list[str]:
     """Traits of a token beyond the classes of its bytes: which word or label it is, hexadecimal digits, assignments."""
     core = token.strip(_EDGES)
@@ -221,7 +299,20 @@ def _own_traits(token: bytes) -> list[str]:
         out += ["assigns", "assigns " + core.split(b"=")[0].lower().decode("latin-1")]
     if core.translate(_CLASS).isalpha():
         out.append("word " + core.lower().decode("latin-1"))
+    if b"://" in token or core[:4] == b"www.":
+        out.append("web")
+    elif len(core) >= 16 and core.translate(None, _NO_DIGIT):
+        if re.fullmatch(rb"[A-Za-z]{2,6}(?:[_-][a-z0-9]{2,5})?[_-][0-9A-Za-z_-]{14,}", core):
+            out.append("prefixed")
+        if re.fullmatch(rb"[\w-]{8,}\.[\w-]{8,}\.[\w-]{6,}", core):
+            out.append("three parts")
+    if (low := core.lower()) in _STREET_WORDS:
+        out.append("street")
+    elif low.endswith(_STREET_ENDS):
+        out.append("street end")
     if token[-1:] in (b":", b"=") and core.rstrip(b"="):
+        if core.rstrip(b"=").lower() in _SECRET_LABELS:
+            out.append("secret label")
         out += ["labels", "label " + core.rstrip(b"=").lower().decode("latin-1")]
     return out
 
@@ -252,7 +343,7 @@ def token_features(tokens: list[bytes]) -> list[list[str]]:
 
 def _examples() -> list[tuple[list[bytes], list[str]]]:
     out = []
-    for line in TABLE:
+    for line in (*TABLE, *_made_up()):
         tokens, tags = [], []
         for m in re.finditer(r"\{(\w+) ([^}]*)\}|\S+", line):
             part = (m[2] or m[0]).split()
@@ -291,7 +382,8 @@ class Field:
         out = []
         for p in parts:
             core = p.strip(_EDGES)
-            own = core.lower() in self.words or b"=" in p or p[-1:] == b":" or p[:1] == b"\0" or (len(core) >= 16 and not core.isalpha())
+            low = core.lower()
+            own = low in self.words or low in _STREET_WORDS or low.endswith(_STREET_ENDS) or b"=" in p or p[-1:] == b":" or p[:1] == b"\0" or (len(core) >= 16 and not core.isalpha())
             out.append(b"\0" + p if own else p.translate(_CLASS))
         return out
 
