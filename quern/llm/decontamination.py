@@ -21,8 +21,8 @@ from quern.llm._bytes import schema, slices, texts
 from quern.state import cut, forget
 
 WINDOW = 13
-#: Windows are searched in blocks of at most so many bytes, each block broadcast on its own.
-BLOCK_BYTES = 32 << 20
+#: Windows are searched in blocks of at most so many bytes, each block broadcast on its own. The tables of a block take about nine times that in a task.
+BLOCK_BYTES = 8 << 20
 
 #: A-Z to a-z; bytes 00-2F, 3A-60, 7B-7F to a space; all others (digits, a-z, parts of longer characters) stay.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

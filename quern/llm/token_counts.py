@@ -16,8 +16,11 @@ from pyspark.sql import functions as F
 
 from quern.llm._bytes import joined, schema, slices, texts
 from quern.llm._segments import Remembered
+from quern.llm.piece_codec import cuts
 
 LIMIT = 4096
+#: Bytes of a text that are looked at together, where it has a place to be cut.
+PART_BYTES = 1 << 19
 _MARK = "▁"
 
 
@@ -57,11 +60,28 @@ class Counter:
         return [1 if p == b" " else len(x) if p[:1] == b" " else len(x) - 1 for p, x in zip(parts, ids, strict=True)]
 
     def __call__(self, rows: list[bytes]) -> np.ndarray:
+        """Counts of whole texts; long ones part by part, so that what is held beside a text does not grow with it."""
+        long = [i for i, t in enumerate(rows) if len(t) > PART_BYTES and self._fast(t)]
+        if not long:
+            return self._counts(rows)
+        out = self._counts([b"" if i in set(long) else t for i, t in enumerate(rows)])
+        for i in long:
+            for a, b in cuts(rows[i], PART_BYTES):
+                part = rows[i][a:b]
+                # the space put before a text: a later part's own one stands for it, before a line break it is one token too many
+                own = a > 0 and part[:1] == b" "
+                out[i] += 1 if own and len(part) == 1 else self._counts([part[1:] if own else part])[0] - (a > 0 and part[:1] == b"\n")
+        return out
+
+    def _fast(self, text: bytes) -> bool:
+        return self.splits and b"\xe2\x96\x81" not in text and b"\0" not in text
+
+    def _counts(self, rows: list[bytes]) -> np.ndarray:
         out = np.zeros(len(rows), np.int64)
         fast, slow = [], []
         for i, t in enumerate(rows):
             if t:
-                (fast if self.splits and b"\xe2\x96\x81" not in t and b"\0" not in t else slow).append(i)
+                (fast if self._fast(t) else slow).append(i)
         if slow:
             out[slow] = [len(x) for x in self.library.encode([rows[i].decode() for i in slow], num_threads=1)]
         if fast:
@@ -79,7 +99,7 @@ def token_counts(docs: DataFrame, model: str, limit: int = LIMIT, id_col: str =
     ``model``: a sentencepiece model file that every executor has. No begin, end or other added
     tokens; special strings inside texts as the library's default takes them. Null and empty texts count 0,
     repeated rows are counted one by one, other columns are ignored. Texts with the word mark itself
-    or a zero byte are encoded whole.
+    or a zero byte are encoded whole, other long ones part by part.
     """
 
     def run(batches):

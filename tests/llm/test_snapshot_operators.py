@@ -6,6 +6,7 @@ import hashlib
 import random
 import subprocess
 import sys
+import tempfile
 import zlib
 from pathlib import Path
 
@@ -239,3 +240,63 @@ def test_any_change_breaks_a_proof(spark):
     assert merkle.verified(swapped).filter("verified").count() == 0
     other = merkle.manifest(docs.withColumn("lang", F.when(F.col("doc_id") == 5, "xx").otherwise(F.col("lang"))))
     assert other.select("root").first() != proofs.select("root").first()
+
+
+# --- token counts of long texts ---
+
+
+def test_counts_of_parts_are_those_of_the_whole(library, monkeypatch):
+    from quern.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "PART_BYTES", 60)
+    rng, count = random.Random(6), token_counts.Counter(MODEL)
+    texts = ["".join(rng.choice(["the ", "  ", "\n", "word", "中😀", " a b", "x" * 30, "▁" if k % 5 == 0 else "y"]) for _ in range(rng.randint(1, 120))) for k in range(300)] + ["\n" * 200, " " * 200, "x" * 500]
+    assert count([t.encode() for t in texts]).tolist() == [len(library.encode(t)) for t in texts]
+
+
+def test_counting_a_long_text_needs_little_memory():
+    code = """
+import resource
+from quern.llm import token_counts
+count = token_counts.Counter(%r)
+count([b"warm up " * 100_000])
+text = b"some words of a long line and more \\n" * 930_000
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+before = peak()
+print(count([text])[0], peak() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code % MODEL], capture_output=True, text=True, check=True, cwd=ROOT)
+    n, grown = map(float, out.stdout.split())
+    assert n > 930_000 and grown < 60  # 32 MB of text
+
+
+# --- a block of decontamination ---
+
+
+def test_tables_of_a_full_block_are_small():
+    """What a task holds of a block of windows of random words: less than 100 MB beside the library."""
+    code = """
+import os, pickle, random, sys
+from quern.llm import decontamination as d
+path = sys.argv[1]
+if len(sys.argv) > 2:
+    rng = random.Random(1)
+    word = lambda: bytes(rng.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 12)))
+    rows, size = [], 0
+    while size < d.BLOCK_BYTES:
+        for w in d.windows_of(b" ".join(word() for _ in range(200))):
+            rows.append({"window": w, "item_id": str(len(rows) // 188)})
+            size += len(w) + 32
+    with open(path, "wb") as f:
+        pickle.dump(d._tables(rows), f, protocol=5)
+else:
+    held = lambda: int([x for x in open("/proc/self/status") if x.startswith("VmRSS")][0].split()[1]) / 1024
+    before = held()
+    with open(path, "rb") as f:
+        tables = pickle.load(f)
+    print(held() - before)
+"""
+    with tempfile.TemporaryDirectory() as folder:
+        run = lambda *more: subprocess.run([sys.executable, "-c", code, f"{folder}/t", *more], capture_output=True, text=True, check=True, cwd=ROOT)
+        run("write")
+        assert float(run().stdout) < 100
