@@ -61,7 +61,7 @@ def filter_words(rows: DataFrame, words: int) -> DataFrame:
 def maybe_in(rows: DataFrame, words_of: DataFrame, words: int) -> DataFrame:
     """``rows`` with ``maybe``: false where the filter proves that the key is not among its keys."""
     asked = rows.withColumn("_bits", _bits(F.col("k"))).withColumn("word", _address(F.col("k"), words))
-    found = asked.join(words_of, "word", "left")
+    found = asked.join(words_of.hint("merge"), "word", "left")  # the filter grows with the keys: never broadcast
     return found.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(F.col("_bits")) == F.col("_bits"), F.lit(False))).drop("word", "bits", "_bits")
 
 
@@ -69,6 +69,7 @@ def _numbered_keys(rows: DataFrame, marks: list[str]) -> DataFrame:
     """``rows`` with ``named``, ``key`` (never null) and ``at``, the row's number among those of its key; only repeated keys need more than a count."""
     rows = rows.withColumn("named", F.col("k").isNotNull()).withColumn("key", F.coalesce(F.col("k").cast("string"), F.lit("")))
     many = cut(rows.groupBy("named", "key").agg(F.count("*").alias("n")).filter("n > 1").select("named", "key"), "repeated")
+    many = many.hint("merge")
     once = rows.join(many, ["named", "key"], "left_anti").withColumn("at", F.lit(0).cast("bigint"))
     return once.unionByName(places(rows.join(many, ["named", "key"], "left_semi"), ["named", "key"], [*marks, "tie"], "at"))
 
