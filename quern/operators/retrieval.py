@@ -47,6 +47,29 @@ def message(question: str, contents: list[tuple[str, str]], graph_context: str =
     return f"{question}\n\n{context}" if context else question
 
 
+def routed_reply(question: str, listing: DataFrame, call: Callable[[list[dict]], str], route: str = "", read: int = 80_000) -> str:
+    """What a model names of ``listing(name, entities)`` for a question.
+
+    A listing of up to ``read`` characters is one call. A longer one is parted: each part's call names some, and further calls choose among those, so
+    no prompt and no process holds the whole; these calls run on executors.
+    """
+    from quern.operators.reduction import reduced
+
+    line = F.concat(F.lit("- "), "name", F.when(F.size("entities") > 0, F.concat(F.lit("  (Entitäten: "), F.array_join("entities", ", "), F.lit(")"))).otherwise(""))
+    lines = listing.select("name", line.alias("text"))
+    head = "\n\n".join([*([route] if route else []), question])
+    if (lines.agg(F.sum(F.length("text") + 1)).first()[0] or 0) <= read:
+        rows = [r["text"] for r in lines.orderBy("name").collect()]
+        return call([{"role": "user", "content": head + "\n\n" + "\n".join(rows)}])
+
+    def combine(texts: list[str], last: bool) -> str:
+        # of the levels above the first a text is a reply: names, parted by commas
+        shown = [t if t.startswith("- ") else "\n".join(f"- {n.strip()}" for n in t.split(",") if n.strip() and n.strip() != "none") for t in texts]
+        return call([{"role": "user", "content": head + "\n\n" + "\n".join(t for t in shown if t)}])
+
+    return reduced(lines, combine, "name", each=200, read=read, reply=read // 200) or "none"
+
+
 def prepared(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFrame, call: Callable[[list[dict]], str], view: Callable[[DataFrame], DataFrame] | None = None, history: list[dict] = (), tail: int = WEB_TAIL, route: str = "") -> tuple[list[str], list[dict]]:
     """(sources, messages): route, walk one hop, gather. ``view`` limits articles, and then the graph to what they mention.
 
@@ -56,9 +79,7 @@ def prepared(question: str, articles: DataFrame, nodes: DataFrame, edges: DataFr
     found = graph.article_entities(shown, graph.terms_of(nodes)).cache()
     if view:
         nodes, edges = graph.restrict(found, nodes, edges)
-    listing = routing_list(shown, found).orderBy("name").toLocalIterator()
-    lines = [f"- {r['name']}" + (f"  (Entitäten: {', '.join(r['entities'])})" if r["entities"] else "") for r in listing]
-    reply = call([{"role": "user", "content": "\n\n".join([*([route] if route else []), question, "\n".join(lines)])}])
+    reply = routed_reply(question, routing_list(shown, found), call, route)
     spark = articles.sparkSession
     chosen = [r["name"] for r in routed_names(spark.createDataFrame([(reply,)], "reply string"), shown).orderBy("ord").collect()]
     selected = spark.createDataFrame([(n,) for n in chosen], "name string")

@@ -126,17 +126,20 @@ def write_articles(todo: DataFrame, clusters: DataFrame, distillates: DataFrame,
 
     Of each cluster only its excerpts within the context budget reach the call.
     """
-    rows = inventory.members(clusters.join(todo.select("slug").distinct(), "slug", "left_semi")).join(distillates, "digest")
-    rows = rows.select("slug", "digest", "language", "sources", F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce("title", F.lit(""))), "summary", F.array_join("keypoints", "\n")).alias("entry"))
-    from pyspark.sql import Window
+    from quern.operators.ranking import places, running_sum
+    from quern.state import cut
 
-    w = Window.partitionBy("slug").orderBy("digest").rowsBetween(Window.unboundedPreceding, 0)
-    # the running size within a cluster decides what its one prompt may hold; the prompt is bounded, its cluster's digests are not long
-    rows = rows.withColumn("used", F.sum(F.least(F.length("entry"), F.lit(inventory.ENTRY_CHARS))).over(w))
-    entry = F.when((F.col("used") <= inventory.CONTEXT_CHARS) & (F.col("entry") != ""), F.struct("digest", F.left("entry", F.lit(inventory.ENTRY_CHARS)).alias("e")))
+    rows = inventory.members(clusters.join(todo.select("slug").distinct(), "slug", "left_semi")).join(distillates, "digest")
+    entry = F.concat_ws("\n", F.concat(F.lit("## "), F.coalesce("title", F.lit(""))), "summary", F.array_join("keypoints", "\n"))
+    rows = cut(rows.select("slug", "digest", "language", "sources", F.left(entry, F.lit(inventory.ENTRY_CHARS)).alias("entry")), "entries")
+    # the running size within a cluster decides what its prompt holds; it is summed over numbers alone, however large the cluster
+    sizes = places(rows.select("slug", "digest", F.length("entry").alias("size")), ["slug"], ["digest"], "place")
+    used = running_sum(sizes, ["slug"], "place", F.floor(F.col("place") / 4096), F.col("size"), "used")
+    fit = rows.join(used.filter((F.col("used") <= inventory.CONTEXT_CHARS) & (F.col("size") > 0)).select("slug", "digest"), ["slug", "digest"])
+    entries = fit.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("digest", F.col("entry").alias("e")))).alias("entries"))  # of a bounded size
     lang = inventory.dominant(rows.filter("language <> ''").withColumn("p", F.xxhash64("digest")), "slug", "language", "p")
-    named = rows.groupBy("slug").agg(F.array_sort(F.collect_list(entry)).alias("entries"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))
-    named = named.join(lang, "slug", "left").join(clusters.select("slug", "name"), "slug")
+    sources = rows.select("slug", F.explode_outer("sources").alias("s")).groupBy("slug").agg(F.array_sort(F.collect_set("s")).alias("sources"))  # what the article itself lists
+    named = sources.join(entries, "slug", "left").join(lang, "slug", "left").join(clusters.select("slug", "name"), "slug")
 
     def run(frames):
         import pandas as pd
@@ -145,7 +148,7 @@ def write_articles(todo: DataFrame, clusters: DataFrame, distillates: DataFrame,
             out = []
             for r in frame.itertuples(index=False):
                 try:
-                    body = call(article_prompt(prompt, r.name, r.language, [e["e"] for e in r.entries]), model, 8192)
+                    body = call(article_prompt(prompt, r.name, r.language, [e["e"] for e in (r.entries if r.entries is not None else [])]), model, 8192)
                 except Exception:  # noqa: BLE001  the article stays due for the next run
                     continue
                 out.append((f"{r.slug}.md", retrieval.ensured_metadata(body, r.name, list(r.sources), today)))

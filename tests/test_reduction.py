@@ -140,3 +140,23 @@ def test_torn_sitemaps_hold_nothing():
     packed = gzip.compress(whole)
     assert parse(unpacked(packed)) == parse(unpacked(packed, "http://a/s.xml.gz")) == parse(unpacked(whole)) == ("urlset", ["http://a/1"])
     assert parse(unpacked(packed[:-9])) == parse(unpacked(packed[:20])) == parse(unpacked(b"plain", "http://a/s.xml.GZ?x=1")) == ("", [])
+
+
+def test_a_long_listing_is_routed_in_parts(spark):
+    from pyspark.sql import functions as F
+
+    listing = spark.range(3000).select(F.format_string("a%04d.md", "id").alias("name"), F.when(F.col("id") == 77, F.array(F.lit("Rhein"))).otherwise(F.array()).alias("entities"))
+    calls = spark.sparkContext.accumulator(0)
+
+    def call(messages):
+        calls.add(1)
+        text = messages[0]["content"]
+        assert len(text) <= 5300 and text.startswith("ROUTE\n\nWo?\n\n")
+        names = [x.split(" ")[1] for x in text.split("\n") if x.startswith("- ")]
+        return ", ".join(n for n in names if n in ("a0077.md", "a2999.md")) or "none"
+
+    assert retrieval.routed_reply("Wo?", listing, call, "ROUTE", read=5000) == "a0077.md, a2999.md" and calls.value > 100
+    calls2 = []
+    short = listing.filter("name < 'a0003' or name = 'a0077.md'")
+    assert retrieval.routed_reply("Wo?", short, lambda m: calls2.append(m[0]["content"]) or "x") == "x"
+    assert calls2 == ["Wo?\n\n- a0000.md\n- a0001.md\n- a0002.md\n- a0077.md  (Entitäten: Rhein)"]
