@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.llm._bytes import slices
+
 
 @dataclass(frozen=True)
 class Template:
@@ -62,6 +64,8 @@ def _ordered(conversations: DataFrame) -> DataFrame:
     return c.repartition("conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "text")
 
 
+#: Segments and characters that wait to be handed on, at most.
+HELD_ROWS, HELD_CHARS = 3000, 1 << 20
 SEGMENTS = "conv_id bigint, turn_no bigint, segment int, text string, loss boolean, allowed boolean, closed boolean"
 
 
@@ -73,14 +77,15 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
 
     Turns are ordered by turn (null last), ties by role and text; repeated rows are turns of their own. A
     null role or text counts as empty; turns that the machine refuses are formatted all the same and marked. Rows
-    without conv_id form one conversation. A conversation is streamed turn by turn: its length does not matter for memory.
+    without conv_id form one conversation. A conversation is streamed turn by turn: neither its length nor that of its turns together matters for memory. Other
+    columns are ignored; an empty table gives no segments.
     """
     template = template or Template()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, names = template.pattern, [x.split(" ")[0] for x in SEGMENTS.split(", ")]
         out: list[list] = []
-        nothing = object()
+        nothing, held = object(), 0
         conv, state, n, good = nothing, "", 0, True
 
         def flush(rows):
@@ -90,16 +95,18 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
             if out and conv is not nothing:
                 out[-1][6] = good and state in template.accepting
 
-        for batch in batches:
+        for batch in slices(batches):
             for c, role, text in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
                 if c != conv or conv is nothing:
                     close()
                     conv, state, n, good = c, "", 0, True
                 allowed = role in template.follows.get(state, ())
                 good, state = good and allowed, role
-                if len(out) > 3000:
+                if len(out) > HELD_ROWS or held > HELD_CHARS and len(out) > 3:
                     yield flush(out[:-3])  # the last turn may yet be the end of its conversation
                     out = out[-3:]
+                    held = len(out[-2][3])
+                held += len(text)
                 out.append([c, n, 0, template.turn + escape(role, pattern) + template.body, False, allowed, None])
                 out.append([c, n, 1, escape(text, pattern), role in template.loss_roles, allowed, None])
                 out.append([c, n, 2, template.end, False, allowed, None])
@@ -115,7 +122,8 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
     """Conversations parsed from their segments: digests of turns and of the text under the loss mask.
 
     One row per conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid.
-    ``segments`` must be in the order that ``format_conversations`` gives.
+    ``segments`` must be in the order that ``format_conversations`` gives, each partition with whole conversations. Conversations without conv_id follow each other as
+    they come: the null one is one. A conversation ends at its row where ``closed`` is not null, so equal ids after that are another one. Texts are not null there; no segments give no rows.
     """
     template = template or Template()
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]
@@ -125,7 +133,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         conv, pending, rows = nothing, "", []
         turns = loss = None
         n = loss_chars = chars = 0
-        for batch in batches:
+        for batch in slices(batches):
             for c, text, under, closed in zip(*(batch.column(batch.schema.get_field_index(k)).to_pylist() for k in ("conv_id", "text", "loss", "closed")), strict=True):
                 if c != conv or conv is nothing:
                     conv, pending, turns, loss, n, loss_chars, chars = c, "", hashlib.sha256(), hashlib.sha256(), 0, 0, 0

@@ -438,6 +438,17 @@ def test_a_long_conversation_is_streamed(spark):
     assert (out[1]["n_turns"], out[1]["valid"], out[2]["n_turns"]) == (5000, True, 2)
 
 
+def test_turns_wait_by_characters_not_by_number(spark, monkeypatch):
+    """However little may wait, the same comes out; and what waits is bounded by characters."""
+    rng = random.Random(3)
+    rows = [(c, t, ("user", "assistant")[t % 2], "x" * rng.randint(0, 60)) for c in range(20) for t in range(rng.randint(1, 12))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    get = lambda: sorted(map(str, chat_format.read_back(chat_format.format_conversations(df)).collect()))
+    want = get()
+    monkeypatch.setattr(chat_format, "HELD_CHARS", 50)
+    assert get() == want and len(want) == 20
+
+
 # --- licences ---
 
 
