@@ -75,5 +75,5 @@ def test_stages_of_odd_rows(spark, tables):
 
 
 def test_queries_are_registered():
-    assert [q.split("_")[0] for q in sorted(QUERIES, key=lambda q: int(q.split("_")[0][2:]))] == [f"op{k}" for k in range(1, 11)]
+    assert [q.split("_")[0] for q in sorted(QUERIES, key=lambda q: int(q.split("_")[0][2:]))] == [f"op{k}" for k in range(1, 14)]
     assert set(ORACLE_SQL) <= set(QUERIES)
