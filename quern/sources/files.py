@@ -228,6 +228,15 @@ def wiki_languages(data: str, prefix: str | None = "wiki") -> list[dict]:
     return out
 
 
+def beside(data: str, wiki: str, kind: str) -> str:
+    """The folder of a kind (``graph``, ``distill``, ``_inventory``) that belongs to a wiki folder: it ends as that one does.
+
+    ``wiki-de`` has ``distill-de`` beside it, ``wiki`` has ``distill``; a folder that does not begin with ``wiki`` has those without an ending.
+    """
+    name = Path(wiki).name
+    return f"{data.rstrip('/')}/{kind}{name.removeprefix('wiki') if name.startswith('wiki') else ''}"
+
+
 def wiki_folder(data: str, lang: str | None = None, prefix: str = "wiki") -> str:
     """The folder of a language, or the base folder where it has none."""
     own = Path(data, f"{prefix}-{lang.strip().lower()}") if lang else None

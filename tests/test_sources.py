@@ -117,3 +117,8 @@ def test_a_partition_that_keeps_nothing_is_gone(spark, tmp_path):
     corpus = Corpus(spark, str(tmp_path), buckets=2)
     corpus.upsert(pages(spark, [("a.md", "d", "b")]))
     assert corpus.delete_domain("d") == 1 and corpus.read().isEmpty() and not list((tmp_path / "pages").glob("bucket=*"))
+
+
+@pytest.mark.parametrize(("wiki", "want"), [("wiki", "distill"), ("x/wiki-de", "distill-de"), ("wiki-ABC/", "distill-ABC"), ("other", "distill"), ("mywiki-de", "distill")])
+def test_folders_beside_a_wiki(wiki, want):
+    assert files.beside("data/", wiki, "distill") == f"data/{want}"
