@@ -22,12 +22,17 @@ class Chain:
         lengths = np.array([len(s) for s in sequences])
         flat = np.array([f for s in sequences for t in s for f in t], np.int64)
         sizes = np.array([len(t) for s in sequences for t in s], np.int64)
-        token = np.zeros((len(sizes), len(self.labels)))
-        np.add.at(token, np.repeat(np.arange(len(sizes)), sizes), self.weights[flat])  # a token may have no known feature
         out = np.zeros((len(sequences), int(lengths.max(initial=0)), len(self.labels)))
-        out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = token
+        out[np.arange(out.shape[1])[None, :] < lengths[:, None]] = self._sums(flat, sizes)
         return out, lengths
 
+    def _sums(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Scores of tokens whose features lie end to end; a token may have no known feature."""
+        token, some = np.zeros((len(sizes), len(self.labels))), sizes > 0
+        if some.any():
+            token[some] = np.add.reduceat(self.weights[flat], (np.cumsum(sizes) - sizes)[some], axis=0)
+        return token
+
     def decode(self, sequences: list[list[list[int]]]) -> list[np.ndarray]:
         """Best label numbers of each non-empty sequence; sequences of similar length share a batch."""
         out: list = [None] * len(sequences)
@@ -108,7 +113,8 @@ class Chain:
         t_max = max(map(len, sequences))
         lengths = np.array([len(s) for s in sequences])
         flat = np.array([f for s in sequences for t in s for f in t])
-        token = np.repeat(np.arange(lengths.sum()), [len(t) for s in sequences for t in s])
+        sizes = np.array([len(t) for s in sequences for t in s], np.int64)
+        token = np.repeat(np.arange(lengths.sum()), sizes)
         inside = np.arange(t_max)[None, :] < lengths[:, None]
         y = np.zeros((n, t_max), int)
         y[inside] = [v for g in gold for v in g]
@@ -119,30 +125,35 @@ class Chain:
         rows, ends = np.arange(n), lengths - 1
         params = [self.weights, self.step, self.first, self.last]
         past = [np.full(p.shape, 1e-8) for p in params]
-        log_sum = np.logaddexp.reduce
-        for _ in range(rounds):
-            e, _ = self.emissions(sequences)
+
+        def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+            top = x.max(axis=axis, keepdims=True)
+            return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
+
+        for r in range(rounds):
+            pace = rate * 0.1 * min(1.0, 2 * (1 - r / rounds))  # steps get shorter in the second half, so that it settles
+            e = np.zeros((n, t_max, k))
+            e[inside] = self._sums(flat, sizes)
             f = np.zeros((n, t_max, k))
             f[:, 0] = e[:, 0] + self.first
             for t in range(1, t_max):
-                f[:, t] = np.where(inside[:, t, None], log_sum(f[:, t - 1, :, None] + self.step[None], axis=1) + e[:, t], f[:, t - 1])
-            z = log_sum(f[rows, ends] + self.last, axis=1)
+                f[:, t] = np.where(inside[:, t, None], log_sum(f[:, t - 1, :, None] + self.step[None], 1) + e[:, t], f[:, t - 1])
+            z = log_sum(f[rows, ends] + self.last, 1)
             b = np.zeros((n, t_max, k))
             b[:] = self.last
             p_step = np.zeros((k, k))
             for t in range(t_max - 2, -1, -1):
                 inner = e[:, t + 1] + b[:, t + 1]
-                b[:, t] = np.where((t + 1 < lengths)[:, None], log_sum(self.step[None] + inner[:, None, :], axis=2), self.last)
+                b[:, t] = np.where((t + 1 < lengths)[:, None], log_sum(self.step[None] + inner[:, None, :], 2), self.last)
                 both = f[:, t, :, None] + self.step[None] + inner[:, None, :] - z[:, None, None]
                 p_step += np.exp(both[t + 1 < lengths]).sum(axis=0)
             p = np.exp(f + b - z[:, None, None]) * inside[:, :, None]
             rest = (p - one)[inside]
-            g_w = np.zeros_like(self.weights)
-            np.add.at(g_w, flat, rest[token])
+            g_w = np.stack([np.bincount(flat, rest[token, j], len(self.weights)) for j in range(k)], axis=1)
             grads = [g_w, p_step - pairs, (p - one)[:, 0].sum(axis=0), (p - one)[rows, ends].sum(axis=0)]
             for param, g, s in zip(params, grads, past, strict=True):
                 g = g + ridge * param
                 s *= 0.9
                 s += 0.1 * g * g
-                param -= rate * 0.1 * g / np.sqrt(s)
+                param -= pace * g / np.sqrt(s)
         return self
