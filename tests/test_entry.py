@@ -51,6 +51,31 @@ def test_query_equals_sql(spark, name):
     assert key(got) == key(want) and want
 
 
+def _equals_sql(spark, name: str, folder: Path, **tables) -> int:
+    """Whether a query and its SQL give the same rows over these tables, written to a folder; the number of rows."""
+    from quern.plans import catalog
+
+    con = duckdb.connect()
+    for table, df in tables.items():
+        df.write.parquet(f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    df = catalog.queries()[name](spark, str(folder))
+    cols = ", ".join(f'"{c}"' for c in df.columns)
+    got, want = df.collect(), con.execute(f"SELECT {cols} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    return len(got)
+
+
+REPEATED = [
+    (1, "https://a.de/x"), (2, "http://b.de/x?p=2&ref=x"), (3, "https://a.de/y"), (4, "https://a.de/x"), (5, "http://a.de/x"), (6, "http://b.de/x?p=2&ref=x"), (7, 'https://a.de/"q"?a=1&lt;=2'),
+    (8, "ftp://a.de/z"), (9, None), (10, "HTTPS://a.de/y"), (11, " https://c.de/1"), (11, "https://a.de/!"), (11, "https://a.de/"), (12, "https://a.de/y"), (None, "https://a.de/late"),
+]
+
+
+def test_bookmarks_of_repeated_addresses_equal_sql(spark, tmp_path):
+    assert _equals_sql(spark, "bookmark_urls", tmp_path, pages=spark.createDataFrame(REPEATED, "page_id bigint, url string")) == 10
+
+
 def _without_the_subpackage(to: Path, also: bool) -> dict[str, str]:
     import shutil
 
