@@ -76,6 +76,10 @@ def test_bookmarks_of_repeated_addresses_equal_sql(spark, tmp_path):
     assert _equals_sql(spark, "bookmark_urls", tmp_path, pages=spark.createDataFrame(REPEATED, "page_id bigint, url string")) == 10
 
 
+def test_plan_of_repeated_addresses_equals_sql(spark, tmp_path):
+    assert _equals_sql(spark, "collect_plan", tmp_path, pages=spark.createDataFrame(REPEATED, "page_id bigint, url string")) == 12
+
+
 def _without_the_subpackage(to: Path, also: bool) -> dict[str, str]:
     import shutil
 
