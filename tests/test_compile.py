@@ -294,3 +294,25 @@ def test_sums_of_a_changed_set_are_found_from_the_change(spark):
     assert [x + y - z for x, y, z in zip(a, came, went, strict=True)] == list(after)
     mark = lambda names: corpus_fingerprint(values(names)).first()[0]
     assert mark("abc") == mark("cbaab") != mark("abd") and mark("") != mark("a")
+
+
+def test_corpus_fingerprint_hashes_all_digests_in_order(spark):
+    import hashlib
+
+    from quern.operators.inventory import _run_hashes, corpus_fingerprint
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    digests = sorted(f"sha256:{k % 7:03x}{sha(str(k))}" for k in range(200))
+    runs = [(f"{k:03x}", sha("\n".join(x for x in digests if x[7:10] == f"{k:03x}"))) for k in range(7)]
+    rows = [(d,) for d in [*digests, *digests[::3], None]]
+    want = sha("v1\n" + "\n".join(h for _, h in runs))
+    assert corpus_fingerprint(spark.createDataFrame(rows, "digest string")).first()[0] == want
+    assert corpus_fingerprint(spark.createDataFrame([], "digest string")).first()[0] == sha("v1\n")
+
+    import pyarrow as pa
+
+    table = pa.table({"p": [d[7:10] for d in digests], "digest": digests})
+    for rows_each in (1, 7, 29, 200):  # runs that go over several batches
+        batches = [pa.RecordBatch.from_pydict({"p": [], "digest": []}, table.schema), *table.to_batches(rows_each)]
+        out = pa.Table.from_batches(list(_run_hashes(batches)))
+        assert list(zip(out["p"].to_pylist(), out["h"].to_pylist(), strict=True)) == runs
