@@ -14,12 +14,14 @@ from quern.functions import text
 from quern.functions.replies import parse_json
 from quern.functions.search import Strings
 from quern.operators.ranking import places
-from quern.state import cut
+from quern.state import cut, settings
 
 BLOCK = 120
 FACTS, DESCRIPTIONS = 40, 15
 #: Bytes of terms and names that are looked for together.
 TERM_BYTES = 8 << 20
+#: Bytes of articles that a task takes from Spark at a time: its Python holds these, however large a partition is and however long articles are.
+BATCH_BYTES = 4 << 20
 
 #: Phrases of relations.
 PHRASES = {
@@ -182,7 +184,8 @@ def _hits(pages: DataFrame, terms: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(row, each))), entity.take(pa.array(at)), pa.array(order[at]), pa.array(k[at])], ["name", "entity", "ord", "k"])
 
     found = pages.mapInArrow(run, "name string, entity string, ord bigint, k bigint")
-    written = cut(found.select("name", "entity", F.struct("ord", F.col("k").cast("int").alias("k")).alias("place")), "hits")
+    with settings(pages.sparkSession, {"spark.sql.execution.arrow.maxBytesPerBatch": f"{BATCH_BYTES}b"}):
+        written = cut(found.select("name", "entity", F.struct("ord", F.col("k").cast("int").alias("k")).alias("place")), "hits")
     shared.destroy()
     return written
 

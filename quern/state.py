@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,19 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settings(spark: SparkSession, ours: dict[str, str]) -> Iterator[None]:
+    """Settings for the jobs run inside; the session's own afterwards."""
+    was = {name: spark.conf.get(name) for name in ours}
+    for name, value in ours.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in was.items():
+            spark.conf.set(name, value)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete one path of the shared folder (used for tables that are no longer needed)."""
     jvm = spark.sparkContext._jvm

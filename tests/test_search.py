@@ -42,6 +42,29 @@ def test_blocks_give_what_one_search_gives(spark):
     assert get(200) == whole == get(3000)
 
 
+def test_a_task_holds_few_articles_at_a_time(spark, tmp_path, monkeypatch):
+    """Long articles in one partition: a task's Python sees some megabytes of them at a time, and all of them."""
+    from pyspark.sql import functions as F
+
+    log = str(tmp_path / "bytes")
+
+    class Noted(search.Strings):
+        def search(self, texts):
+            with open(log, "a") as f:
+                f.write(f"{sum(map(len, texts))}\n")
+            return search.Strings.search(self, texts)
+
+    monkeypatch.setattr(graph, "Strings", Noted)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(name)
+    articles = spark.range(0, 1500, 1, 1).select(F.concat(F.lit("d"), "id").alias("name"), F.concat(F.repeat(F.lit("abcdefghi "), 2000), F.lit("k"), F.col("id") % 3).alias("content"))
+    terms = spark.createDataFrame([(f"k{k}", f"K{k}", (k, 0)) for k in range(2)], "term string, name string, place struct<ord:bigint,k:int>")
+    got = {r["name"]: r["entities"] for r in graph.article_entities(articles, terms).collect()}
+    assert got == {f"d{i}": [f"K{i % 3}"] for i in range(1500) if i % 3 < 2} and spark.conf.get(name) == was
+    held = [int(x) for x in Path(log).read_text().split()]
+    assert sum(held) == 1500 * 20_002 and max(held) < 6 << 20
+
+
 def test_a_million_terms_equal_sql(spark, tmp_path):
     """Terms of a million nodes in a few articles, in blocks, against SQL; and what a process needs for them."""
     n = 1_000_000
